@@ -39,3 +39,244 @@ def q_encode_stats(spark, sf_dir):
     lines = document_lines(spark, sf_dir)
     vocab = doc_vocab(spark, sf_dir)
     return enc.encode_stats(lines, vocab, ["lang"])
+
+
+# ----------------------------------------------------------------------------------------
+# corpus and vocabulary (documents broken into lines)
+# ----------------------------------------------------------------------------------------
+def _first_cols():
+    return [F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
+            F.col("first.pos").cast("long").alias("first_pos")]
+
+
+@register("src_01_read_lines")
+def q_read_lines(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    return lines.select("doc_id", "line_no", "lang", "text")
+
+
+@register("prj_01_tokenize_line")
+def q_tokenize(spark, sf_dir):
+    lines = document_lines(spark, sf_dir, cols=())
+    t = tokenize("text")
+    return lines.select("doc_id", "line_no", F.size(t).cast("long").alias("n_tokens"),
+                        F.array_join(t, " ").alias("tokens"))
+
+
+@register("agg_01_count_words")
+def q_count_words(spark, sf_dir):
+    lines = document_lines(spark, sf_dir, cols=())
+    c = voc.count_words(lines, LINE_ORDER)
+    return c.select("symbol", "count", *_first_cols())
+
+
+@register("agg_04_finalize_vocab")
+def q_finalize_vocab(spark, sf_dir):
+    return doc_vocab(spark, sf_dir)
+
+
+@register("win_01_rank_to_id")
+def q_rank_to_id(spark, sf_dir):
+    """Unbounded vocabulary (no nwords): ids from the distributed global index."""
+    return doc_vocab(spark, sf_dir, threshold=2, nwords=-1)
+
+
+@register("srt_05_top_n_words")
+def q_top_n(spark, sf_dir):
+    lines = document_lines(spark, sf_dir, cols=())
+    return voc.top_n_words(voc.count_words(lines, LINE_ORDER), 100)
+
+
+@register("flt_09_min_count_threshold")
+def q_min_count(spark, sf_dir):
+    return voc.min_count_threshold(doc_vocab(spark, sf_dir, threshold=-1, nwords=-1), 5)
+
+
+def _lang_vocab(spark, sf_dir, lang_pred, threshold=-1, nwords=-1, padding=8):
+    lines = document_lines(spark, sf_dir).filter(lang_pred)
+    return voc.build_vocab(lines, LINE_ORDER, threshold=threshold, nwords=nwords, padding_factor=padding)
+
+
+@register("agg_02_merge_vocab")
+def q_merge_vocab(spark, sf_dir):
+    left = _lang_vocab(spark, sf_dir, F.col("lang") == "en", threshold=3)
+    right = _lang_vocab(spark, sf_dir, F.col("lang") == "fr", threshold=3)
+    return voc.merge_vocab(left, right)
+
+
+@register("set_03_vocab_intersect")
+def q_vocab_intersect(spark, sf_dir):
+    a = _lang_vocab(spark, sf_dir, F.col("lang") == "en")
+    b = _lang_vocab(spark, sf_dir, F.col("lang") == "de")
+    return voc.vocab_intersect(a, b)
+
+
+@register("set_04_vocab_equal")
+def q_vocab_equal(spark, sf_dir):
+    """The bounded (top-n) and the unbounded (global index) ranking agree when nwords is large."""
+    a = doc_vocab(spark, sf_dir, threshold=3, nwords=10_000_000)
+    b = doc_vocab(spark, sf_dir, threshold=3, nwords=-1)
+    return voc.vocab_equal(a, b)
+
+
+@register("agg_03_joined_vocab")
+def q_joined_vocab(spark, sf_dir):
+    """One vocabulary over source and target sides, first-seen order source side first."""
+    pairs = conversation_pairs(spark, sf_dir)
+    src = pairs.select(F.lit(0).alias("side"), "conv_id", "turn", F.col("src_text").alias("text"))
+    tgt = pairs.select(F.lit(1).alias("side"), "conv_id", "turn", F.col("tgt_text").alias("text"))
+    return voc.build_vocab(src.unionByName(tgt), ["side", "conv_id", "turn"], threshold=2, nwords=-1)
+
+
+# ----------------------------------------------------------------------------------------
+# encode / decode
+# ----------------------------------------------------------------------------------------
+def _encoded(spark, sf_dir, **kw):
+    lines = document_lines(spark, sf_dir, cols=())
+    return enc.encode_lines(lines, doc_vocab(spark, sf_dir), **kw)
+
+
+def _ids_str(col):
+    return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), " ")
+
+
+@register("jn_01_encode")
+def q_encode(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", "line_no", F.size("ids").cast("long").alias("n_ids"), _ids_str("ids").alias("ids"))
+
+
+@register("prj_03_reverse_order")
+def q_encode_reversed(spark, sf_dir):
+    e = _encoded(spark, sf_dir, reverse_order=True)
+    return e.select("doc_id", "line_no", _ids_str("ids").alias("ids"))
+
+
+@register("prj_04_append_eos_off")
+def q_encode_no_eos(spark, sf_dir):
+    e = _encoded(spark, sf_dir, append_eos=False)
+    return e.select("doc_id", "line_no", _ids_str("ids").alias("ids"))
+
+
+@register("prj_02_encode_shuffle_join")
+def q_encode_shuffle(spark, sf_dir):
+    """Same ids as jn_01 through the shuffle strategy (the path for vocabularies too large to ship)."""
+    e = _encoded(spark, sf_dir, how="shuffle", key_cols=["doc_id", "line_no"])
+    return e.select("doc_id", "line_no", F.size("ids").cast("long").alias("n_ids"), _ids_str("ids").alias("ids"))
+
+
+@register("jn_13_oov_types")
+def q_oov(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    toks = voc.explode_tokens(lines, LINE_ORDER, keep=["lang"])
+    return voc.oov_types(toks, doc_vocab(spark, sf_dir), ["lang"]).select("lang", "symbol", F.col("n").cast("long"))
+
+
+@register("prj_05_decode")
+def q_decode(spark, sf_dir):
+    vocab = doc_vocab(spark, sf_dir)
+    e = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab)
+    return enc.decode(e.select("doc_id", "line_no", "ids"), vocab).select("doc_id", "line_no", "text")
+
+
+@register("prj_06_escape_unk")
+def q_decode_escaped(spark, sf_dir):
+    vocab = doc_vocab(spark, sf_dir)
+    e = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab)
+    return enc.decode(e.select("doc_id", "line_no", "ids"), vocab, escape_unk=True).select("doc_id", "line_no", "text")
+
+
+@register("jn_02_id_to_symbol")
+def q_id_to_symbol(spark, sf_dir):
+    """Long form: every encoded position with its symbol (left join, default '<unk>')."""
+    vocab = doc_vocab(spark, sf_dir)
+    e = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab)
+    ex = e.select("doc_id", "line_no", F.posexplode("ids").alias("pos", "id"))
+    from seqcorpus.plans.broadcast import maybe_broadcast
+    return (ex.join(maybe_broadcast(vocab.select("id", "symbol")), "id", "left")
+            .select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), "id",
+                    F.coalesce("symbol", F.lit("<unk>")).alias("symbol")))
+
+
+# ----------------------------------------------------------------------------------------
+# BLEU / ROUGE on conversation pairs: reference = turn t, hypothesis = turn t+1
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import bleu as bl  # noqa: E402
+
+PAIR_KEY = ["conv_id", "turn"]
+
+
+def _pair_tokens(spark, sf_dir):
+    p = conversation_pairs(spark, sf_dir)
+    return p.select(*PAIR_KEY, tokenize("src_text").alias("ref"), tokenize("tgt_text").alias("hyp"))
+
+
+def _pair_stats(spark, sf_dir):
+    return bl.bleu_stats(_pair_tokens(spark, sf_dir), PAIR_KEY, "ref", "hyp")
+
+
+@register("agg_08_bleu_stats")
+def q_bleu_stats(spark, sf_dir):
+    return _pair_stats(spark, sf_dir)
+
+
+@register("jn_08_ngram_clip_match")
+def q_clip(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    return bl.clipped_matches(p, PAIR_KEY, "ref", "hyp").select(*PAIR_KEY, F.col("n").cast("int"), "match")
+
+
+@register("agg_09_corpus_bleu")
+def q_corpus_bleu(spark, sf_dir):
+    return bl.corpus_bleu(_pair_stats(spark, sf_dir))
+
+
+@register("agg_10_bleu_report")
+def q_bleu_report(spark, sf_dir):
+    return bl.bleu_report(bl.corpus_bleu(_pair_stats(spark, sf_dir)))
+
+
+@register("agg_11_sentence_bleu")
+def q_sentence_bleu(spark, sf_dir):
+    return bl.sentence_bleu(_pair_stats(spark, sf_dir), PAIR_KEY)
+
+
+@register("scr_07_select_checkpoint")
+def q_select_checkpoint(spark, sf_dir):
+    """Candidate systems = the role of the hypothesis turn; BLEU per system in one job, best by max_by."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    stats = _pair_stats(spark, sf_dir).join(
+        conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("system")), PAIR_KEY)
+    scores = bl.corpus_bleu(stats, ["system"])
+    return scores.agg(F.max_by("system", F.struct("bleu", F.col("system"))).alias("best_system"),
+                      F.max("bleu").alias("best_bleu"), F.count(F.lit(1)).alias("n_systems"))
+
+
+@register("agg_12_multi_ref_bleu")
+def q_multi_ref(spark, sf_dir):
+    """Hypothesis = turn t+1; references = turns t and t+2 (lower-cased, max-count clipping)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokenize("text").alias("tok"))
+    hyps = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tok").alias("hyp"))
+    r0 = conv.select("conv_id", "turn", F.lit(0).alias("ref_no"), F.col("tok").alias("ref"))
+    r1 = conv.select("conv_id", (F.col("turn") - 2).alias("turn"), F.lit(1).alias("ref_no"), F.col("tok").alias("ref"))
+    refs = r0.unionByName(r1).join(hyps.select(*PAIR_KEY), PAIR_KEY, "left_semi")
+    hyps = hyps.join(r0.select(*PAIR_KEY), PAIR_KEY, "left_semi")
+    stats = bl.multi_ref_bleu(hyps, refs, PAIR_KEY, "hyp", "ref")
+    return bl.corpus_bleu(stats)
+
+
+@register("agg_13_rouge_n")
+def q_rouge_n(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    r1 = bl.rouge_n(p, PAIR_KEY, "ref", "hyp", 1).select(*PAIR_KEY, F.col("f1").alias("f1_1"))
+    r2 = bl.rouge_n(p, PAIR_KEY, "ref", "hyp", 2).select(*PAIR_KEY, F.col("f1").alias("f1_2"))
+    j = r1.join(r2, PAIR_KEY)
+    return j.agg(F.round(F.avg("f1_1"), 6).alias("rouge1"), F.round(F.avg("f1_2"), 6).alias("rouge2"),
+                 F.count(F.lit(1)).alias("n_pairs"))
+
+
+@register("agg_13_rouge_l")
+def q_rouge_l(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    r = bl.rouge_l(p, PAIR_KEY, "ref", "hyp")
+    return r.select(*PAIR_KEY, F.col("lcs").cast("long").alias("lcs"), F.round("f1", 6).alias("f1"))

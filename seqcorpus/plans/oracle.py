@@ -31,32 +31,35 @@ toks AS (
 
 
 def vocab_ctes(threshold: int, nwords: int, padding: int = 8, toks: str = "toks", nlines: str = "tl",
-               order: str = "doc_id, line_no") -> str:
-    """``counts`` (symbol, cnt, first) and ``vocab`` (id, symbol, count) as in AGG-01/04."""
+               order: str = "doc_id, line_no", p: str = "") -> str:
+    """``{p}counts`` (symbol, cnt, first) and ``{p}vocab`` (id, symbol, count) as in AGG-01/04."""
     keep = f"WHERE rk <= {nwords - 4}" if nwords > 0 else ""
-    return f"""wc AS (
-  SELECT symbol, count(*) AS cnt, min(({order}, pos)) AS first FROM {toks} GROUP BY symbol),
-counts AS (
-  SELECT symbol, CAST(sum(cnt) AS BIGINT) AS cnt, min(first) AS first FROM (
-    SELECT symbol, cnt, first FROM wc
+    fields = [c.strip() for c in order.split(",")] + ["pos"]
+    first = "struct_pack(" + ", ".join(f"{c} := {c}" for c in fields) + ")"
+    return f"""{p}wc AS (
+  SELECT symbol, count(*) AS cnt, min({first}) AS first FROM {toks} GROUP BY symbol),
+{p}counts AS (
+  SELECT symbol, CAST(sum(cnt) AS BIGINT) AS cnt,
+         CASE WHEN symbol IN {SPECIALS_IN} THEN NULL ELSE min(first) END AS first FROM (
+    SELECT symbol, cnt, first FROM {p}wc
     UNION ALL SELECT unnest({SPECIALS_SQL}) AS symbol, 1 AS cnt, NULL AS first
     UNION ALL SELECT '</s>' AS symbol, count(*) AS cnt, NULL AS first FROM {nlines}) GROUP BY symbol),
-ranked AS (
+{p}ranked AS (
   SELECT symbol, cnt, row_number() OVER (ORDER BY cnt DESC, first ASC, symbol ASC) AS rk
-  FROM counts WHERE symbol NOT IN {SPECIALS_IN} AND cnt >= {threshold}),
-kept AS (SELECT CAST(rk + 3 AS INTEGER) AS id, symbol, cnt FROM ranked {keep}),
-spec AS (
+  FROM {p}counts WHERE symbol NOT IN {SPECIALS_IN} AND cnt >= {threshold}),
+{p}kept AS (SELECT CAST(rk + 3 AS INTEGER) AS id, symbol, cnt FROM {p}ranked {keep}),
+{p}spec AS (
   SELECT CAST(i - 1 AS INTEGER) AS id, s AS symbol, coalesce(c.cnt, 1) AS cnt
   FROM (SELECT unnest({SPECIALS_SQL}) AS s, unnest(generate_series(1, 4)) AS i) x
-  LEFT JOIN counts c ON c.symbol = x.s),
-base AS (SELECT * FROM spec UNION ALL SELECT * FROM kept),
-nb AS (SELECT count(*) AS n FROM base),
-pads AS (
+  LEFT JOIN {p}counts c ON c.symbol = x.s),
+{p}base AS (SELECT * FROM {p}spec UNION ALL SELECT * FROM {p}kept),
+{p}nb AS (SELECT count(*) AS n FROM {p}base),
+{p}pads AS (
   SELECT CAST(n + i AS INTEGER) AS id, '{MADEUP_PREFIX}' || lpad(CAST(i AS VARCHAR), 4, '0') AS symbol, 0 AS cnt
-  FROM (SELECT n, unnest(range(0, CAST(({padding} - n % {padding}) % {padding} AS BIGINT))) AS i FROM nb)),
-vocab AS (
-  SELECT id, symbol, CAST(cnt AS BIGINT) AS count FROM base
-  UNION ALL SELECT id, symbol, CAST(cnt AS BIGINT) AS count FROM pads)"""
+  FROM (SELECT n, unnest(range(0, CAST(({padding} - n % {padding}) % {padding} AS BIGINT))) AS i FROM {p}nb)),
+{p}vocab AS (
+  SELECT id, symbol, CAST(cnt AS BIGINT) AS count FROM {p}base
+  UNION ALL SELECT id, symbol, CAST(cnt AS BIGINT) AS count FROM {p}pads)"""
 
 
 ORACLE: dict[str, str] = {}
@@ -72,3 +75,236 @@ SELECT ls.lang, nseq, ntok, CAST(coalesce(nunk, 0) AS BIGINT) AS nunk,
        round(100.0::DOUBLE * coalesce(nunk, 0) / ntok, 6) AS pct_replaced
 FROM ls LEFT JOIN us ON ls.lang = us.lang
 """
+
+
+def tok(expr: str) -> str:
+    return f"list_filter(string_split_regex({expr}, '{WS}'), lambda x: x <> '')"
+
+
+DOC = f"{lines_cte('')}, {toks_cte(extra='')}"
+DOC_LANG = f"{lines_cte()}, {toks_cte()}"
+
+ORACLE["src_01_read_lines"] = f"WITH {lines_cte()} SELECT doc_id, line_no, lang, text FROM lines"
+
+ORACLE["prj_01_tokenize_line"] = f"""WITH {DOC}
+SELECT doc_id, line_no, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM tl"""
+
+ORACLE["agg_01_count_words"] = f"""WITH {DOC}, {vocab_ctes(2, 30000)}
+SELECT symbol, cnt AS count, first.doc_id AS first_doc, first.line_no AS first_line,
+       CAST(first.pos AS BIGINT) AS first_pos FROM counts"""
+
+ORACLE["agg_04_finalize_vocab"] = f"WITH {DOC}, {vocab_ctes(2, 30000)} SELECT * FROM vocab"
+ORACLE["win_01_rank_to_id"] = f"WITH {DOC}, {vocab_ctes(2, -1)} SELECT * FROM vocab"
+ORACLE["srt_05_top_n_words"] = f"""WITH {DOC}, {vocab_ctes(2, -1)}
+SELECT symbol, cnt AS count FROM counts WHERE symbol NOT IN {SPECIALS_IN}
+ORDER BY cnt DESC, first ASC, symbol ASC LIMIT 100"""
+ORACLE["flt_09_min_count_threshold"] = f"""WITH {DOC}, {vocab_ctes(-1, -1)}
+SELECT * FROM vocab WHERE count >= 5 OR symbol IN {SPECIALS_IN}"""
+
+
+def lang_vocab(lang: str, p: str, threshold: int = -1) -> str:
+    return f"""{p}lines AS (SELECT * FROM lines WHERE lang = '{lang}'),
+{p}tl AS (SELECT doc_id, line_no, t FROM tl WHERE lang = '{lang}'),
+{p}toks AS (SELECT * FROM toks WHERE lang = '{lang}'),
+{vocab_ctes(threshold, -1, toks=p + 'toks', nlines=p + 'tl', p=p)}"""
+
+
+ORACLE["agg_02_merge_vocab"] = f"""WITH {DOC_LANG}, {lang_vocab('en', 'a_', 3)}, {lang_vocab('fr', 'b_', 3)},
+j AS (SELECT a.id, coalesce(a.symbol, b.symbol) AS symbol, a.count AS lc, b.id AS rid, b.count AS rc
+      FROM a_vocab a FULL OUTER JOIN b_vocab b ON a.symbol = b.symbol)
+SELECT id, symbol, CAST(lc + coalesce(rc, 0) AS BIGINT) AS count FROM j WHERE id IS NOT NULL
+UNION ALL
+SELECT CAST((SELECT max(id) FROM a_vocab) + row_number() OVER (ORDER BY rid) AS INTEGER) AS id, symbol,
+       CAST(rc AS BIGINT) AS count FROM j WHERE id IS NULL"""
+
+ORACLE["set_03_vocab_intersect"] = f"""WITH {DOC_LANG}, {lang_vocab('en', 'a_')}, {lang_vocab('de', 'b_')}
+SELECT symbol FROM a_vocab INTERSECT SELECT symbol FROM b_vocab"""
+
+ORACLE["set_04_vocab_equal"] = f"""WITH {DOC}, {vocab_ctes(3, 10000000, p='a_')}, {vocab_ctes(3, -1, p='b_')}
+SELECT count(*) = 0 AS equal FROM (
+  (SELECT symbol, id FROM a_vocab EXCEPT ALL SELECT symbol, id FROM b_vocab)
+  UNION ALL
+  (SELECT symbol, id FROM b_vocab EXCEPT ALL SELECT symbol, id FROM a_vocab))"""
+
+PAIRS_CTE = """pairs AS (
+  SELECT s.conv_id, s.turn, s.text AS src_text, t.text AS tgt_text
+  FROM conversations s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1)"""
+
+ORACLE["agg_03_joined_vocab"] = f"""WITH {PAIRS_CTE},
+sides AS (SELECT 0 AS side, conv_id, turn, src_text AS text FROM pairs
+          UNION ALL SELECT 1 AS side, conv_id, turn, tgt_text AS text FROM pairs),
+{toks_cte(src='sides', keys='side, conv_id, turn', extra='')},
+{vocab_ctes(2, -1, order='side, conv_id, turn')}
+SELECT * FROM vocab"""
+
+ENC = f"""{DOC}, {vocab_ctes(2, 30000)},
+tv AS (SELECT doc_id, line_no, pos, symbol, v.id AS vid, coalesce(v.id, 3) AS id FROM toks LEFT JOIN vocab v USING (symbol))"""
+
+ORACLE["jn_01_encode"] = f"""WITH {ENC},
+e AS (SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS s, count(*) AS n FROM tv GROUP BY ALL)
+SELECT doc_id, line_no, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS n_ids, coalesce(e.s || ' 2', '2') AS ids
+FROM tl LEFT JOIN e USING (doc_id, line_no)"""
+ORACLE["prj_02_encode_shuffle_join"] = ORACLE["jn_01_encode"]
+
+ORACLE["prj_03_reverse_order"] = f"""WITH {ENC},
+e AS (SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos DESC) AS s FROM tv GROUP BY ALL)
+SELECT doc_id, line_no, coalesce(e.s || ' 2', '2') AS ids FROM tl LEFT JOIN e USING (doc_id, line_no)"""
+
+ORACLE["prj_04_append_eos_off"] = f"""WITH {ENC},
+e AS (SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS s FROM tv GROUP BY ALL)
+SELECT doc_id, line_no, coalesce(e.s, '') AS ids FROM tl LEFT JOIN e USING (doc_id, line_no)"""
+
+ORACLE["jn_13_oov_types"] = f"""WITH {DOC_LANG}, {vocab_ctes(2, 30000)}
+SELECT lang, symbol, count(*) AS n FROM toks
+WHERE symbol NOT IN (SELECT symbol FROM vocab) AND symbol <> '<unk>' GROUP BY lang, symbol"""
+
+
+def _decode_sql(unk_word: str) -> str:
+    return f"""WITH {ENC},
+e AS (SELECT doc_id, line_no,
+             string_agg(CASE WHEN id = 2 THEN NULL WHEN id = 3 THEN '{unk_word}' ELSE symbol END, ' ' ORDER BY pos) AS s
+      FROM tv GROUP BY ALL)
+SELECT doc_id, line_no, coalesce(e.s, '') AS text FROM tl LEFT JOIN e USING (doc_id, line_no)"""
+
+
+ORACLE["prj_05_decode"] = _decode_sql("<unk>")
+ORACLE["prj_06_escape_unk"] = _decode_sql("<<unk>>")
+
+ORACLE["jn_02_id_to_symbol"] = f"""WITH {ENC}
+SELECT doc_id, line_no, pos, CAST(id AS INTEGER) AS id, CASE WHEN vid IS NULL THEN '<unk>' ELSE symbol END AS symbol
+FROM tv
+UNION ALL
+SELECT doc_id, line_no, CAST(len(t) AS BIGINT) AS pos, CAST(2 AS INTEGER) AS id, '</s>' AS symbol FROM tl"""
+
+
+# ---------------------------------------------------------------- BLEU / ROUGE
+def _side(col: str, ref: bool) -> str:
+    lead = f"list_concat({col}, ['</s>'])"
+    a = f"{lead}[list_position(list_transform({lead}, lambda x: x <> '<pad>'), true):]"
+    return a, ref
+
+
+BLEU_SIDES = f"""{PAIRS_CTE},
+ptok AS (SELECT conv_id, turn, {tok('src_text')} AS ref, {tok('tgt_text')} AS hyp FROM pairs),
+s0 AS (SELECT conv_id, turn, ref, hyp, list_concat(ref, ['</s>']) AS r0, list_concat(hyp, ['</s>']) AS h0 FROM ptok),
+s1 AS (SELECT conv_id, turn, ref, hyp,
+         r0[list_position(list_transform(r0, lambda x: x <> '<pad>'), true):] AS r1,
+         h0[list_position(list_transform(h0, lambda x: x <> '<pad>'), true):] AS h1 FROM s0),
+sides AS (SELECT conv_id, turn, ref, hyp,
+   list_transform(r1[1:greatest(1, list_max(list_transform(r1, lambda x, i: CASE WHEN x IN ('</s>', '<pad>') THEN 0 ELSE i END)))],
+                  lambda x: CASE WHEN x = '<unk>' THEN chr(1) || 'unk' ELSE x END) AS r,
+   h1[1:greatest(1, list_max(list_transform(h1, lambda x, i: CASE WHEN x IN ('</s>', '<pad>') THEN 0 ELSE i END)))] AS h
+   FROM s1)"""
+
+
+def clip_ctes(src: str, r: str, h: str, orders=(1, 2, 3, 4), p: str = "") -> str:
+    vals = ", ".join(f"({n})" for n in orders)
+    return f"""{p}grams AS (
+  SELECT conv_id, turn, n, g, sum(rr) AS r, sum(hh) AS h FROM (
+    SELECT conv_id, turn, n, array_to_string({r}[i:i + n - 1], ' ') AS g, 1 AS rr, 0 AS hh
+    FROM (SELECT conv_id, turn, {r}, n, unnest(generate_series(1, len({r}) - n + 1)) AS i
+          FROM {src}, (VALUES {vals}) v(n))
+    UNION ALL
+    SELECT conv_id, turn, n, array_to_string({h}[i:i + n - 1], ' ') AS g, 0 AS rr, 1 AS hh
+    FROM (SELECT conv_id, turn, {h}, n, unnest(generate_series(1, len({h}) - n + 1)) AS i
+          FROM {src}, (VALUES {vals}) v(n))
+  ) GROUP BY ALL),
+{p}m AS (SELECT conv_id, turn, n, CAST(sum(least(r, h)) AS BIGINT) AS match FROM {p}grams GROUP BY ALL)"""
+
+
+STATS = f"""{BLEU_SIDES}, {clip_ctes('sides', 'r', 'h')},
+stats AS (
+  SELECT s.conv_id, s.turn, CAST(len(r) AS BIGINT) AS reflen, CAST(len(h) AS BIGINT) AS predlen,
+""" + ",\n".join(
+    f"    CAST(coalesce((SELECT match FROM m WHERE m.conv_id = s.conv_id AND m.turn = s.turn AND m.n = {n}), 0) AS BIGINT) AS match{n},"
+    f" CAST(greatest(len(h) - {n - 1}, 0) AS BIGINT) AS count{n}" for n in range(1, 5)) + """
+  FROM sides s)"""
+
+ORACLE["agg_08_bleu_stats"] = f"WITH {STATS} SELECT * FROM stats"
+ORACLE["jn_08_ngram_clip_match"] = f"WITH {BLEU_SIDES}, {clip_ctes('sides', 'r', 'h')} SELECT conv_id, turn, CAST(n AS INTEGER) AS n, match FROM m"
+
+
+def _score_sql(src: str, group: str = "", one_init: bool = False) -> str:
+    sel_group = f"{group}, " if group else ""
+    add = 1 if one_init else 0
+    sums = ", ".join([f"CAST(sum(reflen) AS DOUBLE) AS reflen", "CAST(sum(predlen) AS DOUBLE) AS predlen"] +
+                     [f"CAST(sum(match{n}) AS DOUBLE) + {add if n > 1 else 0} AS match{n}, "
+                      f"CAST(sum(count{n}) AS DOUBLE) + {add if n > 1 else 0} AS count{n}" for n in range(1, 5)])
+    precs = ", ".join(f"CASE WHEN count{n} > 0 THEN match{n} / count{n} ELSE 0 END AS p{n}" for n in range(1, 5))
+    return f"""agg AS (SELECT {sel_group}{sums} FROM {src} {'GROUP BY ' + group if group else ''}),
+pr AS (SELECT *, {precs} FROM agg),
+scores AS (SELECT {sel_group}
+  round(CASE WHEN predlen <= 0 THEN NULL WHEN p1 <= 0 OR p2 <= 0 OR p3 <= 0 OR p4 <= 0 THEN 0.0
+        ELSE least(1.0, exp(1 - reflen / predlen)) * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) * 100 END, 6) AS bleu,
+  round(p1 * 100, 6) AS p1, round(p2 * 100, 6) AS p2, round(p3 * 100, 6) AS p3, round(p4 * 100, 6) AS p4,
+  round(CASE WHEN predlen > 0 THEN least(1.0, exp(1 - reflen / predlen)) END, 6) AS bp,
+  round(CASE WHEN reflen > 0 THEN predlen / reflen END, 6) AS ratio,
+  CAST(predlen AS BIGINT) AS syslen, CAST(reflen AS BIGINT) AS reflen FROM pr)"""
+
+
+ORACLE["agg_09_corpus_bleu"] = f"WITH {STATS}, {_score_sql('stats')} SELECT * FROM scores"
+ORACLE["agg_10_bleu_report"] = f"""WITH {STATS}, {_score_sql('stats')}
+SELECT printf('BLEU%d = %.2f, %.1f/%.1f/%.1f/%.1f (BP=%.3f, ratio=%.3f, syslen=%d, reflen=%d)',
+              4, bleu, p1, p2, p3, p4, bp, ratio, syslen, reflen) AS report FROM scores"""
+
+ORACLE["agg_11_sentence_bleu"] = f"""WITH {STATS},
+pr AS (SELECT conv_id, turn, CAST(reflen AS DOUBLE) AS reflen, CAST(predlen AS DOUBLE) AS predlen,
+  CASE WHEN count1 > 0 THEN match1 / count1 ELSE 0 END AS p1,
+  (match2 + 1.0) / (count2 + 1.0) AS p2, (match3 + 1.0) / (count3 + 1.0) AS p3, (match4 + 1.0) / (count4 + 1.0) AS p4
+  FROM stats)
+SELECT conv_id, turn, round(CASE WHEN predlen <= 0 THEN NULL WHEN p1 <= 0 OR p2 <= 0 OR p3 <= 0 OR p4 <= 0 THEN 0.0
+   ELSE least(1.0, exp(1 - reflen / predlen)) * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) * 100 END, 6) AS bleu
+FROM pr"""
+
+ORACLE["scr_07_select_checkpoint"] = f"""WITH {STATS},
+st AS (SELECT stats.*, c.role AS system FROM stats JOIN conversations c ON c.conv_id = stats.conv_id AND c.turn = stats.turn + 1),
+{_score_sql('st', 'system')}
+SELECT (SELECT system FROM scores ORDER BY bleu DESC, system DESC LIMIT 1) AS best_system,
+       max(bleu) AS best_bleu, count(*) AS n_systems FROM scores"""
+
+ORACLE["agg_12_multi_ref_bleu"] = f"""WITH conv AS (SELECT conv_id, turn, list_transform({tok('text')}, lambda x: lower(x)) AS tok FROM conversations),
+keys AS (SELECT a.conv_id, a.turn FROM conv a JOIN conv b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+hyps AS (SELECT k.conv_id, k.turn, b.tok AS hyp FROM keys k JOIN conv b ON b.conv_id = k.conv_id AND b.turn = k.turn + 1),
+refs AS (SELECT k.conv_id, k.turn, 0 AS ref_no, a.tok AS ref FROM keys k JOIN conv a ON a.conv_id = k.conv_id AND a.turn = k.turn
+         UNION ALL
+         SELECT k.conv_id, k.turn, 1 AS ref_no, c.tok AS ref FROM keys k JOIN conv c ON c.conv_id = k.conv_id AND c.turn = k.turn + 2),
+closest AS (SELECT h.conv_id, h.turn, first(len(r.ref) ORDER BY abs(len(r.ref) - len(h.hyp)), len(r.ref)) AS reflen
+            FROM hyps h JOIN refs r USING (conv_id, turn) GROUP BY ALL),
+hg AS (SELECT conv_id, turn, n, g, count(*) AS hc FROM (
+         SELECT conv_id, turn, n, array_to_string(hyp[i:i + n - 1], ' ') AS g FROM (
+           SELECT conv_id, turn, hyp, n, unnest(generate_series(1, len(hyp) - n + 1)) AS i
+           FROM hyps, (VALUES (1), (2), (3), (4)) v(n))) GROUP BY ALL),
+rg AS (SELECT conv_id, turn, n, g, max(rc) AS rc FROM (
+         SELECT conv_id, turn, ref_no, n, g, count(*) AS rc FROM (
+           SELECT conv_id, turn, ref_no, n, array_to_string(ref[i:i + n - 1], ' ') AS g FROM (
+             SELECT conv_id, turn, ref_no, ref, n, unnest(generate_series(1, len(ref) - n + 1)) AS i
+             FROM refs, (VALUES (1), (2), (3), (4)) v(n))) GROUP BY ALL) GROUP BY ALL),
+mm AS (SELECT hg.conv_id, hg.turn, hg.n, sum(least(hc, coalesce(rc, 0))) AS match, sum(hc) AS cnt
+       FROM hg LEFT JOIN rg USING (conv_id, turn, n, g) GROUP BY ALL),
+stats AS (SELECT h.conv_id, h.turn, CAST(coalesce(c.reflen, 0) AS BIGINT) AS reflen, CAST(len(h.hyp) AS BIGINT) AS predlen,
+""" + ",\n".join(
+    f"  CAST(coalesce((SELECT match FROM mm WHERE mm.conv_id = h.conv_id AND mm.turn = h.turn AND mm.n = {n}), 0) AS BIGINT) AS match{n},"
+    f" CAST(coalesce((SELECT cnt FROM mm WHERE mm.conv_id = h.conv_id AND mm.turn = h.turn AND mm.n = {n}), 0) AS BIGINT) AS count{n}"
+    for n in range(1, 5)) + f"""
+  FROM hyps h LEFT JOIN closest c USING (conv_id, turn)),
+{_score_sql('stats')}
+SELECT * FROM scores"""
+
+
+def _rouge_n_sql() -> str:
+    parts = []
+    for n in (1, 2):
+        parts.append(f"""r{n} AS (
+  SELECT s.conv_id, s.turn,
+    CAST(coalesce(m.match, 0) AS DOUBLE) AS mt, greatest(len(ref) - {n - 1}, 0) AS rn, greatest(len(hyp) - {n - 1}, 0) AS hn
+  FROM sides s LEFT JOIN rm{n}m m ON m.conv_id = s.conv_id AND m.turn = s.turn AND m.n = {n}),
+f{n} AS (SELECT conv_id, turn,
+  CASE WHEN rn > 0 THEN mt / rn ELSE 0 END AS rec, CASE WHEN hn > 0 THEN mt / hn ELSE 0 END AS prec FROM r{n}),
+g{n} AS (SELECT conv_id, turn, CASE WHEN rec + prec > 0 THEN 2 * rec * prec / (rec + prec) ELSE 0 END AS f1 FROM f{n})""")
+    return ",\n".join(parts)
+
+
+ORACLE["agg_13_rouge_n"] = f"""WITH {BLEU_SIDES}, {clip_ctes('sides', 'ref', 'hyp', (1,), 'rm1')}, {clip_ctes('sides', 'ref', 'hyp', (2,), 'rm2')},
+{_rouge_n_sql()}
+SELECT round(avg(g1.f1), 6) AS rouge1, round(avg(g2.f1), 6) AS rouge2, count(*) AS n_pairs
+FROM g1 JOIN g2 USING (conv_id, turn)"""
