@@ -280,3 +280,155 @@ def q_rouge_l(spark, sf_dir):
     p = _pair_tokens(spark, sf_dir)
     r = bl.rouge_l(p, PAIR_KEY, "ref", "hyp")
     return r.select(*PAIR_KEY, F.col("lcs").cast("long").alias("lcs"), F.round("f1", 6).alias("f1"))
+
+
+# ----------------------------------------------------------------------------------------
+# parallel reads, length filters, ordering and batching (conversation pairs)
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import batching as bt  # noqa: E402
+from seqcorpus.sources import parallel as par  # noqa: E402
+
+MAX_POSITIONS = 1024
+MAX_TOKENS = 4500
+BSZ_MULT = 8
+
+
+def _turns(spark, sf_dir, shift=0):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return conv.select("conv_id", (F.col("turn") - shift).alias("turn"), "text")
+
+
+@register("src_02_parallel_read")
+def q_parallel_inner(spark, sf_dir):
+    p = par.parallel_read(_turns(spark, sf_dir), _turns(spark, sf_dir, 1), PAIR_KEY, "inner")
+    return p.select(*PAIR_KEY, F.length("src_text").cast("long").alias("src_chars"),
+                    F.length("tgt_text").cast("long").alias("tgt_chars"))
+
+
+@register("src_02_parallel_read_outer")
+def q_parallel_outer(spark, sf_dir):
+    p = par.parallel_read(_turns(spark, sf_dir), _turns(spark, sf_dir, 1), PAIR_KEY, "outer")
+    return p.select(*PAIR_KEY, F.length("src_text").cast("long").alias("src_chars"),
+                    F.length("tgt_text").cast("long").alias("tgt_chars"))
+
+
+@register("src_03_multiway_read")
+def q_multiway(spark, sf_dir):
+    p = par.multiway_read(_turns(spark, sf_dir), _turns(spark, sf_dir, 1), PAIR_KEY,
+                          pivot=_turns(spark, sf_dir, 2), train=False)
+    return p.select(*PAIR_KEY, F.length("src_text").cast("long").alias("src_chars"),
+                    F.length("tgt_text").cast("long").alias("tgt_chars"),
+                    F.length("pivot_text").cast("long").alias("pivot_chars"))
+
+
+@register("src_19_write_joined")
+def q_write_joined(spark, sf_dir):
+    p = par.parallel_read(_turns(spark, sf_dir), _turns(spark, sf_dir, 1), PAIR_KEY, "outer")
+    return par.write_joined(p).select(*PAIR_KEY, F.md5("line").alias("line_md5"), F.length("line").cast("long").alias("n_chars"))
+
+
+def _pair_lengths(spark, sf_dir):
+    """(conv_id, turn, src_len, tgt_len): lengths include the end-of-sentence id."""
+    p = conversation_pairs(spark, sf_dir)
+    return p.select(*PAIR_KEY, (F.size(tokenize("src_text")) + 1).alias("src_len"),
+                    (F.size(tokenize("tgt_text")) + 1).alias("tgt_len"))
+
+
+def _batches(spark, sf_dir):
+    rows = bt.valid_size(_pair_lengths(spark, sf_dir), MAX_POSITIONS, MAX_POSITIONS)
+    return bt.token_budget_batches(rows, PAIR_KEY, MAX_TOKENS, None, BSZ_MULT)
+
+
+@register("prj_23_num_tokens")
+def q_num_tokens(spark, sf_dir):
+    from seqcorpus.functions.arrays import num_tokens
+    return _pair_lengths(spark, sf_dir).select(*PAIR_KEY, "src_len", "tgt_len",
+                                               num_tokens("src_len", "tgt_len").alias("num_tokens"))
+
+
+@register("flt_01_valid_size")
+def q_valid_size(spark, sf_dir):
+    from seqcorpus.functions.arrays import effective_max_positions
+    cap = effective_max_positions(256, MAX_POSITIONS)  # PRJ-21: dataset cap vs model cap
+    return bt.valid_size(_pair_lengths(spark, sf_dir), cap, cap)
+
+
+@register("flt_02_invalid_report")
+def q_invalid_report(spark, sf_dir):
+    r = bt.invalid_report(_pair_lengths(spark, sf_dir), 128, 128, ["src_len", "tgt_len", "conv_id", "turn"],
+                          "conv_id")
+    return r.withColumnRenamed("_ids", "first_conv_ids")
+
+
+@register("flt_03_clean_corpus")
+def q_clean(spark, sf_dir):
+    p = conversation_pairs(spark, sf_dir)
+    w = p.select(*PAIR_KEY, tokenize("src_text").alias("s"), tokenize("tgt_text").alias("t"))
+    return bt.clean_corpus(w, "s", "t", 1, 175, 1.5).select(*PAIR_KEY, F.size("s").cast("long").alias("src_words"),
+                                                            F.size("t").cast("long").alias("tgt_words"))
+
+
+@register("flt_04_modulo_split")
+def q_modulo_split(spark, sf_dir):
+    return bt.modulo_split(_pair_lengths(spark, sf_dir).select(*PAIR_KEY), PAIR_KEY, 23)
+
+
+@register("srt_01_length_order")
+def q_length_order(spark, sf_dir):
+    return bt.length_order(_pair_lengths(spark, sf_dir), PAIR_KEY)
+
+
+@register("bat_01_token_budget_batches")
+def q_token_batches(spark, sf_dir):
+    return _batches(spark, sf_dir).select(*PAIR_KEY, "batch_id", "pos_in_batch")
+
+
+@register("agg_29_batch_ntokens")
+def q_batch_ntokens(spark, sf_dir):
+    return bt.batch_summary(_batches(spark, sf_dir))
+
+
+@register("bat_06_maxlen_bound")
+def q_maxlen(spark, sf_dir):
+    return bt.maxlen_bound(bt.batch_summary(_batches(spark, sf_dir)), 1.2, 10).select("batch_id", "maxlen")
+
+
+@register("bat_03_shard")
+def q_shard(spark, sf_dir):
+    return bt.shard(_batches(spark, sf_dir), 3)
+
+
+@register("bat_04_accumulate")
+def q_accumulate(spark, sf_dir):
+    b = _batches(spark, sf_dir).select("batch_id").distinct()
+    return bt.accumulate(b, [4, 2], epoch=1)
+
+
+@register("srt_03_epoch_shuffle")
+def q_epoch_shuffle(spark, sf_dir):
+    b = _batches(spark, sf_dir).select("batch_id").distinct()
+    return bt.epoch_shuffle(b, seed=1, epoch=3).select("batch_id", "epoch_ord")
+
+
+@register("win_15_resume_position")
+def q_resume(spark, sf_dir):
+    b = bt.epoch_shuffle(_batches(spark, sf_dir).select("batch_id").distinct(), seed=1, epoch=3)
+    return bt.resume_position(b, 5, epoch=3).select("batch_id", "epoch_ord", "epoch", "offset")
+
+
+@register("srt_04_collate_order")
+def q_collate_order(spark, sf_dir):
+    b = _batches(spark, sf_dir)
+    vocab = voc.build_vocab(
+        conversation_pairs(spark, sf_dir).select(F.lit(0).alias("side"), *PAIR_KEY, F.col("src_text").alias("text"))
+        .unionByName(conversation_pairs(spark, sf_dir).select(F.lit(1).alias("side"), *PAIR_KEY,
+                                                             F.col("tgt_text").alias("text"))),
+        ["side", "conv_id", "turn"], threshold=2)
+    p = conversation_pairs(spark, sf_dir)
+    e = enc.encode_lines(p.select(*PAIR_KEY, F.col("src_text").alias("text")), vocab, out_col="src_ids").drop("text")
+    e2 = enc.encode_lines(p.select(*PAIR_KEY, F.col("tgt_text").alias("text")), vocab, out_col="tgt_ids").drop("text")
+    rows = b.join(e.drop("_tokens"), PAIR_KEY).join(e2.drop("_tokens"), PAIR_KEY)
+    c = bt.collate(rows, id_cols=PAIR_KEY)
+    return c.select(*PAIR_KEY, "batch_id", "row_in_batch", F.size("source").cast("long").alias("padded_src"),
+                    F.size("target").cast("long").alias("padded_tgt"),
+                    F.element_at("prev_output", 1).alias("first_prev"))

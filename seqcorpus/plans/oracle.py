@@ -308,3 +308,88 @@ ORACLE["agg_13_rouge_n"] = f"""WITH {BLEU_SIDES}, {clip_ctes('sides', 'ref', 'hy
 {_rouge_n_sql()}
 SELECT round(avg(g1.f1), 6) AS rouge1, round(avg(g2.f1), 6) AS rouge2, count(*) AS n_pairs
 FROM g1 JOIN g2 USING (conv_id, turn)"""
+
+
+# ---------------------------------------------------------------- parallel reads, filters, batching
+ORACLE["src_02_parallel_read"] = f"""WITH {PAIRS_CTE}
+SELECT conv_id, turn, CAST(length(src_text) AS BIGINT) AS src_chars, CAST(length(tgt_text) AS BIGINT) AS tgt_chars FROM pairs"""
+
+OUTER_CTE = """op AS (
+  SELECT coalesce(s.conv_id, t.conv_id) AS conv_id, coalesce(s.turn, t.turn - 1) AS turn, s.text AS src_text, t.text AS tgt_text
+  FROM conversations s FULL OUTER JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn + 1)"""
+
+ORACLE["src_02_parallel_read_outer"] = f"""WITH {OUTER_CTE}
+SELECT conv_id, turn, CAST(length(src_text) AS BIGINT) AS src_chars, CAST(length(tgt_text) AS BIGINT) AS tgt_chars FROM op"""
+
+ORACLE["src_03_multiway_read"] = f"""WITH {PAIRS_CTE}
+SELECT p.conv_id, p.turn, CAST(length(src_text) AS BIGINT) AS src_chars, CAST(length(tgt_text) AS BIGINT) AS tgt_chars,
+       CAST(length(v.text) AS BIGINT) AS pivot_chars
+FROM pairs p LEFT JOIN conversations v ON v.conv_id = p.conv_id AND v.turn = p.turn + 2"""
+
+ORACLE["src_19_write_joined"] = f"""WITH {OUTER_CTE},
+l AS (SELECT conv_id, turn, trim(coalesce(src_text, '')) || ' ||| ' || trim(coalesce(tgt_text, '')) AS line FROM op)
+SELECT conv_id, turn, md5(line) AS line_md5, CAST(length(line) AS BIGINT) AS n_chars FROM l"""
+
+PLEN = f"""{PAIRS_CTE},
+plen AS (SELECT conv_id, turn, CAST(len({tok('src_text')}) + 1 AS INTEGER) AS src_len,
+                CAST(len({tok('tgt_text')}) + 1 AS INTEGER) AS tgt_len FROM pairs)"""
+
+ORACLE["prj_23_num_tokens"] = f"WITH {PLEN} SELECT conv_id, turn, src_len, tgt_len, greatest(src_len, tgt_len) AS num_tokens FROM plen"
+ORACLE["flt_01_valid_size"] = f"WITH {PLEN} SELECT * FROM plen WHERE src_len <= 256 AND tgt_len <= 256"
+ORACLE["flt_02_invalid_report"] = f"""WITH {PLEN},
+bad AS (SELECT * FROM plen WHERE NOT (src_len <= 128 AND tgt_len <= 128)),
+first10 AS (SELECT conv_id FROM bad ORDER BY src_len, tgt_len, conv_id, turn LIMIT 10)
+SELECT CAST((SELECT count(*) FROM bad) AS BIGINT) AS n_invalid,
+       coalesce((SELECT string_agg(CAST(conv_id AS VARCHAR), ' ') FROM first10), '') AS first_conv_ids"""
+ORACLE["flt_03_clean_corpus"] = f"""WITH {PAIRS_CTE},
+w AS (SELECT conv_id, turn, len({tok('src_text')}) AS s, len({tok('tgt_text')}) AS t FROM pairs)
+SELECT conv_id, turn, CAST(s AS BIGINT) AS src_words, CAST(t AS BIGINT) AS tgt_words FROM w
+WHERE s >= 1 AND s <= 175 AND t >= 1 AND t <= 175 AND s / t <= 1.5 AND t / s <= 1.5"""
+ORACLE["flt_04_modulo_split"] = f"""WITH {PAIRS_CTE}
+SELECT conv_id, turn, CASE WHEN (row_number() OVER (ORDER BY conv_id, turn)) % 23 = 0 THEN 'valid' ELSE 'train' END AS split
+FROM pairs"""
+ORACLE["srt_01_length_order"] = f"""WITH {PLEN}
+SELECT *, row_number() OVER (ORDER BY src_len, tgt_len, conv_id, turn) - 1 AS ord FROM plen"""
+
+
+def batches_cte(max_tokens: int = 4500, mult: int = 8, cap: int = 1024) -> str:
+    """Greedy token-budget batching replayed row by row with a recursive CTE."""
+    return f"""{PLEN},
+ranked AS (SELECT conv_id, turn, src_len, tgt_len, greatest(src_len, tgt_len) AS cost,
+                  CAST(row_number() OVER (ORDER BY src_len, tgt_len, conv_id, turn) - 1 AS BIGINT) AS rk
+           FROM plen WHERE src_len <= {cap} AND tgt_len <= {cap}),
+st AS (
+  SELECT CAST(-1 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS batch, CAST([] AS INTEGER[]) AS lens,
+         CAST(0 AS BIGINT) AS nb, CAST([] AS BIGINT[]) AS emitted, CAST(-1 AS BIGINT) AS eb
+  UNION ALL
+  SELECT r, CASE WHEN is_full THEN batch[m + 1:] ELSE batch END || [r],
+            CASE WHEN is_full THEN lens[m + 1:] ELSE lens END || [cost],
+            nb + CASE WHEN is_full THEN 1 ELSE 0 END,
+            CASE WHEN is_full THEN batch[1:m] ELSE CAST([] AS BIGINT[]) END, nb
+  FROM (
+    SELECT c.rk AS r, c.cost, st.batch, st.lens, st.nb,
+           len(st.batch) > 0 AND (len(st.batch) + 1) * greatest(coalesce(list_max(st.lens), 0), c.cost) > {max_tokens} AS is_full,
+           greatest({mult} * (len(st.batch) // {mult}), len(st.batch) % {mult}) AS m
+    FROM st JOIN ranked c ON c.rk = st.r + 1)),
+assign AS (
+  SELECT unnest(emitted) AS rk, eb AS batch_id, CAST(unnest(generate_series(0, len(emitted) - 1)) AS INTEGER) AS pos_in_batch
+  FROM st WHERE len(emitted) > 0
+  UNION ALL
+  SELECT unnest(batch) AS rk, nb AS batch_id, CAST(unnest(generate_series(0, len(batch) - 1)) AS INTEGER) AS pos_in_batch
+  FROM st WHERE r = (SELECT max(r) FROM st) AND len(batch) > 0),
+batched AS (SELECT c.conv_id, c.turn, c.src_len, c.tgt_len, a.batch_id, a.pos_in_batch FROM ranked c JOIN assign a USING (rk))"""
+
+
+BATCHES = "WITH RECURSIVE " + batches_cte()[0:]
+
+ORACLE["bat_01_token_budget_batches"] = BATCHES + " SELECT conv_id, turn, batch_id, pos_in_batch FROM batched"
+ORACLE["agg_29_batch_ntokens"] = BATCHES + """ SELECT batch_id, count(*) AS n_rows, max(src_len) AS max_src,
+  CAST(sum(tgt_len) AS BIGINT) AS ntokens, max(tgt_len) AS max_tgt FROM batched GROUP BY batch_id"""
+ORACLE["bat_06_maxlen_bound"] = BATCHES + """ SELECT batch_id, CAST(trunc(1.2 * max(src_len) + 10) AS BIGINT) AS maxlen
+  FROM batched GROUP BY batch_id"""
+ORACLE["bat_03_shard"] = BATCHES + """,
+nbat AS (SELECT count(DISTINCT batch_id) AS b FROM batched),
+grid AS (SELECT unnest(range(0, CAST(((b + 2) // 3) * 3 AS BIGINT))) AS i FROM nbat)
+SELECT CAST(i % 3 AS INTEGER) AS shard, CAST(i // 3 AS BIGINT) AS slot,
+       CASE WHEN i IN (SELECT batch_id FROM batched) THEN i END AS batch_id FROM grid"""
+ORACLE["bat_04_accumulate"] = BATCHES + """ SELECT DISTINCT batch_id, CAST(floor(batch_id / 4) AS BIGINT) AS update_id FROM batched"""
