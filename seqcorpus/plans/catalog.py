@@ -432,3 +432,56 @@ def q_collate_order(spark, sf_dir):
     return c.select(*PAIR_KEY, "batch_id", "row_in_batch", F.size("source").cast("long").alias("padded_src"),
                     F.size("target").cast("long").alias("padded_tgt"),
                     F.element_at("prev_output", 1).alias("first_prev"))
+
+
+# ----------------------------------------------------------------------------------------
+# token blocks: documents grouped by language as streams, lines in (doc_id, line_no) order
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import blocks as blk  # noqa: E402
+
+BLOCK_SIZE = 1024
+
+
+def _stream_sentences(spark, sf_dir, with_ids=True):
+    lines = document_lines(spark, sf_dir)
+    if with_ids:
+        e = enc.encode_lines(lines, doc_vocab(spark, sf_dir))
+        return e.select("lang", "doc_id", "line_no", "ids")
+    return lines.select("lang", "doc_id", "line_no", (F.size(tokenize("text")) + 1).alias("size"))
+
+
+@register("win_06_token_blocks_none")
+def q_blocks_none(spark, sf_dir):
+    b = blk.blocks_none(_stream_sentences(spark, sf_dir), "lang", LINE_ORDER, BLOCK_SIZE)
+    return b.select("lang", "block_id", "start_pos", "end_pos", F.md5(_ids_str("ids")).alias("ids_md5"))
+
+
+@register("win_07_token_blocks_complete")
+def q_blocks_complete(spark, sf_dir):
+    s = blk.blocks_complete(_stream_sentences(spark, sf_dir, with_ids=False), "lang", LINE_ORDER, BLOCK_SIZE)
+    return s.groupBy("lang", "block_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.sum("size").cast("long").alias("n_tokens"),
+        F.min(F.struct("doc_id", "line_no")).alias("_f")).select(
+        "lang", "block_id", "n_sentences", "n_tokens", F.col("_f.doc_id").alias("first_doc"),
+        F.col("_f.line_no").alias("first_line"))
+
+
+@register("win_08_token_blocks_eos")
+def q_blocks_eos(spark, sf_dir):
+    return blk.blocks_eos(_stream_sentences(spark, sf_dir, with_ids=False)).select(
+        "lang", "doc_id", "line_no", F.col("size").cast("long").alias("size"))
+
+
+@register("win_09_lm_shift")
+def q_lm_shift(spark, sf_dir):
+    b = blk.blocks_none(_stream_sentences(spark, sf_dir), "lang", LINE_ORDER, BLOCK_SIZE)
+    s = blk.lm_shift(b, "lang")
+    return s.select("lang", "block_id", F.md5(_ids_str("source")).alias("source_md5"),
+                    F.md5(_ids_str("target")).alias("target_md5"))
+
+
+@register("prj_17_first_n_words")
+def q_first_n(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("t"))
+    f = F.slice("t", 1, 1000)
+    return docs.select("doc_id", F.size(f).cast("long").alias("n_words"), F.md5(F.array_join(f, " ")).alias("words_md5"))

@@ -393,3 +393,47 @@ grid AS (SELECT unnest(range(0, CAST(((b + 2) // 3) * 3 AS BIGINT))) AS i FROM n
 SELECT CAST(i % 3 AS INTEGER) AS shard, CAST(i // 3 AS BIGINT) AS slot,
        CASE WHEN i IN (SELECT batch_id FROM batched) THEN i END AS batch_id FROM grid"""
 ORACLE["bat_04_accumulate"] = BATCHES + """ SELECT DISTINCT batch_id, CAST(floor(batch_id / 4) AS BIGINT) AS update_id FROM batched"""
+
+
+# ---------------------------------------------------------------- token blocks
+STREAM_TOKENS = f"""{DOC_LANG}, {vocab_ctes(2, 30000)},
+tv AS (SELECT lang, doc_id, line_no, pos, coalesce(v.id, 3) AS id FROM toks LEFT JOIN vocab v USING (symbol)
+       UNION ALL SELECT lang, doc_id, line_no, CAST(len(t) AS BIGINT) AS pos, 2 AS id FROM tl),
+ls AS (SELECT lang, doc_id, line_no, len(t) + 1 AS size,
+              sum(len(t) + 1) OVER (PARTITION BY lang ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING) - (len(t) + 1) AS start
+       FROM tl),
+sp AS (SELECT tv.lang, ls.start + tv.pos AS spos, tv.id FROM tv JOIN ls USING (lang, doc_id, line_no)),
+bl AS (SELECT lang, CAST(spos // 1024 AS BIGINT) AS block_id, CAST(min(spos) AS BIGINT) AS start_pos,
+              CAST(max(spos) + 1 AS BIGINT) AS end_pos,
+              string_agg(CAST(id AS VARCHAR), ' ' ORDER BY spos) AS ids, arg_max(id, spos) AS last_id
+       FROM sp GROUP BY ALL)"""
+
+ORACLE["win_06_token_blocks_none"] = f"WITH {STREAM_TOKENS} SELECT lang, block_id, start_pos, end_pos, md5(ids) AS ids_md5 FROM bl"
+
+ORACLE["win_09_lm_shift"] = f"""WITH {STREAM_TOKENS},
+lastb AS (SELECT lang, arg_max(last_id, block_id) AS stream_last FROM bl GROUP BY lang)
+SELECT b.lang, b.block_id,
+  md5(CAST(CASE WHEN b.block_id = 0 THEN l.stream_last ELSE p.last_id END AS VARCHAR) ||
+      CASE WHEN strpos(b.ids, ' ') > 0 THEN ' ' || regexp_replace(b.ids, ' [^ ]*$', '') ELSE '' END) AS source_md5,
+  md5(b.ids) AS target_md5
+FROM bl b LEFT JOIN bl p ON p.lang = b.lang AND p.block_id = b.block_id - 1 JOIN lastb l ON l.lang = b.lang"""
+
+ORACLE["win_08_token_blocks_eos"] = f"""WITH {DOC_LANG}
+SELECT lang, doc_id, line_no, CAST(len(t) + 1 AS BIGINT) AS size FROM tl WHERE len(t) + 1 > 1"""
+
+ORACLE["win_07_token_blocks_complete"] = f"""WITH RECURSIVE {DOC_LANG},
+s AS (SELECT lang, doc_id, line_no, len(t) + 1 AS size,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) - 1 AS sn FROM tl),
+ch AS (
+  SELECT lang, sn, size AS cur, CAST(0 AS BIGINT) AS block_id FROM s WHERE sn = 0
+  UNION ALL
+  SELECT s.lang, s.sn,
+         CASE WHEN ch.cur + s.size <= 1024 THEN ch.cur + s.size ELSE s.size END,
+         CASE WHEN ch.cur + s.size <= 1024 THEN ch.block_id ELSE ch.block_id + 1 END
+  FROM ch JOIN s ON s.lang = ch.lang AND s.sn = ch.sn + 1)
+SELECT s.lang, ch.block_id, count(*) AS n_sentences, CAST(sum(s.size) AS BIGINT) AS n_tokens,
+       arg_min(s.doc_id, s.sn) AS first_doc, arg_min(s.line_no, s.sn) AS first_line
+FROM s JOIN ch USING (lang, sn) GROUP BY s.lang, ch.block_id"""
+
+ORACLE["prj_17_first_n_words"] = f"""SELECT doc_id, CAST(len(t[1:1000]) AS BIGINT) AS n_words, md5(array_to_string(t[1:1000], ' ')) AS words_md5
+FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"""
