@@ -116,16 +116,19 @@ def encode_stats(lines: DataFrame, vocab: DataFrame, group_cols: list[str], text
     counted), ``replaced`` the distinct such words.  Tokens are pre-aggregated per
     (group, word) map-side before the anti join, so a hot word costs one row per task.
     """
-    per_line = lines.select(*group_cols, F.size(tokenize(text_col)).alias("_n"))
-    line_stats = per_line.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("nseq"),
-        F.sum(F.col("_n") + (1 if append_eos else 0)).cast("long").alias("ntok"))
-    words = (lines.select(*group_cols, F.explode(tokenize(text_col)).alias("symbol"))
+    # one pass: each line explodes its tokens plus one null marker (counts the line); the
+    # (group, word) pre-aggregation collapses hot words map-side before the anti join
+    marked = F.concat(tokenize(text_col).cast("array<string>"), F.array(F.lit(None).cast("string")))
+    words = (lines.select(*group_cols, F.explode(marked).alias("symbol"))
              .groupBy(*group_cols, "symbol").agg(F.count(F.lit(1)).alias("n")))
+    line_stats = words.groupBy(*group_cols).agg(
+        F.sum(F.when(F.col("symbol").isNull(), F.col("n"))).cast("long").alias("nseq"),
+        F.sum(F.col("n") if append_eos else F.when(F.col("symbol").isNotNull(), F.col("n"))).cast("long").alias("ntok"))
     known = vocab.select("symbol")
     if row_count_at_most(known, max_broadcast_rows) is not None:
         known = F.broadcast(known)
-    unknown = words.join(known, "symbol", "left_anti").filter(F.col("symbol") != UNK_WORD)
+    unknown = (words.filter(F.col("symbol").isNotNull()).join(known, "symbol", "left_anti")
+               .filter(F.col("symbol") != UNK_WORD))
     unk_stats = unknown.groupBy(*group_cols).agg(F.sum("n").cast("long").alias("nunk"),
                                                  F.count(F.lit(1)).alias("replaced"))
     out = line_stats.join(unk_stats, group_cols, "left")

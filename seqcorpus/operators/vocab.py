@@ -14,6 +14,7 @@ from seqcorpus.constants import EOS_WORD, MADEUP_PREFIX, NSPECIAL, SPECIAL_SYMBO
 from seqcorpus.functions.text import tokenize
 from seqcorpus.plans.broadcast import maybe_broadcast
 from seqcorpus.plans.index import global_index
+from seqcorpus.plans.keys import digit_widths, packed_key, unpack_key
 
 VOCAB_SCHEMA = "id INT, symbol STRING, count BIGINT"
 
@@ -31,22 +32,35 @@ def count_words(lines: DataFrame, order_cols: list[str], text_col: str = "text",
     """AGG-01: ``(symbol, count, first)``; +1 end-of-sentence per line; the reserved symbols start at 1.
 
     ``first`` = position of the first occurrence (struct of ``order_cols`` + ``pos``), the tie
-    breaker that reproduces first-seen order.  Reserved symbols carry a null ``first``.
+    breaker that reproduces first-seen order.  Reserved symbols carry a null ``first``.  The
+    first-seen minimum is taken over a packed DECIMAL key when the positions fit 38 digits, so
+    the count stays one partial + final hash aggregation (a hot word is one row per task).
     """
     spark = lines.sparkSession
-    toks = explode_tokens(lines, order_cols, text_col, tokens_col)
-    first = F.struct(*[F.col(c) for c in order_cols], F.col("pos"))
-    words = toks.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"))
-    n_lines = lines.select(F.lit(EOS_WORD).alias("symbol"), F.lit(1).alias("count"))
-    specials = spark.createDataFrame([(s, 1) for s in SPECIAL_SYMBOLS], "symbol string, count long")
-    extra = (specials.unionByName(n_lines.select("symbol", F.col("count").cast("long")))
-             .groupBy("symbol").agg(F.sum("count").alias("count")))
-    # specials are counted by the literal text too; their first position is irrelevant
+    toks_col = F.col(tokens_col) if tokens_col else tokenize(text_col)
+    # a line has fewer tokens than characters: bound the position width without tokenising
+    n_bound = F.size(toks_col) if tokens_col else F.length(text_col)
+    widths = digit_widths(lines.select(*order_cols, n_bound.alias("_n")), list(order_cols) + ["_n"])
+    names = list(order_cols) + ["pos"]
+    # one pass: every line contributes its tokens and one end-of-sentence; the reserved symbols
+    # enter with their initial count of 1 as four extra rows of the same aggregation
+    toks = lines.select(*order_cols, F.posexplode(F.concat(toks_col, F.array(F.lit(EOS_WORD)))).alias("pos", "symbol"))
+    dtypes = dict(toks.dtypes)
+    seed = spark.createDataFrame([(s_,) for s_ in SPECIAL_SYMBOLS], "symbol string")
+    seed = seed.select(*[F.lit(None).cast(dtypes[n]).alias(n) for n in names], "symbol")
+    allrows = toks.select(*names, "symbol").unionByName(seed)
     special_set = F.col("symbol").isin(SPECIAL_SYMBOLS)
-    merged = (words.unionByName(extra.withColumn("first", F.lit(None).cast(words.schema["first"].dataType)))
-              .groupBy("symbol")
-              .agg(F.sum("count").cast("long").alias("count"), F.min("first").alias("first")))
-    return merged.withColumn("first", F.when(special_set, F.lit(None)).otherwise(F.col("first")))
+    if widths is not None:
+        key = packed_key(names, widths)
+        words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"), F.min(key).alias("_k"))
+        first = F.struct(*[c.cast(dtypes[n]).alias(n) for c, n in zip(unpack_key("_k", widths, names), names)])
+    else:
+        words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"),
+                                              F.min(F.struct(*[F.col(c) for c in names])).alias("_k"))
+        first = F.col("_k")
+    # reserved symbols: their first position is irrelevant
+    return words.select("symbol", F.col("count").cast("long").alias("count"),
+                        F.when(~special_set, first).alias("first"))
 
 
 def finalize_vocab(counts: DataFrame, threshold: int = -1, nwords: int = -1,
@@ -55,38 +69,35 @@ def finalize_vocab(counts: DataFrame, threshold: int = -1, nwords: int = -1,
     at most ``nwords`` entries in total, dropping counts below ``threshold``, padded with
     ``madeupwordNNNN`` (count 0) to a multiple of ``padding_factor``.
 
-    The top-n is a TakeOrderedAndProject when ``nwords`` is set (bounded by nwords); otherwise
-    the rank comes from ``global_index`` (range-partitioned, never one task).
+    With ``nwords`` set the top-n is a TakeOrderedAndProject whose result is bounded by nwords;
+    it is brought back once and becomes a small local table (cheap to broadcast, never
+    recomputed by its consumers).  Without ``nwords`` the rank comes from ``global_index``
+    (range-partitioned and checkpointed, never one task).
     """
     spark = counts.sparkSession
     is_special = F.col("symbol").isin(SPECIAL_SYMBOLS)
-    specials = counts.filter(is_special).select("symbol", "count")
+    spec_counts = {r[0]: int(r[1]) for r in counts.filter(is_special).select("symbol", "count").collect()}
+    specials = [(i, s_, spec_counts.get(s_, 1)) for i, s_ in enumerate(SPECIAL_SYMBOLS)]
     words = counts.filter(~is_special).filter(F.col("count") >= F.lit(threshold))
     order = [F.col("count").desc(), F.col("first").asc(), F.col("symbol").asc()]
+
+    def pads(n):
+        if not padding_factor or padding_factor <= 1:
+            return []
+        k = (-n) % padding_factor
+        return [(n + i, f"{MADEUP_PREFIX}{i:04d}", 0) for i in range(k)]
+
     if nwords > 0:
         keep = max(nwords - NSPECIAL, 0)
-        top = words.orderBy(*order).limit(keep)
-        # the top-n is bounded by nwords: rank it inside one small window
-        ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1 + NSPECIAL).cast("int"))
-    else:
-        ranked = global_index(words.select("symbol", "count", "first"),
-                              [F.col("count").desc(), F.col("first").asc(), F.col("symbol").asc()], name="_r")
-        ranked = ranked.withColumn("id", (F.col("_r") + NSPECIAL).cast("int")).drop("_r")
-    ranked = ranked.select("id", "symbol", F.col("count").cast("long"))
-    special_rows = spark.createDataFrame([(i, s) for i, s in enumerate(SPECIAL_SYMBOLS)], "id int, symbol string")
-    special_rows = (special_rows.join(specials, "symbol", "left")
-                    .select("id", "symbol", F.coalesce(F.col("count"), F.lit(1)).cast("long").alias("count")))
-    base = special_rows.unionByName(ranked)
-    if padding_factor and padding_factor > 1:
-        size = base.agg(F.count(F.lit(1)).alias("n"))
-        need = size.select(F.col("n"), (F.pmod(-F.col("n"), F.lit(padding_factor))).alias("k"))
-        idx = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
-        pads = (need.select(F.col("n"), F.explode(idx).alias("i"))
-                .select((F.col("n") + F.col("i")).cast("int").alias("id"),
-                        F.concat(F.lit(MADEUP_PREFIX), F.lpad(F.col("i").cast("string"), 4, "0")).alias("symbol"),
-                        F.lit(0).cast("long").alias("count")))
-        base = base.unionByName(pads)
-    return base
+        top = words.orderBy(*order).limit(keep).select("symbol", "count").collect()  # <= nwords rows
+        rows = specials + [(NSPECIAL + i, r[0], int(r[1])) for i, r in enumerate(top)]
+        rows += pads(len(rows))
+        return spark.createDataFrame(rows, VOCAB_SCHEMA)
+    ranked = global_index(words.select("symbol", "count", "first"), order, name="_r")
+    ranked = ranked.select((F.col("_r") + NSPECIAL).cast("int").alias("id"), "symbol", F.col("count").cast("long"))
+    n = NSPECIAL + ranked.count()
+    small = spark.createDataFrame(specials + pads(n), VOCAB_SCHEMA)
+    return small.unionByName(ranked)
 
 
 def build_vocab(lines: DataFrame, order_cols: list[str], threshold: int = -1, nwords: int = -1,
