@@ -485,3 +485,113 @@ def q_first_n(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("t"))
     f = F.slice("t", 1, 1000)
     return docs.select("doc_id", F.size(f).cast("long").alias("n_words"), F.md5(F.array_join(f, " ")).alias("words_md5"))
+
+
+# ----------------------------------------------------------------------------------------
+# scoring and losses: add-k bigram tables learned from the encoded document lines
+# ----------------------------------------------------------------------------------------
+from seqcorpus.functions.arrays import band_labels  # noqa: E402
+from seqcorpus.operators import scoring as sc  # noqa: E402
+
+R6 = 6
+
+
+def _scored(spark, sf_dir, k=1.0, with_lang=False):
+    vocab = doc_vocab(spark, sf_dir)
+    V = vocab.count()
+    lines = document_lines(spark, sf_dir, cols=("lang",) if with_lang else ())
+    e = enc.encode_lines(lines, vocab)
+    keys = ["doc_id", "line_no"] + (["lang"] if with_lang else [])
+    pos = sc.positions(e.select(*keys, "ids"), keys)
+    model, unseen = sc.bigram_model(pos, V, k)
+    return sc.label_gather(pos, model, unseen), model, unseen, V
+
+
+@register("jn_09_label_gather")
+def q_label_gather(spark, sf_dir):
+    s, _, _, _ = _scored(spark, sf_dir)
+    return s.select("doc_id", "line_no", "pos", "token", F.round("lp", R6).alias("lp"))
+
+
+@register("agg_14_sequence_score")
+def q_sequence_score(spark, sf_dir):
+    s, _, _, _ = _scored(spark, sf_dir)
+    r = sc.sequence_score(s, LINE_ORDER, lenpen=1.0)
+    return r.select(*LINE_ORDER, F.round("score", R6).alias("score"), "length")
+
+
+@register("win_03_nbest")
+def q_nbest(spark, sf_dir):
+    """Per document, its two best-scoring lines (length-normalised), ties by line number."""
+    s, _, _, _ = _scored(spark, sf_dir)
+    r = sc.sequence_score(s, LINE_ORDER, lenpen=1.0).withColumn("score", F.round("score", R6))
+    return sc.nbest(r, ["doc_id"], 2, tie_cols=["line_no"]).select("doc_id", "line_no", "rank", "score")
+
+
+@register("agg_15_lm_perplexity")
+def q_perplexity(spark, sf_dir):
+    s, _, _, _ = _scored(spark, sf_dir, with_lang=True)
+    finite, dropped = sc.drop_inf(s)
+    r = sc.lm_perplexity(finite, ["lang"])
+    return r.select("lang", "count", F.round("nll", R6).alias("nll"), F.round("ppl", 4).alias("ppl"))
+
+
+@register("agg_16_nll_loss")
+def q_nll(spark, sf_dir):
+    s, _, _, _ = _scored(spark, sf_dir, with_lang=True)
+    r = sc.nll_loss(s, ["lang"])
+    return r.select("lang", F.round("loss", 4).alias("loss"), "ntokens", F.round("loss_bits_per_token", R6).alias("bits"))
+
+
+@register("agg_17_label_smoothed_loss")
+def q_label_smoothed(spark, sf_dir):
+    s, model, unseen, V = _scored(spark, sf_dir, with_lang=True)
+    r = sc.label_smoothed_loss(s, unseen, model, V, 0.1, ["lang"])
+    return r.select("lang", F.round("loss_bits", R6).alias("loss_bits"), F.round("nll_bits", R6).alias("nll_bits"), "ntokens")
+
+
+@register("agg_18_token_accuracy")
+def q_accuracy(spark, sf_dir):
+    s, model, _, _ = _scored(spark, sf_dir, with_lang=True)
+    r = sc.token_accuracy(s, model, ["lang"])
+    return r.select("lang", "correct", "ntokens", F.round("accuracy", R6).alias("accuracy"))
+
+
+@register("agg_21_banded_loss")
+def q_banded(spark, sf_dir):
+    s, _, _, V = _scored(spark, sf_dir)
+    head, band, tail = band_labels(F.col("token"), [1000, 10000], V)
+    r = s.select(band.alias("band"), head.alias("head"), tail.alias("tail"), "lp")
+    return r.groupBy("band").agg(F.round(-F.sum("lp"), 4).alias("loss"), F.count(F.lit(1)).alias("ntokens"),
+                                 F.min("head").alias("min_head"), F.max("tail").alias("max_tail"))
+
+
+@register("agg_19_kl_teaching_loss")
+def q_kl(spark, sf_dir):
+    vocab = doc_vocab(spark, sf_dir)
+    V = vocab.count()
+    e = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab)
+    pos = sc.positions(e.select(*LINE_ORDER, "ids"), LINE_ORDER)
+    student = sc.bigram_model(pos, V, 1.0)
+    teacher = sc.bigram_model(pos, V, 0.5)
+    return sc.kl_teaching(student, teacher, V).select("ctx", F.round("kl", R6).alias("kl"))
+
+
+@register("agg_27_ensemble_average")
+def q_ensemble(spark, sf_dir):
+    vocab = doc_vocab(spark, sf_dir)
+    V = vocab.count()
+    e = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab)
+    pos = sc.positions(e.select(*LINE_ORDER, "ids"), LINE_ORDER)
+    models = [sc.bigram_model(pos, V, k)[0] for k in (0.5, 1.0, 2.0)]
+    return sc.ensemble_average(models).select("ctx", "token", F.round("lp", R6).alias("lp"))
+
+
+@register("win_02_cumulative_to_positional")
+def q_cum_to_pos(spark, sf_dir):
+    from pyspark.sql import Window
+    s, _, _, _ = _scored(spark, sf_dir)
+    w = Window.partitionBy(*LINE_ORDER).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    cum = s.withColumn("cum", F.sum("lp").over(w))
+    r = sc.cumulative_to_positional(cum, LINE_ORDER)
+    return r.select(*LINE_ORDER, "pos", F.round("positional", R6).alias("positional"))

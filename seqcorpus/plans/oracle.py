@@ -437,3 +437,71 @@ FROM s JOIN ch USING (lang, sn) GROUP BY s.lang, ch.block_id"""
 
 ORACLE["prj_17_first_n_words"] = f"""SELECT doc_id, CAST(len(t[1:1000]) AS BIGINT) AS n_words, md5(array_to_string(t[1:1000], ' ')) AS words_md5
 FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"""
+
+
+# ---------------------------------------------------------------- scoring / losses
+def scored_ctes(with_lang: bool = False, k: float = 1.0) -> str:
+    lang = ", lang" if with_lang else ""
+    return f"""{DOC_LANG}, {vocab_ctes(2, 30000)},
+V AS (SELECT count(*) AS v FROM vocab),
+tv AS (SELECT doc_id, line_no{lang}, pos, coalesce(v.id, 3) AS token FROM toks LEFT JOIN vocab v USING (symbol)
+       UNION ALL SELECT doc_id, line_no{lang}, CAST(len(t) AS BIGINT) AS pos, 2 AS token FROM tl),
+pos AS (SELECT doc_id, line_no{lang}, pos, token,
+               coalesce(lag(token) OVER (PARTITION BY doc_id, line_no ORDER BY pos), 2) AS ctx FROM tv),
+{model_ctes(k)},
+scored AS (SELECT p.*, coalesce(m.lp, u.lp0) AS lp FROM pos p LEFT JOIN model m USING (ctx, token) LEFT JOIN unseen u USING (ctx))"""
+
+
+def model_ctes(k: float, p: str = "", src: str = "pos") -> str:
+    return f"""{p}pairs AS (SELECT ctx, token, count(*) AS c FROM {src} GROUP BY ALL),
+{p}cx AS (SELECT ctx, sum(c) AS t, count(*) AS n_seen FROM {p}pairs GROUP BY ctx),
+{p}model AS (SELECT ctx, token, ln((c + {k}) / (t + {k} * (SELECT v FROM V))) AS lp FROM {p}pairs JOIN {p}cx USING (ctx)),
+{p}unseen AS (SELECT ctx, ln({k} / (t + {k} * (SELECT v FROM V))) AS lp0, n_seen FROM {p}cx)"""
+
+
+ORACLE["jn_09_label_gather"] = f"WITH {scored_ctes()} SELECT doc_id, line_no, CAST(pos AS INTEGER) AS pos, CAST(token AS INTEGER) AS token, round(lp, 6) AS lp FROM scored"
+ORACLE["agg_14_sequence_score"] = f"""WITH {scored_ctes()}
+SELECT doc_id, line_no, round(sum(lp) / count(*), 6) AS score, count(*) AS length FROM scored GROUP BY ALL"""
+ORACLE["win_03_nbest"] = f"""WITH {scored_ctes()},
+sc AS (SELECT doc_id, line_no, round(sum(lp) / count(*), 6) AS score FROM scored GROUP BY ALL),
+rk AS (SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS INTEGER) AS rank, score FROM sc)
+SELECT * FROM rk WHERE rank <= 2"""
+ORACLE["agg_15_lm_perplexity"] = f"""WITH {scored_ctes(True)}
+SELECT lang, count(*) AS count, round(-sum(lp) / count(*), 6) AS nll, round(exp(-sum(lp) / count(*)), 4) AS ppl
+FROM scored WHERE lp <> 'inf'::DOUBLE AND lp <> '-inf'::DOUBLE GROUP BY lang"""
+ORACLE["agg_16_nll_loss"] = f"""WITH {scored_ctes(True)}
+SELECT lang, round(-sum(lp), 4) AS loss, count(*) AS ntokens, round(-sum(lp) / count(*) / ln(2), 6) AS bits
+FROM scored WHERE token <> 1 GROUP BY lang"""
+ORACLE["agg_17_label_smoothed_loss"] = f"""WITH {scored_ctes(True)},
+cs AS (SELECT ctx, -sum(lp) AS obs FROM model GROUP BY ctx),
+sm AS (SELECT ctx, obs - ((SELECT v FROM V) - n_seen) * lp0 AS smooth FROM cs JOIN unseen USING (ctx)),
+per AS (SELECT lang, -lp AS nll, 0.9 * (-lp) + 0.1 / (SELECT v FROM V) * smooth AS loss
+        FROM scored LEFT JOIN sm USING (ctx) WHERE token <> 1)
+SELECT lang, round(sum(loss) / count(*) / ln(2), 6) AS loss_bits, round(sum(nll) / count(*) / ln(2), 6) AS nll_bits,
+       count(*) AS ntokens FROM per GROUP BY lang"""
+ORACLE["agg_18_token_accuracy"] = f"""WITH {scored_ctes(True)},
+am AS (SELECT ctx, arg_max(token, (lp, -token)) AS pred FROM model GROUP BY ctx)
+SELECT lang, CAST(sum(CASE WHEN pred = token THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS ntokens,
+       round(sum(CASE WHEN pred = token THEN 1 ELSE 0 END) * 100.0 / count(*), 6) AS accuracy
+FROM scored LEFT JOIN am USING (ctx) GROUP BY lang"""
+ORACLE["agg_21_banded_loss"] = f"""WITH {scored_ctes()},
+b AS (SELECT lp,
+  CASE WHEN token < 1000 THEN 0 WHEN token < 10000 THEN 1 ELSE 2 END AS band,
+  CASE WHEN token < 1000 THEN token WHEN token < 10000 THEN 999 ELSE 1000 END AS head,
+  CASE WHEN token < 1000 THEN NULL WHEN token < 10000 THEN token - 1000 ELSE token - 10000 END AS tail FROM scored)
+SELECT CAST(band AS INTEGER) AS band, round(-sum(lp), 4) AS loss, count(*) AS ntokens,
+       CAST(min(head) AS INTEGER) AS min_head, CAST(max(tail) AS INTEGER) AS max_tail FROM b GROUP BY band"""
+ORACLE["agg_19_kl_teaching_loss"] = f"""WITH {scored_ctes()}, {model_ctes(0.5, 't_')},
+both_ AS (SELECT coalesce(t.ctx, s.ctx) AS ctx, t.lp AS tlp, s.lp AS slp
+          FROM t_model t FULL OUTER JOIN model s ON s.ctx = t.ctx AND s.token = t.token),
+j AS (SELECT b.ctx, coalesce(tlp, tu.lp0) AS tl, coalesce(slp, su.lp0) AS sl, tu.lp0 AS t0, su.lp0 AS s0
+      FROM both_ b JOIN t_unseen tu USING (ctx) JOIN unseen su USING (ctx)),
+o AS (SELECT ctx, sum(CASE WHEN exp(tl) > 0 THEN exp(tl) * (tl - sl) ELSE 0 END) AS obs, count(*) AS n,
+             first(t0) AS t0, first(s0) AS s0 FROM j GROUP BY ctx)
+SELECT CAST(ctx AS INTEGER) AS ctx,
+       round(obs + ((SELECT v FROM V) - n) * CASE WHEN exp(t0) > 0 THEN exp(t0) * (t0 - s0) ELSE 0 END, 6) AS kl FROM o"""
+ORACLE["agg_27_ensemble_average"] = f"""WITH {scored_ctes()}, {model_ctes(0.5, 'a_')}, {model_ctes(2.0, 'b_')},
+u AS (SELECT ctx, token, lp FROM a_model UNION ALL SELECT ctx, token, lp FROM model UNION ALL SELECT ctx, token, lp FROM b_model)
+SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(ln(sum(exp(lp)) / 3), 6) AS lp FROM u GROUP BY ALL"""
+ORACLE["win_02_cumulative_to_positional"] = f"""WITH {scored_ctes()}
+SELECT doc_id, line_no, CAST(pos AS INTEGER) AS pos, round(lp, 6) AS positional FROM scored"""
