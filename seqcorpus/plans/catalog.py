@@ -595,3 +595,133 @@ def q_cum_to_pos(spark, sf_dir):
     cum = s.withColumn("cum", F.sum("lp").over(w))
     r = sc.cumulative_to_positional(cum, LINE_ORDER)
     return r.select(*LINE_ORDER, "pos", F.round("positional", R6).alias("positional"))
+
+
+# ----------------------------------------------------------------------------------------
+# alignments, lexicons, attention (conversation pairs, diagonal links, joint vocabulary)
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import align as al  # noqa: E402
+
+
+def _joint_vocab(spark, sf_dir):
+    p = conversation_pairs(spark, sf_dir)
+    src = p.select(F.lit(0).alias("side"), *PAIR_KEY, F.col("src_text").alias("text"))
+    tgt = p.select(F.lit(1).alias("side"), *PAIR_KEY, F.col("tgt_text").alias("text"))
+    return voc.build_vocab(src.unionByName(tgt), ["side", "conv_id", "turn"], threshold=2, nwords=8000)
+
+
+def _aligned_pairs(spark, sf_dir):
+    """Pairs with token ids (no eos) and diagonal links 'i-i' for i < min(len) as alignment text."""
+    vocab = _joint_vocab(spark, sf_dir)
+    p = conversation_pairs(spark, sf_dir).select(*PAIR_KEY, tokenize("src_text").alias("src_tok"),
+                                                 tokenize("tgt_text").alias("tgt_tok"))
+    p = enc.encode_tokens(p, vocab, "src_tok", "src_ids", append_eos=False)
+    p = enc.encode_tokens(p, vocab, "tgt_tok", "tgt_ids", append_eos=False)
+    n = F.least(F.size("src_ids"), F.size("tgt_ids"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(i.cast("string"), F.lit("-"), i.cast("string"))), " ")
+    p = p.withColumn("align_text", F.when(n > 0, text).otherwise(F.lit("")))
+    return p.withColumn("links", al.parse_alignment("align_text")), vocab
+
+
+@register("src_12_read_alignments")
+def q_read_alignments(spark, sf_dir):
+    p, _ = _aligned_pairs(spark, sf_dir)
+    return p.select(*PAIR_KEY, F.size("links").cast("long").alias("n_links"),
+                    F.coalesce(F.element_at("links", -1)["src_pos"], F.lit(-1)).alias("last_src"))
+
+
+@register("jn_04_alignment_tokens")
+def q_link_tokens(spark, sf_dir):
+    p, _ = _aligned_pairs(spark, sf_dir)
+    return al.link_tokens(p, PAIR_KEY, "links", "src_ids", "tgt_ids").select(*PAIR_KEY, F.col("link_no").cast("int"), "src_id", "tgt_id")
+
+
+def _cooc(spark, sf_dir):
+    p, vocab = _aligned_pairs(spark, sf_dir)
+    linked = al.known_pairs_only(al.link_tokens(p, PAIR_KEY, "links", "src_ids", "tgt_ids"))
+    return al.cooccurrence(linked, ["conv_id", "turn", "link_no"]), vocab
+
+
+@register("flt_08_known_pairs_only")
+def q_known_pairs(spark, sf_dir):
+    p, _ = _aligned_pairs(spark, sf_dir)
+    linked = al.known_pairs_only(al.link_tokens(p, PAIR_KEY, "links", "src_ids", "tgt_ids"))
+    return linked.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_known"))
+
+
+@register("agg_06_cooccurrence")
+def q_cooccurrence(spark, sf_dir):
+    c, _ = _cooc(spark, sf_dir)
+    return c.select("src_id", "tgt_id", "cnt")
+
+
+@register("agg_07_argmax_lexicon")
+def q_argmax_lexicon(spark, sf_dir):
+    c, _ = _cooc(spark, sf_dir)
+    return al.argmax_lexicon(c)
+
+
+@register("jn_05_replace_unk")
+def q_replace_unk(spark, sf_dir):
+    """Hypothesis = target decoded through the vocabulary (unknown → '<unk>'), diagonal alignment,
+    lexicon = argmax lexicon in words."""
+    p, vocab = _aligned_pairs(spark, sf_dir)
+    c, _ = _cooc(spark, sf_dir)
+    lex_ids = al.argmax_lexicon(c)
+    v = vocab.select("id", "symbol")
+    lexicon = (lex_ids.join(v.withColumnRenamed("id", "src_id").withColumnRenamed("symbol", "src"), "src_id")
+               .join(v.withColumnRenamed("id", "tgt_id").withColumnRenamed("symbol", "tgt"), "tgt_id").select("src", "tgt"))
+    hyp = enc.decode(p.select(*PAIR_KEY, "tgt_ids", "src_tok"), vocab, ids_col="tgt_ids", out_col="hyp_text")
+    hyp = hyp.withColumn("hyp_tok", F.split("hyp_text", " ")).withColumn(
+        "alignment", F.transform(F.sequence(F.lit(0), F.size("hyp_tok") - 1), lambda i: F.least(i, F.size("src_tok"))))
+    r = al.replace_unk(hyp, PAIR_KEY, "hyp_tok", "src_tok", "alignment", lexicon)
+    return r.select(*PAIR_KEY, F.md5("text").alias("text_md5"), F.col("n_replaced").cast("long"))
+
+
+@register("agg_32_symmetrize")
+def q_symmetrize(spark, sf_dir):
+    """Intersection and union of the diagonal links with the links shifted by one source word."""
+    p, _ = _aligned_pairs(spark, sf_dir)
+    shifted = F.filter(F.transform("links", lambda l: F.struct((l["src_pos"] + 1).alias("src_pos"), l["tgt_pos"].alias("tgt_pos"))),
+                       lambda l: l["src_pos"] < F.size("src_ids"))
+    p = p.withColumn("shifted", shifted)
+    return p.select(*PAIR_KEY, F.size(al.symmetrize("links", "shifted", "intersection")).cast("long").alias("n_inter"),
+                    F.size(al.symmetrize("links", "shifted", "union")).cast("long").alias("n_union"))
+
+
+def _attention(spark, sf_dir, width=2):
+    pl = _pair_lengths(spark, sf_dir)
+    return al.local_attention(pl, PAIR_KEY, "src_len", "tgt_len", width)
+
+
+@register("win_04_topk_positions")
+def q_topk(spark, sf_dir):
+    t = al.topk_positions(_attention(spark, sf_dir), PAIR_KEY, 3)
+    return t.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("src_pos").alias("sum_src"))
+
+
+@register("win_05_hard_alignment")
+def q_hard(spark, sf_dir):
+    return al.hard_alignment(_attention(spark, sf_dir), PAIR_KEY)
+
+
+@register("jn_10_attention_relay")
+def q_relay(spark, sf_dir):
+    """target→pivot attention (width 2) relayed through pivot→source attention (width 1)."""
+    r = al.attention_relay(_attention(spark, sf_dir, 2), _attention(spark, sf_dir, 1), PAIR_KEY)
+    return r.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_cells"), F.sum("src_pos").alias("sum_src"))
+
+
+@register("agg_20_attention_teaching_loss")
+def q_att_loss(spark, sf_dir):
+    student = _attention(spark, sf_dir, 2)
+    relayed = al.attention_relay(_attention(spark, sf_dir, 2), _attention(spark, sf_dir, 1), PAIR_KEY)
+    return al.attention_teaching_loss(student, relayed, PAIR_KEY).select(F.round("loss", 6).alias("loss"))
+
+
+@register("agg_28_head_average_attention")
+def q_head_avg(spark, sf_dir):
+    heads = _attention(spark, sf_dir, 1).withColumn("head", F.lit(0)).unionByName(
+        _attention(spark, sf_dir, 3).withColumn("head", F.lit(1)))
+    h = al.head_average(heads, PAIR_KEY, n_heads=2)
+    return h.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("weight"), 6).alias("total"))

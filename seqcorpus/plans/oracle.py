@@ -505,3 +505,34 @@ u AS (SELECT ctx, token, lp FROM a_model UNION ALL SELECT ctx, token, lp FROM mo
 SELECT CAST(ctx AS INTEGER) AS ctx, CAST(token AS INTEGER) AS token, round(ln(sum(exp(lp)) / 3), 6) AS lp FROM u GROUP BY ALL"""
 ORACLE["win_02_cumulative_to_positional"] = f"""WITH {scored_ctes()}
 SELECT doc_id, line_no, CAST(pos AS INTEGER) AS pos, round(lp, 6) AS positional FROM scored"""
+
+
+# ---------------------------------------------------------------- attention tables
+def attention_cte(name: str, width: int) -> str:
+    return f"""{name}_t AS (SELECT conv_id, turn, src_len, tgt_len, unnest(generate_series(0, tgt_len - 1)) AS tgt_pos FROM plen),
+{name}_c AS (SELECT *, least(CAST(round(tgt_pos * src_len / tgt_len) AS INTEGER), src_len - 1) AS c FROM {name}_t),
+{name}_s AS (SELECT conv_id, turn, tgt_pos, c, unnest(generate_series(greatest(c - {width}, 0), least(c + {width}, src_len - 1))) AS src_pos FROM {name}_c),
+{name} AS (SELECT conv_id, turn, CAST(tgt_pos AS INTEGER) AS tgt_pos, CAST(src_pos AS INTEGER) AS src_pos,
+  ({width} + 1 - abs(src_pos - c)) / sum({width} + 1 - abs(src_pos - c)) OVER (PARTITION BY conv_id, turn, tgt_pos) AS weight FROM {name}_s)"""
+
+
+ORACLE["win_04_topk_positions"] = f"""WITH {PLEN}, {attention_cte('att', 2)},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, tgt_pos ORDER BY weight DESC, src_pos) AS rk FROM att)
+SELECT conv_id, turn, count(*) AS n, CAST(sum(src_pos) AS BIGINT) AS sum_src FROM r WHERE rk <= 3 GROUP BY ALL"""
+ORACLE["win_05_hard_alignment"] = f"""WITH {PLEN}, {attention_cte('att', 2)}
+SELECT conv_id, turn, tgt_pos, arg_max(src_pos, (weight, -src_pos)) AS src_pos FROM att GROUP BY ALL"""
+RELAY = f"""{PLEN}, {attention_cte('a2', 2)}, {attention_cte('a1', 1)},
+top AS (SELECT conv_id, turn, tgt_pos, src_pos AS pivot_pos FROM (
+          SELECT *, row_number() OVER (PARTITION BY conv_id, turn, tgt_pos ORDER BY weight DESC, src_pos) AS rk FROM a2) WHERE rk <= 3),
+hard AS (SELECT conv_id, turn, tgt_pos AS pivot_pos, arg_max(src_pos, (weight, -src_pos)) AS src_pos FROM a1 GROUP BY ALL),
+relay AS (SELECT DISTINCT t.conv_id, t.turn, t.tgt_pos, h.src_pos FROM top t JOIN hard h USING (conv_id, turn, pivot_pos))"""
+ORACLE["jn_10_attention_relay"] = f"""WITH {RELAY}
+SELECT conv_id, turn, count(*) AS n_cells, CAST(sum(src_pos) AS BIGINT) AS sum_src FROM relay GROUP BY ALL"""
+ORACLE["agg_20_attention_teaching_loss"] = f"""WITH {RELAY},
+j AS (SELECT coalesce(s.weight, 0) - coalesce(CASE WHEN r.conv_id IS NOT NULL THEN 0.3 END, 0) AS d
+      FROM a2 s FULL OUTER JOIN relay r ON r.conv_id = s.conv_id AND r.turn = s.turn AND r.tgt_pos = s.tgt_pos AND r.src_pos = s.src_pos)
+SELECT round(sqrt(sum(d * d)), 6) AS loss FROM j"""
+ORACLE["agg_28_head_average_attention"] = f"""WITH {PLEN}, {attention_cte('h0', 1)}, {attention_cte('h1', 3)},
+u AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
+avg_ AS (SELECT conv_id, turn, tgt_pos, src_pos, sum(weight) / 2 AS weight FROM u GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS n_cells, round(sum(weight), 6) AS total FROM avg_ GROUP BY ALL"""
