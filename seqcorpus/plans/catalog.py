@@ -725,3 +725,241 @@ def q_head_avg(spark, sf_dir):
         _attention(spark, sf_dir, 3).withColumn("head", F.lit(1)))
     h = al.head_average(heads, PAIR_KEY, n_heads=2)
     return h.groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+# ----------------------------------------------------------------------------------------
+# checkpoints and embeddings (embeddings table: each row a checkpoint of one parameter)
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import checkpoints as ck  # noqa: E402
+from seqcorpus.operators import logs as lg  # noqa: E402
+from seqcorpus.sources import files as fs  # noqa: E402
+from seqcorpus.plans.session import scratch_path  # noqa: E402
+
+
+def _ckpts(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    flt = e.select(F.col("label").alias("run"), F.col("vec_id").alias("checkpoint"), F.lit("emb").alias("param"),
+                   F.lit(0).alias("param_no"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
+                   F.lit(False).alias("is_int"))
+    ints = e.select(F.col("label").alias("run"), F.col("vec_id").alias("checkpoint"), F.lit("emb_int").alias("param"),
+                    F.lit(1).alias("param_no"),
+                    F.transform("embedding", lambda x: (x * 100).cast("int").cast("double")).alias("vector"),
+                    F.lit(True).alias("is_int"))
+    return flt.unionByName(ints)
+
+
+@register("agg_25_average_checkpoints")
+def q_avg_ckpt(spark, sf_dir):
+    a = ck.average_checkpoints(_ckpts(spark, sf_dir), ["run"])
+    return a.select("run", "param", F.size("vector").cast("long").alias("dim"),
+                    F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x), 4).alias("vsum"),
+                    F.round(F.element_at("vector", 1), 6).alias("v0"))
+
+
+@register("agg_26_check_same_keys")
+def q_same_keys(spark, sf_dir):
+    return ck.check_same_keys(_ckpts(spark, sf_dir), ["run"])
+
+
+def _ckpt_files(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("checkpoint"), F.col("vec_id").cast("string"), F.lit(".pt")).alias("name"))
+
+
+@register("win_13_last_n_checkpoints")
+def q_last_n(spark, sf_dir):
+    return ck.last_n_checkpoints(_ckpt_files(spark, sf_dir), 5, upper=400)
+
+
+@register("win_14_prune_old_checkpoints")
+def q_prune(spark, sf_dir):
+    return ck.prune_old_checkpoints(_ckpt_files(spark, sf_dir), 10)
+
+
+def _emb_words(spark, sf_dir):
+    """Pretrained vectors keyed by the document vocabulary word whose id equals vec_id."""
+    e = table(spark, sf_dir, "embeddings")
+    v = doc_vocab(spark, sf_dir).select(F.col("id").cast("long").alias("vec_id"), "symbol")
+    return (e.join(v, "vec_id").filter(~F.col("symbol").contains(" "))
+            .select("symbol", F.col("embedding").alias("vector")))
+
+
+@register("jn_06_embedding_vocab_join")
+def q_attach(spark, sf_dir):
+    j = ck.attach_embeddings(_joint_vocab(spark, sf_dir), _emb_words(spark, sf_dir), 64)
+    e = _emb_words(spark, sf_dir).select("symbol", F.lit(True).alias("hit"))
+    j = j.join(e, "symbol", "left")
+    return j.groupBy().agg(F.count(F.lit(1)).alias("n_vocab"), F.count("hit").alias("n_pretrained"))
+
+
+@register("jn_07_embedding_overlap")
+def q_overlap(spark, sf_dir):
+    return ck.embedding_overlap(_joint_vocab(spark, sf_dir), _emb_words(spark, sf_dir))
+
+
+@register("set_03_embedding_vocab_intersect")
+def q_emb_intersect(spark, sf_dir):
+    return voc.vocab_intersect(_joint_vocab(spark, sf_dir), _emb_words(spark, sf_dir))
+
+
+@register("src_11_read_embeddings")
+def q_read_embeddings(spark, sf_dir):
+    """Write the word vectors as a text embedding file (header + 'word v1 v2 ...'), read it back."""
+    path = scratch_path(spark, f"emb-{abs(hash(sf_dir))}")
+    e = _emb_words(spark, sf_dir)
+    body = e.select(F.concat_ws(" ", "symbol", F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x)), " ")).alias("text"))
+    header = spark.createDataFrame([("%d 64" % 0,)], "text string")
+    header.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
+    r = fs.read_embeddings(spark, path)
+    return r.select("symbol", F.size("vector").cast("long").alias("dim"),
+                    F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 3).alias("vsum"))
+
+
+# ----------------------------------------------------------------------------------------
+# vocabulary / lexicon files, generation output, tagged text, synthetic corpus
+# ----------------------------------------------------------------------------------------
+@register("src_07_write_read_vocab")
+def q_vocab_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, f"vocab-{abs(hash(sf_dir))}")
+    fs.write_vocab(doc_vocab(spark, sf_dir), path)
+    return fs.read_vocab(spark, path)
+
+
+@register("src_13_read_lexicon")
+def q_lexicon_roundtrip(spark, sf_dir):
+    c, vocab = _cooc(spark, sf_dir)
+    v = vocab.select("id", "symbol")
+    lex = (al.argmax_lexicon(c).join(v.withColumnRenamed("id", "src_id").withColumnRenamed("symbol", "src"), "src_id")
+           .join(v.withColumnRenamed("id", "tgt_id").withColumnRenamed("symbol", "tgt"), "tgt_id"))
+    path = scratch_path(spark, f"lex-{abs(hash(sf_dir))}")
+    fs.write_lines(lex.select(F.concat_ws(" ", "src", "tgt").alias("text"), "src"), path, order_cols=["src"])
+    return fs.read_lexicon(spark, path)
+
+
+@register("src_15_write_generation_output")
+def q_gen_write(spark, sf_dir):
+    """n-best lines per document as hypotheses in the printer's format (S/T/H/P lines)."""
+    s, _, _, _ = _scored(spark, sf_dir)
+    per_line = s.groupBy(*LINE_ORDER).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("pos_scores"),
+        F.avg("lp").alias("score"))
+    lines = document_lines(spark, sf_dir, cols=())
+    h = per_line.join(lines, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", F.round("score", 4).alias("score"),
+                                               F.col("text").alias("hypothesis"), "pos_scores")
+    top = sc.nbest(h, ["id"], 1, tie_cols=["line_no"]).drop("rank")
+    src = document_lines(spark, sf_dir, cols=()).filter("line_no = 0").select(F.col("doc_id").alias("id"),
+                                                                                F.col("text").alias("source"))
+    g = top.join(src, "id").withColumn("target", F.col("source"))
+    out = fs.write_generation_output(g)
+    return out.select("id", "o", F.md5("line").alias("line_md5"))
+
+
+@register("src_14_read_generation_output")
+def q_gen_read(spark, sf_dir):
+    lines = q_gen_write.__wrapped__(spark, sf_dir) if hasattr(q_gen_write, "__wrapped__") else None
+    s, _, _, _ = _scored(spark, sf_dir)
+    per_line = s.groupBy(*LINE_ORDER).agg(F.avg("lp").alias("score"), F.lit([0.0]).alias("pos_scores"))
+    dl = document_lines(spark, sf_dir, cols=())
+    h = per_line.join(dl, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", F.round("score", 4).alias("score"),
+                                             F.col("text").alias("hypothesis"), "pos_scores")
+    g = sc.nbest(h, ["id"], 2, tie_cols=["line_no"]).withColumn("source", F.lit("src")).withColumn("target", F.lit("ref"))
+    text = fs.write_generation_output(g.drop("rank", "line_no")).withColumn("_r", F.col("o"))
+    path = scratch_path(spark, f"gen-{abs(hash(sf_dir))}")
+    fs.write_lines(text.select("line", "id", "o", F.col("_r")).withColumn("text", F.col("line")), path,
+                   order_cols=["id", "o"])
+    back = fs.read_generation_output(fs.read_lines(spark, path))
+    return back.select("id", "rank", "score", F.md5("hypothesis").alias("hyp_md5"))
+
+
+@register("src_17_read_tagged_text")
+def q_tagged(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", r"\r\n|\r|\n|(?=<)")).alias("line_no", "text"))
+    r = fs.read_tagged_text(pages)
+    return r.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"),
+                                    F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))),
+                                                                   lambda x: x["text"]), "\n")).alias("text_md5"))
+
+
+@register("src_18_read_sgm_segments")
+def q_sgm(spark, sf_dir):
+    """Title elements of the pages as the segment tag."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(<title>.*?</title>)", 1).alias("text"))
+    r = fs.read_sgm_segments(pages, tag="title")
+    return r.select("page_id", "text")
+
+
+@register("src_21_synthetic_corpus")
+def q_synthetic(spark, sf_dir):
+    """As many random-letter lines as the documents table has rows."""
+    n = table(spark, sf_dir, "documents").count()
+    s = fs.synthetic_corpus(spark, n, 20, 42)
+    return s.select("line_no", F.size(F.split("text", " ")).cast("long").alias("n_letters"))
+
+
+@register("src_05_infer_language_pair")
+def q_infer_pair(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select("lang").distinct().select(
+        F.concat(F.lit("train."), F.col("lang"), F.lit("-en.bin")).alias("name"))
+    return fs.infer_language_pair(names)
+
+
+# ----------------------------------------------------------------------------------------
+# training logs rendered from the events table, then parsed back
+# ----------------------------------------------------------------------------------------
+def _log_lines(spark, sf_dir):
+    """Every event becomes a progress line; the printer's three line styles by event type."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    ep = (F.col("user_id") % 100 + 1)
+    mid = F.format_string("| epoch %03d:   %d / %d loss=%.3f, nll_loss=%.3f, ppl=%.2f, num_updates=%d, wall=%d",
+                          ep, F.col("event_id"), F.lit(100000), F.col("value"), F.col("value") / 2,
+                          F.pow(F.lit(2.0), F.col("value") / 2), F.col("event_id"), F.unix_timestamp("ts"))
+    end = F.format_string("| epoch %03d | loss %.3f | nll_loss %.3f | ppl %.2f | num_updates %d | wall %d",
+                          ep, F.col("value"), F.col("value") / 2, F.pow(F.lit(2.0), F.col("value") / 2),
+                          F.col("event_id"), F.unix_timestamp("ts"))
+    val = F.format_string("| epoch %03d | valid on 'valid' subset | valid_loss %.5f | valid_ppl %.2f | num_updates %d",
+                          ep, F.col("value"), F.pow(F.lit(2.0), F.col("value")), F.col("event_id"))
+    js = F.to_json(F.struct(F.col("event_id").alias("num_updates"), F.col("value").alias("loss")))
+    text = (F.when(F.col("event_type") == "view", mid).when(F.col("event_type") == "click", end)
+            .when(F.col("event_type") == "error", val).when(F.col("event_type") == "signup", js)
+            .otherwise(F.concat(F.lit("| "), F.col("event_type"))))
+    return ev.select("event_id", "user_id", text.alias("text"))
+
+
+@register("src_16_read_train_log")
+def q_train_log(spark, sf_dir):
+    p = lg.parse_train_log(_log_lines(spark, sf_dir))
+    return p.select("event_id", "kind", "epoch", "step", "subset", F.round("loss", 5).alias("loss"),
+                    F.round("ppl", 2).alias("ppl"), "num_updates")
+
+
+@register("win_12_running_best")
+def q_running_best(spark, sf_dir):
+    p = lg.parse_train_log(_log_lines(spark, sf_dir)).filter(F.col("kind") == "valid")
+    r = lg.running_best(p, ["user_id"], order_col="num_updates")
+    return r.select("user_id", "num_updates", F.round("loss", 5).alias("loss"), F.round("best_so_far", 5).alias("best_so_far"), "is_best")
+
+
+@register("agg_22_aggregate_logs")
+def q_agg_logs(spark, sf_dir):
+    """Worker outputs = events; update = 10-minute bucket; worker = user."""
+    ev = table(spark, sf_dir, "events")
+    out = ev.select(F.floor(F.unix_timestamp("ts") / 600).alias("update"), F.col("value").alias("loss"),
+                    (F.col("value") / 2).alias("nll_loss"), F.lit(1).alias("nsentences"),
+                    (F.col("user_id") % 7 + 1).alias("ntokens"), (F.col("user_id") % 7 + 1).alias("sample_size"))
+    r = lg.aggregate_logs(out, ["update"])
+    return r.select("update", F.round("loss", 6).alias("loss"), F.col("ntokens").cast("long").alias("ntokens"),
+                    F.round("loss_bits", 6).alias("loss_bits"), F.round("nll_bits", 6).alias("nll_bits"))
+
+
+@register("agg_23_weighted_average_meter")
+def q_avg_meter(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").withColumn("n", F.col("user_id") % 5 + 1)
+    r = lg.weighted_average_meter(ev, ["event_type"], "value", "n", "ts")
+    return r.select("event_type", F.round("avg", 6).alias("avg"), "last", F.col("count").cast("long").alias("count"))
+
+
+@register("agg_24_rate_meter")
+def q_rate_meter(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").withColumn("n", F.lit(1))
+    r = lg.rate_meter(ev, ["event_type"], "n", "ts")
+    return r.select("event_type", F.col("n").cast("long").alias("n"), F.round("rate", 6).alias("rate"))

@@ -536,3 +536,23 @@ ORACLE["agg_28_head_average_attention"] = f"""WITH {PLEN}, {attention_cte('h0',
 u AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
 avg_ AS (SELECT conv_id, turn, tgt_pos, src_pos, sum(weight) / 2 AS weight FROM u GROUP BY ALL)
 SELECT conv_id, turn, count(*) AS n_cells, round(sum(weight), 6) AS total FROM avg_ GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- checkpoints, meters
+ORACLE["win_13_last_n_checkpoints"] = """SELECT 'checkpoint' || vec_id || '.pt' AS name, vec_id AS epoch FROM embeddings
+WHERE vec_id <= 400 ORDER BY vec_id DESC LIMIT 5"""
+ORACLE["win_14_prune_old_checkpoints"] = """SELECT 'checkpoint' || vec_id || '.pt' AS name, vec_id AS epoch FROM embeddings
+WHERE vec_id NOT IN (SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 10)"""
+ORACLE["agg_23_weighted_average_meter"] = """SELECT event_type, round(sum(value * (user_id % 5 + 1)) / sum(user_id % 5 + 1), 6) AS avg,
+  arg_max(value, ts) AS last, CAST(sum(user_id % 5 + 1) AS BIGINT) AS count FROM events GROUP BY event_type"""
+ORACLE["agg_24_rate_meter"] = """SELECT event_type, count(*) AS n,
+  round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS rate FROM events GROUP BY event_type"""
+ORACLE["agg_22_aggregate_logs"] = """WITH o AS (SELECT floor(epoch(ts) / 600) AS upd, value AS loss, value / 2 AS nll_loss,
+    user_id % 7 + 1 AS ntokens FROM events)
+SELECT CAST(upd AS BIGINT) AS update, round(sum(loss), 6) AS loss, CAST(sum(ntokens) AS BIGINT) AS ntokens,
+  round(sum(loss) / sum(ntokens) / ln(2), 6) AS loss_bits, round(sum(nll_loss) / sum(ntokens) / ln(2), 6) AS nll_bits
+FROM o GROUP BY upd"""
+ORACLE["src_05_infer_language_pair"] = """SELECT split_part(name, '.', 2)[1:position('-' IN split_part(name, '.', 2)) - 1] AS src,
+  split_part(split_part(name, '.', 2), '-', 2) AS tgt
+FROM (SELECT DISTINCT 'train.' || lang || '-en.bin' AS name FROM documents) ORDER BY name LIMIT 1"""
+ORACLE["agg_26_check_same_keys"] = """SELECT label AS run, true AS same_keys, count(*) AS n_checkpoints FROM embeddings GROUP BY label"""
