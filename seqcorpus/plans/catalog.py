@@ -963,3 +963,60 @@ def q_rate_meter(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("n", F.lit(1))
     r = lg.rate_meter(ev, ["event_type"], "n", "ts")
     return r.select("event_type", F.col("n").cast("long").alias("n"), F.round("rate", 6).alias("rate"))
+
+
+# ----------------------------------------------------------------------------------------
+# streaming: the table files replayed as a stream; results read back from the sink
+# ----------------------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from seqcorpus.streaming import streams as stm  # noqa: E402
+
+
+def _run_dir(spark, tag):
+    return scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex[:12]}")
+
+
+@register("str_01_stream_encode")
+def q_stream_encode(spark, sf_dir):
+    d = _run_dir(spark, "encode")
+    q = stm.stream_encode(stm.document_line_stream(spark, sf_dir), doc_vocab(spark, sf_dir),
+                          f"{d}/out", f"{d}/ckpt")
+    q.awaitTermination()
+    r = spark.read.parquet(f"{d}/out")
+    return r.select("doc_id", F.col("line_no").cast("long"), F.size("ids").cast("long").alias("n_ids"),
+                    F.md5(_ids_str("ids")).alias("ids_md5"))
+
+
+@register("str_02_stream_word_counts")
+def q_stream_counts(spark, sf_dir):
+    d = _run_dir(spark, "counts")
+    q = stm.stream_word_counts(stm.document_line_stream(spark, sf_dir), f"{d}/out", f"{d}/ckpt")
+    q.awaitTermination()
+    r = spark.read.parquet(f"{d}/out")
+    return r.groupBy("symbol").agg(F.max_by("count", "batch_id").alias("count"))
+
+
+@register("str_03_stream_meters")
+def q_stream_meters(spark, sf_dir):
+    d = _run_dir(spark, "meters")
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    ev = stm.table_stream(spark, sf_dir, "events", schema)
+    q = stm.stream_meters(ev, f"{d}/out", f"{d}/ckpt")
+    q.awaitTermination()
+    r = spark.read.parquet(f"{d}/out")
+    return r.select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@register("str_04_stream_score")
+def q_stream_score(spark, sf_dir):
+    d = _run_dir(spark, "score")
+    vocab = doc_vocab(spark, sf_dir)
+
+    def score(batch):
+        return enc.encode_stats(batch, vocab, ["lang"])
+
+    q = stm.stream_score(stm.document_line_stream(spark, sf_dir), score, f"{d}/out", f"{d}/ckpt", ["lang"])
+    q.awaitTermination()
+    r = spark.read.parquet(f"{d}/out")
+    return r.groupBy("lang").agg(F.sum("nseq").alias("nseq"), F.sum("ntok").alias("ntok"), F.sum("nunk").alias("nunk"))

@@ -556,3 +556,19 @@ ORACLE["src_05_infer_language_pair"] = """SELECT split_part(name, '.', 2)[1:posi
   split_part(split_part(name, '.', 2), '-', 2) AS tgt
 FROM (SELECT DISTINCT 'train.' || lang || '-en.bin' AS name FROM documents) ORDER BY name LIMIT 1"""
 ORACLE["agg_26_check_same_keys"] = """SELECT label AS run, true AS same_keys, count(*) AS n_checkpoints FROM embeddings GROUP BY label"""
+
+
+# ---------------------------------------------------------------- streaming (same results as batch)
+ORACLE["str_02_stream_word_counts"] = f"""WITH {DOC}
+SELECT symbol, count(*) AS count FROM toks GROUP BY symbol"""
+# append mode emits a window once the watermark (max event time - 10 minutes) has passed its end
+ORACLE["str_03_stream_meters"] = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n,
+  round(sum(value), 6) AS total FROM events GROUP BY ALL
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+ORACLE["str_04_stream_score"] = ORACLE["agg_05_encode_stats"].replace(
+    "SELECT ls.lang, nseq, ntok, CAST(coalesce(nunk, 0) AS BIGINT) AS nunk,",
+    "SELECT ls.lang, CAST(nseq AS BIGINT) AS nseq, CAST(ntok AS BIGINT) AS ntok, CAST(coalesce(nunk, 0) AS BIGINT) AS nunk, --").replace(
+    "       CAST(coalesce(replaced, 0) AS BIGINT) AS replaced,\n       round(100.0::DOUBLE * coalesce(nunk, 0) / ntok, 6) AS pct_replaced\n", "\n")
+ORACLE["str_01_stream_encode"] = ORACLE["jn_01_encode"].replace(
+    "SELECT doc_id, line_no, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS n_ids, coalesce(e.s || ' 2', '2') AS ids",
+    "SELECT doc_id, line_no, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS n_ids, md5(coalesce(e.s || ' 2', '2')) AS ids_md5")
