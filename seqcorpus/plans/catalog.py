@@ -1020,3 +1020,94 @@ def q_stream_score(spark, sf_dir):
     q.awaitTermination()
     r = spark.read.parquet(f"{d}/out")
     return r.groupBy("lang").agg(F.sum("nseq").alias("nseq"), F.sum("ntok").alias("ntok"), F.sum("nunk").alias("nunk"))
+
+
+# ----------------------------------------------------------------------------------------
+# text functions on document lines
+# ----------------------------------------------------------------------------------------
+from seqcorpus.functions import text as tx  # noqa: E402
+
+
+@register("prj_14_lowercase")
+def q_lower(spark, sf_dir):
+    l = document_lines(spark, sf_dir, cols=())
+    return l.select(*LINE_ORDER, F.md5(tx.lowercase("text")).alias("text_md5"))
+
+
+@register("prj_15_mask_digits")
+def q_mask(spark, sf_dir):
+    l = document_lines(spark, sf_dir, cols=())
+    m = tx.mask_digits("text")
+    return l.filter(m != F.col("text")).select(*LINE_ORDER, m.alias("masked"))
+
+
+@register("prj_16_unk_to_UNK")
+def q_unk_upper(spark, sf_dir):
+    d = q_decode(spark, sf_dir)
+    u = tx.unk_to_UNK("text")
+    return d.select(*LINE_ORDER, (F.size(F.split(u, "UNK")) - 1).cast("long").alias("n_unk"))
+
+
+@register("prj_18_normalize_punct")
+def q_norm(spark, sf_dir):
+    l = document_lines(spark, sf_dir, cols=())
+    return l.select(*LINE_ORDER, F.md5(tx.normalize_punct(tx.strip_nonprinting("text"))).alias("text_md5"))
+
+
+@register("prj_07_remove_bpe")
+def q_remove_bpe(spark, sf_dir):
+    """Marks every word longer than 4 characters as two subword pieces, then removes the marker."""
+    l = document_lines(spark, sf_dir, cols=())
+    pieces = F.array_join(F.transform(tokenize("text"), lambda w: F.when(F.length(w) > 4, F.concat(
+        F.substring(w, 1, 4), F.lit("@@ "), F.substring(w, 5, 1 << 20))).otherwise(w)), " ")
+    r = l.select(*LINE_ORDER, tx.remove_bpe(pieces).alias("restored"), F.array_join(tokenize("text"), " ").alias("orig"))
+    return r.select(*LINE_ORDER, (F.col("restored") == F.col("orig")).alias("round_trip"), F.md5("restored").alias("text_md5"))
+
+
+@register("prj_19_words_to_numbers")
+def q_chars_to_numbers(spark, sf_dir):
+    """Character-level vocabulary over all lines, every line rendered as character ids."""
+    l = document_lines(spark, sf_dir, cols=()).withColumn("chars", tx.chars_as_words("text"))
+    v = voc.build_vocab(l, LINE_ORDER, tokens_col="chars", padding_factor=1)
+    e = enc.encode_tokens(l, v, "chars", "cids", append_eos=False)
+    return e.select(*LINE_ORDER, F.md5(_ids_str("cids")).alias("ids_md5"))
+
+
+# ----------------------------------------------------------------------------------------
+# subwords: merges learned on the conversation word types, applied to document words
+# ----------------------------------------------------------------------------------------
+from seqcorpus.operators import bpe as bp  # noqa: E402
+
+N_MERGES = 40
+
+
+def _merges(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select(F.explode(tokenize("text")).alias("word"))
+    words = conv.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    return bp.learn_bpe(words, N_MERGES)
+
+
+@register("agg_30_learn_bpe")
+def q_learn_bpe(spark, sf_dir):
+    return _merges(spark, sf_dir)
+
+
+@register("prj_22_apply_bpe")
+def q_apply_bpe(spark, sf_dir):
+    lines = document_lines(spark, sf_dir, cols=())
+    toks = voc.explode_tokens(lines, LINE_ORDER)
+    seg = bp.apply_bpe(toks, _merges(spark, sf_dir))
+    return seg.groupBy("symbol", "pieces").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("win_10_merge_bpe_scores")
+def q_merge_scores(spark, sf_dir):
+    """Pieces of every document line scored -1 each (a stand-in log-prob), merged back to words."""
+    lines = document_lines(spark, sf_dir, cols=())
+    toks = voc.explode_tokens(lines, LINE_ORDER)
+    seg = bp.apply_bpe(toks, _merges(spark, sf_dir))
+    pieces = seg.select(*LINE_ORDER, "pos", F.posexplode(F.split("pieces", " ")).alias("k", "piece")) \
+        .select(*LINE_ORDER, (F.col("pos") * 1000 + F.col("k")).alias("ppos"), "piece", F.lit(-1.0).alias("score"))
+    w = sc.merge_bpe_scores(pieces, LINE_ORDER, pos_col="ppos")
+    return w.groupBy().agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_merged").alias("n_merged"),
+                           F.round(F.sum("score"), 3).alias("total_score"))

@@ -562,9 +562,10 @@ ORACLE["agg_26_check_same_keys"] = """SELECT label AS run, true AS same_keys, co
 ORACLE["str_02_stream_word_counts"] = f"""WITH {DOC}
 SELECT symbol, count(*) AS count FROM toks GROUP BY symbol"""
 # append mode emits a window once the watermark (max event time - 10 minutes) has passed its end
-ORACLE["str_03_stream_meters"] = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n,
-  round(sum(value), 6) AS total FROM events GROUP BY ALL
-HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+ORACLE["str_03_stream_meters"] = """SELECT * FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total
+  FROM events GROUP BY 1, 2)
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 ORACLE["str_04_stream_score"] = ORACLE["agg_05_encode_stats"].replace(
     "SELECT ls.lang, nseq, ntok, CAST(coalesce(nunk, 0) AS BIGINT) AS nunk,",
     "SELECT ls.lang, CAST(nseq AS BIGINT) AS nseq, CAST(ntok AS BIGINT) AS ntok, CAST(coalesce(nunk, 0) AS BIGINT) AS nunk, --").replace(
@@ -572,3 +573,17 @@ ORACLE["str_04_stream_score"] = ORACLE["agg_05_encode_stats"].replace(
 ORACLE["str_01_stream_encode"] = ORACLE["jn_01_encode"].replace(
     "SELECT doc_id, line_no, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS n_ids, coalesce(e.s || ' 2', '2') AS ids",
     "SELECT doc_id, line_no, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS n_ids, md5(coalesce(e.s || ' 2', '2')) AS ids_md5")
+
+
+# ---------------------------------------------------------------- text functions
+ORACLE["prj_14_lowercase"] = f"WITH {lines_cte('')} SELECT doc_id, line_no, md5(lower(text)) AS text_md5 FROM lines"
+ORACLE["prj_15_mask_digits"] = f"""WITH {lines_cte('')}
+SELECT doc_id, line_no, regexp_replace(text, '[0-9]', '#', 'g') AS masked FROM lines WHERE regexp_matches(text, '[0-9]')"""
+ORACLE["prj_16_unk_to_UNK"] = _decode_sql("<unk>").replace(
+    "SELECT doc_id, line_no, coalesce(e.s, '') AS text FROM tl",
+    "SELECT doc_id, line_no, CAST(len(string_split(replace(coalesce(e.s, ''), '<unk>', 'UNK'), 'UNK')) - 1 AS BIGINT) AS n_unk FROM tl")
+ORACLE["prj_07_remove_bpe"] = f"""WITH {DOC},
+r AS (SELECT doc_id, line_no, array_to_string(t, ' ') AS orig,
+  rtrim(replace(array_to_string(list_transform(t, lambda w: CASE WHEN length(w) > 4 THEN substring(w, 1, 4) || '@@ ' || substring(w, 5) ELSE w END), ' ') || ' ', '@@ ', ''), ' ') AS restored
+  FROM tl)
+SELECT doc_id, line_no, restored = orig AS round_trip, md5(restored) AS text_md5 FROM r"""
