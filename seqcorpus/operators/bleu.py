@@ -41,26 +41,31 @@ def bleu_side(tokens, is_reference: bool) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """All n-grams of a token array as space-joined strings (tokens hold no whitespace)."""
+    """All n-grams of a token array as 64-bit hashes of the token slice (as the original scorer
+    hashes its n-grams); grouping on a long instead of a string keeps the aggregate cheap."""
     arr = _c(tokens)
     return F.when(F.size(arr) >= n,
                   F.transform(F.sequence(F.lit(1), F.size(arr) - n + 1),
-                              lambda i: F.array_join(F.slice(arr, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+                              lambda i: F.xxhash64(F.slice(arr, i, n)))
+                  ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tagger(n: int, r: int, h: int):
+    def tag(g):
+        return F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h"))
+    return tag
 
 
 def clipped_matches(pairs: DataFrame, key_cols: list[str], ref_col: str, hyp_col: str,
                     max_order: int = 4) -> DataFrame:
     """JN-08: per (pair, n) the multiset intersection size of reference and hypothesis n-grams."""
-    sides = []
+    # one pass over the pairs: all n-grams of both sides tagged (n, side) in one array, one explode
+    tagged = []
     for n in range(1, max_order + 1):
-        sides.append(pairs.select(*key_cols, F.lit(n).alias("n"), F.explode(ngrams(ref_col, n)).alias("g"),
-                                  F.lit(1).alias("r"), F.lit(0).alias("h")))
-        sides.append(pairs.select(*key_cols, F.lit(n).alias("n"), F.explode(ngrams(hyp_col, n)).alias("g"),
-                                  F.lit(0).alias("r"), F.lit(1).alias("h")))
-    allg = sides[0]
-    for s in sides[1:]:
-        allg = allg.unionByName(s)
+        for col, r, h in ((ref_col, 1, 0), (hyp_col, 0, 1)):
+            tagged.append(F.transform(ngrams(col, n), _tagger(n, r, h)))
+    allg = pairs.select(*key_cols, F.explode(F.concat(*tagged)).alias("_t")).select(
+        *key_cols, "_t.n", "_t.g", "_t.r", "_t.h")
     per_gram = allg.groupBy(*key_cols, "n", "g").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     return per_gram.groupBy(*key_cols, "n").agg(F.sum(F.least("r", "h")).cast("long").alias("match"))
 
