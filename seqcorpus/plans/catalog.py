@@ -1111,3 +1111,26 @@ def q_merge_scores(spark, sf_dir):
     w = sc.merge_bpe_scores(pieces, LINE_ORDER, pos_col="ppos")
     return w.groupBy().agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_merged").alias("n_merged"),
                            F.round(F.sum("score"), 3).alias("total_score"))
+
+
+# ----------------------------------------------------------------------------------------
+# set operations and buffered batching
+# ----------------------------------------------------------------------------------------
+from seqcorpus.plans.index import global_index as _gidx  # noqa: E402
+
+
+@register("set_01_concat_datasets")
+def q_concat(spark, sf_dir):
+    """Bag union of the document lines and the conversation turns; ids continue across parts."""
+    a = document_lines(spark, sf_dir, cols=()).select(F.lit(0).alias("corpus_ord"), F.col("doc_id").alias("k1"),
+                                                       F.col("line_no").alias("k2"))
+    b = table(spark, sf_dir, "conversations").select(F.lit(1).alias("corpus_ord"), F.col("conv_id").alias("k1"),
+                                                     F.col("turn").alias("k2"))
+    return _gidx(a.unionByName(b), ["corpus_ord", "k1", "k2"], name="id")
+
+
+@register("bat_05_buffered_batches")
+def q_buffered(spark, sf_dir):
+    lines = document_lines(spark, sf_dir, cols=()).select(*LINE_ORDER, (F.size(tokenize("text")) + 1).alias("src_len"))
+    idx = _gidx(lines, LINE_ORDER, name="line_idx")
+    return bt.buffered_batches(idx, "line_idx", 1000, MAX_TOKENS, None)

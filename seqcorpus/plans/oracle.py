@@ -587,3 +587,8 @@ r AS (SELECT doc_id, line_no, array_to_string(t, ' ') AS orig,
   rtrim(replace(array_to_string(list_transform(t, lambda w: CASE WHEN length(w) > 4 THEN substring(w, 1, 4) || '@@ ' || substring(w, 5) ELSE w END), ' ') || ' ', '@@ ', ''), ' ') AS restored
   FROM tl)
 SELECT doc_id, line_no, restored = orig AS round_trip, md5(restored) AS text_md5 FROM r"""
+
+ORACLE["set_01_concat_datasets"] = f"""WITH {lines_cte('')},
+u AS (SELECT 0 AS corpus_ord, doc_id AS k1, line_no AS k2 FROM lines
+      UNION ALL SELECT 1 AS corpus_ord, conv_id AS k1, turn AS k2 FROM conversations)
+SELECT corpus_ord, k1, k2, row_number() OVER (ORDER BY corpus_ord, k1, k2) - 1 AS id FROM u"""
