@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqcorpus.llm import byte_bpe
+from seqcorpus.llm import byte_bpe, mixing, quality_rules, sharding
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,5 +17,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe,)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.apply_rules(quality_rules.statistics(spread(docs, "doc_id")), rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.stream(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
