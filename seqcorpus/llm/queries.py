@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqcorpus.llm import byte_bpe, mixing, quality_rules, sharding
+from seqcorpus.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -32,5 +37,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
