@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding
+from seqcorpus.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding, suffix_dedup
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +23,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -37,5 +44,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_suffix_dedup, op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
