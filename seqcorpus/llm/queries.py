@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe, jaccard_join, lm_scoring, mixing, quality_rules, sharding, suffix_dedup
+from seqcorpus.llm import byte_bpe, jaccard_join, lm_scoring, mixing, nearest, quality_rules, sharding, suffix_dedup
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), lambda v: v % 20 == 0, k=20)
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
@@ -49,5 +53,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
