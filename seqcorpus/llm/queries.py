@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe, jaccard_join, lm_scoring, mixing, nearest, quality_rules, sharding, suffix_dedup
+from seqcorpus.llm import byte_bpe, html_extract, jaccard_join, lm_scoring, mixing, nearest, quality_rules, sharding, suffix_dedup
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(spread(pages, "page_id"), html_extract.learn(pages))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,5 +59,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_ngram_jaccard_join, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
