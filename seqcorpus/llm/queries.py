@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe, html_extract, jaccard_join, lm_scoring, mixing, nearest, quality_rules, sharding, suffix_dedup
+from seqcorpus.llm import byte_bpe, html_extract, jaccard_join, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sharding, suffix_dedup
 from seqcorpus.llm.common import small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return lm_scoring.score(table(spark, sf_dir, "documents"))
@@ -59,5 +64,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_ngram_jaccard_join, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_ngram_jaccard_join, op3_weak_labels, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
 ORACLES: dict[str, str] = {}
