@@ -1,29 +1,62 @@
 """Documents to token ids: quality rules, near duplicates, repeated passages, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the docs of the next stage.  All but the last return the columns of ``documents``.
+again as the docs of the next stage.  All but the last return the columns of ``documents``; other columns of
+their input pass through them.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe
+from seqcorpus.llm import byte_bpe, jaccard_join, mixing, quality_rules, suffix_dedup
 from seqcorpus.llm.common import small_batches, table, written
+from seqcorpus.llm.queries import RANKS
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: token ids with their character offsets, and the count of tokens."""
-    from seqcorpus.llm.queries import RANKS
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the quality rules reject go.  The rules are learned from ``labels``."""
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(quality_rules.statistics(docs), rules).where("kept").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: of each component of near copies the smallest doc_id stays (of repeated rows, one)."""
+    small_batches(spark)
+    named = jaccard_join.near_duplicates(docs)
+    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
 
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: bytes in strings of 400 that occur elsewhere go; a document stays with what is left."""
+    small_batches(spark)
+    left = suffix_dedup.remove_repeats(docs, length=400, as_text=True)
+    return left.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: documents of smaller sources are repeated to the tempered weights; none goes."""
+    return mixing.mixed(docs)
+
+
+def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: token ids and their character offsets."""
     small_batches(spark)
     return byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, offsets=True)
 
 
-STAGES = [("byte-level BPE encoding and decoding", encode_documents)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode_documents),
+]
 
-#: No stage but the last is deterministic SQL (learned rules, similarity joins): tested by brute force.
+#: Learned rules, components and encodings are no SQL: tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 

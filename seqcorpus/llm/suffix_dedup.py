@@ -198,8 +198,10 @@ def cut_spans(raw: bytes, starts: list[int], counts: list[int], length: int) ->
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``."""
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
+                   as_text: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` (binary, or with ``as_text`` a string without the parts of cut characters),
+    ``n_bytes``, ``n_removed`` and ``n_spans``."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
     spans = repeated_spans(docs.select(key.alias("_sdoc"), text), length, gram, text)
     spans = spans.distinct().groupBy("_sdoc").agg(F.collect_list("start").alias("_sstart"), F.collect_list("n").alias("_sn"))
@@ -213,9 +215,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, doc_id:
             names = [c for c in batch.schema.names if not c.startswith("_s") and c not in new]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]
-                + [pa.array([r[0] for r in rows], pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64()),
+                + [pa.array([r[0].decode("utf-8", "ignore") for r in rows], pa.string()) if as_text else pa.array([r[0] for r in rows], pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64()),
                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*names, *new])
 
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in new]
-    return joined.mapInArrow(task, ", ".join([*kept, "kept binary", "n_bytes long", "n_removed long", "n_spans long"]))
+    return joined.mapInArrow(task, ", ".join([*kept, f"kept {'string' if as_text else 'binary'}", "n_bytes long", "n_removed long", "n_spans long"]))
