@@ -3,7 +3,8 @@
 A page becomes a sequence of tags and runs of words; a linear scan finds the contiguous stretch of the
 greatest sum, where words of content kinds score above zero, words of other kinds and all tags below.  A
 word's kind is its block element, whether it is in a link, and whether an enclosing element names itself as
-something beside the article (navigation, advert, form, reader comments, ...).  Weights are learned from
+something beside the article (navigation, advert, form, reader comments, ...); such an element costs its tags
+and one word, however long, so that one within the article doesn't split it.  Weights are learned from
 labelled pages, those whose markup has exactly one <article> or <main>: a word kind weighs the log odds of
 lying inside it, a tag the log probability.  Counts come from a bounded sample of pages (``sample_pages``) on
 top of a small prior.  The text of the stretch, without the words of those other elements, is the result.
@@ -53,8 +54,9 @@ NAME_PARTS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 #: Word kinds and tags seen in no sample: counts (inside, outside) that stand for common markup.
-PRIOR = {"w:p": (3, 0.5), "w:h1": (1.5, 1), "w:li": (1, 1.5), "w:beside": (0.05, 8), "w:link": (0.5, 2)}
-LIMIT = 4.0
+PRIOR = {"w:p": (3, 0.5), "w:h1": (1.5, 1), "w:li": (1, 1.5), "w:beside": (0.5, 4), "w:link": (1, 1),
+         "t:p": (5, 0.5), "t:/p": (5, 0.5), "t:br": (3, 0.5), "t:b": (3, 0.5), "t:/b": (3, 0.5), "t:i": (3, 0.5), "t:/i": (3, 0.5)}
+LIMIT, BESIDE_LIMIT = 4.0, 2.0
 
 
 def _beside(name: str, attributes: str) -> bool:
@@ -112,11 +114,12 @@ def sequence(page: str) -> list[tuple]:
 
     ``inside`` says whether the item lies in an <article> or <main>."""
     out, stack = [], []  # stack: open block or beside elements as (name, beside)
-    block, link, depth, beside = 0, 0, 0, 0
+    block, link, depth, beside, told = 0, 0, 0, 0, False  # told: this beside element has had its word
     for name, closing, rest in events(page):
         if name is None:
             text = html.unescape(closing) if "&" in closing else closing
-            kind = "w:beside" if beside else "w:link" if link else "w:" + next((n for n, _ in reversed(stack) if n != "br"), "body")
+            kind = "in" if told else "w:beside" if beside else "w:link" if link else "w:" + next((n for n, _ in reversed(stack) if n != "br"), "body")
+            told = told or beside > 0 and not text.isspace()
             out.append(("text", kind, depth > 0, text, block, beside > 0))
             continue
         if name in BLOCKS:
@@ -131,9 +134,10 @@ def sequence(page: str) -> list[tuple]:
                     beside -= b
                 depth -= sum(n in ("article", "main") for n, _ in stack[at:])
                 del stack[at:]
-            out.append(("tag", f"t:/{name}", depth > 0 or content))
+            out.append(("tag", "in" if told and beside else f"t:/{name}", depth > 0 or content))
+            told = told and beside > 0
         else:
-            out.append(("tag", f"t:{name}", depth > 0 or content))
+            out.append(("tag", "in" if told else f"t:{name}", depth > 0 or content))
             if name in VOID or rest.rstrip().endswith("/"):
                 continue
             if name == "p" and stack and stack[-1][0] in HEADINGS | {"p"} or name == "li" and stack and stack[-1][0] == "li":
@@ -152,7 +156,7 @@ def region(items: list[tuple], weight) -> tuple[int, int]:
     best, found, total, start = 0.0, (0, 0), 0.0, 0
     for i, item in enumerate(items):
         score = weight(item[1])
-        if item[0] == "text":
+        if item[0] == "text" and not item[5]:
             score *= len(item[3].split())
         if total <= 0:
             total, start = 0.0, i
@@ -169,6 +173,7 @@ def weights(counts: dict[str, tuple[float, float]]):
         a, b = (x + y for x, y in zip(counts.get(key, (0, 0)), PRIOR.get(key, (0.5, 0.5)), strict=True))
         odds = math.log((a + 0.05) / (b + 0.05))
         known[key] = max(-LIMIT, min(LIMIT, odds)) if key.startswith("w:") else max(-LIMIT, -math.log1p(math.exp(-odds)))
+    known["in"], known["w:beside"] = 0.0, max(-BESIDE_LIMIT, min(-0.5, known["w:beside"]))
     return lambda key: known.get(key, 0.5 if key.startswith("w:") else -0.7)
 
 
@@ -200,6 +205,8 @@ def learn(pages: DataFrame, sample_pages: int = 2000, column: str = "html", key:
                     continue
                 own: dict[str, list[float]] = {}
                 for item in items:
+                    if item[1] == "in":
+                        continue
                     n = len(item[3].split()) if item[0] == "text" else 1
                     own.setdefault(item[1], [0, 0])[0 if item[2] else 1] += n
                 for k, (a, b) in own.items():
