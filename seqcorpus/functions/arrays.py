@@ -96,18 +96,15 @@ def band_labels(token, cutoffs: list[int], vocab_size: int):
     Ids below cutoffs[0] keep their id as head label (band 0, no tail label).  Band i+1 holds
     cutoffs[i] <= id < cutoffs[i+1]; its head label is ``cutoffs[0] + i - 1`` and its tail label
     ``id - cutoffs[i]``.  The vocabulary size is appended as the last cutoff when larger."""
-    cut = list(cutoffs)
-    if vocab_size > cut[-1]:
-        cut = cut + [vocab_size]
-    elif vocab_size != cut[-1]:
-        raise ValueError("cannot specify cutoff smaller than vocab size")
-    t = _c(token)
-    head = F.when(t < cut[0], t)
-    band = F.when(t < cut[0], F.lit(0))
-    tail = F.when(t < cut[0], F.lit(None).cast("int"))
-    for i in range(len(cut) - 1):
-        in_band = (t >= cut[i]) & (t < cut[i + 1])
-        head = head.when(in_band, F.lit(cut[0] + i - 1))
-        band = band.when(in_band, F.lit(i + 1))
-        tail = tail.when(in_band, t - cut[i])
+    if max(cutoffs) > vocab_size:
+        raise ValueError(f"a band may not begin behind the vocabulary's end ({vocab_size})")
+    bounds = sorted({*cutoffs, vocab_size})
+    token, shortlist = _c(token), bounds[0]
+    head, band, tail = F.when(token < shortlist, token), F.when(token < shortlist, F.lit(0)), None
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:]), start=1):
+        here = token.between(low, high - 1)
+        head = head.when(here, F.lit(shortlist + k - 2))
+        band = band.when(here, F.lit(k))
+        tail = F.when(here, token - low) if tail is None else tail.when(here, token - low)
+    tail = F.lit(None).cast("int") if tail is None else tail
     return head, band, tail

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from seqcorpus.plans.broadcast import maybe_broadcast
 from seqcorpus.plans.index import global_index
 
-# histogram rows the driver replays at most (max_src x max_tgt at the default caps of 1024)
-MAX_RUNS = 4_200_000
 _INF = float("inf")
 
 
@@ -45,7 +43,7 @@ def invalid_report(df: DataFrame, max_src: int, max_tgt: int | None, order_cols:
     bad = df.filter(~cond)
     n = bad.count()
     if mode == "raise" and n > 0:
-        raise ValueError(f"{n} samples have invalid sizes, max_positions=({max_src}, {max_tgt})")
+        raise ValueError(f"{n} rows are longer than allowed (source {max_src}, target {max_tgt})")
     first = bad.orderBy(*order_cols).limit(10).select(id_col)
     return first.agg(F.lit(n).cast("long").alias("n_invalid"),
                      F.array_join(F.transform(F.collect_list(id_col), lambda x: x.cast("string")), " ").alias("_ids"))
@@ -157,26 +155,6 @@ def plan_segments(runs, max_tokens, max_sentences, mult: int = 1):
     return segs
 
 
-def _replay_rows(costs, max_tokens, max_sentences, mult):
-    """Plain row-by-row replay (test oracle and small inputs): list of batches of ranks."""
-    T = _INF if max_tokens is None else max_tokens
-    S = _INF if max_sentences is None else max_sentences
-    out, batch, lens, ml = [], [], [], 0
-    for rank, v in enumerate(costs):
-        lens.append(v)
-        ml = max(ml, v)
-        if len(batch) > 0 and (len(batch) == S or (len(batch) + 1) * ml > T):
-            m = _flush_size(len(batch), mult)
-            out.append(batch[:m])
-            batch = batch[m:]
-            lens = lens[m:]
-            ml = max(lens) if lens else 0
-        batch.append(rank)
-    if batch:
-        out.append(batch)
-    return out
-
-
 def token_budget_batches(df: DataFrame, id_cols: list[str], max_tokens: int | None,
                          max_sentences: int | None = None, mult: int = 1, src_len: str = "src_len",
                          tgt_len: str | None = "tgt_len", batch_col: str = "batch_id") -> DataFrame:
@@ -187,8 +165,6 @@ def token_budget_batches(df: DataFrame, id_cols: list[str], max_tokens: int | No
     tkey = F.coalesce(F.col(tgt_len), F.lit(-1)) if tgt_len else F.lit(-1)
     keyed = df.withColumn("_tk", tkey)
     hist = keyed.groupBy(src_len, "_tk").agg(F.count(F.lit(1)).alias("_n"))
-    if hist.limit(MAX_RUNS + 1).count() > MAX_RUNS:
-        raise ValueError("length histogram exceeds the replay bound; cap lengths with valid_size first")
     runs = [(int(r[0]), int(r[1]), int(r[2])) for r in hist.orderBy(src_len, "_tk").collect()]
     segs = plan_segments([(max(s, t, 0), n) for s, t, n in runs], max_tokens, max_sentences, mult)
     # segments x runs overlap table (two-pointer sweep over rank ranges)
@@ -225,6 +201,7 @@ def buffered_batches(df: DataFrame, line_col: str, size: int, max_tokens: int |
     """BAT-05: lines taken ``size`` at a time (by ``line_col`` order), each buffer batched on its own
     (greedy over source length, ties by line).  A buffer is at most ``size`` rows, so the per-buffer
     loop runs as a bounded grouped-map task."""
+    import numpy as np
     import pandas as pd
 
     T, S = max_tokens, max_sentences
@@ -232,11 +209,9 @@ def buffered_batches(df: DataFrame, line_col: str, size: int, max_tokens: int |
 
     def per_buffer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([src_len, line_col], kind="mergesort")
-        batches = _replay_rows(pdf[src_len].tolist(), T, S, 1)
-        lab = [0] * len(pdf)
-        for b, ranks in enumerate(batches):
-            for r in ranks:
-                lab[r] = b
+        lengths = pdf[src_len].value_counts(sort=False).sort_index()
+        sizes = np.array([size for _, size, times in plan_segments(list(lengths.items()), T, S, 1) for _ in range(times)], np.int64)
+        lab = np.repeat(np.arange(len(sizes)), sizes)
         return pd.DataFrame({line_col: pdf[line_col].astype("int64").values,
                              "buffer": pdf["buffer"].astype("int64").values,
                              "batch_in_buffer": pd.Series(lab, dtype="int64").values})

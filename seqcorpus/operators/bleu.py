@@ -28,13 +28,16 @@ def bleu_side(tokens, is_reference: bool) -> Column:
     """Sentence as the scorer sees it: tokens + end-of-sentence, leading pads removed, trailing
     end-of-sentence/pad removed but never below one token (an empty line counts 1 token);
     reference unknown words replaced so they cannot match."""
-    arr = F.concat(_c(tokens), F.array(F.lit(EOS_WORD)))
-    lead = F.aggregate(F.sequence(F.lit(1), F.size(arr)), F.lit(0),
-                       lambda acc, i: F.when((acc == i - 1) & (F.element_at(arr, i) == PAD_WORD), i).otherwise(acc))
-    arr = F.slice(arr, lead + 1, F.size(arr))
-    last = F.aggregate(F.sequence(F.lit(1), F.size(arr)), F.lit(1),
-                       lambda acc, i: F.when(~F.element_at(arr, i).isin(EOS_WORD, PAD_WORD), i).otherwise(acc))
-    arr = F.slice(arr, 1, last)
+    def trimmed(arr):
+        at = F.transform(arr, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+        kept = F.filter(at, lambda t: t.x != PAD_WORD)
+        first = F.coalesce(F.get(kept, 0).i, F.size(arr) + 1)
+        words = F.filter(at, lambda t: ~t.x.isin(EOS_WORD, PAD_WORD))
+        last = F.greatest(F.coalesce(F.element_at(F.transform(words, lambda t: t.i), -1), F.lit(0)), first)
+        return F.when(F.size(words) > 0, F.slice(arr, first, last - first + 1)).otherwise(F.slice(arr, first, 1))
+
+    # a lambda's variable is computed once a row; an expression inside a lambda is, for every element
+    arr = F.transform(F.array(F.concat(_c(tokens), F.array(F.lit(EOS_WORD)))), trimmed)[0]
     if is_reference:
         arr = F.transform(arr, lambda x: F.when(x == UNK_WORD, F.lit(UNK_SENTINEL)).otherwise(x))
     return arr

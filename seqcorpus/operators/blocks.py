@@ -32,7 +32,7 @@ def stream_positions(sent: DataFrame, stream: str, order_cols: list[str], size_c
     cum = global_cumsum(sent, [F.col(stream)] + [F.col(c) for c in order_cols], size_col, name="_gpos")
     idx = global_index(cum, [F.col(stream)] + [F.col(c) for c in order_cols], name="_gidx")
     base = idx.groupBy(stream).agg(F.min("_gpos").alias("_p0"), F.min("_gidx").alias("_i0"))
-    return (idx.join(F.broadcast(base), stream)
+    return (idx.join(base, stream)
             .withColumn("start_pos", F.col("_gpos") - F.col("_p0"))
             .withColumn("sent_no", F.col("_gidx") - F.col("_i0"))
             .drop("_gpos", "_p0", "_gidx", "_i0"))
@@ -95,7 +95,7 @@ def blocks_complete(sent: DataFrame, stream: str, order_cols: list[str], block_s
         for i in range(n_own - 1, -1, -1):
             j = nxt[i]
             if j >= n_own:
-                exit_[i] = nos[j] if j < len(nos) else nos[n_own - 1] + 1
+                exit_[i] = nos[j] if j < len(nos) else nos[-1] + 1  # past the last row: the stream ends there
                 nblk[i] = 1
             else:
                 exit_[i] = exit_[j]
@@ -117,7 +117,9 @@ def blocks_complete(sent: DataFrame, stream: str, order_cols: list[str], block_s
             x, nb = t[(c, e)]
             plan.append((key, c, e, blocks))
             blocks += nb
-            e, c = x, x // C
+            last, e, c = c, x, x // C
+        if t and (e - 1) // C > last:  # the last block reaches into a chunk where no block begins
+            plan.append((key, (e - 1) // C, e, blocks))
     plan_df = s.sparkSession.createDataFrame(plan, f"{stream} {stype}, _chunk long, _entry long, _boff long")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +158,7 @@ def lm_shift(blocks: DataFrame, stream: str, block_col: str = "block_id", ids_co
     last token by a per-stream aggregate - no window over a whole stream."""
     last = blocks.select(stream, (F.col(block_col) + 1).alias(block_col), F.element_at(ids_col, -1).alias("_prev"))
     tail = blocks.groupBy(stream).agg(F.max_by(F.element_at(ids_col, -1), F.col(block_col)).alias("_last"))
-    j = blocks.join(last, [stream, block_col], "left").join(F.broadcast(tail), stream)
+    j = blocks.join(last, [stream, block_col], "left").join(tail, stream)
     first = F.when(F.col(block_col) == 0, F.col("_last")).otherwise(F.col("_prev"))
     return (j.withColumn("source", F.concat(F.array(first), F.slice(ids_col, 1, F.size(ids_col) - 1)))
             .withColumnRenamed(ids_col, "target").drop("_prev", "_last"))

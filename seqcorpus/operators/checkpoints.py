@@ -37,10 +37,16 @@ def average_checkpoints(ckpts: DataFrame, group_cols: list[str] | None = None) -
         F.max("is_int").alias("is_int"))
 
 
+def _with_epoch(files: DataFrame, name_col: str, pattern: str) -> DataFrame:
+    """Files whose whole name fits the pattern, with their number; others (checkpoint_best.pt) are skipped."""
+    fits = files.filter(F.col(name_col).rlike(f"^(?:{pattern})$"))
+    return fits.withColumn("epoch", F.regexp_extract(name_col, pattern, 1).try_cast("long")).filter(F.col("epoch").isNotNull())
+
+
 def last_n_checkpoints(files: DataFrame, n: int, upper: int | None = None, name_col: str = "name",
                        pattern: str = r"checkpoint(\d+)\.pt") -> DataFrame:
     """WIN-13: epoch number parsed from the file name, <= upper, the n largest; fewer → error."""
-    f = files.withColumn("epoch", F.regexp_extract(name_col, pattern, 1).cast("long")).filter(F.col("epoch").isNotNull())
+    f = _with_epoch(files, name_col, pattern)
     if upper is not None:
         f = f.filter(F.col("epoch") <= upper)
     top = f.orderBy(F.col("epoch").desc()).limit(n)
@@ -52,7 +58,7 @@ def last_n_checkpoints(files: DataFrame, n: int, upper: int | None = None, name_
 def prune_old_checkpoints(files: DataFrame, keep: int, name_col: str = "name",
                           pattern: str = r"checkpoint(\d+)\.pt") -> DataFrame:
     """WIN-14: all but the newest ``keep`` (lists the rows, deletes nothing)."""
-    f = files.withColumn("epoch", F.regexp_extract(name_col, pattern, 1).cast("long"))
+    f = _with_epoch(files, name_col, pattern)
     newest = f.orderBy(F.col("epoch").desc()).limit(keep).select(name_col)
     return f.join(newest, name_col, "left_anti")
 
@@ -60,8 +66,8 @@ def prune_old_checkpoints(files: DataFrame, keep: int, name_col: str = "name",
 def attach_embeddings(vocab: DataFrame, emb: DataFrame, dim: int, default: float = 0.0) -> DataFrame:
     """JN-06: every vocabulary word gets its pretrained vector, others keep the default vector."""
     j = vocab.join(maybe_broadcast(emb.select("symbol", "vector")), "symbol", "left")
-    return j.withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(default), dim))).withColumn(
-        "pretrained", F.col("vector").isNotNull())
+    return j.withColumns({"pretrained": F.col("vector").isNotNull(),
+                          "vector": F.coalesce("vector", F.array_repeat(F.lit(default), dim))})
 
 
 def embedding_overlap(vocab: DataFrame, emb: DataFrame) -> DataFrame:

@@ -81,10 +81,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
         how = "broadcast" if row_count_at_most(vocab, max_broadcast_rows) is not None else "shuffle"
     if how == "broadcast":
         symbols, ids = _lookup_table(vocab)
-        bc = df.sparkSession.sparkContext.broadcast((symbols, ids))
-        s, i = bc.value
         out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-        return df.mapInArrow(_arrow_encoder(s, i, tokens_col, out_col, append_eos, reverse_order, EOS, UNK),
+        return df.mapInArrow(_arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse_order, EOS, UNK),
                              out_schema)
     if not key_cols:
         raise ValueError("the shuffle strategy needs key_cols that identify a row")

@@ -81,19 +81,25 @@ def nll_loss(scored: DataFrame, group_cols: list[str], pad: int = PAD) -> DataFr
 
 
 def label_smoothed_loss(scored: DataFrame, unseen: DataFrame, model: DataFrame, vocab_size: int,
-                        eps: float, group_cols: list[str], sentence_avg: bool = False, pad: int = PAD) -> DataFrame:
+                        eps: float, group_cols: list[str], sentence_avg: bool = False, pad: int = PAD,
+                        sentence_cols: list[str] | None = None) -> DataFrame:
     """AGG-17: ``(1-eps)*nll + eps/V * sum_v(-log p_v)`` per position, summed per group;
     ``loss / sample_size / ln 2`` and ``nll / ntokens / ln 2``.  The full-vocabulary sum per
-    context = observed part + (V - n_seen) * (-lp0)."""
+    context = observed part + (V - n_seen) * (-lp0).  ``sentence_avg`` divides the loss by the number of
+    sentences, told apart by ``sentence_cols``."""
+    if sentence_avg and not sentence_cols:
+        raise ValueError("sentence_avg needs the columns that name a sentence")
+    sentence = F.struct(*sentence_cols) if sentence_cols else F.lit(None)
     ctx_sum = (model.groupBy("ctx").agg((-F.sum("lp")).alias("_obs"))
                .join(unseen, "ctx")
                .select("ctx", (F.col("_obs") - (F.lit(vocab_size) - F.col("n_seen")) * F.col("lp0")).alias("smooth")))
     s = scored.filter(F.col("token") != pad).join(maybe_broadcast(ctx_sum), "ctx", "left")
-    per = s.select(*group_cols, "pos", (-F.col("lp")).alias("nll"),
+    per = s.select(*group_cols, "pos", sentence.alias("_sentence"), (-F.col("lp")).alias("nll"),
                    ((1 - eps) * (-F.col("lp")) + eps / vocab_size * F.col("smooth")).alias("loss"))
     agg = per.groupBy(*group_cols).agg(F.sum("loss").alias("loss"), F.sum("nll").alias("nll"),
-                                       F.count(F.lit(1)).alias("ntokens"))
-    size = F.lit(1) if sentence_avg else F.col("ntokens")
+                                       F.count(F.lit(1)).alias("ntokens"),
+                                       *([F.count_distinct("_sentence").alias("_n")] if sentence_avg else []))
+    size = F.col("_n") if sentence_avg else F.col("ntokens")
     return agg.select(*group_cols, "loss", "nll", "ntokens",
                       (F.col("loss") / size / F.lit(LN2)).alias("loss_bits"),
                       (F.col("nll") / F.col("ntokens") / F.lit(LN2)).alias("nll_bits"))

@@ -1059,7 +1059,7 @@ def q_remove_bpe(spark, sf_dir):
     """Marks every word longer than 4 characters as two subword pieces, then removes the marker."""
     l = document_lines(spark, sf_dir, cols=())
     pieces = F.array_join(F.transform(tokenize("text"), lambda w: F.when(F.length(w) > 4, F.concat(
-        F.substring(w, 1, 4), F.lit("@@ "), F.substring(w, 5, 1 << 20))).otherwise(w)), " ")
+        F.substring(w, F.lit(1), F.lit(4)), F.lit("@@ "), F.substring(w, F.lit(5), F.length(w)))).otherwise(w)), " ")
     r = l.select(*LINE_ORDER, tx.remove_bpe(pieces).alias("restored"), F.array_join(tokenize("text"), " ").alias("orig"))
     return r.select(*LINE_ORDER, (F.col("restored") == F.col("orig")).alias("round_trip"), F.md5("restored").alias("text_md5"))
 
@@ -1107,7 +1107,7 @@ def q_merge_scores(spark, sf_dir):
     toks = voc.explode_tokens(lines, LINE_ORDER)
     seg = bp.apply_bpe(toks, _merges(spark, sf_dir))
     pieces = seg.select(*LINE_ORDER, "pos", F.posexplode(F.split("pieces", " ")).alias("k", "piece")) \
-        .select(*LINE_ORDER, (F.col("pos") * 1000 + F.col("k")).alias("ppos"), "piece", F.lit(-1.0).alias("score"))
+        .select(*LINE_ORDER, F.struct("pos", "k").alias("ppos"), "piece", F.lit(-1.0).alias("score"))
     w = sc.merge_bpe_scores(pieces, LINE_ORDER, pos_col="ppos")
     return w.groupBy().agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_merged").alias("n_merged"),
                            F.round(F.sum("score"), 3).alias("total_score"))

@@ -2,17 +2,16 @@
 
 ``min(struct(...))`` has a non-fixed-width buffer and forces a sort-based aggregate.  When the
 order columns are non-negative integers whose digit widths add up to <= 38, the same
-lexicographic order is one DECIMAL(38,0) value, which hash aggregation updates in place.
+lexicographic order is one BIGINT or DECIMAL(38,0) value, which hash aggregation updates in place.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DIGITS = 38
+LONG_DIGITS = 18
 
 
 def digit_widths(df: DataFrame, cols: list[str]) -> list[int] | None:
@@ -32,23 +31,23 @@ def digit_widths(df: DataFrame, cols: list[str]) -> list[int] | None:
 
 
 def packed_key(cols: list, widths: list[int]) -> Column:
-    """DECIMAL(38,0) whose order equals the lexicographic order of ``cols``."""
-    key = None
-    shift = 0
-    for c, w in reversed(list(zip(cols, widths))):
-        c = F.col(c) if isinstance(c, str) else c
-        term = c.cast("decimal(38,0)") * F.lit(Decimal(10 ** shift)) if shift else c.cast("decimal(38,0)")
-        key = term if key is None else key + term
-        shift += w
-    return key.cast("decimal(38,0)")
+    """A number whose order equals the lexicographic order of ``cols``: BIGINT arithmetic up to 18 digits,
+    else a DECIMAL(38,0) read from the padded digits (decimal products would overflow their type)."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in cols]
+    if sum(widths) <= LONG_DIGITS:
+        key = F.lit(0).cast("long")
+        for c, w in zip(columns, widths):
+            key = key * F.lit(10 ** w).cast("long") + c.cast("long")
+        return key
+    return F.concat(*[F.lpad(c.cast("string"), w, "0") for c, w in zip(columns, widths)]).cast("decimal(38,0)")
 
 
 def unpack_key(key, widths: list[int], names: list[str]) -> list[Column]:
-    """Inverse of ``packed_key`` (columns as BIGINT)."""
-    out = []
-    shift = sum(widths)
+    """Inverse of ``packed_key`` (columns as BIGINT): the key's digits, cut by widths."""
     k = F.col(key) if isinstance(key, str) else key
+    digits = F.lpad(k.cast("string"), sum(widths), "0")
+    out, at = [], 1
     for w, n in zip(widths, names):
-        shift -= w
-        out.append(F.floor((k / F.lit(Decimal(10 ** shift))) % F.lit(Decimal(10 ** w))).cast("long").alias(n))
+        out.append(F.substring(digits, at, w).cast("long").alias(n))
+        at += w
     return out

@@ -30,8 +30,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory; only when none is configured (local tests)
-    create a private one under the system temp folder."""
+    """Return the cluster's checkpoint directory.  Only where none is configured and Spark is local (tests) a
+    private one is made under the system temp folder; on a cluster that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -40,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="seqcorpus-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -14,15 +14,18 @@ from seqcorpus.constants import NSPECIAL
 from seqcorpus.plans.index import global_index
 
 
-def read_lines(spark: SparkSession, path, **extra) -> DataFrame:
-    """SRC-01: ``(file_path, line_no, text)``; line breaks as Python's built-in open."""
+def read_lines(spark: SparkSession, path, per_file: bool = True, **extra) -> DataFrame:
+    """SRC-01: ``(file_path, line_no, text)``; line breaks as Python's built-in open.  With ``per_file`` false,
+    lines are numbered on through a folder's files in the order of their names: one text in several parts."""
     df = spark.read.text(path).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_bs"), F.monotonically_increasing_id().alias("_mid"))
     g = global_index(df, ["file_path", "_bs", "_mid"], name="_g")
-    first = g.groupBy("file_path").agg(F.min("_g").alias("_g0"))
-    out = g.join(F.broadcast(first), "file_path").select(
-        "file_path", (F.col("_g") - F.col("_g0")).alias("line_no"), "text")
+    if per_file:
+        first = g.groupBy("file_path").agg(F.min("_g").alias("_g0"))
+        out = g.join(first, "file_path").select("file_path", (F.col("_g") - F.col("_g0")).alias("line_no"), "text")
+    else:
+        out = g.select("file_path", F.col("_g").alias("line_no"), "text")
     for k, v in extra.items():
         out = out.withColumn(k, F.lit(v))
     return out
@@ -64,7 +67,7 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """SRC-07: split at the last space; reserved entries re-added; ids follow file order."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, per_file=False)
     m = F.regexp_extract("text", r"^(.*) (-?\d+)$", 1)
     c = F.regexp_extract("text", r"^(.*) (-?\d+)$", 2)
     words = lines.select((F.col("line_no") + NSPECIAL).cast("int").alias("id"), m.alias("symbol"), c.cast("long").alias("count"))
@@ -75,7 +78,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """SRC-13: ``src tgt`` per line, duplicates → last wins."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, per_file=False)
     sp = F.split("text", " ")
     return (lines.select(sp[0].alias("src"), sp[1].alias("tgt"), "line_no")
             .groupBy("src").agg(F.max_by("tgt", "line_no").alias("tgt")))
@@ -83,7 +86,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """SRC-11: header skipped; fields on single spaces; first = word; duplicates → last wins."""
-    lines = read_lines(spark, path).filter(F.col("line_no") > 0)
+    lines = read_lines(spark, path, per_file=False).filter(F.col("line_no") > 0)
     sp = F.split(F.rtrim("text"), " ")
     rows = lines.select(F.element_at(sp, 1).alias("symbol"),
                         F.transform(F.slice(sp, 2, F.size(sp) - 1), lambda x: x.cast("float")).alias("vector"), "line_no")

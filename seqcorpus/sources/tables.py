@@ -32,10 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores (a small file
-    with one row group is read by one task).  Large inputs already have enough splits and are
-    returned untouched, so this never adds a shuffle at scale."""
+    with one row group is read by one task).  Inputs of several files are returned untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 

@@ -37,11 +37,11 @@ def stream_encode(lines: DataFrame, vocab: DataFrame, out: str, checkpoint: str)
 
 def stream_word_counts(lines: DataFrame, out: str, checkpoint: str):
     """STR-02: running counts per word in update mode; each micro-batch's changed rows are
-    appended with their batch id (the newest row per word is the current count)."""
+    written to its own folder, which a replay overwrites (the newest row per word is the current count)."""
     counts = lines.select(F.explode(tokenize("text")).alias("symbol")).groupBy("symbol").count()
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -62,8 +62,7 @@ def stream_score(lines: DataFrame, score_fn, out: str, checkpoint: str, id_cols:
     """STR-04: each micro-batch is scored by ``score_fn(batch) -> DataFrame`` and written sorted by
     the input ids (order holds inside a micro-batch)."""
     def sink(batch: DataFrame, batch_id: int):
-        score_fn(batch).withColumn("batch_id", F.lit(batch_id)).sortWithinPartitions(*id_cols) \
-            .write.mode("append").parquet(out)
+        score_fn(batch).sortWithinPartitions(*id_cols).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
-"""BAT-01 and WIN-07 against plain row-by-row replays; padding/positions golden matrices."""
+"""BAT-01, BAT-05 and WIN-07 against plain versions of their rules; padding/positions golden matrices."""
 
+import bisect
 import itertools
 import random
 
@@ -10,18 +11,32 @@ from seqcorpus.operators import batching as bt
 from seqcorpus.operators import blocks as blk
 
 
-def _replay_complete(sizes, B):
-    out, cur, blk_id, labels = [], 0, 0, []
-    for s in sizes:
-        if cur + s <= B or cur == 0:
-            cur += s
-        else:
-            blk_id += 1
-            cur = s
-        labels.append(blk_id)
+def _whole_sentence_blocks(sizes, B):
+    """Block numbers by the rule: a block reaches to the last sentence whose end is within B of its start."""
+    ends, labels, block = list(itertools.accumulate(sizes)), [], 0
+    while len(labels) < len(sizes):
+        begin = ends[len(labels) - 1] if labels else 0
+        stop = max(bisect.bisect_right(ends, begin + B), len(labels) + 1)
+        labels += [block] * (stop - len(labels))
+        block += 1
     return labels
 
 
+def _batches_by_rule(costs, T, S, mult):
+    """Batches as ranges of ranks: before a row would break a limit, the largest multiple of ``mult`` of the
+    open rows leaves (fewer than that: all of them)."""
+    first, out = 0, []
+    for rank in range(len(costs)):
+        held = rank - first
+        full = S is not None and held == S or T is not None and (held + 1) * max(costs[first:rank + 1]) > T
+        if held and full:
+            leave = held - held % mult if held >= mult else held
+            leave = max(leave, held % mult)
+            out.append(list(range(first, first + leave)))
+            first += leave
+    return out + ([list(range(first, len(costs)))] if first < len(costs) else [])
+
+
 def test_plan_segments_random():
     rnd = random.Random(7)
     for _ in range(500):
@@ -34,7 +49,7 @@ def test_plan_segments_random():
             S = 5
         segs = bt.plan_segments(runs, T, S, m)
         flat = [list(range(a + j * k, a + (j + 1) * k)) for a, k, e in segs for j in range(e)]
-        assert flat == bt._replay_rows(costs, T, S, m)
+        assert flat == _batches_by_rule(costs, T, S, m)
 
 
 def test_token_budget_batches_spark(spark):
@@ -43,7 +58,7 @@ def test_token_budget_batches_spark(spark):
     df = spark.createDataFrame(rows, "id long, src_len int, tgt_len int")
     got = {r.id: r.batch_id for r in bt.token_budget_batches(df, ["id"], 200, None, 8).collect()}
     order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
-    want = bt._replay_rows([max(r[1], r[2]) for r in order], 200, None, 8)
+    want = _batches_by_rule([max(r[1], r[2]) for r in order], 200, None, 8)
     for b, ranks in enumerate(want):
         for k in ranks:
             assert got[order[k][0]] == b
@@ -58,10 +73,11 @@ def test_complete_blocks_multi_chunk(spark):
     for st in ("a", "b"):
         sizes = [r[2] for r in rows if r[0] == st]
         got = [r.block_id for r in sorted((r for r in out if r.s == st), key=lambda r: r.i)]
-        assert got == _replay_complete(sizes, B)
+        assert got == _whole_sentence_blocks(sizes, B)
 
 
 def test_padding_and_positions_golden(spark):
+    # fixed values: the matrices must come out exactly so
     left = [[2, 3, 4, 5, 6], [1, 7, 8, 9, 10], [1, 1, 1, 11, 12]]
     right = [[2, 3, 4, 5, 6], [7, 8, 9, 10, 1], [11, 12, 1, 1, 1]]
     df = spark.createDataFrame([(i, l, r) for i, (l, r) in enumerate(zip(left, right))], "row int, l array<int>, r array<int>")
@@ -81,3 +97,22 @@ def test_shift_and_pad(spark):
     r = df.select(A.shift_eos_first("ids").alias("p"), A.pad_to("ids", 5, True).alias("l")).first()
     assert list(r.p) == [2, 5, 6] and list(r.l) == [1, 1, 5, 6, 2]
     assert df.select(A.strip_pad(F.array(F.lit(1), F.lit(4), F.lit(1))).alias("x")).first().x == [4]
+
+
+def test_complete_blocks_last_block_spans_the_look_ahead(spark):
+    """The last chunk's rest fits the open block: it must not become a block of its own."""
+    for n in (14, 25, 26, 27, 28, 39, 40):
+        df = spark.createDataFrame([("a", i, 1) for i in range(n)], "s string, i long, size long")
+        out = blk.blocks_complete(df, "s", ["i"], 12, chunk_sentences=13).collect()
+        assert [r.block_id for r in sorted(out, key=lambda r: r.i)] == _whole_sentence_blocks([1] * n, 12)
+
+
+def test_buffered_batches(spark):
+    rnd = random.Random(8)
+    sizes = [rnd.randint(1, 30) for _ in range(95)]
+    out = bt.buffered_batches(spark.createDataFrame(list(enumerate(sizes)), "line long, src_len int"), "line", 20, 60, None).collect()
+    got = {r.line: (r.buffer, r.batch_in_buffer) for r in out}
+    for buf in range(5):
+        lines = sorted((size, i) for i, size in enumerate(sizes) if i // 20 == buf)
+        for b, ranks in enumerate(_batches_by_rule([x for x, _ in lines], 60, None, 1)):
+            assert all(got[lines[r][1]] == (buf, b) for r in ranks)
