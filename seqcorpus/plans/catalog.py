@@ -787,9 +787,8 @@ def _emb_words(spark, sf_dir):
 @register("jn_06_embedding_vocab_join")
 def q_attach(spark, sf_dir):
     j = ck.attach_embeddings(_joint_vocab(spark, sf_dir), _emb_words(spark, sf_dir), 64)
-    e = _emb_words(spark, sf_dir).select("symbol", F.lit(True).alias("hit"))
-    j = j.join(e, "symbol", "left")
-    return j.groupBy().agg(F.count(F.lit(1)).alias("n_vocab"), F.count("hit").alias("n_pretrained"))
+    return j.select("id", "symbol", "pretrained", F.size("vector").cast("long").alias("dim"),
+                    F.round(F.element_at("vector", 1).cast("double"), 5).alias("v0"))
 
 
 @register("jn_07_embedding_overlap")
@@ -805,11 +804,11 @@ def q_emb_intersect(spark, sf_dir):
 @register("src_11_read_embeddings")
 def q_read_embeddings(spark, sf_dir):
     """Write the word vectors as a text embedding file (header + 'word v1 v2 ...'), read it back."""
-    path = scratch_path(spark, f"emb-{abs(hash(sf_dir))}")
+    path = scratch_path(spark, "emb")
     e = _emb_words(spark, sf_dir)
-    body = e.select(F.concat_ws(" ", "symbol", F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x)), " ")).alias("text"))
+    body = e.select(F.concat_ws(" ", "symbol", F.array_join(F.col("vector").cast("array<string>"), " ")).alias("text"))
     header = spark.createDataFrame([("%d 64" % 0,)], "text string")
-    header.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
+    header.unionByName(body).write.mode("overwrite").text(path)  # the header is in the first part file
     r = fs.read_embeddings(spark, path)
     return r.select("symbol", F.size("vector").cast("long").alias("dim"),
                     F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 3).alias("vsum"))
@@ -820,7 +819,7 @@ def q_read_embeddings(spark, sf_dir):
 # ----------------------------------------------------------------------------------------
 @register("src_07_write_read_vocab")
 def q_vocab_roundtrip(spark, sf_dir):
-    path = scratch_path(spark, f"vocab-{abs(hash(sf_dir))}")
+    path = scratch_path(spark, "vocab")
     fs.write_vocab(doc_vocab(spark, sf_dir), path)
     return fs.read_vocab(spark, path)
 
@@ -831,7 +830,7 @@ def q_lexicon_roundtrip(spark, sf_dir):
     v = vocab.select("id", "symbol")
     lex = (al.argmax_lexicon(c).join(v.withColumnRenamed("id", "src_id").withColumnRenamed("symbol", "src"), "src_id")
            .join(v.withColumnRenamed("id", "tgt_id").withColumnRenamed("symbol", "tgt"), "tgt_id"))
-    path = scratch_path(spark, f"lex-{abs(hash(sf_dir))}")
+    path = scratch_path(spark, "lex")
     fs.write_lines(lex.select(F.concat_ws(" ", "src", "tgt").alias("text"), "src"), path, order_cols=["src"])
     return fs.read_lexicon(spark, path)
 
@@ -864,7 +863,7 @@ def q_gen_read(spark, sf_dir):
                                              F.col("text").alias("hypothesis"), "pos_scores")
     g = sc.nbest(h, ["id"], 2, tie_cols=["line_no"]).withColumn("source", F.lit("src")).withColumn("target", F.lit("ref"))
     text = fs.write_generation_output(g.drop("rank", "line_no")).withColumn("_r", F.col("o"))
-    path = scratch_path(spark, f"gen-{abs(hash(sf_dir))}")
+    path = scratch_path(spark, "gen")
     fs.write_lines(text.select("line", "id", "o", F.col("_r")).withColumn("text", F.col("line")), path,
                    order_cols=["id", "o"])
     back = fs.read_generation_output(fs.read_lines(spark, path))
@@ -890,9 +889,8 @@ def q_sgm(spark, sf_dir):
 
 @register("src_21_synthetic_corpus")
 def q_synthetic(spark, sf_dir):
-    """As many random-letter lines as the documents table has rows."""
-    n = table(spark, sf_dir, "documents").count()
-    s = fs.synthetic_corpus(spark, n, 20, 42)
+    """A random-letter line for every document, seeded by its id."""
+    s = fs.synthetic_lines(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 20, 42)
     return s.select("line_no", F.size(F.split("text", " ")).cast("long").alias("n_letters"))
 
 

@@ -592,3 +592,73 @@ ORACLE["set_01_concat_datasets"] = f"""WITH {lines_cte('')},
 u AS (SELECT 0 AS corpus_ord, doc_id AS k1, line_no AS k2 FROM lines
       UNION ALL SELECT 1 AS corpus_ord, conv_id AS k1, turn AS k2 FROM conversations)
 SELECT corpus_ord, k1, k2, row_number() OVER (ORDER BY corpus_ord, k1, k2) - 1 AS id FROM u"""
+
+
+# ---------------------------------------------------------------- alignments over the joint vocabulary
+JOINT = f"""{PAIRS_CTE},
+sides AS (SELECT 0 AS side, conv_id, turn, src_text AS text FROM pairs
+          UNION ALL SELECT 1 AS side, conv_id, turn, tgt_text AS text FROM pairs),
+jtl AS (SELECT side, conv_id, turn, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS t FROM sides),
+jtoks AS (SELECT side, conv_id, turn, CAST(unnest(generate_series(0, len(t) - 1)) AS BIGINT) AS pos, unnest(t) AS symbol
+          FROM jtl WHERE len(t) > 0),
+{vocab_ctes(2, 8000, toks='jtoks', nlines='jtl', order='side, conv_id, turn', p='j_')}"""
+LINKS = f"""{JOINT},
+ids AS (SELECT side, conv_id, turn, pos, symbol, coalesce(v.id, 3) AS id FROM jtoks LEFT JOIN j_vocab v USING (symbol)),
+links AS (SELECT s.conv_id, s.turn, s.pos, s.id AS src_id, t.id AS tgt_id FROM ids s JOIN ids t
+          ON s.side = 0 AND t.side = 1 AND s.conv_id = t.conv_id AND s.turn = t.turn AND s.pos = t.pos),
+npair AS (SELECT p.conv_id, p.turn, count(l.pos) AS n FROM pairs p LEFT JOIN links l ON l.conv_id = p.conv_id AND l.turn = p.turn GROUP BY ALL),
+cooc AS (SELECT src_id, tgt_id, count(*) AS cnt, min(struct_pack(a := conv_id, b := turn, c := pos)) AS first
+         FROM links WHERE src_id <> 3 AND tgt_id <> 3 GROUP BY ALL),
+lexicon AS (SELECT src_id, tgt_id, cnt FROM cooc QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY cnt DESC, first) = 1)"""
+
+ORACLE["src_12_read_alignments"] = f"WITH {LINKS} SELECT conv_id, turn, n AS n_links, CAST(n - 1 AS INTEGER) AS last_src FROM npair"
+ORACLE["jn_04_alignment_tokens"] = f"""WITH {LINKS}
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS link_no, src_id, tgt_id FROM links"""
+ORACLE["flt_08_known_pairs_only"] = f"""WITH {LINKS}
+SELECT conv_id, turn, count(*) AS n_known FROM links WHERE src_id <> 3 AND tgt_id <> 3 GROUP BY ALL"""
+ORACLE["agg_06_cooccurrence"] = f"WITH {LINKS} SELECT src_id, tgt_id, cnt FROM cooc"
+ORACLE["agg_07_argmax_lexicon"] = f"WITH {LINKS} SELECT src_id, tgt_id, cnt FROM lexicon"
+ORACLE["src_13_read_lexicon"] = f"""WITH {LINKS}
+SELECT s.symbol AS src, t.symbol AS tgt FROM lexicon JOIN j_vocab s ON s.id = src_id JOIN j_vocab t ON t.id = tgt_id"""
+ORACLE["agg_32_symmetrize"] = f"""WITH {LINKS}, n AS (
+  SELECT p.conv_id, p.turn, p.n, (SELECT count(*) FROM ids i WHERE i.side = 0 AND i.conv_id = p.conv_id AND i.turn = p.turn) AS ns FROM npair p)
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS n_inter, CAST(n + CASE WHEN n > 0 THEN least(n, ns - 1) ELSE 0 END AS BIGINT) AS n_union FROM n"""
+ORACLE["jn_05_replace_unk"] = f"""WITH {LINKS},
+words AS (SELECT s.symbol AS src, t.symbol AS tgt FROM lexicon JOIN j_vocab s ON s.id = src_id JOIN j_vocab t ON t.id = tgt_id),
+ns AS (SELECT conv_id, turn, len(t) AS n FROM jtl WHERE side = 0),
+tgt AS (SELECT i.conv_id, i.turn, i.pos, i.id, i.symbol, CASE WHEN i.pos < ns.n THEN s.symbol ELSE '<eos>' END AS sw
+        FROM ids i JOIN ns USING (conv_id, turn) LEFT JOIN ids s ON s.side = 0 AND s.conv_id = i.conv_id AND s.turn = i.turn AND s.pos = i.pos
+        WHERE i.side = 1),
+made AS (SELECT conv_id, turn, string_agg(CASE WHEN id = 3 THEN coalesce(w.tgt, sw) ELSE symbol END, ' ' ORDER BY pos) AS text,
+                count(*) FILTER (id = 3) AS n FROM tgt LEFT JOIN words w ON tgt.id = 3 AND w.src = tgt.sw GROUP BY conv_id, turn)
+SELECT p.conv_id, p.turn, md5(coalesce(text, '')) AS text_md5, CAST(coalesce(n, 0) AS BIGINT) AS n_replaced
+FROM pairs p LEFT JOIN made m ON m.conv_id = p.conv_id AND m.turn = p.turn"""
+
+# ---------------------------------------------------------------- embeddings, vocabulary and tagged files
+EMB = f"""{DOC}, {vocab_ctes(2, 30000)},
+emb AS (SELECT v.symbol, e.embedding AS vector FROM embeddings e JOIN vocab v ON v.id = e.vec_id WHERE NOT contains(v.symbol, ' '))"""
+ORACLE["src_07_write_read_vocab"] = f"""WITH {DOC}, {vocab_ctes(2, 30000)}
+SELECT id, symbol, CASE WHEN id < 4 THEN 1 ELSE count END AS count FROM vocab"""
+ORACLE["src_11_read_embeddings"] = f"""WITH {EMB}
+SELECT symbol, CAST(len(vector) AS BIGINT) AS dim,
+       round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 3) + 0.0 AS vsum FROM emb"""
+ORACLE["jn_06_embedding_vocab_join"] = f"""WITH {EMB}, {JOINT}
+SELECT v.id, v.symbol, e.symbol IS NOT NULL AS pretrained, CAST(coalesce(len(e.vector), 64) AS BIGINT) AS dim,
+       round(coalesce(CAST(e.vector[1] AS DOUBLE), 0.0), 5) AS v0 FROM j_vocab v LEFT JOIN emb e ON e.symbol = v.symbol"""
+ORACLE["jn_07_embedding_overlap"] = f"""WITH {EMB}, {JOINT}, n AS (
+  SELECT count(*) FILTER (symbol IN (SELECT symbol FROM emb)) AS n_found, count(*) AS n_vocab FROM j_vocab)
+SELECT n_found, n_vocab, CAST(n_found AS DOUBLE) / n_vocab AS overlap FROM n"""
+ORACLE["set_03_embedding_vocab_intersect"] = f"WITH {EMB}, {JOINT} SELECT symbol FROM j_vocab INTERSECT SELECT symbol FROM emb"
+ORACLE["src_17_read_tagged_text"] = r"""WITH parts AS (
+  SELECT page_id, string_split_regex(replace(html, '<', chr(1) || '<'), '\r\n|\r|\n|\x01') AS p, starts_with(html, '<') AS lead FROM pages),
+kept AS (SELECT page_id, list_transform(list_filter(CASE WHEN lead THEN p[2:] ELSE p END, lambda x: NOT regexp_matches(x, '<url>|<talkid>|<keywords>')),
+                                        lambda x: regexp_replace(x, '</?(title|description)>', '', 'g')) AS t FROM parts)
+SELECT page_id, CAST(len(t) AS BIGINT) AS n_lines, md5(array_to_string(t, chr(10))) AS text_md5 FROM kept WHERE len(t) > 0"""
+ORACLE["src_18_read_sgm_segments"] = r"""WITH t AS (SELECT page_id, regexp_extract(html, '(<title>.*?</title>)', 1) AS text FROM pages)
+SELECT page_id, replace(regexp_replace(regexp_replace(text, '<title[^>]*>\s*', '', 'g'), '\s*</title>\s*', '', 'g'), '’', chr(39)) AS text
+FROM t WHERE contains(text, '<title')"""
+ORACLE["agg_25_average_checkpoints"] = """WITH e AS (SELECT label AS run, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings),
+c AS (SELECT run, 'emb' AS param, CAST(v AS DOUBLE) AS v, pos FROM e
+      UNION ALL SELECT run, 'emb_int', CAST(trunc(v * CAST(100 AS FLOAT)) AS DOUBLE), pos FROM e),
+m AS (SELECT run, param, pos, CASE WHEN param = 'emb_int' THEN trunc(avg(v)) ELSE avg(v) END AS m FROM c GROUP BY run, param, pos)
+SELECT run, param, count(*) AS dim, round(sum(m), 4) + 0.0 AS vsum, round(max(m) FILTER (pos = 1), 6) + 0.0 AS v0 FROM m GROUP BY run, param"""

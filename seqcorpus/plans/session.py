@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,9 +59,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoint directory (shared storage on a cluster)."""
+    """A folder of its own for each call, beside the checkpoint directory (shared storage on a cluster)."""
     base = ensure_checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
-    path = os.path.join(base, "scratch", name)
+    path = os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex}")
     return path

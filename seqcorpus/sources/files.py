@@ -137,10 +137,16 @@ def read_sgm_segments(lines: DataFrame, text_col: str = "text", tag: str = "seg"
     return keep.withColumn(text_col, F.replace(t, F.lit("’"), F.lit("'")))
 
 
-def synthetic_corpus(spark: SparkSession, n: int, maxlen: int, seed: int) -> DataFrame:
-    """SRC-21: n lines of 1..maxlen random lowercase letters separated by spaces."""
-    # seeded hashes instead of rand(): deterministic per (seed, line, position)
-    length = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(maxlen)) + 1).cast("int")
+def synthetic_lines(ids: DataFrame, id_col: str, maxlen: int, seed: int) -> DataFrame:
+    """SRC-21: for each id a line of 1..maxlen random lowercase letters separated by spaces, from hashes of
+    (id, position, seed), so that a line is the same wherever and whenever it is made."""
+    line = F.col(id_col).cast("long")
+    length = (F.pmod(F.xxhash64(line, F.lit(seed)), F.lit(maxlen)) + 1).cast("int")
     letters = F.transform(F.sequence(F.lit(1), length),
-                          lambda i: F.char((F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed + 1)), F.lit(26)) + 97).cast("int")))
-    return spark.range(n).select(F.col("id").alias("line_no"), F.array_join(letters, " ").alias("text"))
+                          lambda i: F.char((F.pmod(F.xxhash64(line, i, F.lit(seed + 1)), F.lit(26)) + 97).cast("int")))
+    return ids.select(line.alias("line_no"), F.array_join(letters, " ").alias("text"))
+
+
+def synthetic_corpus(spark: SparkSession, n: int, maxlen: int, seed: int) -> DataFrame:
+    """SRC-21 for the line numbers 0..n-1."""
+    return synthetic_lines(spark.range(n), "id", maxlen, seed)
