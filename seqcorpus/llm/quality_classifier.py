@@ -117,8 +117,8 @@ def distinct_features(row, feature):
     return key >> 20, key & ((1 << 20) - 1), times
 
 
-def feature_rows(docs: DataFrame, y: str, text: str = "text") -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Label, features and their shares of a bounded sample, on the driver."""
+def feature_rows(docs: DataFrame, y: str, shares: bool = True, text: str = "text") -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Label, features and, with ``shares``, their shares of the words, of a bounded sample, on the driver."""
     def task(batches):
         for batch in batches:
             data, off = text_buffers(batch.column(1))
@@ -130,7 +130,7 @@ def feature_rows(docs: DataFrame, y: str, text: str = "text") -> list[tuple[floa
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo).cast(pa.float64()),
                     pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                    pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["y", "f", "x"])
+                    pa.array([value[a:b].tobytes() if shares else b"" for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["y", "f", "x"])
 
     got = docs.select(F.col(y).cast("double").alias("y"), text).mapInArrow(task, "y double, f binary, x binary").collect()
     return [(r.y, np.frombuffer(r.f, np.int32), np.frombuffer(r.x, np.float32)) for r in sorted(got, key=lambda r: (r.f, r.x, r.y))]
@@ -180,7 +180,7 @@ def toxic_threshold(rows, weight: np.ndarray, precision: float = 0.98) -> float:
     return best
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = 6000, labelled_rows: int = 20_000,
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = 4000, labelled_rows: int = 10_000,
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, posterior, quality_score, toxic_score, toxic, kept) of every document."""
     spark = docs.sparkSession
@@ -201,7 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int
     if labels is not None:
         known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-        rows = feature_rows(docs.join(F.broadcast(known), "doc_id"), "toxic")
+        rows = feature_rows(docs.join(F.broadcast(known), "doc_id"), "toxic", shares=False)
         toxic = toxic_weights(rows).astype(np.float32)
         toxic_from = toxic_threshold(rows, toxic) - 1e-4
     shared = spark.sparkContext.broadcast((weight.astype(np.float32), bias, toxic.astype(np.float32)))  # fixed size
