@@ -34,7 +34,7 @@ from seqcorpus.llm.words import BASE, BYTE_VALUE, STEP as SECOND, mix
 GRAM = 100
 STEP = 1 << 20
 SHARD_BYTES = 1 << 20
-RUNS = 512
+RUNS = 8192
 _PLACE = np.uint64((1 << 24) - 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -164,6 +164,7 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, text: str) -> DataF
     """(_sdoc, start, n): starts and numbers of windows that occur elsewhere too."""
     every = written(runs(keyed, length, gram, text), "runs")
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    often = written(often, "frequent-anchors")  # a join of two tables, whose hot anchors Spark can split
     shared = written(every.join(often, "anchor"), "shared-runs")
     contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_sdoc", "start", "n")).alias("r"))
     contents = written(contents.select("anchor", "content", "copies", "r.*"), "run-contents")
