@@ -38,7 +38,6 @@ FEATURES = {
     "repeat_share": "n_repeat_words / n_words",
     "distinct_share": "n_distinct / n_words",
     "words": "cast(n_words as double)",
-    "marks_per_word": "n_marks / n_words",
 }
 
 
@@ -61,7 +60,8 @@ def _repeated(words: Column) -> Column:
         pairs = lambda: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(pairs(), marked))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    window = lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)])
+    windows = F.transform(F.slice(words, 1, F.size(words) - (WINDOW - 1)), window)
     return F.when(F.size(words) <= WINDOW, 0).otherwise(let(windows, of_windows))
 
 
@@ -69,18 +69,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts as long columns (see the module text)."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(body, SPACES), lambda w: w != "")
-    lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     without = lambda chars: F.length(body) - F.length(F.translate(body, chars, ""))
     counts = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"),
+                                           F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("word_chars"),
                                            _repeated(w).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     out = docs.withColumn("_qc", counts).withColumn("_ql", by_line).withColumns({
-        "_qw": F.length(F.translate(body, " \t\n\x0b\f\r", "")), "_qs": without(SYMBOLS),
-        "_qu": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_qm": without("!?")})
-    new = {"n_words": "_qc.n_words", "word_chars": "_qw", "n_symbols": "_qs", "n_dup_lines": "_ql.n_dup_lines",
+        "_qs": without(SYMBOLS), "_qu": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+    new = {"n_words": "_qc.n_words", "word_chars": "_qc.word_chars", "n_symbols": "_qs", "n_dup_lines": "_ql.n_dup_lines",
            "n_repeat_words": "_qc.n_repeat_words", "n_distinct": "_qc.n_distinct", "n_lines": "_ql.n_lines",
-           "n_upper": "_qu", "n_marks": "_qm"}
-    return out.withColumns({k: F.col(v).cast("long") for k, v in new.items()}).drop("_qc", "_ql", "_qw", "_qs", "_qu", "_qm")
+           "n_upper": "_qu"}
+    return out.withColumns({k: F.col(v).cast("long") for k, v in new.items()}).drop("_qc", "_ql", "_qs", "_qu")
 
 
 def base_failed() -> Column:
@@ -156,14 +156,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_rul
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     value = lambda e: F.expr(f"CASE WHEN n_words > 0 THEN {e} ELSE 0 END").cast("double")
     sample = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
-    rows = written(sample.where(~base_failed()).select(
-        F.xxhash64("doc_id").alias("_h"), (1 - F.col("_quality")).cast("int").alias("bad"),
-        *[value(e).alias(f"_f_{f}") for f, e in FEATURES.items()]), "labelled")
+    # written before the filter, which would else be moved below the join, to all documents
+    rows = written(sample.select(base_failed().alias("failed"), F.xxhash64("doc_id").alias("_h"), (1 - F.col("_quality")).cast("int").alias("bad"),
+        *[value(e).alias(f"_f_{f}") for f, e in FEATURES.items()]), "labelled").where("NOT failed")
     held = F.pmod("_h", F.lit(3)) == 0
     quantiles = [(k + 1) / (BINS + 1) for k in range(BINS)]
-    # thresholds from the rejected rows and from all rows: rare kinds of junk have cuts of their own
+    # thresholds from the rejected rows, their least value included, and from all rows
     marks = rows.agg(*[F.percentile_approx(f"_f_{f}", quantiles, 1000).alias(f) for f in FEATURES],
-                     *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(f"_f_{f}")), quantiles, 1000).alias(f"bad_{f}") for f in FEATURES]).first()
+                     *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(f"_f_{f}")), [0.0, *quantiles], 1000).alias(f"bad_{f}") for f in FEATURES]).first()
     cuts = {f: sorted({*(marks[f] or []), *(marks[f"bad_{f}"] or [])}) for f in FEATURES}
 
     def column(rule):
