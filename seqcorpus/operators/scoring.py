@@ -1,5 +1,5 @@
 """Scoring and losses on probability tables: JN-09, AGG-14..19, AGG-21, AGG-27, WIN-02, WIN-03,
-WIN-10, WIN-11, FLT-06, FLT-07, SCR-06.
+WIN-10, WIN-11, FLT-06, FLT-07.
 
 A model is a table ``(ctx, token, lp)`` of natural-log probabilities for the observed pairs plus
 ``(ctx, lp0, n_seen)`` for the probability of every unobserved token in a context, so full-

@@ -1,4 +1,4 @@
-"""Text-file sources and sinks: SRC-01, SRC-04..07, SRC-10, SRC-11, SRC-13..18, SRC-20, SRC-21.
+"""Text-file sources and sinks: SRC-01, SRC-04..07, SRC-11, SRC-13..18, SRC-21.
 
 Line numbers: ``spark.read.text`` keeps file order inside a split; ordering by
 (file path, split start, position inside the split) and numbering with ``global_index`` gives
