@@ -33,7 +33,7 @@ START = np.uint64(0x5EED57A7)
 PREVIOUS = np.uint64(0xA5A5A5A55A5A5A5A)
 LEVEL_BASE = 1.5
 BITS, HASHES = 8, 4
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 WEIGHTS = np.array([0.0, 0.02, 0.05, *np.arange(0.1, 1.0, 0.05), 0.98])
 LEVELS = 64
 
@@ -216,17 +216,18 @@ def _distinct(tok, before):
     return tok[first], before[first], inv
 
 
-def _tune(sample: DataFrame, shared, text: str) -> np.ndarray:
+def _tune(sample: DataFrame, whole, piece, high, text: str) -> np.ndarray:
     """The weight of each level of the previous word: a table of log likelihoods, summed over tasks."""
     def task(batches):
         total = np.zeros((LEVELS, len(WEIGHTS)))
-        state, pieces = shared.value
-        model = Model(*state)
-        words, counts = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        model = Model(*whole.value, np.zeros(LEVELS))
+        words, counts = piece.value
         for batch in batches:
             data, off = text_buffers(batch.column(0))
             for lo, hi in slices(off):
                 tok, before, _ = tokens(data, off, lo, hi)
+                if high is not None:  # the tokens of the first slice of words
+                    tok, before = tok[tok < high], before[tok < high]
                 t, b, inv = _distinct(tok, before)
                 _, uni, pair, prev = model.parts(words, counts, t, b, less=1)
                 times = np.bincount(inv, minlength=len(t))
@@ -248,39 +249,40 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits:
     train = rows.where("NOT held_out")
     segments = max(64, 4 * docs.rdd.getNumPartitions())
     merged = written(merge_ngrams(count_ngrams(train, "text", segments), segments, max_bits), "ngram-segments")
-    parts = {r.segment: r for r in merged.collect()}  # at most max_bits of filter, and the words
-    some = np.packbits(np.zeros(64, bool))
-    bits = [np.frombuffer(parts[s].bits, np.uint8) if s in parts else some for s in range(segments)]
-    size = np.array([8 * len(x) for x in bits], np.uint64)
-    bits = np.concatenate(bits)
-    n, v = sum(r.n for r in parts.values()), sum(r.v for r in parts.values())
-    word = np.concatenate([*(np.frombuffer(r.words, np.uint64) for r in parts.values()), np.zeros(0, np.uint64)])
-    count = np.concatenate([*(np.frombuffer(r.counts, np.uint32) for r in parts.values()), np.zeros(0, np.uint32)])
-    del parts
+    # the driver holds the filter (at most max_bits) and the words once, filled a segment at a time
+    stats = {r.segment: r for r in merged.select("segment", "n", "v", F.length("bits").alias("size")).collect()}
+    n, v = sum(r.n for r in stats.values()), sum(r.v for r in stats.values())
+    length = np.array([stats[k].size if k in stats else 8 for k in range(segments)], np.int64)
+    begin = np.cumsum(length) - length
+    size, bits = (8 * length).astype(np.uint64), np.zeros(int(length.sum()), np.uint8)
+    word, count, at = np.empty(v, np.uint64), np.empty(v, np.uint32), 0
+    for r in merged.select("segment", "v", "bits", "words", "counts").toLocalIterator():
+        bits[begin[r.segment]:begin[r.segment] + length[r.segment]] = np.frombuffer(r.bits, np.uint8)
+        word[at:at + r.v], count[at:at + r.v] = np.frombuffer(r.words, np.uint64), np.frombuffer(r.counts, np.uint32)
+        at += r.v
     order = np.argsort(word)
     word, count = word[order], count[order]
     k = max(1, -(-len(word) // slice_words))
     edges = [np.uint64(0), *(word[(i * len(word)) // k] for i in range(1, k))]
     cut = [*np.searchsorted(word, np.array(edges, np.uint64)).tolist(), len(word)]
     pieces = [(word[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    weight = np.zeros(LEVELS)
-    total = train.count()
+    sc = spark.sparkContext
+    whole, shared = sc.broadcast((bits, size, n, v)), [sc.broadcast(p) for p in pieces]
+    del bits, word, count, pieces, order
+    weight, total = np.zeros(LEVELS), train.count()
     if n:
         some = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // sample_docs))) == 0)
-        shared = spark.sparkContext.broadcast(((bits, size, n, v, weight), pieces))
-        weight = _tune(some, shared, "text")
-        shared.unpersist()
-    whole = spark.sparkContext.broadcast((bits, size, n, v, weight))
+        weight = _tune(some, whole, shared[0], edges[1] if k > 1 else None, "text")
     out = rows.withColumns({"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)})
-    for i, piece in enumerate(pieces):
-        out = _pass(out, whole, spark.sparkContext.broadcast(piece), edges[i], edges[i + 1] if i + 1 < k else None)
+    for i, piece in enumerate(shared):
+        out = _pass(out, whole, piece, weight, edges[i], edges[i + 1] if i + 1 < k else None)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _pass(rows: DataFrame, whole, piece, low, high) -> DataFrame:
+def _pass(rows: DataFrame, whole, piece, weight, low, high) -> DataFrame:
     """Add the parts of the tokens whose hashes lie in one slice."""
     def task(batches):
-        model, (words, counts) = Model(*whole.value), piece.value
+        model, (words, counts) = Model(*whole.value, weight), piece.value
         for batch in batches:
             data, off = text_buffers(batch.column(2))
             acc = np.zeros((4, batch.num_rows))
