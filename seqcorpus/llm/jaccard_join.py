@@ -43,6 +43,8 @@ from seqcorpus.llm.words import mix, shingles, words_of
 BLOCK = 256
 #: Shingles in a block, for long documents.
 BLOCK_SHINGLES = 1 << 19
+#: Places in lists that one candidate task gets.
+DEAL = 20_000
 COUNT_BITS = 18
 CHUNK = 4096
 #: Rows and bytes of one numpy step (the row number takes 8 bits of a sort key).
@@ -198,12 +200,23 @@ def node_sets(docs: DataFrame, fps: DataFrame, width: int, text: str = "text") -
                 yield pa.RecordBatch.from_arrays([
                     pa.array(fp[rows]), pa.array([len(x) for x in items], pa.int64()),
                     pa.array([bitmap(x, bitmap_bits(len(x))).tobytes() for x in items], pa.binary()),
-                    pa.array([x.tobytes() for x in items], pa.binary())], names=["fp", "n", "bitmap", "items"])
+                    pa.array([packed(x) for x in items], pa.binary())], names=["fp", "n", "bitmap", "items"])
 
     made = docs.select(text).mapInArrow(task, "fp long, n long, bitmap binary, items binary")
     return written(made.withColumn("part", F.spark_partition_id()), "candidate-sets")
 
 
+def packed(items: np.ndarray) -> bytes:
+    """The first 40 of the 56 bits of sorted hashes, in five bytes each, for the way to the comparisons."""
+    return (items >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 # ---- signature trees ---------------------------------------------------------------------------
 
 def bitmap_bits(n: int) -> int:
@@ -356,29 +369,42 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
 
 
 def candidates(members: DataFrame, sets: DataFrame, lists: DataFrame, least: int) -> DataFrame:
-    """Forest edges of the candidate graph, from all lists."""
-    small = members.where(F.col("m") <= BLOCK).select("key", "fp", "part")
-    total = lists.where(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0
-    tasks = _parts(total, 20_000)
-    # a list is small, but many may meet: they are dealt by hash to tasks of about 20,000 members
-    dealt = small.join(sets.select("fp", "part", "n", "bitmap"), ["fp", "part"]).withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-
-    def task(tab):
-        ids, n = tab.column("fp").to_numpy(), tab.column("n").to_numpy()
-        maps = [np.frombuffer(x, np.uint64) for x in tab.column("bitmap").to_pylist()]
+    """Forest edges of the candidate graph, from all lists.
+
+    Lists of one cluster of copies share most nodes.  They are dealt together, by the largest list of their
+    smallest node, so that a node's bitmap goes to a task once and not with each of its lists; many lists of
+    one kind are dealt to several tasks of about ``DEAL`` places."""
+    small = members.where(F.col("m") <= BLOCK)
+    top = small.groupBy("fp").agg(F.max(F.struct("m", "key")).alias("t")).select(F.col("fp").alias("low"), F.col("t.key").alias("top"))
+    kinds = lists.where(F.col("m") <= BLOCK).select("key", "m", "low").join(top, "low")
+    kinds = written(kinds, "list-kinds")
+    salts = kinds.groupBy("top").agg(F.ceil(F.sum("m") / DEAL).alias("salts"))
+    tasks = _parts(kinds.agg(F.sum("m")).first()[0] or 0, DEAL)
+    dealt = kinds.join(salts, "top").select("key", F.pmod(F.xxhash64("top", F.pmod(F.xxhash64("key"), F.col("salts"))), F.lit(tasks)).alias("deal"))
+    places = written(small.select("key", "fp", "part").join(dealt, "key"), "list-places")
+    # merge joins at every size: the plan, and what it moves, follows the data alone
+    maps = places.select("deal", "fp", "part").distinct().hint("merge").join(sets.select("fp", "part", "n", "bitmap"), ["fp", "part"])
+    maps = maps.select(F.col("deal").alias("to"), F.col("fp").alias("node"), "n", "bitmap")
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, n = right.column("node").to_numpy(), right.column("n").to_numpy()
+        maps = [np.frombuffer(x, np.uint64) for x in right.column("bitmap").to_pylist()]
+        order = np.argsort(ids, kind="stable")
+        at = order[np.searchsorted(ids[order], left.column("fp").to_numpy())] if len(ids) else np.zeros(0, np.int64)
         edges = []
-        for at in _by_group(tab, "key"):
-            edges += zip(*candidate_forest(ids[at], n[at], [maps[i] for i in at], least), strict=True)
+        for rows in _by_group(left, "key"):
+            nodes = at[rows]
+            edges += zip(*candidate_forest(ids[nodes], n[nodes], [maps[i] for i in nodes], least), strict=True)
         return _edge_table(edges)
 
-    found = dealt.groupBy("deal").applyInArrow(task, "a long, b long")
+    found = places.groupBy("deal").cogroup(maps.groupBy("to")).applyInArrow(task, "a long, b long")
     unseen = members.where(F.col("m") > BLOCK).select(F.col("fp").alias("a"), F.col("low").alias("b"))
     return found.unionAll(unseen)
 
 
 def _meet(units: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links found in each unit (unit, fp, part, label): a bounded number of nodes that are compared in one task."""
-    rows = units.join(sets.select("fp", "part", "items"), ["fp", "part"])
+    rows = units.hint("merge").join(sets.select("fp", "part", "items"), ["fp", "part"])
     total = units.count()
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("unit"), F.lit(_parts(total, 1000))))
 
@@ -387,7 +413,7 @@ def _meet(units: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         raw = tab.column("items").to_pylist()
         edges = []
         for at in _by_group(tab, "unit"):
-            edges += link_forest(ids[at], [np.frombuffer(raw[i], np.uint64) for i in at], least, label[at])
+            edges += link_forest(ids[at], [unpacked(raw[i]) for i in at], least, label[at])
         return _edge_table(edges)
 
     return written(dealt.groupBy("deal").applyInArrow(task, "a long, b long"), "links")
@@ -435,7 +461,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: st
     sets, counts = set_table(docs, width, doc_id, text)
     routed = written(routes(docs, counts, width, least, text), "routes")
     sizes = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = written(routed.join(sizes.select("key"), "key").distinct(), "shared-routes")
+    sizes = written(sizes.select("key"), "shared-keys")  # a join of two tables, whose hot keys Spark can split
+    shared = written(routed.join(sizes, "key").distinct(), "shared-routes")
     # equal lists are taken once: a list's signature is its size and a sum over its members
     mark = F.shiftright(F.xxhash64("fp"), 8)
     lists = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(mark).alias("sig"), F.min("fp").alias("low")).where("m > 1")
