@@ -456,6 +456,14 @@ def links(groups: DataFrame, picks: DataFrame, sets: DataFrame, least: int) -> D
     return found.unionAll(_meet(written(units, "second-units"), sets, least))
 
 
+def different_lists(shared: DataFrame) -> DataFrame:
+    """(m, sig, low, key) of the lists of two nodes or more; equal lists are taken once.  A list's signature is
+    its size and the exclusive or of its members' hashes, which no number of members takes out of range."""
+    sig = F.bit_xor(F.xxhash64("fp"))
+    lists = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), sig.alias("sig"), F.min("fp").alias("low")).where("m > 1")
+    return lists.groupBy("m", "sig", "low").agg(F.min("key").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, links): the component of every document and whether it has links."""
     sets, counts = set_table(docs, width, doc_id, text)
@@ -463,10 +471,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: st
     sizes = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     sizes = written(sizes.select("key"), "shared-keys")  # a join of two tables, whose hot keys Spark can split
     shared = written(routed.join(sizes, "key").distinct(), "shared-routes")
-    # equal lists are taken once: a list's signature is its size and a sum over its members
-    mark = F.shiftright(F.xxhash64("fp"), 8)
-    lists = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(mark).alias("sig"), F.min("fp").alias("low")).where("m > 1")
-    lists = written(lists.groupBy("m", "sig", "low").agg(F.min("key").alias("key")), "lists")
+    lists = written(different_lists(shared), "lists")
     members = written(shared.join(lists.select("key", "m", "low"), "key"), "members")
     nodes = node_sets(docs, members.select("fp"), width, text)
     picks = written(nodes.groupBy("fp").agg(F.min(F.struct("part", "n")).alias("p")).select("fp", "p.part", "p.n"), "picks")
