@@ -4,7 +4,8 @@ A page becomes a sequence of tags and runs of words; a linear scan finds the con
 greatest sum, where words of content kinds score above zero, words of other kinds and all tags below.  A
 word's kind is its block element, whether it is in a link, and whether an enclosing element names itself as
 something beside the article (navigation, advert, form, reader comments, ...); such an element costs its tags
-and one word, however long, so that one within the article doesn't split it.  Weights are learned from
+and one word, however long, so that one within the article doesn't split it.  The names are evidence only: html, body, and elements that turn out
+to hold the article (:func:`marks`) are not beside it.  Weights are learned from
 labelled pages, those whose markup has exactly one <article> or <main>: a word kind weighs the log odds of
 lying inside it, a tag the log probability.  Counts come from a bounded sample of pages (``sample_pages``) on
 top of a small prior.  The text of the stretch, without the words of those other elements, is the result.
@@ -46,6 +47,9 @@ BESIDE_NAMES = frozenset(
     "pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = frozenset("article main".split())
+# Elements that are never a frame around the page.
+NO_FRAME = frozenset("nav aside footer menu dialog button".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -59,15 +63,18 @@ PRIOR = {"w:p": (3, 0.5), "w:h1": (1.5, 1), "w:li": (1, 1.5), "w:beside": (0.5,
 LIMIT, BESIDE_LIMIT = 4.0, 2.0
 
 
-def _beside(name: str, attributes: str) -> bool:
-    if name in BESIDE or HIDDEN.search(attributes):
-        return True
+def _beside(name: str, attributes: str) -> frozenset[str]:
+    """What speaks for an element beside the article: its tag, that it is hidden, or parts of its names."""
+    if name in ("html", "body") or name in CONTENT:
+        return frozenset()
+    if name in BESIDE:
+        return frozenset((f"<{name}>",))
+    if HIDDEN.search(attributes):
+        return frozenset(("hidden",))
     if "=" not in attributes:
-        return False
-    for _, a, b, c in NAMED.findall(attributes):
-        if not BESIDE_NAMES.isdisjoint(NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower())):
-            return True
-    return False
+        return frozenset()
+    parts = (NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()) for _, a, b, c in NAMED.findall(attributes))
+    return BESIDE_NAMES.intersection(*[{x for p in parts for x in p}])
 
 
 def events(page: str):
@@ -109,13 +116,84 @@ def events(page: str):
         yield name, closing, m[3]
 
 
-def sequence(page: str) -> list[tuple]:
+def _closed(stack: list[tuple], name: str) -> list[tuple]:
+    """Take the elements off the stack that an end tag closes."""
+    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))
+    out = stack[at:]
+    del stack[at:]
+    return out
+
+
+def _ends(stack: list[tuple], name: str) -> bool:
+    """Whether a start tag ends the innermost open element."""
+    return bool(stack) and (name == "p" and stack[-1][0] in HEADINGS | {"p"} or name == "li" and stack[-1][0] == "li")
+
+
+def marks(found: list[tuple], frames: int = 0) -> tuple[set[int], int]:
+    """Places of the start tags of elements beside the article, and how many of them could be frames.
+
+    A mark that would hide the article is no mark.  It is taken back from elements around <main>, or around an
+    <article> when no article is outside of marks (several articles in a marked element of less than half of
+    the words are a list of comments or cards); without these, from elements with the <h1> and most words of
+    the page; and from one that is only called a header and holds the <h1>.  ``frames`` more are taken back,
+    from the outermost, of elements with most words of the page."""
+    stack: list[tuple] = []  # open block or marked elements as (name, place or None)
+    why: dict[int, frozenset[str]] = {}
+    words: dict[int, int] = {}
+    titled, holders = set(), []
+    total = depth = 0
+    for i, (name, closing, rest) in enumerate(found):
+        if name is None:
+            n = len(closing.split())
+            total += n
+            for _, k in stack:
+                if k is not None:
+                    words[k] += n
+            continue
+        if closing:
+            depth -= sum(n in CONTENT for n, _ in _closed(stack, name))
+            continue
+        if name == "h1":
+            titled.update(k for _, k in stack if k is not None)
+        if name in VOID or rest.rstrip().endswith("/"):
+            continue
+        if _ends(stack, name):
+            stack.pop()
+        if name in CONTENT:
+            if not depth:
+                holders.append((name, [k for _, k in stack if k is not None]))
+            depth += 1
+        # a header within the article is its title
+        own = frozenset() if name == "header" and depth else _beside(name, rest)
+        if own:
+            why[i], words[i] = own, 0
+        if name in BLOCKS or own:
+            stack.append((name, i if own else None))
+    most = {k for k in why if 2 * words[k] > total}
+    back = {k for k in titled if why[k] == {"header"}}
+    for kind in ("main", "article"):
+        if around := [h for n, h in holders if n == kind]:
+            least = min(map(len, around))
+            chosen = [h for h in around if len(h) == least]
+            for h in chosen:
+                back.update(h if kind == "main" or len(chosen) == 1 else most.intersection(h))
+            break
+    can = sorted(k for k in most - back if found[k][0] not in NO_FRAME and "hidden" not in why[k])
+    if not holders:
+        back.update(titled.intersection(can))
+        can = [k for k in can if k not in titled]
+    return why.keys() - back - set(can[:frames]), len(can)
+
+
+def sequence(page: str, found: list[tuple] | None = None, beside_at: set[int] | None = None) -> list[tuple]:
     """Items in page order: ("tag", key, inside) and ("text", kind, inside, text, block number, beside).
 
     ``inside`` says whether the item lies in an <article> or <main>."""
+    found = list(events(page)) if found is None else found
+    beside_at = marks(found)[0] if beside_at is None else beside_at
     out, stack = [], []  # stack: open block or beside elements as (name, beside)
     block, link, depth, beside, told = 0, 0, 0, 0, False  # told: this beside element has had its word
-    for name, closing, rest in events(page):
+    for i, (name, closing, rest) in enumerate(found):
         if name is None:
             text = html.unescape(closing) if "&" in closing else closing
             kind = "in" if told else "w:beside" if beside else "w:link" if link else "w:" + next((n for n, _ in reversed(stack) if n != "br"), "body")
@@ -126,24 +204,20 @@ def sequence(page: str) -> list[tuple]:
             block += 1
         if name == "a":
             link = 0 if closing else 1
-        content = name in ("article", "main")
+        content = name in CONTENT
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                for _, b in stack[at:]:
-                    beside -= b
-                depth -= sum(n in ("article", "main") for n, _ in stack[at:])
-                del stack[at:]
+            for n, b in _closed(stack, name):
+                beside -= b
+                depth -= n in CONTENT
             out.append(("tag", "in" if told and beside else f"t:/{name}", depth > 0 or content))
             told = told and beside > 0
         else:
             out.append(("tag", "in" if told else f"t:{name}", depth > 0 or content))
             if name in VOID or rest.rstrip().endswith("/"):
                 continue
-            if name == "p" and stack and stack[-1][0] in HEADINGS | {"p"} or name == "li" and stack and stack[-1][0] == "li":
+            if _ends(stack, name):
                 beside -= stack.pop()[1]
-            # a header within the article is its title
-            own = int(_beside(name, rest) and not (name == "header" and depth > 0) and not content)
+            own = int(i in beside_at)
             if name in BLOCKS or own:
                 stack.append((name, own))
                 beside += own
@@ -180,8 +254,15 @@ def weights(counts: dict[str, tuple[float, float]]):
 def main_text(page: str | None, weight) -> str:
     if not page:
         return ""
-    items = sequence(page)
-    first, end = region(items, weight)
+    found = list(events(page))
+    frames, can = 0, 0
+    while True:  # a page with nothing outside of marked elements: the outermost large ones are frames
+        beside_at, can = marks(found, frames)
+        items = sequence(page, found, beside_at)
+        first, end = region(items, weight)
+        if frames >= can or any(i[0] == "text" and not i[5] and not i[3].isspace() for i in items[first:end]):
+            break
+        frames += 1
     blocks: dict[int, list[str]] = {}
     for item in items[first:end]:
         if item[0] == "text" and not item[5]:
