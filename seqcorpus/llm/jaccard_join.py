@@ -465,7 +465,8 @@ def different_lists(shared: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, links): the component of every document and whether it has links."""
+    """(doc_id, n_shingles, component_id): the component of every document.  Links are compared as far as
+    components need them, so they are neither counted nor put out."""
     sets, counts = set_table(docs, width, doc_id, text)
     routed = written(routes(docs, counts, width, least, text), "routes")
     sizes = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
