@@ -112,10 +112,10 @@ def _tagged(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
                              "_mtokens": tokens(text), "_mcrc": F.crc32(F.encode(body, "UTF-8"))})
 
 
-def _copies(tagged: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def _copies(tagged: DataFrame, sources: DataFrame, seed: int, doc_id: str = "doc_id") -> DataFrame:
     """A row for each copy, numbered from 0 in ``copy``."""
     joined = tagged.join(sources, "_msource")
-    more = (place(F.col("_mfull"), seed) <= F.col("_mlast")).cast("int")
+    more = (place(F.col("_mfull"), seed, doc_id) <= F.col("_mlast")).cast("int")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mfull") - 1 + more)))
 
 
@@ -124,7 +124,7 @@ def mixed(docs: DataFrame, target_entropy: float = 0.9, max_repeats: float = 4.0
     """The documents of the mixed stream: each at least once, those of smaller sources more often."""
     keys = written(_tagged(docs, doc_id, source, text).select(F.col(doc_id).alias("doc_id"), "_msource", "_mtokens", "_mcrc"), "mixing-keys")
     sources, _ = plan(keys, target_entropy, max_repeats, block_tokens, seed)
-    return _copies(_tagged(docs, doc_id, source, text), sources, seed).select(*docs.columns)
+    return _copies(_tagged(docs, doc_id, source, text), sources, seed, doc_id).select(*docs.columns)
 
 
 def stream(docs: DataFrame, target_entropy: float = 0.9, max_repeats: float = 4.0, block_tokens: int = 1 << 20,

@@ -42,7 +42,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # the digest is of the remaining bytes; in the text a character that a cut went through is U+FFFD
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from seqcorpus.llm.common import slices, text_buffers, written
 from seqcorpus.llm.induced_sort import suffix_array
@@ -220,5 +221,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, doc_id:
                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[*names, *new])
 
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in new]
-    return joined.mapInArrow(task, ", ".join([*kept, f"kept {'string' if as_text else 'binary'}", "n_bytes long", "n_removed long", "n_spans long"]))
+    made = [StructField("kept", StringType() if as_text else BinaryType()), *[StructField(c, LongType()) for c in new[1:]]]
+    return joined.mapInArrow(task, StructType([f for f in docs.schema if f.name not in new and not f.name.startswith("_s")] + made))

@@ -74,6 +74,20 @@ def test_nearest_few_rows(spark):
     assert _search(spark, []) == []
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stage_columns_with_clashing_names(spark, stage):
+    """Columns named like the operators' own pass through unchanged."""
+    import corpus_pipeline
+
+    names = ["_score", "_sdoc", "_rest", "_kept", "n_words", "kept", "n_removed", "n_bytes", "n_spans", "copy", "component_id", "base_failed", "_msource", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    docs = docs.select("*", *[corpus_pipeline.F.concat(corpus_pipeline.F.lit(f"{k}-"), "doc_id").alias(c) for k, c in enumerate(names)])
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{k}-{r.doc_id}" for r in rows for k, c in enumerate(names))
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage on sf0.001, each against a plain version of what it does."""
     import corpus_pipeline
@@ -108,7 +122,7 @@ def test_pipeline_against_brute_force(spark):
 
     before = sorted(rows, key=lambda r: r.doc_id)
     rows = sorted(run("suffix-array dedup"), key=lambda r: r.doc_id)
-    gone = brute_repeats([(r.text or "").encode() for r in before], 400)
+    gone = brute_repeats([(r.text or "").encode() for r in before], corpus_pipeline.PASSAGE)
     assert docs.columns == columns and [r.doc_id for r in rows] == [r.doc_id for r in before]
     assert all(len((b.text or "").encode()) - g[1] - len(a.text.encode()) <= 3 * 2 * g[2] and a.n_chars == len(a.text) for a, b, g in zip(rows, before, gone, strict=True))
     assert all(a.text == (b.text or "") for a, b, g in zip(rows, before, gone, strict=True) if not g[1])
