@@ -37,6 +37,19 @@ def write_lines(df: DataFrame, path: str, text_col: str = "text", order_cols: li
     out.select(text_col).write.mode("overwrite").text(path)
 
 
+def write_raw(df: DataFrame, path: str, split_col: str = "split", lang_col: str = "lang", text_col: str = "text",
+              order_cols: list[str] | None = None) -> None:
+    """SRC-10: the original text, unchanged, under ``split=.../lang=...``; lines in the order of ``order_cols``."""
+    cols = [F.col(split_col).alias("split"), F.col(lang_col).alias("lang")]
+    out = df.repartitionByRange(*cols, *order_cols).sortWithinPartitions(*cols, *order_cols) if order_cols else df
+    out.select(*cols, F.col(text_col).alias("value")).write.partitionBy("split", "lang").mode("errorifexists").text(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-10 read back: ``(split, lang, text)``."""
+    return spark.read.text(path).select("split", "lang", F.col("value").alias("text"))
+
+
 def infer_language_pair(file_names: DataFrame, name_col: str = "name") -> DataFrame:
     """SRC-05: first file (by name) whose second dot-part splits into exactly two by '-'."""
     parts = F.split(F.element_at(F.split(name_col, r"\."), 2), "-")
@@ -49,12 +62,32 @@ def split_names(prefixes: str, base: str = "valid") -> list[str]:
     return [base if i == 0 else f"{base}{i}" for i, _ in enumerate(prefixes.split(","))]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def split_parts(spark: SparkSession, folder: str, split: str, src: str, tgt: str, lang: str) -> list[str]:
+    """SRC-04: the files ``split.src-tgt.lang`` (or ``split.tgt-src.lang``), ``split1...``, ``split2...`` until one is missing.
+    A missing first part is an error."""
+    out: list[str] = []
+    while True:
+        name = split if not out else f"{split}{len(out)}"
+        found = [p for p in (f"{folder}/{name}.{pair}.{lang}" for pair in (f"{src}-{tgt}", f"{tgt}-{src}")) if _exists(spark, p)]
+        if not found:
+            break
+        out.append(found[0])
+    if not out:
+        raise FileNotFoundError(f"no split {split} of {src}-{tgt} for {lang} in {folder}")
+    return out
+
+
 def load_split(spark: SparkSession, paths: list[str], combine: bool = True) -> DataFrame:
     """SRC-04: ``name``, ``name1``... concatenated with ``corpus_ord``; ids continue across parts."""
     parts = paths if combine else paths[:1]
     u = None
     for i, p in enumerate(parts):
-        d = read_lines(spark, p).withColumn("corpus_ord", F.lit(i))
+        d = read_lines(spark, p, per_file=False).withColumn("corpus_ord", F.lit(i))
         u = d if u is None else u.unionByName(d)
     return global_index(u, ["corpus_ord", "line_no"], name="id")
 
@@ -112,15 +145,18 @@ def read_generation_output(lines: DataFrame, text_col: str = "text") -> DataFram
 
 
 def write_generation_output(hyps: DataFrame) -> DataFrame:
-    """SRC-15: lines ``S-id``, ``T-id``, ``H-id\\tscore\\ttext``, ``P-id\\tscores (4 decimals)``,
-    ordered by (id, line order)."""
-    s = hyps.select("id", F.lit(0).alias("o"), F.concat(F.lit("S-"), F.col("id").cast("string"), F.lit("\t"), "source").alias("line"))
-    t = hyps.select("id", F.lit(1).alias("o"), F.concat(F.lit("T-"), F.col("id").cast("string"), F.lit("\t"), "target").alias("line"))
-    h = hyps.select("id", F.lit(2).alias("o"), F.concat(F.lit("H-"), F.col("id").cast("string"), F.lit("\t"),
-                                                         F.col("score").cast("string"), F.lit("\t"), "hypothesis").alias("line"))
-    p = hyps.select("id", F.lit(3).alias("o"), F.concat(F.lit("P-"), F.col("id").cast("string"), F.lit("\t"),
-                                                         F.array_join(F.transform("pos_scores", lambda v: F.format_string("%.4f", v)), " ")).alias("line"))
-    return s.unionByName(t).unionByName(h).unionByName(p)
+    """SRC-15: ``(id, o, line)``, the printer's lines in the order of (id, o): once an id ``S-id`` and, with a target, ``T-id``; then for
+    each hypothesis by ``rank`` (from 1) ``H-id\\tscore\\ttext``, ``P-id\\tscores`` (4 decimals) and, where there is a column ``alignment``,
+    ``A-id\\tpositions``.  Row-local: no shuffle, the order is left to the writer."""
+    head = lambda tag: F.concat(F.lit(f"{tag}-"), F.col("id").cast("string"), F.lit("\t"))
+    line = lambda o, text: F.struct(o.cast("long").alias("o"), text.alias("line"))
+    first, at = F.col("rank") == 1, F.col("rank").cast("long") * 3
+    scores = F.array_join(F.transform("pos_scores", lambda v: F.format_string("%.4f", v)), " ")
+    lines = [line(F.lit(0), F.when(first, F.concat(head("S"), "source"))), line(F.lit(1), F.when(first, F.concat(head("T"), "target"))),
+             line(at, F.concat(head("H"), F.col("score").cast("string"), F.lit("\t"), "hypothesis")), line(at + 1, F.concat(head("P"), scores))]
+    if "alignment" in hyps.columns:
+        lines.append(line(at + 2, F.concat(head("A"), F.array_join(F.col("alignment").cast("array<string>"), " "))))
+    return hyps.select("id", F.explode(F.array(*lines)).alias("l")).where("l.line IS NOT NULL").select("id", "l.o", "l.line")
 
 
 def read_tagged_text(lines: DataFrame, text_col: str = "text") -> DataFrame:
