@@ -1,50 +1,102 @@
 """Subword learning and application: AGG-30 (learn merges), PRJ-22 (apply merges).
 
-Learning works on the word-type table ``(word, freq)`` - far fewer rows than tokens.  Each round
-is one distributed job: adjacent symbol pairs weighted by frequency are summed, the best pair
-(highest count, ties to the larger pair) comes back as one row, and it is merged into every word
-type.  Lineage is cut every few rounds with a reliable checkpoint.
+Learning works on the word-type table ``(freq, syms)`` - far fewer rows than tokens - and on a table of adjacent symbol
+pairs with their counts.  A job takes several merges at once: the driver reads the most frequent pairs (``TOP`` rows) and
+takes the longest run of them that one-by-one learning would take too (``safe_run``).  The words that contain a merged pair are
+rewritten, and the pair table changes by the difference of their pairs before and after; other words are not counted again.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcorpus.constants import BPE_MARKER
 from seqcorpus.plans.session import cut_lineage
 
 END = "</w>"
+#: Pairs that the driver reads for a job, and merges that a job takes at most.
+TOP = 512
+RUN = 64
 
 
 def _initial(words: DataFrame) -> DataFrame:
     chars = F.filter(F.split("word", ""), lambda x: x != "")
     syms = F.concat(F.slice(chars, 1, F.size(chars) - 1),
                     F.array(F.concat(F.element_at(chars, -1), F.lit(END))))
-    return words.select("word", "freq", F.array_join(syms, " ").alias("syms"))
+    return words.select(F.col("freq").cast("long").alias("freq"), syms.alias("syms"))
+
+
+def _adjacent(syms: str) -> Column:
+    """The pairs of neighbours in an array of symbols."""
+    return F.transform(F.slice(syms, 1, F.greatest(F.size(syms) - 1, F.lit(0))),
+                       lambda x, i: F.struct(x.alias("a"), F.get(F.col(syms), i + 1).alias("b")))
+
+
+def _merged(syms: str, merges: list[tuple[str, str]]) -> Column:
+    """Every given pair replaced by its join, from left to right.  No two of the pairs can overlap in a word."""
+    known = F.from_json(F.lit(json.dumps({f"{a} {b}": a + b for a, b in merges})), "map<string,string>")
+    nothing = F.expr("CAST(array() AS ARRAY<STRING>)")
+
+    def add(done: Column, x: Column) -> Column:
+        joined = F.try_element_at(known, F.concat_ws(" ", F.element_at(done, -1), x))
+        appended = F.concat(done, F.array(x))
+        return F.when(F.size(done) == 0, appended).when(joined.isNotNull(), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(appended)
+
+    return F.aggregate(syms, nothing, add)
+
+
+def safe_run(top: list[tuple[str, str, int]], complete: bool, made: set[str], limit: int) -> list[tuple[str, str, int]]:
+    """The longest run of ``top`` (pairs by count, then symbols, falling) that one-by-one learning takes in that order.
+
+    A merge changes only pairs that share its symbols at the seam, and makes pairs that occur no more often than those did.
+    So the next pair is safe if no taken pair overlaps it and it occurs more often than every pair at the seam of a taken one
+    that is still to come.  A pair of equal symbols, or one that makes a symbol that exists already, goes alone.
+    ``complete`` tells whether ``top`` holds all pairs; if not, pairs as rare as its last one are not safe."""
+    taken: list[tuple[str, str, int]] = []
+    for a, b, n in top[:limit]:
+        if n < 2:
+            break
+        joined = a + b
+        alone = a == b or joined in made or (joined.endswith(END) and len(joined) == len(END) + 1)
+        if taken:
+            if alone or any(b == c or a == d or joined == c + d for c, d, _ in taken) or (not complete and n == top[-1][2]):
+                break
+            if any(y == c or x == d for x, y, m in top if m == n for c, d, _ in taken):
+                break
+        taken.append((a, b, n))
+        if alone:
+            break
+    return taken
 
 
-def learn_bpe(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> DataFrame:
-    """AGG-30: ``(rank, left, right)`` merges, most frequent adjacent pair first."""
+def learn_bpe(words: DataFrame, n_merges: int, top: int = TOP) -> DataFrame:
+    """AGG-30: ``(rank, left, right)`` merges, most frequent adjacent pair first, ties to the larger pair; a pair that
+    occurs once is not merged."""
     spark = words.sparkSession
     cur = cut_lineage(_initial(words.filter(F.length("word") > 0)))
-    merges = []
-    for r in range(n_merges):
-        arr = F.split("syms", " ")
-        pairs = cur.select("freq", F.explode(F.arrays_zip(F.slice(arr, 1, F.size(arr) - 1).alias("a"),
-                                                          F.slice(arr, 2, F.size(arr)).alias("b"))).alias("p"))
-        stats = pairs.filter(F.col("p.b").isNotNull()).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")) \
-            .agg(F.sum("freq").alias("n"))
-        best = stats.agg(F.max_by(F.struct("a", "b", "n"), F.struct("n", "a", "b")).alias("m")).first().m  # one row
-        if best is None or best.n < 2:
+    counted = cur.select("freq", F.explode(_adjacent("syms")).alias("p"))
+    pairs = cut_lineage(counted.groupBy("p.a", "p.b").agg(F.sum("freq").alias("n")))
+    merges: list[tuple[str, str]] = []
+    made: set[str] = set()
+    while len(merges) < n_merges:
+        first = [tuple(r) for r in pairs.orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(top).collect()]
+        run = safe_run(first, len(first) < top, made, min(RUN, n_merges - len(merges)))
+        if not run:
             break
-        merges.append((r, best.a, best.b))
-        pat = r"(?<=^| )" + r"\Q" + best.a + r" " + best.b + r"\E" + r"(?= |$)"
-        cur = cur.withColumn("syms", F.regexp_replace("syms", pat, best.a.replace("\\", "\\\\").replace("$", "\\$") + best.b.replace("\\", "\\\\").replace("$", "\\$")))
-        if (r + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-    return spark.createDataFrame(merges, "rank int, left string, right string")
+        merges += [(a, b) for a, b, _ in run]
+        made |= {a + b for a, b, _ in run}
+        cur = cut_lineage(cur.withColumn("old", F.col("syms")).withColumn("syms", _merged("syms", [(a, b) for a, b, _ in run])))
+        touched = cur.where(F.size("syms") < F.size("old"))
+        gone = touched.select((-F.col("freq")).alias("n"), F.explode(_adjacent("old")).alias("p"))
+        come = touched.select(F.col("freq").alias("n"), F.explode(_adjacent("syms")).alias("p"))
+        change = gone.unionByName(come).select("p.a", "p.b", "n")
+        pairs = cut_lineage(pairs.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
+        cur = cur.drop("old")
+    return spark.createDataFrame([(r, a, b) for r, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
 def apply_bpe_udf(merges: list[tuple[int, str, str]]):
@@ -57,12 +109,10 @@ def apply_bpe_udf(merges: list[tuple[int, str, str]]):
             return word
         syms = list(word[:-1]) + [word[-1] + END]
         while len(syms) > 1:
-            cand = [(ranks.get((syms[i], syms[i + 1]), None), i) for i in range(len(syms) - 1)]
-            cand = [c for c in cand if c[0] is not None]
-            if not cand:
+            found = [(ranks[pair], pair) for pair in zip(syms, syms[1:]) if pair in ranks]
+            if not found:
                 break
-            r, _ = min(cand)
-            a, b = [k for k, v in ranks.items() if v == r][0]
+            a, b = min(found)[1]
             out, i = [], 0
             while i < len(syms):
                 if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:

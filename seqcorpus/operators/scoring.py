@@ -164,18 +164,43 @@ def nbest(hyps: DataFrame, key_cols: list[str], n: int, score_col: str = "score"
 
 def merge_bpe_scores(pieces: DataFrame, key_cols: list[str], marker: str = "@@", pos_col: str = "pos",
                      piece_col: str = "piece", score_col: str = "score") -> DataFrame:
-    """WIN-10/11: a piece ending in the marker adds its score to the next piece (the last piece
+    """WIN-10: a piece ending in the marker adds its score to the next piece (the last piece
     is never merged); words are rebuilt from pieces with their summed score.
 
     Word id = number of word ends strictly before the piece (running count per hypothesis)."""
     w = Window.partitionBy(*key_cols).orderBy(pos_col)
-    last = F.max(pos_col).over(Window.partitionBy(*key_cols))
-    cont = F.col(piece_col).endswith(marker) & (F.col(pos_col) < last)
-    ends = F.when(cont, 0).otherwise(1)
-    p = pieces.withColumn("_cont", cont).withColumn(
-        "word_no", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    words = p.groupBy(*key_cols, "word_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos_col, piece_col))),
-                                 lambda x: F.regexp_replace(x[piece_col], marker + "$", "")), "").alias("word"),
-        F.sum(score_col).alias("score"), F.sum(F.col("_cont").cast("int")).alias("n_merged"))
-    return words
+    last = F.lead(pos_col).over(w).isNull()
+    cont = F.col(piece_col).endswith(marker) & ~last
+    p = pieces.withColumn("_cont", cont).withColumn("_bare", F.when(cont, F.expr(f"substring({piece_col}, 1, length({piece_col}) - {len(marker)})")).otherwise(F.col(piece_col)))
+    p = p.withColumn("word_no", F.coalesce(F.sum(F.when(F.col("_cont"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    made = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("pos"), F.col("_bare").alias("piece")))), lambda x: x["piece"])
+    return p.groupBy(*key_cols, "word_no").agg(F.array_join(made, "").alias("word"), F.sum(score_col).alias("score"),
+                                               F.sum(F.col("_cont").cast("int")).alias("n_merged"))
+
+
+def word_probs(pieces: DataFrame, key_cols: list[str], marker: str = "@@", pos_col: str = "pos",
+               piece_col: str = "piece", score_col: str = "score") -> DataFrame:
+    """WIN-11: ``(keys, word_no, word, score, n_pieces)``: the words of a hypothesis with their scores, aligned by position.  A word
+    with an infinite piece is one that FLT-07 removes: its place stays, with a null score, so no later word moves up."""
+    words = merge_bpe_scores(pieces, key_cols, marker, pos_col, piece_col, score_col)
+    finite = F.abs(F.col("score")) < float("inf")
+    return words.select(*key_cols, "word_no", "word", F.when(finite, F.col("score")).alias("score"), (F.col("n_merged") + 1).alias("n_pieces"))
+
+
+def post_process(hyps: DataFrame, key_cols: list[str], vocab: DataFrame, lexicon: DataFrame | None = None, ids_col: str = "ids",
+                 src_tokens: str = "src_tokens", alignment: str = "alignment", bpe_symbol: str | None = None) -> DataFrame:
+    """SCR-06: ``(keys, text, tokens)`` of hypotheses as they go into BLEU: ids become text, subwords are joined again where there is a
+    ``bpe_symbol``, unknown words are replaced by the lexicon's word for the aligned source word, or by that word itself, and the
+    text is split into words anew.  Words are compared as strings, so no vocabulary has to grow."""
+    from seqcorpus.functions.text import remove_bpe, tokenize
+    from seqcorpus.operators.align import replace_unk
+    from seqcorpus.operators.encode import decode
+
+    text = decode(hyps.select(*key_cols, ids_col, *([src_tokens, alignment] if lexicon is not None else [])), vocab, ids_col, "_text")
+    joined = remove_bpe("_text", bpe_symbol) if bpe_symbol else F.col("_text")
+    text = text.withColumn("text", joined)
+    if lexicon is not None:
+        words = text.withColumn("_words", tokenize("text"))
+        text = replace_unk(words, key_cols, "_words", src_tokens, alignment, lexicon)
+        text = hyps.select(*key_cols).join(text, key_cols, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return text.select(*key_cols, "text", tokenize("text").alias("tokens"))
