@@ -24,7 +24,8 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: str, max_f
 def document_line_stream(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
     """Documents arriving as parquet files, broken into lines."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = table_stream(spark, folder, "documents", schema, max_files)
+    name = "part-" if folder.rstrip("/").endswith("*") else "documents"  # a folder of written tables, or one of files
+    docs = table_stream(spark, folder, name, schema, max_files)
     return docs.select("doc_id", "lang", F.posexplode(split_lines("text")).alias("line_no", "text"))
 
 
