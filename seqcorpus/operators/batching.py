@@ -75,6 +75,10 @@ def length_order(df: DataFrame, id_cols: list[str], src_len: str = "src_len", tg
 
 
 # --------------------------------------------------------------------------- BAT-01
+#: Pairs of lengths that the driver plans with: all pairs under caps of 1024.
+MAX_RUNS = 1025 * 1025
+
+
 def _flush_size(k: int, mult: int) -> int:
     return max(mult * (k // mult), k % mult)
 
@@ -160,12 +164,15 @@ def token_budget_batches(df: DataFrame, id_cols: list[str], max_tokens: int | No
                          tgt_len: str | None = "tgt_len", batch_col: str = "batch_id") -> DataFrame:
     """BAT-01 (+JN-11): greedy batches over the (src_len, tgt_len, id) order.
 
-    Adds ``batch_id`` (0-based, in emission order), ``pos_in_batch`` and ``rank``."""
+    Adds ``batch_id`` (0-based, in emission order), ``pos_in_batch`` and ``rank``.  The driver holds one row for each
+    (src_len, tgt_len) that occurs, at most ``MAX_RUNS``: filter by ``valid_size`` first; more is an error."""
     spark = df.sparkSession
     tkey = F.coalesce(F.col(tgt_len), F.lit(-1)) if tgt_len else F.lit(-1)
     keyed = df.withColumn("_tk", tkey)
     hist = keyed.groupBy(src_len, "_tk").agg(F.count(F.lit(1)).alias("_n"))
-    runs = [(int(r[0]), int(r[1]), int(r[2])) for r in hist.orderBy(src_len, "_tk").collect()]
+    runs = [(int(r[0]), int(r[1]), int(r[2])) for r in hist.orderBy(src_len, "_tk").limit(MAX_RUNS + 1).collect()]
+    if len(runs) > MAX_RUNS:
+        raise ValueError(f"over {MAX_RUNS} different pairs of lengths: filter by valid_size first")
     segs = plan_segments([(max(s, t, 0), n) for s, t, n in runs], max_tokens, max_sentences, mult)
     # segments x runs overlap table (two-pointer sweep over rank ranges)
     rows, first_batch, si, run_start = [], [], 0, 0
@@ -221,10 +228,14 @@ def buffered_batches(df: DataFrame, line_col: str, size: int, max_tokens: int |
 
 
 def collate(batched: DataFrame, batch_col: str = "batch_id", src: str = "src_ids", tgt: str | None = "tgt_ids",
-            id_cols: list[str] | None = None, left_pad_source: bool = True, left_pad_target: bool = False) -> DataFrame:
+            id_cols: list[str] | None = None, left_pad_source: bool = True, left_pad_target: bool = False,
+            others: dict[str, str] | None = None) -> DataFrame:
     """BAT-02 + SRT-04 + PRJ-09/10: per row its batch-padded source, target and decoder input,
     and its place in the batch (source length desc, then id).  Windows are partitioned by batch
-    (a batch is bounded by the token budget)."""
+    (a batch is bounded by the token budget).
+
+    ``others`` (3- and 4-way rows) names further id columns and the columns they are padded into, e.g.
+    ``{"pivot_ids": "pivot", "mt_ids": "mt"}``: always padded on the right, to the longest of the batch; a null one is all pads."""
     from pyspark.sql import Window
 
     from seqcorpus.functions.arrays import pad_to, shift_eos_first
@@ -239,9 +250,25 @@ def collate(batched: DataFrame, batch_col: str = "batch_id", src: str = "src_ids
                .withColumn("target", pad_to(tgt, F.col("_mt"), left_pad_target))
                .withColumn("prev_output", pad_to(shift_eos_first(tgt), F.col("_mt"), left_pad_target))
                .drop("_mt"))
+    for col, name in (others or {}).items():
+        ids = F.coalesce(F.col(col), F.slice(F.col(src), 1, 0))
+        out = out.withColumn("_mo", F.max(F.size(ids)).over(w)).withColumn(name, pad_to(ids, F.col("_mo"), False)).drop("_mo")
     return out.drop("_ms")
 
 
+def lm_order(sizes: DataFrame, id_cols: list[str], size: str = "size", mirrored: bool = False) -> DataFrame:
+    """SRT-02: ``idx`` (place in the corpus by ``id_cols``) and ``ord`` (place in the order by size, ties by idx).
+
+    ``mirrored`` orders row i by the size of row N-1-i: an array of sizes that was turned over as a whole, where a falling order was
+    meant.  Both orders are global numberings; the mirrored one adds an equi-join on the index."""
+    rows = global_index(sizes, id_cols, name="idx")
+    if not mirrored:
+        return global_index(rows, [size, "idx"], name="ord")
+    n = rows.count()  # one scalar
+    other = rows.select((F.lit(n - 1) - F.col("idx")).alias("idx"), F.col(size).alias("_key"))
+    return global_index(rows.join(other, "idx"), ["_key", "idx"], name="ord").drop("_key")
+
+
 def batch_summary(batched: DataFrame, batch_col: str = "batch_id", src_len: str = "src_len",
                   tgt_len: str | None = "tgt_len") -> DataFrame:
     """BAT-02 / AGG-29: rows, padded sizes and ``ntokens`` (target length sum, or source when no

@@ -5,13 +5,14 @@ A stream is every sentence of one key (e.g. a language) in a total order; its to
 come from ``global_cumsum`` (range-partitioned, no per-stream task).
 
 'complete' blocks are a greedy chain: ``next(i)`` = first sentence that no longer fits with the
-block starting at i.  Every sentence holds >= 1 token, so ``next(i) <= i + B + 1``.  Pass 1 cuts
-each stream into chunks of C >= B+1 sentences; a grouped task per chunk (C rows plus the first
-B+1 rows of the next chunk as look-ahead) computes ``next`` with a binary search on prefix sums
-and, by a backward scan, the exit of the chain for each possible entry (only the first B+1
-sentences of a chunk can be entries).  The driver hops once per chunk over that table (its size
-is chunks x (B+1), bounded by the chunk count, not by the data).  Pass 2 labels sentences with
-block numbers from their chunk's known entry and block offset.
+block starting at i.  Every sentence holds >= 1 token, so ``next(i) <= i + B + 1``.  Each stream is cut
+into chunks of a fixed number of sentences; a grouped task per chunk (its rows plus the first B+1 rows of
+the next chunk as look-ahead) computes ``next`` with a binary search on prefix sums and, by a backward
+scan, the exit of the chain for each possible entry (only the first B+1 sentences of a chunk can be
+entries).  Where the chain enters each chunk follows by joins alone: going up, the maps of two
+neighbours are composed (entry of the left to exit of the right) until one map covers the stream; going
+down, the entry of a pair gives that of its right half.  Both take log2(chunks) joins, and no table of chunks
+comes to the driver.  A last grouped task labels the sentences of each chunk from its entry.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcorpus.plans.broadcast import maybe_broadcast
-from seqcorpus.plans.index import global_cumsum, global_index
+from seqcorpus.plans.index import global_positions
+from seqcorpus.plans.session import cut_lineage
 
-MAX_CHUNKS = 4096
+#: Sentences of a chunk.
+CHUNK = 1 << 16
 
 
 def stream_positions(sent: DataFrame, stream: str, order_cols: list[str], size_col: str = "size") -> DataFrame:
     """Adds ``start_pos`` (token offset of the sentence inside its stream) and ``sent_no``."""
-    cum = global_cumsum(sent, [F.col(stream)] + [F.col(c) for c in order_cols], size_col, name="_gpos")
-    idx = global_index(cum, [F.col(stream)] + [F.col(c) for c in order_cols], name="_gidx")
+    idx = global_positions(sent, [F.col(stream)] + [F.col(c) for c in order_cols], size_col, "_gidx", "_gpos")
     base = idx.groupBy(stream).agg(F.min("_gpos").alias("_p0"), F.min("_gidx").alias("_i0"))
-    return (idx.join(base, stream)
+    return (idx.join(maybe_broadcast(base), stream)
             .withColumn("start_pos", F.col("_gpos") - F.col("_p0"))
             .withColumn("sent_no", F.col("_gidx") - F.col("_i0"))
             .drop("_gpos", "_p0", "_gidx", "_i0"))
@@ -66,6 +68,26 @@ def _next_array(sizes: np.ndarray, B: int) -> np.ndarray:
     return np.maximum(nxt, np.arange(len(sizes)) + 1)
 
 
+def chunk_entries(table: DataFrame, stream: str) -> DataFrame:
+    """``(stream, _chunk, _entry, _boff)``: the sentence at which the chain of blocks enters each chunk, and the number of blocks
+    before it, from ``table`` (stream, _chunk, entry, exit, nblocks).  A chain that ends before a chunk enters it behind its end."""
+    chunks = (table.agg(F.max("_chunk")).first()[0] or 0) + 1  # one scalar
+    levels = [table.withColumnRenamed("_chunk", "g")]
+    while 1 << (len(levels) - 1) < chunks:
+        low = levels[-1]
+        left = low.where(F.col("g") % 2 == 0).withColumn("g", F.shiftright("g", 1))
+        right = low.where(F.col("g") % 2 == 1).select(stream, F.shiftright("g", 1).alias("g"), F.col("entry").alias("exit"), F.col("exit").alias("_x"), F.col("nblocks").alias("_n"))
+        both = left.join(right, [stream, "g", "exit"], "left")
+        levels.append(cut_lineage(both.select(stream, "g", "entry", F.coalesce("_x", "exit").alias("exit"), (F.col("nblocks") + F.coalesce("_n", F.lit(0))).alias("nblocks"))))
+    at = table.select(stream).distinct().select(stream, F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("before"))
+    for low in reversed(levels[:-1]):
+        left = at.withColumn("g", F.col("g") * 2)
+        through = left.join(low, [stream, "g", "entry"], "left")
+        right = through.select(stream, (F.col("g") + 1).alias("g"), F.coalesce("exit", "entry").alias("entry"), (F.col("before") + F.coalesce("nblocks", F.lit(0))).alias("before"))
+        at = left.unionByName(right)
+    return at.select(stream, F.col("g").alias("_chunk"), F.col("entry").alias("_entry"), F.col("before").alias("_boff"))
+
+
 def blocks_complete(sent: DataFrame, stream: str, order_cols: list[str], block_size: int,
                     size_col: str = "size", chunk_sentences: int | None = None) -> DataFrame:
     """WIN-07: greedy blocks of whole sentences, total <= B; an over-long sentence is a block alone.
@@ -73,9 +95,8 @@ def blocks_complete(sent: DataFrame, stream: str, order_cols: list[str], block_s
     Returns the input rows with ``sent_no``, ``start_pos`` and ``block_id`` (0-based per stream)."""
     B = block_size
     s = stream_positions(sent, stream, order_cols, size_col)
-    total = s.agg(F.max("sent_no")).first()[0]  # one scalar
-    total = (total or 0) + 1
-    C = max(B + 1, chunk_sentences or 0, -(-total // MAX_CHUNKS))
+    C = max(B + 1, chunk_sentences or CHUNK)
+    s = cut_lineage(s)
     s = s.withColumn("_chunk", F.floor(F.col("sent_no") / C).cast("long"))
     own = s.select(stream, "_chunk", "sent_no", F.col(size_col).cast("long").alias("_sz"), F.lit(False).alias("_ahead"))
     ahead = (s.filter((F.col("sent_no") % C <= B) & (F.col("_chunk") > 0))
@@ -106,21 +127,7 @@ def blocks_complete(sent: DataFrame, stream: str, order_cols: list[str], block_s
 
     table = work.groupBy(stream, "_chunk").applyInPandas(
         entries, f"{stream} {stype}, _chunk long, entry long, exit long, nblocks long")
-    rows = table.collect()  # chunks x (B+1) rows at most: bounded by MAX_CHUNKS, not by the data
-    by = {}
-    for r in rows:
-        by.setdefault(r[0], {})[(r[1], r[2])] = (r[3], r[4])
-    plan = []
-    for key, t in by.items():
-        e, c, blocks = 0, 0, 0
-        while (c, e) in t:
-            x, nb = t[(c, e)]
-            plan.append((key, c, e, blocks))
-            blocks += nb
-            last, e, c = c, x, x // C
-        if t and (e - 1) // C > last:  # the last block reaches into a chunk where no block begins
-            plan.append((key, (e - 1) // C, e, blocks))
-    plan_df = s.sparkSession.createDataFrame(plan, f"{stream} {stype}, _chunk long, _entry long, _boff long")
+    plan_df = chunk_entries(cut_lineage(table), stream)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sent_no")

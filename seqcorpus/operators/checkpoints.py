@@ -72,7 +72,7 @@ def attach_embeddings(vocab: DataFrame, emb: DataFrame, dim: int, default: float
 
 def embedding_overlap(vocab: DataFrame, emb: DataFrame) -> DataFrame:
     """JN-07: |embedding words ∩ vocabulary| / |vocabulary|."""
-    hit = vocab.select("symbol").join(emb.select("symbol"), "symbol", "left_semi").count()
-    total = vocab.count()
-    return vocab.sparkSession.createDataFrame([(hit, total, hit / total if total else 0.0)],
-                                              "n_found long, n_vocab long, overlap double")
+    known = emb.select("symbol").distinct().withColumn("_hit", F.lit(1))
+    both = vocab.select("symbol").join(known, "symbol", "left").agg(F.count("_hit").alias("n_found"), F.count(F.lit(1)).alias("n_vocab"))
+    overlap = F.when(F.col("n_vocab") > 0, F.col("n_found") / F.col("n_vocab")).otherwise(0.0)
+    return both.select("n_found", "n_vocab", overlap.alias("overlap"))

@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 
 from seqcorpus.constants import EOS, UNK, UNK_ESCAPED, UNK_WORD
 from seqcorpus.functions.text import tokenize
-from seqcorpus.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
+from seqcorpus.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast, size_of, stored
 
 
-def _lookup_table(vocab: DataFrame):
-    rows = vocab.select("symbol", "id").collect()  # bounded: caller checked the row count
-    return [r[0] for r in rows], [int(r[1]) for r in rows]
+def _within(vocab: DataFrame, max_rows: int) -> list | None:
+    """The (symbol, id) rows of a vocabulary within both broadcast bounds, else None.  Its plan runs once."""
+    held = stored(vocab.select("symbol", "id"))
+    rows, size = size_of(held)
+    return held.collect() if rows <= max_rows and size <= DEFAULT_MAX_BROADCAST_BYTES else None
 
 
 def _list_parts(arr):
@@ -77,10 +79,11 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """PRJ-02/03/04 + JN-01: ``tokens ARRAY<STRING>`` → ``ids ARRAY<INT>``; unknown → 3;
     optional reversal, then optional end-of-sentence id.  An empty line encodes to ``[2]``."""
-    if how == "auto":
-        how = "broadcast" if row_count_at_most(vocab, max_broadcast_rows) is not None else "shuffle"
-    if how == "broadcast":
-        symbols, ids = _lookup_table(vocab)
+    known = None if how == "shuffle" else _within(vocab, max_broadcast_rows)
+    if known is None and how == "broadcast":
+        raise ValueError("vocabulary too large to broadcast")
+    if known is not None:
+        symbols, ids = [r[0] for r in known], [int(r[1]) for r in known]
         out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
         return df.mapInArrow(_arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse_order, EOS, UNK),
                              out_schema)
@@ -122,9 +125,7 @@ def encode_stats(lines: DataFrame, vocab: DataFrame, group_cols: list[str], text
     line_stats = words.groupBy(*group_cols).agg(
         F.sum(F.when(F.col("symbol").isNull(), F.col("n"))).cast("long").alias("nseq"),
         F.sum(F.col("n") if append_eos else F.when(F.col("symbol").isNotNull(), F.col("n"))).cast("long").alias("ntok"))
-    known = vocab.select("symbol")
-    if row_count_at_most(known, max_broadcast_rows) is not None:
-        known = F.broadcast(known)
+    known = maybe_broadcast(vocab.select("symbol"), max_broadcast_rows)
     unknown = (words.filter(F.col("symbol").isNotNull()).join(known, "symbol", "left_anti")
                .filter(F.col("symbol") != UNK_WORD))
     unk_stats = unknown.groupBy(*group_cols).agg(F.sum("n").cast("long").alias("nunk"),
@@ -143,12 +144,12 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str =
     """PRJ-05/06/07 + JN-02: drop every end-of-sentence id, map id → symbol (out of range →
     ``<unk>``; the unk id → ``<<unk>>`` when escaping), join by spaces, optionally remove BPE.
     Pads are kept.  Vectorised lookup against the broadcast vocabulary."""
-    if row_count_at_most(vocab, max_broadcast_rows) is None:
+    rows = _within(vocab, max_broadcast_rows)
+    if rows is None:
         raise ValueError("vocabulary too large to broadcast for decode")
-    rows = vocab.select("id", "symbol").collect()
-    size = max(r[0] for r in rows) + 1
+    size = max(r[1] for r in rows) + 1
     table = [UNK_WORD] * size
-    for i, s in rows:
+    for s, i in rows:
         table[i] = s
     if escape_unk:
         table[UNK] = UNK_ESCAPED

@@ -835,41 +835,6 @@ def q_lexicon_roundtrip(spark, sf_dir):
     return fs.read_lexicon(spark, path)
 
 
-@register("src_15_write_generation_output")
-def q_gen_write(spark, sf_dir):
-    """n-best lines per document as hypotheses in the printer's format (S/T/H/P lines)."""
-    s, _, _, _ = _scored(spark, sf_dir)
-    per_line = s.groupBy(*LINE_ORDER).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("pos_scores"),
-        F.avg("lp").alias("score"))
-    lines = document_lines(spark, sf_dir, cols=())
-    h = per_line.join(lines, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", F.round("score", 4).alias("score"),
-                                               F.col("text").alias("hypothesis"), "pos_scores")
-    top = sc.nbest(h, ["id"], 1, tie_cols=["line_no"]).drop("rank")
-    src = document_lines(spark, sf_dir, cols=()).filter("line_no = 0").select(F.col("doc_id").alias("id"),
-                                                                                F.col("text").alias("source"))
-    g = top.join(src, "id").withColumn("target", F.col("source"))
-    out = fs.write_generation_output(g)
-    return out.select("id", "o", F.md5("line").alias("line_md5"))
-
-
-@register("src_14_read_generation_output")
-def q_gen_read(spark, sf_dir):
-    lines = q_gen_write.__wrapped__(spark, sf_dir) if hasattr(q_gen_write, "__wrapped__") else None
-    s, _, _, _ = _scored(spark, sf_dir)
-    per_line = s.groupBy(*LINE_ORDER).agg(F.avg("lp").alias("score"), F.lit([0.0]).alias("pos_scores"))
-    dl = document_lines(spark, sf_dir, cols=())
-    h = per_line.join(dl, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", F.round("score", 4).alias("score"),
-                                             F.col("text").alias("hypothesis"), "pos_scores")
-    g = sc.nbest(h, ["id"], 2, tie_cols=["line_no"]).withColumn("source", F.lit("src")).withColumn("target", F.lit("ref"))
-    text = fs.write_generation_output(g.drop("rank", "line_no")).withColumn("_r", F.col("o"))
-    path = scratch_path(spark, "gen")
-    fs.write_lines(text.select("line", "id", "o", F.col("_r")).withColumn("text", F.col("line")), path,
-                   order_cols=["id", "o"])
-    back = fs.read_generation_output(fs.read_lines(spark, path))
-    return back.select("id", "rank", "score", F.md5("hypothesis").alias("hyp_md5"))
-
-
 @register("src_17_read_tagged_text")
 def q_tagged(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", r"\r\n|\r|\n|(?=<)")).alias("line_no", "text"))
@@ -1098,19 +1063,6 @@ def q_apply_bpe(spark, sf_dir):
     return seg.groupBy("symbol", "pieces").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("win_10_merge_bpe_scores")
-def q_merge_scores(spark, sf_dir):
-    """Pieces of every document line scored -1 each (a stand-in log-prob), merged back to words."""
-    lines = document_lines(spark, sf_dir, cols=())
-    toks = voc.explode_tokens(lines, LINE_ORDER)
-    seg = bp.apply_bpe(toks, _merges(spark, sf_dir))
-    pieces = seg.select(*LINE_ORDER, "pos", F.posexplode(F.split("pieces", " ")).alias("k", "piece")) \
-        .select(*LINE_ORDER, F.struct("pos", "k").alias("ppos"), "piece", F.lit(-1.0).alias("score"))
-    w = sc.merge_bpe_scores(pieces, LINE_ORDER, pos_col="ppos")
-    return w.groupBy().agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_merged").alias("n_merged"),
-                           F.round(F.sum("score"), 3).alias("total_score"))
-
-
 # ----------------------------------------------------------------------------------------
 # set operations and buffered batching
 # ----------------------------------------------------------------------------------------

@@ -70,3 +70,21 @@ def global_cumsum(df: DataFrame, order_cols, value_col: str, name: str = "cum",
         .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
         .drop("_p", "_off", "_mid", "_loc")
     )
+
+
+def global_positions(df: DataFrame, order_cols, value_col: str, index: str = "idx", cum: str = "cum",
+                     num_partitions: int | None = None) -> DataFrame:
+    """``global_index`` and the exclusive ``global_cumsum`` of ``value_col`` over one range partitioning."""
+    tagged = _ordered_tagged(df, order_cols, num_partitions)
+    part = F.shiftright(F.col("_mid"), _LOCAL_BITS)
+    value = F.col(value_col).cast("long")
+    per_part = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
+    # one row per partition: an un-partitioned window over this tiny frame is fine
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(f"_o{c}") for c in ("_n", "_v")])
+    frame = Window.partitionBy("_p").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))
+    return (tagged.withColumn("_p", part).withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+            .join(F.broadcast(offsets), "_p")
+            .withColumn(index, (F.col("_o_n") + local).cast("long")).withColumn(cum, (F.col("_o_v") + F.col("_loc")).cast("long"))
+            .drop("_p", "_o_n", "_o_v", "_mid", "_loc"))

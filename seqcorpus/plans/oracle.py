@@ -603,9 +603,10 @@ jtoks AS (SELECT side, conv_id, turn, CAST(unnest(generate_series(0, len(t) - 1)
           FROM jtl WHERE len(t) > 0),
 {vocab_ctes(2, 8000, toks='jtoks', nlines='jtl', order='side, conv_id, turn', p='j_')}"""
 LINKS = f"""{JOINT},
-ids AS (SELECT side, conv_id, turn, pos, symbol, coalesce(v.id, 3) AS id FROM jtoks LEFT JOIN j_vocab v USING (symbol)),
-links AS (SELECT s.conv_id, s.turn, s.pos, s.id AS src_id, t.id AS tgt_id FROM ids s JOIN ids t
-          ON s.side = 0 AND t.side = 1 AND s.conv_id = t.conv_id AND s.turn = t.turn AND s.pos = t.pos),
+ids AS MATERIALIZED (SELECT side, conv_id, turn, pos, symbol, coalesce(v.id, 3) AS id FROM jtoks LEFT JOIN j_vocab v USING (symbol)),
+src_ids AS (SELECT conv_id, turn, pos, id FROM ids WHERE side = 0),
+tgt_ids AS (SELECT conv_id, turn, pos, id FROM ids WHERE side = 1),
+links AS MATERIALIZED (SELECT s.conv_id, s.turn, s.pos, s.id AS src_id, t.id AS tgt_id FROM src_ids s JOIN tgt_ids t USING (conv_id, turn, pos)),
 npair AS (SELECT p.conv_id, p.turn, count(l.pos) AS n FROM pairs p LEFT JOIN links l ON l.conv_id = p.conv_id AND l.turn = p.turn GROUP BY ALL),
 cooc AS (SELECT src_id, tgt_id, count(*) AS cnt, min(struct_pack(a := conv_id, b := turn, c := pos)) AS first
          FROM links WHERE src_id <> 3 AND tgt_id <> 3 GROUP BY ALL),

@@ -45,6 +45,21 @@ def multi_reference(refs: DataFrame, key_cols: list[str], ref_no: str = "ref_no"
         F.transform(F.array_sort(F.collect_list(F.struct(ref_no, text_col))), lambda x: x[text_col]).alias("refs"))
 
 
+def concat_corpora(corpora: list[DataFrame], group_cols: list[str], order_cols: list[str]) -> DataFrame:
+    """SET-02: several corpora appended to one per group (language): ``corpus_ord``, and ``line`` that runs on through the corpora of the
+    group.  One global numbering; a group's own numbers start where its first row stands (one row a group, joined back)."""
+    from seqcorpus.plans.broadcast import maybe_broadcast
+    from seqcorpus.plans.index import global_index
+
+    parts = [c.withColumn("corpus_ord", F.lit(i)) for i, c in enumerate(corpora)]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    rows = global_index(union, [*group_cols, "corpus_ord", *order_cols], name="_g")
+    first = rows.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
+    return rows.join(maybe_broadcast(first), group_cols).withColumn("line", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+
+
 def restore_order(df: DataFrame, id_col: str) -> DataFrame:
     """JN-12: results produced in batch order back in input order."""
     return df.orderBy(id_col)
