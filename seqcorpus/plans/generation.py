@@ -105,7 +105,8 @@ d{t + 1} AS MATERIALIZED (SELECT * FROM d{t} UNION ALL SELECT * FROM f{t}),
 full{t} AS (SELECT doc_id FROM d{t + 1} GROUP BY doc_id HAVING count(*) = {BEAM}),
 b{t + 1} AS MATERIALIZED (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS INTEGER) AS slot, token AS ctx, list_append(toks, token) AS toks, cum
-  FROM c{t} WHERE token <> 2 AND cum > '-inf'::DOUBLE AND doc_id NOT IN (SELECT doc_id FROM full{t}) QUALIFY slot < {BEAM})"""
+  FROM c{t} WHERE token <> 2 AND cum > '-inf'::DOUBLE AND doc_id NOT IN (SELECT doc_id FROM full{t})
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) <= {BEAM})"""
 
 
 def _beam_sql(prefix: int, normalize: bool) -> str:
