@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table that a later written table has replaced."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def shuffle_parts(spark: SparkSession, least: int):
+    """At least so many shuffle partitions for the jobs that run inside."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(least, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@contextmanager
+def merge_joins(spark: SparkSession):
+    """Joins of the jobs that run inside are broadcast only where they say so: plans, and what they move, don't change
+    with the size of the data."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1000, least: int = 1000) -> DataFrame:
+    """``left`` (a written table, read more than once) with the columns of ``right`` (narrow, one row a key), as a
+    left join.  Keys with more than a ``hot``-th of the rows, and more than ``least``, are fewer than ``hot``: their
+    rows of ``right`` are broadcast.  All other keys meet in a shuffle, where none is large.  ``key`` isn't null."""
+    limit = max(least, left.count() // hot)
+    frequent = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
+    frequent = written(frequent, "hot-keys")
+    few = F.broadcast(frequent)  # fewer than ``hot`` rows
+    of_hot = written(right.join(few, key, "left_semi"), "hot-rows")
+    return left.join(few, key, "left_semi").join(F.broadcast(of_hot), key, "left").unionByName(
+        left.join(few, key, "left_anti").join(right, key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

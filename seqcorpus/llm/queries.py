@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcorpus.llm import byte_bpe, html_extract, jaccard_join, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sharding, suffix_dedup
-from seqcorpus.llm.common import small_batches, spread, table
+from seqcorpus.llm import byte_bpe, hard_negatives, html_extract, jaccard_join, lm_scoring, mixing, nearest, oracles, quality_classifier, quality_rules, sharding, suffix_dedup, vector_codes, warc
+from seqcorpus.llm.common import shared_folder, small_batches, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,5 +68,20 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_ngram_jaccard_join, op3_weak_labels, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix)}
-ORACLES: dict[str, str] = {}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(warc.page_records(table(spark, sf_dir, "pages")), folder)
+    return warc.index(spark, folder)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda v: v % 100 == 0, label=label)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_ngram_jaccard_join, op3_weak_labels, op4_lm_scoring, op5_suffix_dedup, op6_quality_rules, op7_adaptive_scan, op8_feistel_shards, op9_byte_bpe, op10_temperature_mix, op11_warc, op12_hard_negatives, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op11_warc": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_vector_codes": oracles.OP13}
