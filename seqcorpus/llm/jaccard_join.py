@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqcorpus.llm.common import text_buffers, written
+from seqcorpus.llm.common import merge_joins, text_buffers, written
 from seqcorpus.llm.components import components
 from seqcorpus.llm.words import mix, shingles, words_of
 
@@ -50,6 +50,9 @@ CHUNK = 4096
 #: Rows and bytes of one numpy step (the row number takes 8 bits of a sort key).
 STEP_ROWS, STEP_BYTES = 256, 1 << 20
 FILTER_BITS = 26
+#: Shingles of a set up to which comparisons take 40 bits of a hash; linked sets differ by a quarter in size at most.
+WIDE = 4096
+FIRST_40 = np.uint64(((1 << 40) - 1) << 16)
 MASK = np.uint64((1 << 56) - 1)
 FANOUT = 8
 
@@ -117,14 +120,14 @@ def set_table(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "
                            T.StructField("chunk", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def task(batches):
-        counts = np.zeros(1 << COUNT_BITS, np.int32)
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
         id_type = None
         for batch in batches:
             n, fp = [], []
             for _, _, h, bounds in text_sets(batch.column(1), width):
                 n.append(np.diff(bounds))
                 fp.append(fingerprints(h, bounds))
-                counts += np.bincount(bucket(h), minlength=len(counts)).astype(np.int32)
+                counts += np.bincount(bucket(h), minlength=len(counts))
             rows, id_type = batch.num_rows, batch.schema.field(0).type
             cat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat(n)), pa.array(cat(fp)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=schema.names)
@@ -134,8 +137,8 @@ def set_table(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks), id_type), none, none, pa.array(chunks, pa.int32()), pa.array(blobs, pa.binary())], names=schema.names)
 
     out = written(docs.select(doc_id, text).mapInArrow(task, schema), "shingle-sets")
-    chunks = _sum_blobs(out.where("chunk IS NOT NULL").select("chunk", "blob"), "int32", "add")
-    return out.where("chunk IS NULL").select("doc_id", "n", "fp"), _table_of(chunks, 1 << COUNT_BITS, "int32")
+    chunks = _sum_blobs(out.where("chunk IS NOT NULL").select("chunk", "blob"), "int64", "add")
+    return out.where("chunk IS NULL").select("doc_id", "n", "fp"), _table_of(chunks, 1 << COUNT_BITS, "int64")
 
 
 def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, text: str = "text") -> DataFrame:
@@ -207,13 +210,18 @@ def node_sets(docs: DataFrame, fps: DataFrame, width: int, text: str = "text") -
 
 
 def packed(items: np.ndarray) -> bytes:
-    """The first 40 of the 56 bits of sorted hashes, in five bytes each, for the way to the comparisons."""
+    """Sorted 56-bit hashes for the way to the comparisons: of a set of up to ``WIDE`` the first 40 bits, in five bytes
+    each (2 * WIDE such hashes have an equal pair by chance once in 30,000 comparisons at most); of a larger one all, in seven."""
+    if len(items) > WIDE:
+        return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
     return (items >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` hashes at their place in 56 bits; the last 16 bits of a set sent in five bytes are zero."""
+    width = len(raw) // max(n, 1)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, 7 - width:7] = np.frombuffer(raw, np.uint8).reshape(-1, width) if n else 0
     return out.reshape(-1).view("<u8")
 
 
@@ -326,7 +334,8 @@ def link_forest(ids: np.ndarray, items: list[np.ndarray], least: int, labels: np
         start = first[inv]
     root = start.copy()
     bits = bitmap_bits(int(sizes.max()))
-    a, b = SignatureTree(np.stack([bitmap(x, bits) for x in items]), sizes).pairs(least)
+    a, b = SignatureTree(np.stack([bitmap(x >> np.uint64(16), bits) for x in items]), sizes).pairs(least)
+    narrow = sizes <= WIDE
     both = np.concatenate([np.stack([a, b]), np.stack([b, a])], axis=1)
     both = both[:, np.argsort(both[0], kind="stable")]
     hubs, begin, degree = np.unique(both[0], return_index=True, return_counts=True)
@@ -339,9 +348,11 @@ def link_forest(ids: np.ndarray, items: list[np.ndarray], least: int, labels: np
         done[x] = True
         if not len(partners):
             continue
-        flat, n = np.concatenate([items[p] for p in partners]), sizes[partners]
-        place = np.minimum(np.searchsorted(items[x], flat), sizes[x] - 1)
-        common = np.add.reduceat((items[x][place] == flat).astype(np.int64), np.cumsum(n) - n)
+        flat, n, own = np.concatenate([items[p] for p in partners]), sizes[partners], items[x]
+        if narrow[x] or narrow[partners].any():
+            flat, own = flat & FIRST_40, own & FIRST_40
+        place = np.minimum(np.searchsorted(own, flat), sizes[x] - 1)
+        common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(n) - n)
         linked = partners[100 * common >= least * (n + sizes[x] - common)]
         if len(linked):
             edges += [(int(ids[x]), int(ids[p])) for p in linked[np.unique(root[linked], return_index=True)[1]]]
@@ -404,16 +415,16 @@ def candidates(members: DataFrame, sets: DataFrame, lists: DataFrame, least: int
 
 def _meet(units: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links found in each unit (unit, fp, part, label): a bounded number of nodes that are compared in one task."""
-    rows = units.hint("merge").join(sets.select("fp", "part", "items"), ["fp", "part"])
+    rows = units.hint("merge").join(sets.select("fp", "part", "n", "items"), ["fp", "part"])
     total = units.count()
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("unit"), F.lit(_parts(total, 1000))))
 
     def task(tab):
         ids, label = tab.column("fp").to_numpy(), tab.column("label").to_numpy()
-        raw = tab.column("items").to_pylist()
+        raw, n = tab.column("items").to_pylist(), tab.column("n").to_pylist()
         edges = []
         for at in _by_group(tab, "unit"):
-            edges += link_forest(ids[at], [unpacked(raw[i]) for i in at], least, label[at])
+            edges += link_forest(ids[at], [unpacked(raw[i], n[i]) for i in at], least, label[at])
         return _edge_table(edges)
 
     return written(dealt.groupBy("deal").applyInArrow(task, "a long, b long"), "links")
@@ -467,6 +478,11 @@ def different_lists(shared: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the component of every document.  Links are compared as far as
     components need them, so they are neither counted nor put out."""
+    with merge_joins(docs.sparkSession):
+        return _near_duplicates(docs, width, least, doc_id, text)
+
+
+def _near_duplicates(docs: DataFrame, width: int, least: int, doc_id: str, text: str) -> DataFrame:
     sets, counts = set_table(docs, width, doc_id, text)
     routed = written(routes(docs, counts, width, least, text), "routes")
     sizes = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -484,5 +500,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: st
     of_set = written(of_set.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "set-names")
     names = of_set.groupBy("root").agg(F.min("own").alias("component_id"))
     by_fp = written(of_set.select("fp", "root").join(names, "root").select("fp", "component_id"), "component-names")
-    out = sets.join(by_fp, "fp", "left")
+    out = sets.hint("merge").join(by_fp, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
