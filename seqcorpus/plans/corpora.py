@@ -105,7 +105,7 @@ def _hypotheses(spark, sf_dir, n):
     lines = cut_lineage(enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab).select(*LINE_ORDER, "text", "ids"))
     pos = sc.positions(lines.select(*LINE_ORDER, "ids"), LINE_ORDER)
     scored = sc.label_gather(pos, *sc.bigram_model(pos, size, 1.0))
-    per_line = scored.groupBy(*LINE_ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: F.round(x["lp"], 5)).alias("pos_scores"),
+    per_line = scored.groupBy(*LINE_ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("pos_scores"),
                                                F.round(F.avg("lp"), 4).alias("score"))
     h = per_line.join(lines, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", "score", F.col("text").alias("hypothesis"), "pos_scores")
     first = lines.where("line_no = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.concat(F.lit("> "), "text").alias("target"))
@@ -129,7 +129,7 @@ def q_gen_read(spark, sf_dir):
 
 
 HYPS = f"""{scored_ctes()},
-per AS (SELECT doc_id, line_no, round(sum(lp) / count(*), 4) AS score, string_agg(printf('%.4f', round(lp, 5)), ' ' ORDER BY pos) AS ps FROM scored GROUP BY ALL),
+per AS (SELECT doc_id, line_no, round(sum(lp) / count(*), 4) AS score, string_agg(printf('%.4f', lp), ' ' ORDER BY pos) AS ps FROM scored GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rank FROM per QUALIFY rank <= 2),
 hyp AS (SELECT b.doc_id AS id, b.rank, b.score, b.ps, l.text AS hypothesis, s.text AS source, '> ' || s.text AS target
         FROM best b JOIN lines l USING (doc_id, line_no) JOIN lines s ON s.doc_id = b.doc_id AND s.line_no = 0)"""
