@@ -11,6 +11,8 @@ Two physical strategies for the token → id lookup (JN-01):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,13 +106,13 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
 
 
 def encode_lines(lines: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
-                 **kw) -> DataFrame:
-    """Tokenise (PRJ-01) then encode."""
-    return encode_tokens(lines.withColumn("_tokens", tokenize(text_col)), vocab, "_tokens", out_col, **kw)
+                 tokenizer: Callable = tokenize, **kw) -> DataFrame:
+    """Tokenise (PRJ-01, or the given function of a column to an array of words; a pandas UDF is one) then encode."""
+    return encode_tokens(lines.withColumn("_tokens", tokenizer(F.col(text_col))), vocab, "_tokens", out_col, **kw)
 
 
 def encode_stats(lines: DataFrame, vocab: DataFrame, group_cols: list[str], text_col: str = "text",
-                 append_eos: bool = True, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                 append_eos: bool = True, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, tokenizer: Callable = tokenize) -> DataFrame:
     """AGG-05 (+JN-13): per group ``nseq, ntok, nunk, replaced, pct_replaced``.
 
     ``nunk`` counts occurrences of words missing from the vocabulary (a literal ``<unk>`` is not
@@ -119,7 +121,7 @@ def encode_stats(lines: DataFrame, vocab: DataFrame, group_cols: list[str], text
     """
     # one pass: each line explodes its tokens plus one null marker (counts the line); the
     # (group, word) pre-aggregation collapses hot words map-side before the anti join
-    marked = F.concat(tokenize(text_col).cast("array<string>"), F.array(F.lit(None).cast("string")))
+    marked = F.concat(tokenizer(F.col(text_col)).cast("array<string>"), F.array(F.lit(None).cast("string")))
     words = (lines.select(*group_cols, F.explode(marked).alias("symbol"))
              .groupBy(*group_cols, "symbol").agg(F.count(F.lit(1)).alias("n")))
     line_stats = words.groupBy(*group_cols).agg(

@@ -7,7 +7,9 @@ are dynamic: metrics land in a ``MAP<STRING,STRING>`` and the common ones are ty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: line patterns of the progress printer ---------------------------------
@@ -52,12 +54,13 @@ def running_best(valid: DataFrame, run_cols: list[str], order_col: str = "epoch"
         "is_best", before.isNull() | (F.col(loss_col) < before))
 
 
-def aggregate_logs(outputs: DataFrame, group_cols: list[str]) -> DataFrame:
-    """AGG-22: sum loss, nll, ntokens, nsentences, correct over workers; loss per token in bits."""
-    import math
-    agg = outputs.groupBy(*group_cols).agg(*[F.sum(c).alias(c) for c in ("loss", "nll_loss", "ntokens", "nsentences", "sample_size")])
-    return agg.withColumn("loss_bits", F.col("loss") / F.col("sample_size") / F.lit(math.log(2))).withColumn(
-        "nll_bits", F.col("nll_loss") / F.col("ntokens") / F.lit(math.log(2)))
+def aggregate_logs(outputs: DataFrame, group_cols: list[str], sums: list[str] | None = None,
+                   derived: dict[str, Column] | None = None) -> DataFrame:
+    """AGG-22: sums over workers, and what follows from them: by default loss, nll, ntokens, nsentences and sample_size, and the losses
+    per token in bits.  A task of its own names its ``sums`` and gives ``derived`` columns as expressions over them."""
+    agg = outputs.groupBy(*group_cols).agg(*[F.sum(c).alias(c) for c in sums or ("loss", "nll_loss", "ntokens", "nsentences", "sample_size")])
+    bits = {"loss_bits": F.col("loss") / F.col("sample_size") / F.lit(math.log(2)), "nll_bits": F.col("nll_loss") / F.col("ntokens") / F.lit(math.log(2))}
+    return agg.withColumns(derived or ({} if sums else bits))
 
 
 def weighted_average_meter(df: DataFrame, group_cols: list[str], value: str, n: str, ts: str) -> DataFrame:

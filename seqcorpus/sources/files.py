@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcorpus.constants import NSPECIAL
-from seqcorpus.plans.index import global_index
+from seqcorpus.plans.index import global_cumsum, global_index
 
 
 def read_lines(spark: SparkSession, path, per_file: bool = True, **extra) -> DataFrame:
@@ -144,6 +144,26 @@ def read_generation_output(lines: DataFrame, text_col: str = "text") -> DataFram
     return h.join(st, "id", "left")
 
 
+def read_interactive_output(lines: DataFrame, text_col: str = "text", line_col: str = "line_no") -> DataFrame:
+    """SRC-14 (interactive form): ``O\\ttext`` begins an input, whose ``H\\tscore\\ttext``, ``P\\tscores`` and ``A\\tpositions`` lines follow
+    without ids -> ``(id, rank, source, score, hypothesis, pos_scores, alignment)``, id = number of the O line.  Numbered by one
+    global running count, so that a long output isn't read by one task; other lines are passed over."""
+    t = F.col(text_col)
+    tagged = lines.select(F.col(line_col).alias("_line"), F.regexp_extract(t, r"^([OHPA])\t", 1).alias("_tag"), F.regexp_replace(t, r"^[OHPA]\t", "").alias("_rest"))
+    tagged = tagged.where(F.col("_tag") != "").withColumn("_o", (F.col("_tag") == "O").cast("long"))
+    rows = global_cumsum(tagged, ["_line"], "_o", name="_n", inclusive=True).withColumn("id", F.col("_n") - 1).where("id >= 0")
+    # the lines of an input are few: they are gathered in order, and a hypothesis takes what follows it
+    got = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_line", "_tag", "_rest"))).alias("l"))
+    heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), x["_tag"].alias("tag"), x["_rest"].alias("rest"))), lambda x: x["tag"] == "H")
+    h = got.select("id", F.col("l")[0]["_rest"].alias("source"), "l", F.posexplode(heads).alias("r", "h"))
+    after = F.slice("l", F.col("h.i") + 2, 2)
+    of = lambda tag: F.get(F.transform(F.filter(after, lambda x: x["_tag"] == tag), lambda x: x["_rest"]), F.lit(0))
+    numbers = lambda c, kind: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), lambda x: x.cast(kind))
+    return h.select("id", (F.col("r") + 1).alias("rank"), "source", F.split("h.rest", "\t")[0].cast("double").alias("score"),
+                    F.regexp_replace("h.rest", r"^[^\t]*\t", "").alias("hypothesis"), numbers(of("P"), "double").alias("pos_scores"),
+                    numbers(of("A"), "int").alias("alignment"))
+
+
 def write_generation_output(hyps: DataFrame) -> DataFrame:
     """SRC-15: ``(id, o, line)``, the printer's lines in the order of (id, o): once an id ``S-id`` and, with a target, ``T-id``; then for
     each hypothesis by ``rank`` (from 1) ``H-id\\tscore\\ttext``, ``P-id\\tscores`` (4 decimals) and, where there is a column ``alignment``,

@@ -105,3 +105,12 @@ def test_printer_format(spark, tmp_path):
     back = fs.read_generation_output(fs.read_lines(spark, str(tmp_path / "out"), per_file=False)).orderBy("id", "rank").collect()
     assert [(r.id, r["rank"], r.score, r.hypothesis, r.source, r.target) for r in back] == [
         (3, 1, -2.0, "", "s3", None), (5, 1, -0.25, "h5 one", "s5", "t5"), (5, 2, -1.5, "h5 two", "s5", "t5")]
+
+
+def test_interactive_output(spark):
+    text = ["| Type the input sentence and press return:", "O\tein Haus", "H\t-0.5\ta house", "P\t-0.2500 -0.7500", "A\t0 1", "H\t-2.0\thouse", "P\t-2.0000", "A\t1",
+            "O\t", "H\t-1.0\t", "P\t", "O\tno result", "O\tx\ty", "H\t-3.0\tO\tq", "P\t-3.0000"]
+    df = spark.createDataFrame(list(enumerate(text)), "line_no long, text string").repartition(4)
+    got = sorted((r.id, r["rank"], r.source, r.score, r.hypothesis, r.pos_scores, r.alignment) for r in fs.read_interactive_output(df).collect())
+    assert got == [(0, 1, "ein Haus", -0.5, "a house", [-0.25, -0.75], [0, 1]), (0, 2, "ein Haus", -2.0, "house", [-2.0], [1]),
+                   (1, 1, "", -1.0, "", [], None), (3, 1, "x\ty", -3.0, "O\tq", [-3.0], None)]

@@ -207,3 +207,17 @@ def test_post_process(spark):
     assert got == {1: ("we house un@@ do", ["we", "house", "un@@", "do"]), 2: ("<eos>", ["<eos>"]), 3: ("", [])}
     plain = {r.k: r.text for r in sc.post_process(hyps, ["k"], vocab, bpe_symbol="@@ ").collect()}
     assert plain == {1: "we <unk> undo", 2: "<unk>", 3: ""}
+
+
+def test_own_tokenizer_and_own_sums(spark):
+    from seqcorpus.operators import encode as enc
+
+    vocab = spark.createDataFrame([(4, "a"), (5, "b c")], "id int, symbol string")
+    lines = spark.createDataFrame([(1, "a;b c;d"), (2, "")], "k int, text string")
+    own = F.pandas_udf(lambda s: s.map(lambda t: t.split(";") if t else []), "array<string>")
+    assert {r.k: r.ids for r in enc.encode_lines(lines, vocab, tokenizer=own).collect()} == {1: [4, 5, 3, 2], 2: [2]}
+    stats = enc.encode_stats(lines, vocab, ["k"], tokenizer=lambda c: F.filter(F.split(c, ";"), lambda x: x != "")).orderBy("k").collect()
+    assert [(r.nseq, r.ntok, r.nunk) for r in stats] == [(1, 4, 1), (1, 1, 0)]
+    logs = spark.createDataFrame([(1, 2.0, 3), (1, 4.0, 5)], "update int, hits double, n int")
+    got = lg.aggregate_logs(logs, ["update"], ["hits", "n"], {"rate": F.col("hits") / F.col("n")}).first()
+    assert (got.hits, got.n, got.rate) == (6.0, 8, 0.75)
