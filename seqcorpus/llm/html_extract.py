@@ -17,8 +17,8 @@ styles, titles, comments in the markup and other raw elements are no words.
 Defined cases: a null or empty page, or one without words, gives an empty text; pages of equal scores give the
 first, shortest stretch; broken markup is read as far as it goes (an unclosed comment or script ends the page);
 repeated rows give equal results; an empty table gives an empty result; extra columns pass through
-:func:`extract`, a column named as an output is replaced.  Pages are read whole, with a scan that is linear
-in their length.
+:func:`extract`, a column named as an output is replaced.  Pages are read whole, in three passes that are linear
+in their length, however deep their elements are nested.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 # Elements that are never a frame around the page.
 NO_FRAME = frozenset("nav aside footer menu dialog button".split())
+# Elements that hold text of the article, whatever their class is called.
+TEXTUAL = HEADINGS | frozenset("p blockquote pre figure figcaption table".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -116,73 +118,139 @@ def events(page: str):
         yield name, closing, m[3]
 
 
-def _closed(stack: list[tuple], name: str) -> list[tuple]:
-    """Take the elements off the stack that an end tag closes."""
-    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))
-    out = stack[at:]
-    del stack[at:]
-    return out
+class _Open:
+    """The open elements, innermost last, as (name, value); an end tag that no element has costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.names: dict[str, int] = {}
+
+    def push(self, name: str, value) -> None:
+        self.stack.append((name, value))
+        self.names[name] = self.names.get(name, 0) + 1
 
+    def pop(self) -> tuple:
+        out = self.stack.pop()
+        self.names[out[0]] -= 1
+        return out
 
-def _ends(stack: list[tuple], name: str) -> bool:
-    """Whether a start tag ends the innermost open element."""
-    return bool(stack) and (name == "p" and stack[-1][0] in HEADINGS | {"p"} or name == "li" and stack[-1][0] == "li")
+    def close(self, name: str) -> list[tuple]:
+        """Take off the elements that an end tag closes."""
+        out = []
+        while self.names.get(name):
+            out.append(self.pop())
+            if out[-1][0] == name:
+                break
+        return out
 
+    def ended_by(self, name: str) -> bool:
+        """Whether a start tag ends the innermost open element."""
+        return bool(self.stack) and (name == "p" and self.stack[-1][0] in HEADINGS | {"p"} or name == "li" and self.stack[-1][0] == "li")
 
-def marks(found: list[tuple], frames: int = 0) -> tuple[set[int], int]:
-    """Places of the start tags of elements beside the article, and how many of them could be frames.
+
+def marks(found: list[tuple]) -> tuple[set[int], list[int]]:
+    """Places of the start tags of elements beside the article, and of those that could be frames, outermost first.
 
     A mark that would hide the article is no mark.  It is taken back from elements around <main>, or around an
     <article> when no article is outside of marks (several articles in a marked element of less than half of
     the words are a list of comments or cards); without these, from elements with the <h1> and most words of
-    the page; and from one that is only called a header and holds the <h1>.  ``frames`` more are taken back,
-    from the outermost, of elements with most words of the page."""
-    stack: list[tuple] = []  # open block or marked elements as (name, place or None)
+    the page; and from one that is only called a header and holds the <h1>.  A paragraph, heading, quotation,
+    figure or table within the article is none by its names alone.  Frames are marked elements with most words of the page:
+    they lie within one another."""
+    stack = _Open()  # block or marked elements; the value is the innermost marked place, the element itself included
     why: dict[int, frozenset[str]] = {}
+    above: dict[int, int | None] = {}  # the marked element around a marked element
+    deep: dict[int | None, int] = {None: 0}
     words: dict[int, int] = {}
-    titled, holders = set(), []
+    titled: set[int] = set()
+    holders: dict[str, list[tuple[int, int | None]]] = {}
     total = depth = 0
+
+    def leave(out: list[tuple]) -> None:
+        for _, (k, own) in out:
+            if own:
+                words[k] = total - words[k]
+
+    def around(k: int | None, into: set[int]) -> None:
+        while k is not None and k not in into:
+            into.add(k)
+            k = above[k]
+
     for i, (name, closing, rest) in enumerate(found):
         if name is None:
-            n = len(closing.split())
-            total += n
-            for _, k in stack:
-                if k is not None:
-                    words[k] += n
+            total += len(closing.split())
             continue
         if closing:
-            depth -= sum(n in CONTENT for n, _ in _closed(stack, name))
+            out = stack.close(name)
+            leave(out)
+            depth -= sum(n in CONTENT for n, _ in out)
             continue
+        inner = stack.stack[-1][1][0] if stack.stack else None
         if name == "h1":
-            titled.update(k for _, k in stack if k is not None)
+            around(inner, titled)
         if name in VOID or rest.rstrip().endswith("/"):
             continue
-        if _ends(stack, name):
-            stack.pop()
+        if stack.ended_by(name):
+            leave([stack.pop()])
+            inner = stack.stack[-1][1][0] if stack.stack else None
         if name in CONTENT:
             if not depth:
-                holders.append((name, [k for _, k in stack if k is not None]))
+                holders.setdefault(name, []).append((deep[inner], inner))
             depth += 1
         # a header within the article is its title
         own = frozenset() if name == "header" and depth else _beside(name, rest)
+        if depth and name in TEXTUAL and "hidden" not in own:
+            own = frozenset()
         if own:
-            why[i], words[i] = own, 0
+            why[i], words[i], above[i], deep[i] = own, total, inner, deep[inner] + 1
         if name in BLOCKS or own:
-            stack.append((name, i if own else None))
+            stack.push(name, (i if own else inner, bool(own)))
+    leave([stack.pop() for _ in range(len(stack.stack))])
     most = {k for k in why if 2 * words[k] > total}
     back = {k for k in titled if why[k] == {"header"}}
     for kind in ("main", "article"):
-        if around := [h for n, h in holders if n == kind]:
-            least = min(map(len, around))
-            chosen = [h for h in around if len(h) == least]
-            for h in chosen:
-                back.update(h if kind == "main" or len(chosen) == 1 else most.intersection(h))
+        if kind in holders:
+            least = min(n for n, _ in holders[kind])
+            chosen = [k for n, k in holders[kind] if n == least]
+            held: set[int] = set()
+            for k in chosen:
+                around(k, held)
+            back.update(held if kind == "main" or len(chosen) == 1 else most & held)
             break
     can = sorted(k for k in most - back if found[k][0] not in NO_FRAME and "hidden" not in why[k])
     if not holders:
         back.update(titled.intersection(can))
         can = [k for k in can if k not in titled]
-    return why.keys() - back - set(can[:frames]), len(can)
+    return why.keys() - back, can
+
+
+def frames_needed(found: list[tuple], beside_at: set[int], can: list[int], weight) -> int:
+    """How many of the frames, from the outermost, must be no marks for some word of the page to count for the article."""
+    place = {k: n + 1 for n, k in enumerate(can)}
+    stack, link, best = _Open(), 0, math.inf  # the value: frames that must go for a word here to be outside of marks
+    for i, (name, closing, rest) in enumerate(found):
+        if name is None:
+            need = stack.stack[-1][1] if stack.stack else 0
+            if need < best and not closing.isspace():
+                kind = "w:link" if link else "w:" + (stack.stack[-1][0] if stack.stack else "body")
+                if weight(kind) > 0 and not (html.unescape(closing) if "&" in closing else closing).isspace():
+                    best = need
+                    if not best:
+                        return 0
+            continue
+        if name == "a":
+            link = 0 if closing else 1
+        if closing:
+            stack.close(name)
+            continue
+        if name in VOID or rest.rstrip().endswith("/"):
+            continue
+        if stack.ended_by(name):
+            stack.pop()
+        if name in BLOCKS or i in beside_at:
+            outer = stack.stack[-1][1] if stack.stack else 0
+            stack.push(name, max(outer, place.get(i, math.inf)) if i in beside_at else outer)
+    return len(can) if best == math.inf else int(best)
 
 
 def sequence(page: str, found: list[tuple] | None = None, beside_at: set[int] | None = None) -> list[tuple]:
@@ -191,12 +259,12 @@ def sequence(page: str, found: list[tuple] | None = None, beside_at: set[int] |
     ``inside`` says whether the item lies in an <article> or <main>."""
     found = list(events(page)) if found is None else found
     beside_at = marks(found)[0] if beside_at is None else beside_at
-    out, stack = [], []  # stack: open block or beside elements as (name, beside)
+    out, stack = [], _Open()  # block or beside elements; the value is whether the element is beside
     block, link, depth, beside, told = 0, 0, 0, 0, False  # told: this beside element has had its word
     for i, (name, closing, rest) in enumerate(found):
         if name is None:
             text = html.unescape(closing) if "&" in closing else closing
-            kind = "in" if told else "w:beside" if beside else "w:link" if link else "w:" + next((n for n, _ in reversed(stack) if n != "br"), "body")
+            kind = "in" if told else "w:beside" if beside else "w:link" if link else "w:" + (stack.stack[-1][0] if stack.stack else "body")
             told = told or beside > 0 and not text.isspace()
             out.append(("text", kind, depth > 0, text, block, beside > 0))
             continue
@@ -206,7 +274,7 @@ def sequence(page: str, found: list[tuple] | None = None, beside_at: set[int] |
             link = 0 if closing else 1
         content = name in CONTENT
         if closing:
-            for n, b in _closed(stack, name):
+            for n, b in stack.close(name):
                 beside -= b
                 depth -= n in CONTENT
             out.append(("tag", "in" if told and beside else f"t:/{name}", depth > 0 or content))
@@ -215,11 +283,11 @@ def sequence(page: str, found: list[tuple] | None = None, beside_at: set[int] |
             out.append(("tag", "in" if told else f"t:{name}", depth > 0 or content))
             if name in VOID or rest.rstrip().endswith("/"):
                 continue
-            if _ends(stack, name):
+            if stack.ended_by(name):
                 beside -= stack.pop()[1]
             own = int(i in beside_at)
             if name in BLOCKS or own:
-                stack.append((name, own))
+                stack.push(name, own)
                 beside += own
                 depth += content
     return out
@@ -255,14 +323,10 @@ def main_text(page: str | None, weight) -> str:
     if not page:
         return ""
     found = list(events(page))
-    frames, can = 0, 0
-    while True:  # a page with nothing outside of marked elements: the outermost large ones are frames
-        beside_at, can = marks(found, frames)
-        items = sequence(page, found, beside_at)
-        first, end = region(items, weight)
-        if frames >= can or any(i[0] == "text" and not i[5] and not i[3].isspace() for i in items[first:end]):
-            break
-        frames += 1
+    beside_at, can = marks(found)
+    # a page with nothing outside of marked elements: the outermost large ones are frames
+    items = sequence(page, found, beside_at - set(can[:frames_needed(found, beside_at, can, weight)]))
+    first, end = region(items, weight)
     blocks: dict[int, list[str]] = {}
     for item in items[first:end]:
         if item[0] == "text" and not item[5]:
