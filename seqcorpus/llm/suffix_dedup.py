@@ -62,10 +62,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(a: np.ndarray, bounds: np.ndarray, length: int, gram: int):
-    """Runs in bytes ``a`` of rows with offsets ``bounds``: (row, start in the row, windows, anchor, content)."""
+    """Runs in bytes ``a`` of rows with offsets ``bounds``: (row, start in the row, windows, anchor, content, times).
+    A run that is followed by its like again and again (periodic text) is one of so many ``times``."""
     none = np.zeros(0, np.int64)
     if len(a) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     h = PrefixHash(a)
     at = np.arange(len(a) - gram + 1)
     g = h.of(at, at + gram)
@@ -75,18 +76,22 @@ def runs_of(a: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     windows = size[rows] - length + 1
     starts = np.arange(windows.sum()) + np.repeat(bounds[rows] - (np.cumsum(windows) - windows), windows)
     if not len(starts):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     anchor_at = (least[starts] & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.append(True, (anchor_at[1:] != anchor_at[:-1]) | (starts[1:] != starts[:-1] + 1)))
     n = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     content = mix(h.of(begin, begin + n - 1 + length) + n.astype(np.uint64))
     row = np.searchsorted(bounds, begin, "right") - 1
-    return row, begin - bounds[row], n, g[anchor_at[first]].view(np.int64), content.view(np.int64)
+    anchor = g[anchor_at[first]]
+    like = (row[1:] == row[:-1]) & (n[1:] == n[:-1]) & (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+    head = np.flatnonzero(np.append(True, ~like))
+    times = np.diff(np.append(head, len(begin)))
+    return row[head], (begin - bounds[row])[head], n[head], anchor[head].view(np.int64), content[head].view(np.int64), times
 
 
 def runs(docs: DataFrame, length: int, gram: int, text: str) -> DataFrame:
-    """(_sdoc, anchor, content, start, n): the runs of every document; _sdoc names the row."""
+    """(_sdoc, anchor, content, start, n, times): the runs of every document; _sdoc names the row."""
     def task(batches):
         for batch in batches:
             key = batch.column(0).to_numpy()
@@ -96,12 +101,12 @@ def runs(docs: DataFrame, length: int, gram: int, text: str) -> DataFrame:
                 for c in range(int(off[lo]), max(int(last) - length + 1, int(off[lo]) + 1), STEP * 4):  # one step but for a long text
                     end = min(int(last), c + STEP * 4 + length - 1)
                     bounds = np.clip(off[lo:hi + 1], c, end) - c
-                    row, start, n, anchor, content = runs_of(data[c:end], bounds, length, gram)
+                    row, start, n, anchor, content, times = runs_of(data[c:end], bounds, length, gram)
                     start = start + np.maximum(c - off[lo:hi], 0)[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][row]), pa.array(anchor), pa.array(content), pa.array(start), pa.array(n)],
-                                                     names=["_sdoc", "anchor", "content", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][row]), pa.array(anchor), pa.array(content), pa.array(start), pa.array(n), pa.array(times)],
+                                                     names=["_sdoc", "anchor", "content", "start", "n", "times"])
 
-    return docs.select("_sdoc", text).mapInArrow(task, "_sdoc long, anchor long, content long, start long, n long")
+    return docs.select("_sdoc", text).mapInArrow(task, "_sdoc long, anchor long, content long, start long, n long, times long")
 
 
 def sort_shard(bodies: list[bytes], n: np.ndarray, length: int):
@@ -164,12 +169,12 @@ def _shard_task(length: int):
 def repeated_spans(keyed: DataFrame, length: int, gram: int, text: str) -> DataFrame:
     """(_sdoc, start, n): starts and numbers of windows that occur elsewhere too."""
     every = written(runs(keyed, length, gram, text), "runs")
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    often = every.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor")
     often = written(often, "frequent-anchors")  # a join of two tables, whose hot anchors Spark can split
     shared = written(every.join(often, "anchor"), "shared-runs")
-    contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_sdoc", "start", "n")).alias("r"))
+    contents = shared.groupBy("anchor", "content").agg(F.sum("times").alias("copies"), F.min(F.struct("_sdoc", "start", "n")).alias("r"))
     contents = written(contents.select("anchor", "content", "copies", "r.*"), "run-contents")
-    whole = shared.join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("_sdoc", "start", "n")
+    whole = shared.join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("_sdoc", "start", (F.col("n") * F.col("times")).alias("n"))
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     contested = contents.join(several, "anchor")
     contested = written(contested.withColumn("salt", F.pmod(F.xxhash64("content"), F.ceil(F.col("d") / RUNS))).withColumn("hot", F.col("d") > RUNS), "contested")
