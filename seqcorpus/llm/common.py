@@ -54,21 +54,6 @@ def shuffle_parts(spark: SparkSession, least: int):
         spark.conf.set(name, before)
 
 
-@contextmanager
-def merge_joins(spark: SparkSession):
-    """Joins of the jobs that run inside are broadcast only where they say so: plans, and what they move, don't change
-    with the size of the data."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = {n: spark.conf.get(n, None) for n in names}
-    for n in names:
-        spark.conf.set(n, "-1")
-    try:
-        yield
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
-
-
 def hot_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1000, least: int = 1000) -> DataFrame:
     """``left`` (a written table, read more than once) with the columns of ``right`` (narrow, one row a key), as a
     left join.  Keys with more than a ``hot``-th of the rows, and more than ``least``, are fewer than ``hot``: their

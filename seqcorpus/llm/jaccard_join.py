@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqcorpus.llm.common import merge_joins, text_buffers, written
+from seqcorpus.llm.common import text_buffers, written
 from seqcorpus.llm.components import components
 from seqcorpus.llm.words import mix, shingles, words_of
 
@@ -50,6 +50,8 @@ CHUNK = 4096
 #: Rows and bytes of one numpy step (the row number takes 8 bits of a sort key).
 STEP_ROWS, STEP_BYTES = 256, 1 << 20
 FILTER_BITS = 26
+#: Sets of many documents whose dealer is told to all tasks (16 bytes each).
+OWNERS = 1 << 18
 #: Shingles of a set up to which comparisons take 40 bits of a hash; linked sets differ by a quarter in size at most.
 WIDE = 4096
 FIRST_40 = np.uint64(((1 << 40) - 1) << 16)
@@ -141,20 +143,40 @@ def set_table(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "
     return out.where("chunk IS NULL").select("doc_id", "n", "fp"), _table_of(chunks, 1 << COUNT_BITS, "int64")
 
 
-def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, text: str = "text") -> DataFrame:
+class Owners:
+    """The document that deals a set which many have, for the ``OWNERS`` sets of the most documents: without them every task that
+    reads one of the copies would deal it.  Other sets are dealt by each task that has them, which is only more work."""
+
+    def __init__(self, sets: DataFrame):
+        most = sets.where("n > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("doc_id")).alias("own")).where("c > 1")
+        top = most.orderBy(F.desc("c"), "fp").limit(OWNERS).select("fp", "own").toArrow()
+        fp, own = (top.column(k).to_numpy() for k in (0, 1))
+        order = np.argsort(fp)
+        self.fp, self.own = fp[order], own[order]
+
+    def deals(self, fp: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """Whether each document (by the hash of its id) deals its set."""
+        if not len(self.fp):
+            return np.ones(len(fp), bool)
+        at = np.minimum(np.searchsorted(self.fp, fp), len(self.fp) - 1)
+        return (self.fp[at] != fp) | (self.own[at] == document)
+
+
+def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, owners: Owners, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): the rare shingles that a linked set must share one of."""
     # 8 bits of the bucket's logarithmic count, then 48 bits of the hash: an order of all shingles
     rank = np.minimum(12 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast((rank, owners))
 
     def task(batches):
-        rank, known = shared.value, set()
+        (rank, owners), known = shared.value, set()
         for batch in batches:
-            for _, _, h, bounds in text_sets(batch.column(0), width):
+            document = batch.column(0).to_numpy()
+            for lo, hi, h, bounds in text_sets(batch.column(1), width):
                 fp, n = fingerprints(h, bounds), np.diff(bounds)
-                new = np.zeros(len(n), bool)
+                new, deals = np.zeros(len(n), bool), owners.deals(fp, document[lo:hi])
                 for i, f in enumerate(fp.tolist()):
-                    if f and f not in known:  # copies within a task are dealt once
+                    if f and deals[i] and f not in known:  # copies within a task are dealt once
                         known.add(f)
                         new[i] = True
                 row = np.repeat(np.arange(len(n)), n)
@@ -164,7 +186,7 @@ def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, text: st
                 take = (np.arange(len(key)) - bounds[:-1][row] < first[row]) & new[row]
                 yield pa.RecordBatch.from_arrays([pa.array((key[take] & MASK).view(np.int64)), pa.array(fp[row[take]])], names=["key", "fp"])
 
-    return docs.select(text).mapInArrow(task, "key long, fp long")
+    return docs.select(F.xxhash64(doc_id), text).mapInArrow(task, "key long, fp long")
 
 
 def fp_filter(fps: DataFrame) -> np.ndarray:
@@ -185,18 +207,20 @@ def _filter_at(fp: np.ndarray) -> np.ndarray:
     return (mix(fp.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def node_sets(docs: DataFrame, fps: DataFrame, width: int, text: str = "text") -> DataFrame:
+def node_sets(docs: DataFrame, fps: DataFrame, width: int, owners: Owners, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(fp, part, n, bitmap, items) of the sets whose fingerprints are in ``fps``; a set that several tasks
     saw has a row for each of them, told apart by ``part``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fp_filter(fps))
+    shared = docs.sparkSession.sparkContext.broadcast((fp_filter(fps), owners))
 
     def task(batches):
-        bits, known = shared.value, set()
+        (bits, owners), known = shared.value, set()
         for batch in batches:
-            for _, _, h, bounds in text_sets(batch.column(0), width):
+            document = batch.column(0).to_numpy()
+            for lo, hi, h, bounds in text_sets(batch.column(1), width):
                 fp = fingerprints(h, bounds)
                 at = _filter_at(fp)
-                rows = [i for i in np.flatnonzero((bits[at >> 3] >> (at & 7) & 1).astype(bool) & (fp != 0)).tolist() if fp[i] not in known]
+                asked = (bits[at >> 3] >> (at & 7) & 1).astype(bool) & (fp != 0) & owners.deals(fp, document[lo:hi])
+                rows = [i for i in np.flatnonzero(asked).tolist() if fp[i] not in known]
                 rows = list({fp[i]: i for i in rows}.values())
                 known.update(fp[rows].tolist())
                 items = [h[bounds[i]:bounds[i + 1]] for i in rows]
@@ -205,7 +229,7 @@ def node_sets(docs: DataFrame, fps: DataFrame, width: int, text: str = "text") -
                     pa.array([bitmap(x, bitmap_bits(len(x))).tobytes() for x in items], pa.binary()),
                     pa.array([packed(x) for x in items], pa.binary())], names=["fp", "n", "bitmap", "items"])
 
-    made = docs.select(text).mapInArrow(task, "fp long, n long, bitmap binary, items binary")
+    made = docs.select(F.xxhash64(doc_id), text).mapInArrow(task, "fp long, n long, bitmap binary, items binary")
     return written(made.withColumn("part", F.spark_partition_id()), "candidate-sets")
 
 
@@ -478,19 +502,15 @@ def different_lists(shared: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the component of every document.  Links are compared as far as
     components need them, so they are neither counted nor put out."""
-    with merge_joins(docs.sparkSession):
-        return _near_duplicates(docs, width, least, doc_id, text)
-
-
-def _near_duplicates(docs: DataFrame, width: int, least: int, doc_id: str, text: str) -> DataFrame:
     sets, counts = set_table(docs, width, doc_id, text)
-    routed = written(routes(docs, counts, width, least, text), "routes")
+    owners = Owners(sets)
+    routed = written(routes(docs, counts, width, least, owners, doc_id, text), "routes")
     sizes = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     sizes = written(sizes.select("key"), "shared-keys")  # a join of two tables, whose hot keys Spark can split
     shared = written(routed.join(sizes, "key").distinct(), "shared-routes")
     lists = written(different_lists(shared), "lists")
     members = written(shared.join(lists.select("key", "m", "low"), "key"), "members")
-    nodes = node_sets(docs, members.select("fp"), width, text)
+    nodes = node_sets(docs, members.select("fp"), width, owners, doc_id, text)
     picks = written(nodes.groupBy("fp").agg(F.min(F.struct("part", "n")).alias("p")).select("fp", "p.part", "p.n"), "picks")
     members = members.join(picks.select("fp", "part"), "fp")
     groups = components(candidates(members, nodes, lists, least))
@@ -500,5 +520,5 @@ def _near_duplicates(docs: DataFrame, width: int, least: int, doc_id: str, text:
     of_set = written(of_set.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "set-names")
     names = of_set.groupBy("root").agg(F.min("own").alias("component_id"))
     by_fp = written(of_set.select("fp", "root").join(names, "root").select("fp", "component_id"), "component-names")
-    out = sets.hint("merge").join(by_fp, "fp", "left")
+    out = sets.join(by_fp, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
