@@ -892,7 +892,7 @@ def _log_lines(spark, sf_dir):
 def q_train_log(spark, sf_dir):
     p = lg.parse_train_log(_log_lines(spark, sf_dir))
     return p.select("event_id", "kind", "epoch", "step", "subset", F.round("loss", 5).alias("loss"),
-                    F.round("ppl", 2).alias("ppl"), "num_updates")
+                    F.round(F.log2("ppl"), 3).alias("log2_ppl"), "num_updates")
 
 
 @register("win_12_running_best")

@@ -412,3 +412,19 @@ def q_resume_stream(spark, sf_dir):
 
 
 ORACLE["str_05_resume"] = ORACLE["str_01_stream_encode"]
+
+
+# --- logs: what the lines must say, straight from the events ------------------------------------
+VALUES = """lg AS (SELECT event_id, user_id, ts, event_type, value,
+  CASE event_type WHEN 'view' THEN 'train_inner' WHEN 'click' THEN 'train' WHEN 'error' THEN 'valid' WHEN 'signup' THEN 'json' END AS kind FROM events)"""
+ORACLE["src_16_read_train_log"] = f"""WITH {VALUES}
+SELECT event_id, kind, CASE WHEN kind <> 'json' THEN CAST(user_id % 100 + 1 AS INTEGER) END AS epoch,
+       CASE WHEN kind = 'train_inner' THEN event_id END AS step, CASE WHEN kind = 'valid' THEN 'valid' END AS subset,
+       round(CASE WHEN kind IN ('train_inner', 'train') THEN CAST(printf('%.3f', value) AS DOUBLE) WHEN kind = 'valid' THEN CAST(printf('%.5f', value) AS DOUBLE) ELSE value END, 5) AS loss,
+       round(log2(CASE WHEN kind IN ('train_inner', 'train') THEN CAST(printf('%.2f', pow(2.0::DOUBLE, value / 2)) AS DOUBLE)
+                       WHEN kind = 'valid' THEN CAST(printf('%.2f', pow(2.0::DOUBLE, value)) AS DOUBLE) END), 3) AS log2_ppl, event_id AS num_updates
+FROM lg WHERE kind IS NOT NULL"""
+ORACLE["win_12_running_best"] = f"""WITH {VALUES},
+v AS (SELECT user_id, event_id AS num_updates, CAST(printf('%.5f', value) AS DOUBLE) AS loss FROM lg WHERE kind = 'valid'),
+b AS (SELECT *, min(loss) OVER (PARTITION BY user_id ORDER BY num_updates ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)
+SELECT user_id, num_updates, round(loss, 5) AS loss, round(least(coalesce(before, loss), loss), 5) AS best_so_far, before IS NULL OR loss < before AS is_best FROM b"""
