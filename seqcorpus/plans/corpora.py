@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqcorpus.functions import arrays as ar
-from seqcorpus.functions.text import split_lines, tokenize
+from seqcorpus.functions.text import PUNCT_REPLACEMENTS, split_lines, tokenize
 from seqcorpus.operators import align as al
 from seqcorpus.operators import batching as bt
 from seqcorpus.operators import blocks as blk
@@ -16,7 +16,7 @@ from seqcorpus.operators import scoring as sc
 from seqcorpus.operators import vocab as voc
 from seqcorpus.plans.catalog import LINE_ORDER, PAIR_KEY, R6, _aligned_pairs, _batches, _cooc, _ids_str, _pair_lengths, doc_vocab, register
 from seqcorpus.plans.index import global_index
-from seqcorpus.plans.oracle import DOC, DOC_LANG, ENC, ORACLE, PAIRS_CTE, PLEN, attention_cte, lines_cte, scored_ctes, vocab_ctes
+from seqcorpus.plans.oracle import DOC, DOC_LANG, ENC, ORACLE, PAIRS_CTE, PLEN, WS, attention_cte, lines_cte, scored_ctes, vocab_ctes
 from seqcorpus.plans.session import cut_lineage, scratch_path
 from seqcorpus.sources import files as fs
 from seqcorpus.sources import indexed as ix
@@ -428,3 +428,23 @@ ORACLE["win_12_running_best"] = f"""WITH {VALUES},
 v AS (SELECT user_id, event_id AS num_updates, CAST(printf('%.5f', value) AS DOUBLE) AS loss FROM lg WHERE kind = 'valid'),
 b AS (SELECT *, min(loss) OVER (PARTITION BY user_id ORDER BY num_updates ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)
 SELECT user_id, num_updates, round(loss, 5) AS loss, round(least(coalesce(before, loss), loss), 5) AS best_so_far, before IS NULL OR loss < before AS is_best FROM b"""
+
+
+# --- characters and punctuation ----------------------------------------------------------------
+ORACLE["prj_19_words_to_numbers"] = f"""WITH {lines_cte('')},
+ctl AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(text, '{WS}', '', 'g'), ''), lambda x: x <> '') AS t FROM lines),
+ctoks AS (SELECT doc_id, line_no, CAST(unnest(generate_series(0, len(t) - 1)) AS BIGINT) AS pos, unnest(t) AS symbol FROM ctl WHERE len(t) > 0),
+{vocab_ctes(-1, -1, padding=1, toks='ctoks', nlines='ctl')},
+e AS (SELECT doc_id, line_no, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ' ' ORDER BY pos) AS s FROM ctoks LEFT JOIN vocab v USING (symbol) GROUP BY ALL)
+SELECT doc_id, line_no, md5(coalesce(s, '')) AS ids_md5 FROM ctl LEFT JOIN e USING (doc_id, line_no)"""
+
+
+def _replaced(expr: str) -> str:
+    for a, b in PUNCT_REPLACEMENTS:
+        a, b = a.replace("'", "''"), b.replace("'", "''")
+        expr = f"replace({expr}, '{a}', '{b}')"
+    return expr
+
+
+ORACLE["prj_18_normalize_punct"] = f"""WITH {lines_cte('')}
+SELECT doc_id, line_no, md5(regexp_replace({_replaced("regexp_replace(text, '[' || chr(92) || 'p{Cc}' || chr(92) || 'p{Cf}' || chr(92) || 'p{Co}]', ' ', 'g')")}, ' +', ' ', 'g')) AS text_md5 FROM lines"""
