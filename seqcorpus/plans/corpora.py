@@ -16,7 +16,7 @@ from seqcorpus.operators import scoring as sc
 from seqcorpus.operators import vocab as voc
 from seqcorpus.plans.catalog import LINE_ORDER, PAIR_KEY, R6, _aligned_pairs, _batches, _cooc, _ids_str, _pair_lengths, doc_vocab, register
 from seqcorpus.plans.index import global_index
-from seqcorpus.plans.oracle import DOC, DOC_LANG, ENC, ORACLE, PAIRS_CTE, PLEN, WS, attention_cte, lines_cte, scored_ctes, vocab_ctes
+from seqcorpus.plans.oracle import BATCHES, DOC, DOC_LANG, ENC, ORACLE, PAIRS_CTE, PLEN, WS, attention_cte, lines_cte, scored_ctes, tok, vocab_ctes
 from seqcorpus.plans.session import cut_lineage, scratch_path
 from seqcorpus.sources import files as fs
 from seqcorpus.sources import indexed as ix
@@ -448,3 +448,20 @@ def _replaced(expr: str) -> str:
 
 ORACLE["prj_18_normalize_punct"] = f"""WITH {lines_cte('')}
 SELECT doc_id, line_no, md5(regexp_replace({_replaced("regexp_replace(text, '[' || chr(92) || 'p{Cc}' || chr(92) || 'p{Cf}' || chr(92) || 'p{Co}]', ' ', 'g')")}, ' +', ' ', 'g')) AS text_md5 FROM lines"""
+
+
+# --- collated batches ----------------------------------------------------------------------------
+ORACLE["bat_02_collate"] = BATCHES + f""",
+side AS (SELECT b.*, CASE WHEN r.text IS NULL THEN 1 ELSE len({tok('r.text')}) + 1 END AS p_len
+         FROM batched b LEFT JOIN conversations r ON r.conv_id = b.conv_id AND r.turn = b.turn + 2),
+own AS (SELECT *, CASE WHEN p_len > 1 THEN tgt_len ELSE 0 END AS m_len FROM side)
+SELECT conv_id, turn, batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY src_len DESC, conv_id, turn) - 1 AS INTEGER) AS row_in_batch,
+       CAST(max(src_len) OVER w AS BIGINT) AS n_source, CAST(max(tgt_len) OVER w AS BIGINT) AS n_target, CAST(max(tgt_len) OVER w AS BIGINT) AS n_prev_output,
+       CAST(max(p_len) OVER w AS BIGINT) AS n_pivot, CAST(max(m_len) OVER w AS BIGINT) AS n_mt,
+       CAST(max(src_len) OVER w - src_len AS BIGINT) AS pads_source, CAST(max(tgt_len) OVER w - tgt_len AS BIGINT) AS pads_target,
+       CAST(max(p_len) OVER w - p_len AS BIGINT) AS pads_pivot, CAST(max(m_len) OVER w - m_len AS BIGINT) AS pads_mt, 2 AS last_source, 2 AS first_prev
+FROM own WINDOW w AS (PARTITION BY batch_id)"""
+ORACLE["srt_04_collate_order"] = BATCHES + """
+SELECT conv_id, turn, batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY src_len DESC, conv_id, turn) - 1 AS INTEGER) AS row_in_batch,
+       CAST(max(src_len) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_src, CAST(max(tgt_len) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_tgt, 2 AS first_prev
+FROM batched"""
