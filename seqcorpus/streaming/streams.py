@@ -16,16 +16,15 @@ from seqcorpus.operators import encode as enc
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: str, max_files: int = 1) -> DataFrame:
-    """Files named ``<name>*.parquet`` arriving in ``folder`` as a stream."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
+    """``<name>*.parquet`` arriving in ``folder`` as a stream: files, or folders of part files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder.rstrip('/')}/{name}*.parquet")
 
 
 def document_line_stream(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
     """Documents arriving as parquet files, broken into lines."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    name = "part-" if folder.rstrip("/").endswith("*") else "documents"  # a folder of written tables, or one of files
-    docs = table_stream(spark, folder, name, schema, max_files)
+    folder = folder.rstrip("/").removesuffix("*")  # a pattern of written tables names their folder
+    docs = table_stream(spark, folder, "documents", schema, max_files)
     return docs.select("doc_id", "lang", F.posexplode(split_lines("text")).alias("line_no", "text"))
 
 

@@ -1,5 +1,8 @@
 """Streams against batch results, and a stream that is stopped, restarted and broken off in the middle of a batch."""
 
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,17 @@ def test_meters_of_closed_windows(spark, tmp_path):
     got = sorted((r.window_start.hour, r.event_type, r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     want = sorted((h, t, 2, sum(float(i) for i in range(4 * h, 4 * h + 4) if "ab"[i % 2] == t)) for h in range(9) for t in "ab")
     assert got == want
+
+
+def test_tables_of_one_file_and_of_part_files(spark, tmp_path):
+    """A table is a file or a folder of part files; a stream of it reads every row either way."""
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    docs.repartition(3).write.parquet(f"{tmp_path}/parts/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one/written")
+    os.rename(glob.glob(f"{tmp_path}/one/written/part-*.parquet")[0], f"{tmp_path}/one/documents.parquet")
+    for kind in ("parts", "one"):
+        at = f"{tmp_path}/{kind}"
+        lines = stm.document_line_stream(spark, at)
+        stm.stream_word_counts(lines, f"{at}/out", f"{at}/ckpt").awaitTermination()
+        got = spark.read.parquet(f"{at}/out").where("symbol = 'a'").agg(F.max("count")).first()[0]
+        assert got == sum(t.split().count("a") for _, t, *_ in DOCS)
