@@ -2,7 +2,7 @@
 
 Per-pair statistics are the ten additive BLEU counters.  The clipped n-gram match (JN-08)
 explodes both sides' n-grams and aggregates by (pair, n, gram).  Because the explode stays inside
-a task, a frame hash-partitioned by the pair key (e.g. the output of the pairing join) needs no
+a task, a frame hash-partitioned by the pair key (the output of the pairing join) needs no
 further exchange: the (pair, n, gram) and (pair, n) aggregates reuse the pair partitioning, and a
 hot n-gram ("of the") is only ever counted inside its pair.  Corpus BLEU is a global sum
 (partial + final aggregation) followed by scalar math.
@@ -146,11 +146,11 @@ def bleu_report(scores: DataFrame, order: int = 4) -> DataFrame:
 
 
 def multi_ref_bleu(hyps: DataFrame, refs: DataFrame, key_cols: list[str], hyp_tokens: str, ref_tokens: str,
-                   ref_no: str = "ref_no", max_order: int = 4, lowercase: bool = True) -> DataFrame:
+                   ref_no: str = "ref_no", max_order: int = 4, lowercase: bool = True, tasks: int | None = None) -> DataFrame:
     """AGG-12: corpus BLEU against k references: a hypothesis n-gram is clipped by its largest
     count over the references; the reference length is the closest one (shorter wins ties).
 
-    Both inputs are keyed by the pair; all per-pair work aggregates inside the pair key."""
+    Both inputs are keyed by the pair; all per-pair work aggregates inside the pair key, over ``tasks`` tasks if given."""
     low = (lambda c: F.transform(F.col(c), lambda x: F.lower(x))) if lowercase else (lambda c: F.col(c))
     h = hyps.select(*key_cols, low(hyp_tokens).alias("_h"))
     r = refs.select(*key_cols, ref_no, low(ref_tokens).alias("_r"))
@@ -159,20 +159,22 @@ def multi_ref_bleu(hyps: DataFrame, refs: DataFrame, key_cols: list[str], hyp_to
     closest = (ref_len.join(hyp_len, key_cols)
                .groupBy(*key_cols)
                .agg(F.min_by("_rl", F.struct(F.abs(F.col("_rl") - F.col("predlen")), F.col("_rl"))).alias("reflen")))
-    parts = []
+    # all sentences of a pair meet in one task by the pair key; hypotheses and references are told apart by groupings, not by a
+    # join on (pair, gram), which would shuffle the n-grams
+    sides = r.select(*key_cols, F.lit(False).alias("_is_hyp"), F.col(ref_no).alias("_no"), F.col("_r").alias("_t"))
+    sides = h.select(*key_cols, F.lit(True).alias("_is_hyp"), F.lit(None).cast(sides.schema["_no"].dataType).alias("_no"), F.col("_h").alias("_t")).unionByName(sides)
+    sides = sides.repartition(tasks, *key_cols) if tasks else sides.repartition(*key_cols)
+    tagged = [F.transform(ngrams("_t", n), _tagger(n, 0, 0)) for n in range(1, max_order + 1)]
+    grams = sides.select(*key_cols, "_is_hyp", "_no", F.explode(F.concat(*tagged)).alias("_g")).select(*key_cols, "_is_hyp", "_no", "_g.n", "_g.g")
+    counts = (grams.groupBy(*key_cols, "n", "g", "_is_hyp", "_no").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy(*key_cols, "n", "g").agg(F.sum(F.when(F.col("_is_hyp"), F.col("c"))).alias("hc"),
+                                                F.max(F.when(~F.col("_is_hyp"), F.col("c"))).alias("rc")))
+    sums = []
     for n in range(1, max_order + 1):
-        hg = (h.select(*key_cols, F.explode(ngrams("_h", n)).alias("g"))
-              .groupBy(*key_cols, "g").agg(F.count(F.lit(1)).alias("hc")))
-        rg = (r.select(*key_cols, ref_no, F.explode(ngrams("_r", n)).alias("g"))
-              .groupBy(*key_cols, ref_no, "g").agg(F.count(F.lit(1)).alias("rc"))
-              .groupBy(*key_cols, "g").agg(F.max("rc").alias("rc")))
-        m = (hg.join(rg, [*key_cols, "g"], "left")
-             .groupBy(*key_cols).agg(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias(f"match{n}"),
-                                     F.sum("hc").alias(f"count{n}")))
-        parts.append(m)
-    stats = hyp_len.join(closest, key_cols, "left")
-    for m in parts:
-        stats = stats.join(m, key_cols, "left")
+        sums += [F.sum(F.when(F.col("n") == n, F.least("hc", F.coalesce("rc", F.lit(0))))).alias(f"match{n}"),
+                 F.sum(F.when(F.col("n") == n, F.col("hc"))).alias(f"count{n}")]
+    matches = counts.where("hc IS NOT NULL").groupBy(*key_cols).agg(*sums)
+    stats = hyp_len.join(closest, key_cols, "left").join(matches, key_cols, "left")
     cols = [*key_cols, F.coalesce("reflen", F.lit(0)).cast("long").alias("reflen"),
             F.col("predlen").cast("long").alias("predlen")]
     for n in range(1, max_order + 1):

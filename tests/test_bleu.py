@@ -34,3 +34,30 @@ def test_score_formula(spark):
     want = math.exp(1 - 6 / 5) * math.exp(sum(map(math.log, p)) / 4) * 100
     assert abs(r.bleu - want) < 1e-5
     assert bl.bleu_report(bl.corpus_bleu(s)).first().report.startswith("BLEU4 = ")
+
+
+def test_multi_ref_counts_and_plan(spark):
+    """Clipped by the largest count over the references, repeated keys added up; no n-gram goes through a shuffle."""
+    hyps = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["x"]), (3, []), (4, ["q", "q"]), (4, ["q"])], "k long, hyp array<string>")
+    refs = spark.createDataFrame([(1, 0, ["a", "c"]), (1, 1, ["A", "a", "a", "b"]), (2, 0, ["y"]), (4, 0, ["q"]), (4, 0, ["q", "z"])], "k long, ref_no int, ref array<string>")
+    got = bl.multi_ref_bleu(hyps, refs, ["k"], "hyp", "ref", tasks=3)
+    rows = sorted((r.k, r.predlen, r.reflen, r.match1, r.count1, r.match2, r.count2, r.match3, r.count3) for r in got.collect())
+    assert rows == [(1, 3, 2, 3, 3, 2, 2, 1, 1), (2, 1, 1, 0, 1, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0, 0, 0, 0), (4, 1, 1, 2, 3, 0, 1, 0, 0), (4, 2, 1, 2, 3, 0, 1, 0, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and " g#" in x]
+
+
+def test_pairs_stay_in_tasks_of_bounded_text(spark, tmp_path, monkeypatch):
+    """More text, more tasks; the n-grams and attention cells of a pair need no shuffle after the pairing join."""
+    from seqcorpus.plans import catalog as cat
+    from seqcorpus.sources import tables
+
+    rows = [(c, t, "user", f"w{c} w{t} w{c} a") for c in range(40) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(tables.text_tasks, "__defaults__", ("text", 50))
+    tasks = tables.text_tasks(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    assert tasks == -(-sum(len(r[3]) for r in rows) // 50) > spark.sparkContext.defaultParallelism
+    for query in (cat.q_clip, cat.q_head_avg):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert shuffles and all(f" {tasks})" in x and "REPARTITION_BY_NUM" in x for x in shuffles)
