@@ -395,17 +395,21 @@ ORACLE["scr_06_post_process"] = ORACLE["jn_05_replace_unk"].replace(
 
 
 # --- a stream that stops and goes on ----------------------------------------------------------
+#: Part files of a micro-batch: a task each or more, so a batch uses many cores and no task reads a whole arrival.
+FILES_A_BATCH = 64
+
+
 @register("str_05_resume")
 def q_resume_stream(spark, sf_dir):
-    """Documents arrive in three files; the encoding stream runs on the first, ends, and a new query with the same
+    """Documents arrive in three folders of part files; the encoding stream runs on the first, ends, and a new query with the same
     checkpoint takes up the others.  Its sink holds every line once."""
     folder = scratch_path(spark, "resume")
     vocab = cut_lineage(doc_vocab(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").withColumn("_k", F.expr("abs(doc_id) % 3"))
     for k in range(3):
-        docs.where(F.col("_k") == k).drop("_k").coalesce(1).write.parquet(f"{folder}/in/documents-{k}.parquet")
-        if k != 1:  # the second file waits for the third
-            lines = stm.document_line_stream(spark, f"{folder}/in/*", max_files=1)
+        docs.where(F.col("_k") == k).drop("_k").write.parquet(f"{folder}/in/documents-{k}.parquet")
+        if k != 1:  # the second folder waits for the third
+            lines = stm.document_line_stream(spark, f"{folder}/in/*", max_files=FILES_A_BATCH)
             stm.stream_encode(lines, vocab, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
     r = spark.read.parquet(f"{folder}/out")
     return r.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("ids").cast("long").alias("n_ids"), F.md5(_ids_str("ids")).alias("ids_md5"))

@@ -101,3 +101,22 @@ def test_tables_of_one_file_and_of_part_files(spark, tmp_path):
         stm.stream_word_counts(lines, f"{at}/out", f"{at}/ckpt").awaitTermination()
         got = spark.read.parquet(f"{at}/out").where("symbol = 'a'").agg(F.max("count")).first()[0]
         assert got == sum(t.split().count("a") for _, t, *_ in DOCS)
+
+
+def test_resume_query_writes_arrivals_in_parallel(spark, tmp_path):
+    """str_05: an arrival is written by all tasks that hold its rows, not by one."""
+    from seqcorpus.plans.corpora import q_resume_stream
+
+    for k in range(6):
+        spark.createDataFrame(DOCS[k * 5:k * 5 + 5], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    before = set(_arrivals(spark))
+    got = q_resume_stream(spark, str(tmp_path)).select("doc_id", "line_no").collect()
+    assert sorted(map(tuple, got)) == [(i, n) for i in range(30) for n in (0, 1)]
+    folder, = set(_arrivals(spark)) - before
+    assert all(len(glob.glob(f"{folder}/documents-{k}.parquet/part-*")) > 1 for k in range(3))
+
+
+def _arrivals(spark):
+    from seqcorpus.plans.session import scratch_path
+
+    return glob.glob(f"{os.path.dirname(scratch_path(spark, 'x'))}/resume-*/in")
