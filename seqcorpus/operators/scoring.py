@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcorpus.constants import EOS, PAD
-from seqcorpus.plans.broadcast import maybe_broadcast
+from seqcorpus.plans.broadcast import maybe_broadcast, stored
 
 LN2 = math.log(2)
 
@@ -31,8 +31,8 @@ def positions(df: DataFrame, key_cols: list[str], ids_col: str = "ids") -> DataF
 
 def bigram_model(pos: DataFrame, vocab_size: int, k: float = 1.0):
     """Add-k bigram model from positions: ``(ctx, token, lp)`` observed and ``(ctx, lp0, n_seen)``.
-    One aggregation on (ctx, token) (partial aggregation first) and one on ctx."""
-    pairs = pos.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c"))
+    One aggregation on (ctx, token) (partial aggregation first), written once for all its uses, and one on ctx."""
+    pairs = stored(pos.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")))
     ctx = pairs.groupBy("ctx").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("n_seen"))
     denom = F.col("t") + F.lit(k * vocab_size)
     model = pairs.join(ctx, "ctx").select("ctx", "token", F.log((F.col("c") + k) / denom).alias("lp"))

@@ -90,3 +90,22 @@ def test_bleu_side(spark):
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, t array<string>")
     got = [list(r.x) for r in df.select("i", bleu.bleu_side("t", False).alias("x")).orderBy("i").collect()]
     assert got == [w for _, w in cases]
+
+
+def test_bigram_counts_are_made_once(spark):
+    """Model, unseen and all their uses read the written counts; the positions aren't counted again."""
+    from pyspark.sql import functions as F
+    from seqcorpus.operators import scoring as sc
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    lines = spark.createDataFrame([(i, [4 + i % 3, 5, 2]) for i in range(20)], "k long, ids array<int>").mapInArrow(seen, "k long, ids array<int>")
+    model, unseen = sc.bigram_model(sc.positions(lines, ["k"]), 10)
+    assert model.count() and unseen.count() and sc.argmax_token(model).count()
+    assert runs.value == 20
+    assert abs(model.where("ctx = 5 AND token = 2").select(F.exp("lp")).first()[0] - 21 / 37) < 1e-9
