@@ -165,43 +165,53 @@ def _linked(sentences: DataFrame, key_cols: list[str], some: _Range) -> DataFram
 NEIGHBOURS = [(-1, 0), (0, -1), (1, 0), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-def grow_diag_final_and(forward: str | Column, backward: str | Column) -> Column:
-    """AGG-32, default heuristic, on two arrays of ``struct<src_pos, tgt_pos>`` of the same sentence pair.
+#: A point is one number, its source place times this plus its target place.
+_SIDE = 1 << 20
 
-    Starts from the intersection.  Grow: points in (source, target) order; each neighbour of a point that is in the union, and
-    whose source or target word is free, is added at once and is itself grown, if it comes later in the order, in the same
-    sweep; sweeps repeat until one adds nothing.  Final: points of ``forward``, then of ``backward``, both of whose words are free.
-    Row-local and native: a sweep walks the union's points only, since no other point can be in the alignment."""
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (forward, backward))
-    code = lambda col: F.array_sort(F.array_distinct(F.transform(col, lambda x: x["src_pos"].cast("long") * F.lit(1 << 20) + x["tgt_pos"])))
-    side = lambda x, d: F.floor(x / F.lit(1 << 20)) if d == 0 else x % F.lit(1 << 20)
-    taken = lambda links, x, d: F.exists(links, lambda y: side(y, d) == side(x, d))
 
-    def grown(links: Column, point: Column, union: Column) -> Column:
-        near = [F.when((side(point, 1) + dt >= 0), point + F.lit(ds * (1 << 20) + dt)) for ds, dt in NEIGHBOURS]
+def _grower():
+    """The heuristic on two arrays of sorted points, as a function that is sent to the tasks by value."""
+    side, neighbours = _SIDE, NEIGHBOURS
 
-        def add(links: Column, x: Column) -> Column:
-            free = ~taken(links, x, 0) | ~taken(links, x, 1)
-            return F.when(x.isNotNull() & F.array_contains(union, x) & ~F.array_contains(links, x) & free, F.concat(links, F.array(x))).otherwise(links)
+    def grow(a: list[int], b: list[int]) -> list[int]:
+        union = sorted({*a, *b})
+        inside, links = set(union), set(a) & set(b)
+        rows, cols = {x // side for x in links}, {x % side for x in links}
 
-        return F.aggregate(F.array(*near), links, add)
+        def add(x: int) -> None:
+            links.add(x)
+            rows.add(x // side)
+            cols.add(x % side)
 
-    def sweep(links: Column, union: Column) -> Column:
-        return F.aggregate(union, links, lambda have, p: F.when(F.array_contains(have, p), grown(have, p, union)).otherwise(have))
+        had = -1
+        while len(links) > had:
+            had = len(links)
+            for p in union:
+                if p in links:
+                    for ds, dt in neighbours:
+                        x = p + ds * side + dt
+                        if p % side + dt >= 0 and x in inside and x not in links and (x // side not in rows or x % side not in cols):
+                            add(x)
+        for x in (*a, *b):
+            if x // side not in rows and x % side not in cols:
+                add(x)
+        return sorted(links)
 
-    def settled(state: Column, union: Column) -> Column:
-        return F.when(state["more"], F.aggregate(F.array(sweep(state["links"], union)), state, lambda old, new: F.struct(
-            new.alias("links"), (F.size(new) > F.size(old["links"])).alias("more")))).otherwise(state)
+    def rows_of(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+        return pa.array([None if x is None or y is None else grow(x, y) for x, y in pairs], pa.list_(pa.int64()))
 
-    def final(links: Column, points: Column) -> Column:
-        return F.aggregate(points, links, lambda have, x: F.when(~taken(have, x, 0) & ~taken(have, x, 1), F.concat(have, F.array(x))).otherwise(have))
+    return rows_of
 
-    # every sweep but the last adds a point, so there are no more sweeps than points of the union, and one
-    def whole(p: Column) -> Column:
-        first = F.struct(F.array_intersect(p["a"], p["b"]).alias("links"), F.lit(True).alias("more"))
-        grown_all = F.aggregate(F.sequence(F.lit(0), F.size(p["u"])), first, lambda state, _: settled(state, p["u"]))["links"]
-        return F.array_sort(final(final(grown_all, p["a"]), p["b"]))
 
-    held = F.array(F.struct(code(a).alias("a"), code(b).alias("b"), F.array_sort(F.array_union(code(a), code(b))).alias("u")))
-    out = F.transform(held, whole)[0]
-    return F.transform(out, lambda x: F.struct(side(x, 0).cast("int").alias("src_pos"), side(x, 1).cast("int").alias("tgt_pos")))
+def grow_diag_final_and(forward: str | Column, backward: str | Column) -> Column:
+    """AGG-32, default heuristic, on two arrays of ``struct<src_pos, tgt_pos>`` of the same sentence pair.
+
+    Starts from the intersection.  Grow: points in (source, target) order; each neighbour of a point that is in the union, and
+    whose source or target word is free, is added at once and is itself grown, if it comes later in the order, in the same
+    sweep; sweeps repeat until one adds nothing.  Final: points of ``forward``, then of ``backward``, both of whose words are free.
+    Row-local: a sweep walks the union's points only, since no other point can be in the alignment."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (forward, backward))
+    code = lambda col: F.array_sort(F.array_distinct(F.transform(col, lambda x: x["src_pos"].cast("long") * F.lit(_SIDE) + x["tgt_pos"])))
+    grown = F.arrow_udf(_grower(), "array<bigint>")(code(a), code(b))
+    return F.transform(grown, lambda x: F.struct(F.floor(x / F.lit(_SIDE)).cast("int").alias("src_pos"), (x % F.lit(_SIDE)).cast("int").alias("tgt_pos")))
