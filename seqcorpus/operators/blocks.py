@@ -81,10 +81,11 @@ def chunk_entries(table: DataFrame, stream: str) -> DataFrame:
         levels.append(cut_lineage(both.select(stream, "g", "entry", F.coalesce("_x", "exit").alias("exit"), (F.col("nblocks") + F.coalesce("_n", F.lit(0))).alias("nblocks"))))
     at = table.select(stream).distinct().select(stream, F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("before"))
     for low in reversed(levels[:-1]):
-        left = at.withColumn("g", F.col("g") * 2)
-        through = left.join(low, [stream, "g", "entry"], "left")
-        right = through.select(stream, (F.col("g") + 1).alias("g"), F.coalesce("exit", "entry").alias("entry"), (F.col("before") + F.coalesce("nblocks", F.lit(0))).alias("before"))
-        at = left.unionByName(right)
+        # both halves come out of one join and each level is written: otherwise the plan doubles with every level
+        through = at.withColumn("g", F.col("g") * 2).join(low, [stream, "g", "entry"], "left")
+        halves = F.array(F.struct("g", "entry", "before"),
+                         F.struct((F.col("g") + 1).alias("g"), F.coalesce("exit", "entry").alias("entry"), (F.col("before") + F.coalesce("nblocks", F.lit(0))).alias("before")))
+        at = cut_lineage(through.select(stream, F.explode(halves).alias("h")).select(stream, "h.*"))
     return at.select(stream, F.col("g").alias("_chunk"), F.col("entry").alias("_entry"), F.col("before").alias("_boff"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcorpus.functions import arrays as A
-from seqcorpus.operators import bleu, checkpoints, scoring
+from seqcorpus.operators import bleu, blocks, checkpoints, scoring
 from seqcorpus.plans.keys import digit_widths, packed_key, unpack_key
 from seqcorpus.sources import files
 
@@ -109,3 +109,17 @@ def test_bigram_counts_are_made_once(spark):
     assert model.count() and unseen.count() and sc.argmax_token(model).count()
     assert runs.value == 20
     assert abs(model.where("ctx = 5 AND token = 2").select(F.exp("lp")).first()[0] - 21 / 37) < 1e-9
+
+
+def test_chain_of_many_chunks_has_a_small_plan(spark):
+    n = 70
+    table = spark.createDataFrame([("a", c, c * 10 + e, (c + 1) * 10 + (e + c) % 3, 2 + e) for c in range(n) for e in range(3)],
+                                  "lang string, _chunk long, entry long, exit long, nblocks long")
+    got = blocks.chunk_entries(table, "lang")
+    want, at, before = [], 0, 0
+    for c in range(n):
+        want.append((c, at, before))
+        e = at - c * 10
+        at, before = (c + 1) * 10 + (e + c) % 3, before + 2 + e
+    assert sorted((r._chunk, r._entry, r._boff) for r in got.collect() if r._chunk < n) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") <= 2
