@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcorpus.functions import arrays as A
-from seqcorpus.operators import bleu, blocks, checkpoints, scoring
+from seqcorpus.operators import align, bleu, blocks, checkpoints, scoring
 from seqcorpus.plans.keys import digit_widths, packed_key, unpack_key
 from seqcorpus.sources import files
 
@@ -111,6 +111,36 @@ def test_bigram_counts_are_made_once(spark):
     assert abs(model.where("ctx = 5 AND token = 2").select(F.exp("lp")).first()[0] - 21 / 37) < 1e-9
 
 
+def _attention_tables(spark):
+    keys = [(1, 0), (1, 0), (1, 1), (2, 0), (None, 0)]  # a pair twice, a null key
+    tp = [(c, t, i, j, w) for c, t in keys for i in range(4) for j, w in ((i, 0.5), (i + 1, 0.25), (i + 2, 0.15), (i + 3, 0.1))]
+    ps = [(c, t, j, j // 2 + d, 0.6 - d / 2) for c, t in keys[1:] for j in range(5) for d in (0, 1)]
+    schema = "conv_id long, turn int, tgt_pos int, src_pos int, weight double"
+    return spark.createDataFrame(tp, schema), spark.createDataFrame(ps, schema)
+
+
+def test_relay_and_loss_keep_the_partitioning_by_pair(spark):
+    key, cell = ["conv_id", "turn"], ["conv_id", "turn", "tgt_pos", "src_pos"]
+    tp, ps = (x.repartition(5, *key) for x in _attention_tables(spark))
+    relayed = align.attention_relay(tp, ps, key)
+    # by joins on the positions
+    top = align.topk_positions(tp, key, 3).select(*key, "tgt_pos", F.col("src_pos").alias("pivot_pos"))
+    hard = align.hard_alignment(ps, key).select(*key, F.col("tgt_pos").alias("pivot_pos"), "src_pos")
+    want = top.join(hard, [*key, "pivot_pos"]).select(*cell).distinct()
+    rows = sorted(map(tuple, relayed.select(*cell).collect()))
+    assert rows == sorted(map(tuple, want.collect())) and rows and {r.weight for r in relayed.collect()} == {0.3}
+    lone = spark.createDataFrame([(None, 0, 0, 0, 0.3), (9, 9, 0, 0, None)], tp.schema)
+    other = relayed.unionByName(relayed.where("tgt_pos = 1")).unionByName(lone)
+    j = tp.withColumnRenamed("weight", "s").join(other.withColumnRenamed("weight", "r"), cell, "full_outer")
+    d = F.coalesce("s", F.lit(0.0)) - F.coalesce("r", F.lit(0.0))
+    assert align.attention_teaching_loss(tp, other, key).first().loss == pytest.approx(j.agg(F.sqrt(F.sum(d * d))).first()[0])
+    assert align.attention_teaching_loss(tp.dropna().dropDuplicates(cell), tp.dropna().dropDuplicates(cell), key).first().loss == 0.0
+    for df, more in ((relayed, 0), (align.attention_teaching_loss(tp, relayed, key), 1)):  # the loss ends in one row
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange SinglePartition") == more and "Join" not in plan
+        assert all(x.startswith("(conv_id#") and ", 5), REPARTITION" in x.split("\n")[0] for x in plan.split("Exchange hashpartitioning")[1:])
+
+
 def test_chain_of_many_chunks_has_a_small_plan(spark):
     n = 70
     table = spark.createDataFrame([("a", c, c * 10 + e, (c + 1) * 10 + (e + c) % 3, 2 + e) for c in range(n) for e in range(3)],
