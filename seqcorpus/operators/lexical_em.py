@@ -1,11 +1,12 @@
 """Word alignment by expectation maximisation and its symmetrisation: AGG-31, AGG-32 (grow-diag-final-and).
 
-The model is t(target | source) on the pairs of words that meet in some sentence pair.  Expected counts are made inside the
-row of a sentence pair and added up in the task by (source, target) before anything is shuffled; no table of links is
+The model is t(target | source) on the pairs of words that meet in some sentence pair.  Expected counts are made on arrays of
+many sentences at once and added up in the task by (source, target) before anything is shuffled; no table of links is
 written.  A round is one aggregation of counts, one of their sums by source word, and a written model.
 
 The E-step of a target word needs t only for that word, so the model goes to the tasks in ranges of target words, each of at
-most ``range_pairs`` word pairs and one word more: bounded broadcasts, one pass over the sentences a range.
+most ``range_pairs`` word pairs and one word more: bounded broadcasts, one pass over the sentences a range.  The model is
+written in the order of target words, so that a range reads its own part of the files.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqcorpus.plans.broadcast import maybe_broadcast
-from seqcorpus.plans.session import cut_lineage
+from seqcorpus.plans.broadcast import maybe_broadcast, stored
+from seqcorpus.plans.session import cut_lineage, shuffle_partitions
 
 #: Word pairs of a broadcast range: 16 bytes each, and 8 more for the counts of a task.
 RANGE_PAIRS = 2_000_000
 #: The empty word that a target word may come from.
 NULL_WORD = -1
-_CELLS = 1 << 20
+#: Cells (a target word with a source word of its sentence) that a task holds at once, and word pairs it adds up in the first round.
+_CELLS = 1 << 21
+_HELD = 1 << 22
+#: A range is looked up in a table of all its words if that has at most so many places for each word pair.
+_SPARSE = 8
 
 
 def _pairs(pairs: DataFrame, src: str, tgt: str, keys: list[str]) -> DataFrame:
@@ -31,9 +36,10 @@ def _pairs(pairs: DataFrame, src: str, tgt: str, keys: list[str]) -> DataFrame:
 
 
 def _normalised(counts: DataFrame) -> DataFrame:
-    """t = count / the sum of its source word."""
+    """t = count / the sum of its source word, written in the order of target words."""
     total = counts.groupBy("src_id").agg(F.sum("c").alias("total"))
-    return cut_lineage(counts.join(maybe_broadcast(total), "src_id").select("src_id", "tgt_id", (F.col("c") / F.col("total")).alias("prob")))
+    model = counts.join(maybe_broadcast(total), "src_id").select("src_id", "tgt_id", (F.col("c") / F.col("total")).alias("prob"))
+    return stored(model.repartitionByRange(shuffle_partitions(model.sparkSession), "tgt_id").sortWithinPartitions("tgt_id"))
 
 
 def _ranges(model: DataFrame, range_pairs: int) -> list[tuple[int, int]]:
@@ -44,6 +50,31 @@ def _ranges(model: DataFrame, range_pairs: int) -> list[tuple[int, int]]:
     return [(r.low, r.high) for r in cut.orderBy("low").collect()]
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, offset of each row) of an array of lists without nulls."""
+    off = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[off[0]:off[-1]].astype(np.int64), off - off[0]
+
+
+def _blocks(src: pa.Array, tgt: pa.Array, low: int | None = None, high: int | None = None):
+    """Blocks of (row, place, id, number of source words) of target words within [low, high], and the source id of each cell:
+    every target word against all source words of its row."""
+    (s, s_off), (t, t_off) = _flat(src), _flat(tgt)
+    mine = np.arange(len(t)) if low is None else np.flatnonzero((t >= low) & (t <= high))
+    row = np.searchsorted(t_off, mine, "right") - 1
+    sizes = np.diff(s_off)[row]
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(_CELLS, ends[-1], _CELLS)), len(mine))) if len(mine) else []
+    at = 0
+    for cut in cuts:
+        some = slice(at, cut)
+        if cut > at:
+            r, n = row[some], sizes[some]
+            cell = np.arange(n.sum()) + np.repeat(s_off[r] - (np.cumsum(n) - n), n)
+            yield r, mine[some] - t_off[r], t[mine[some]], n, s[cell]
+        at = cut
+
+
 class _Range:
     """The model's pairs of a range of target words, sorted by (target, source)."""
 
@@ -52,27 +83,25 @@ class _Range:
             F.expr("shiftleft(CAST(tgt_id AS BIGINT), 32) + src_id + 1").alias("key"), "prob").toArrow()
         key, prob = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         order = np.argsort(key)
-        self.key, self.prob, self.low, self.high = key[order], prob[order], low, high
-
-    def cells(self, src: list, tgt: list):
-        """Row by row blocks of (rows, target places, source counts, index of each cell): target words of the range against all source words of the row."""
-        rows, words, sizes, keys, held = [], [], [], [], 0
-        for r, (s, t) in enumerate(zip(src, tgt, strict=True)):
-            t = np.asarray(t, np.int64)
-            mine = np.flatnonzero((t >= self.low) & (t <= self.high))
-            if not len(mine):
-                continue
-            s = np.asarray(s, np.int64)
-            rows.append(np.full(len(mine), r))
-            words.append(mine)
-            sizes.append(np.full(len(mine), len(s)))
-            keys.append(((t[mine] << 32)[:, None] + (s + 1)[None, :]).ravel())
-            held += len(keys[-1])
-            if held > _CELLS:
-                yield tuple(map(np.concatenate, (rows, words, sizes))) + (np.searchsorted(self.key, np.concatenate(keys)),)
-                rows, words, sizes, keys, held = [], [], [], [], 0
-        if rows:
-            yield tuple(map(np.concatenate, (rows, words, sizes))) + (np.searchsorted(self.key, np.concatenate(keys)),)
+        # behind the pairs: the probability of a pair that the model doesn't have
+        self.key, self.prob, self.low, self.high = key[order], np.append(prob[order], -1.0), low, high
+        self.width = int((self.key & 0xFFFFFFFF).max(initial=0)) + 2
+        places = (high - low + 1) * self.width
+        self.table = None
+        if places <= _SPARSE * len(self.key):
+            self.table = np.full(places, len(self.key), np.int32)
+            self.table[((self.key >> 32) - low) * self.width + (self.key & 0xFFFFFFFF)] = np.arange(len(self.key))
+
+    def cells(self, src: pa.Array, tgt: pa.Array):
+        """Blocks of (rows, target places, source counts, index of each cell) of target words of the range."""
+        for rows, places, t, sizes, s in _blocks(src, tgt, self.low, self.high):
+            if self.table is not None:
+                at = self.table[np.repeat((t - self.low) * self.width, sizes) + np.minimum(s + 1, self.width - 1)]
+            else:
+                key = np.repeat(t << 32, sizes) + s + 1
+                at = np.searchsorted(self.key, key)
+                at[self.key[np.minimum(at, len(self.key) - 1)] != key] = len(self.key)
+            yield rows, places, sizes, at
 
 
 def lexical_em(pairs: DataFrame, src: str, tgt: str, rounds: int = 5, range_pairs: int = RANGE_PAIRS) -> tuple[DataFrame, list[float]]:
@@ -81,38 +110,63 @@ def lexical_em(pairs: DataFrame, src: str, tgt: str, rounds: int = 5, range_pair
 
     ``src`` and ``tgt`` are arrays of ids (0 or more).  A null or empty target gives nothing; a null or empty source leaves the empty word."""
     sentences = cut_lineage(_pairs(pairs, src, tgt, []))
-    cells = sentences.select(F.explode("tgt").alias("tgt_id"), "src").select(
-        "tgt_id", (F.lit(1.0) / F.size("src")).alias("c"), F.explode("src").alias("src_id"))
-    model = _normalised(cells.groupBy("src_id", "tgt_id").agg(F.sum("c").alias("c")))
+    model = _normalised(stored(_uniform(sentences).groupBy("src_id", "tgt_id").agg(F.sum("c").alias("c"))))
     likelihood = []
     for _ in range(rounds - 1):
         parts = None
         for low, high in _ranges(model, range_pairs):
-            part = cut_lineage(_expected(sentences, _Range(model, low, high)))
+            part = stored(_expected(sentences, _Range(model, low, high)).groupBy("src_id", "tgt_id").agg(F.sum("c").alias("c")))
             parts = part if parts is None else parts.unionByName(part)
         if parts is None:
             break
         likelihood.append(parts.where("src_id IS NULL").agg(F.sum("c")).first()[0] or 0.0)
-        model = _normalised(parts.where("src_id IS NOT NULL").groupBy("src_id", "tgt_id").agg(F.sum("c").alias("c")))
+        model = _normalised(parts.where("src_id IS NOT NULL"))  # a pair is in one range
     return model, likelihood
 
 
+def _counts(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(((key & 0xFFFFFFFF) - 1).astype(np.int32)), pa.array((key >> 32).astype(np.int32)), pa.array(count)],
+                                      names=["src_id", "tgt_id", "c"])
+
+
+def _uniform(sentences: DataFrame) -> DataFrame:
+    """Counts of the first round, in which all source words of a row are equally likely, added up by task."""
+    def task(batches):
+        add = lambda tables: pa.concat_tables(tables).group_by("key", use_threads=False).aggregate([("c", "sum")]).rename_columns(["key", "c"])
+        out = lambda tab: _counts(tab.column("key").to_numpy(), tab.column("c").to_numpy())
+        held, n = [], 0
+        for batch in batches:
+            for _, _, t, sizes, s in _blocks(batch.column(0), batch.column(1)):
+                cells = pa.table({"key": np.repeat(t << 32, sizes) + s + 1, "c": np.repeat(1.0 / sizes, sizes)})
+                held.append(add([cells]))
+                n += len(held[-1])
+                if n > _HELD:
+                    held = [add(held)]
+                    n = len(held[0])
+                    if n > _HELD // 2:
+                        yield out(held[0])
+                        held, n = [], 0
+        if held:
+            yield out(add(held))
+
+    return sentences.mapInArrow(task, "src_id int, tgt_id int, c double")
+
+
 def _expected(sentences: DataFrame, some: _Range) -> DataFrame:
     """Expected counts of a range, added up by task; the task's log-likelihood has no ids."""
     shared = sentences.sparkSession.sparkContext.broadcast(some)
 
     def task(batches):
         some = shared.value
-        count, ll = np.zeros(len(some.key)), 0.0
+        count, ll = np.zeros(len(some.prob)), 0.0
         for batch in batches:
-            for _, _, sizes, at in some.cells(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, _, sizes, at in some.cells(batch.column(0), batch.column(1)):
                 prob, head = some.prob[at], np.cumsum(sizes) - sizes
                 z = np.add.reduceat(prob, head)
                 count += np.bincount(at, prob / np.repeat(z, sizes), minlength=len(count))
                 ll += float(np.log(z / sizes).sum())
         got = np.flatnonzero(count)
-        ids = np.stack([(some.key[got] & 0xFFFFFFFF) - 1, some.key[got] >> 32]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[0]), pa.array(ids[1]), pa.array(count[got])], names=["src_id", "tgt_id", "c"])
+        yield _counts(some.key[got], count[got])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([ll])], names=["src_id", "tgt_id", "c"])
 
     return sentences.mapInArrow(task, "src_id int, tgt_id int, c double")
@@ -141,19 +195,14 @@ def _linked(sentences: DataFrame, key_cols: list[str], some: _Range) -> DataFram
         some = shared.value
         for batch in batches:
             links = [[] for _ in range(batch.num_rows)]
-            src, tgt = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            for rows, words, sizes, at in some.cells(src, tgt):
-                inside = np.minimum(at, len(some.key) - 1)
-                head = 0
-                for r, j, size in zip(rows.tolist(), words.tolist(), sizes.tolist(), strict=True):
-                    cell = inside[head:head + size]
-                    known = some.key[cell] == (tgt[r][j] << 32) + np.asarray(src[r], np.int64) + 1
-                    prob = np.where(known, some.prob[cell], -1.0)
-                    # the empty word is the last of the row; a word of equal probability goes before it
-                    i = int(prob.argmax())
-                    if prob[i] > 0 and i < size - 1:
-                        links[r].append({"src_pos": i, "tgt_pos": j})
-                    head += size
+            for rows, places, sizes, at in some.cells(batch.column(n), batch.column(n + 1)):
+                prob, head = some.prob[at], np.cumsum(sizes) - sizes
+                # the empty word is the last of the row; a word of equal probability goes before it, the first of several
+                best = np.flatnonzero(prob == np.repeat(np.maximum.reduceat(prob, head), sizes))
+                first = best[np.searchsorted(best, head)]
+                linked = (prob[first] > 0) & (first - head < sizes - 1)
+                for r, i, j in zip(rows[linked].tolist(), (first - head)[linked].tolist(), places[linked].tolist(), strict=True):
+                    links[r].append({"src_pos": i, "tgt_pos": j})
             kind = pa.list_(pa.struct([("src_pos", pa.int32()), ("tgt_pos", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(n)], pa.array(links, kind)], names=[*key_cols, "links"])
 
