@@ -7,13 +7,15 @@ parameters).  The steps, each a Spark job over all documents:
    one node from here on.  A table of shingle counts by hash bucket, of fixed size, gives an order from rare
    to frequent.
 2. Routing.  Two linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order, so a node
-   is dealt to these shingles' lists, and only lists of two nodes or more go on, equal lists once.
+   is dealt to these shingles' lists, and only lists of two nodes or more go on, equal lists once.  In a list
+   of up to ``BLOCK`` nodes, one stays only if by its size and the shingle's place in its set it could be
+   linked with another one (what a linked pair has in common begins at its first common shingle).
 3. Candidates.  In each list a signature tree is built: a leaf holds a node's bitmap of its shingles and
    its size, an inner node the OR of its children's bitmaps and their range of sizes.  A dual traversal of
    the tree with itself drops pairs of tree nodes by their maximum possible overlap, by sizes alone or by
    common bits.  What is left is a candidate graph; a list gives a spanning forest of it, never its
    pairs.  A list of more than ``BLOCK`` nodes is taken as one candidate group unseen.
-4. Links.  A component of the candidate graph is cut into blocks of ``BLOCK`` nodes; each task holds two
+4. Links.  Only sets of candidate nodes are moved.  A component of the candidate graph is cut into blocks of ``BLOCK`` nodes; each task holds two
    blocks and their sets, and the same traversal ends in exact comparisons, which skip nodes that are
    already connected.  First every block meets the first one; then the nodes outside the largest
    component meet one another and all blocks.  So every pair that could join two components is compared,
@@ -57,6 +59,7 @@ WIDE = 4096
 FIRST_40 = np.uint64(((1 << 40) - 1) << 16)
 MASK = np.uint64((1 << 56) - 1)
 FANOUT = 8
+_INT = np.iinfo(np.int32).max
 
 
 # ---- sets of an Arrow column -------------------------------------------------------------------
@@ -163,7 +166,8 @@ class Owners:
 
 
 def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, owners: Owners, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the rare shingles that a linked set must share one of."""
+    """(key, fp, n, most): the rare shingles that a linked set must share one of, the size of the set, and the size
+    up to which another set can be linked whose first common shingle is this one."""
     # 8 bits of the bucket's logarithmic count, then 48 bits of the hash: an order of all shingles
     rank = np.minimum(12 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast((rank, owners))
@@ -183,10 +187,15 @@ def routes(docs: DataFrame, counts: np.ndarray, width: int, least: int, owners:
                 key = row.astype(np.uint64) << np.uint64(56) | rank[bucket(h)].astype(np.uint64) << np.uint64(48) | h & np.uint64((1 << 48) - 1)
                 key.sort()
                 first = n - (least * n + 99) // 100 + 1
-                take = (np.arange(len(key)) - bounds[:-1][row] < first[row]) & new[row]
-                yield pa.RecordBatch.from_arrays([pa.array((key[take] & MASK).view(np.int64)), pa.array(fp[row[take]])], names=["key", "fp"])
+                place = np.arange(len(key)) - bounds[:-1][row]
+                take = (place < first[row]) & new[row]
+                take[1:] &= key[1:] != key[:-1]
+                key, row, place = key[take], row[take], place[take]
+                most = (100 + least) * (n[row] - place) // least - n[row]
+                yield pa.RecordBatch.from_arrays([pa.array((key & MASK).view(np.int64)), pa.array(fp[row]), pa.array(n[row].astype(np.int32)),
+                                                  pa.array(np.minimum(most, _INT).astype(np.int32))], names=["key", "fp", "n", "most"])
 
-    return docs.select(F.xxhash64(doc_id), text).mapInArrow(task, "key long, fp long")
+    return docs.select(F.xxhash64(doc_id), text).mapInArrow(task, "key long, fp long, n int, most int")
 
 
 def fp_filter(fps: DataFrame) -> np.ndarray:
@@ -233,6 +242,21 @@ def node_sets(docs: DataFrame, fps: DataFrame, width: int, owners: Owners, doc_i
     return written(made.withColumn("part", F.spark_partition_id()), "candidate-sets")
 
 
+def sets_of(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """(fp, part, n, items) of the sets whose fingerprints are in ``fps``, and few others: what is not compared
+    is left out before the sets are moved."""
+    shared = sets.sparkSession.sparkContext.broadcast(fp_filter(fps))
+
+    def task(batches):
+        bits = shared.value
+        for batch in batches:
+            at = _filter_at(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    narrow = sets.select("fp", "part", "n", "items")
+    return written(narrow.mapInArrow(task, narrow.schema), "compared-sets")
+
+
 def packed(items: np.ndarray) -> bytes:
     """Sorted 56-bit hashes for the way to the comparisons: of a set of up to ``WIDE`` the first 40 bits, in five bytes
     each (2 * WIDE such hashes have an equal pair by chance once in 30,000 comparisons at most); of a larger one all, in seven."""
@@ -457,6 +481,7 @@ def _meet(units: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def links(groups: DataFrame, picks: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links that connect the nodes of each candidate group (node, root), as a forest and some edges more."""
     nodes = written(groups.join(picks.withColumnRenamed("fp", "node"), "node"), "candidate-nodes")
+    sets = sets_of(sets, nodes.select("node"))
     size = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     blocks = size.select("root", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     first = nodes.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -499,6 +524,20 @@ def different_lists(shared: DataFrame) -> DataFrame:
     return lists.groupBy("m", "sig", "low").agg(F.min("key").alias("key"))
 
 
+def possible_members(members: DataFrame) -> DataFrame:
+    """(key, fp, m, low) of ``members`` (key, fp, n, most, m, low) without those that no other node of their list can be
+    linked with by sizes and places, equal lists once.  Lists of more than ``BLOCK`` nodes stay as they are.
+
+    All that two sets have in common comes from their first common shingle on, and its list is the first of all
+    lists that hold both, so this list keeps them; equal lists go by their first shingle, which is the first here too."""
+    small = members.where(F.col("m") <= BLOCK).groupBy("key").agg(F.collect_list(F.struct("fp", "n", "most")).alias("r"))
+    fits = lambda x, y: (x.fp != y.fp) & (y.n <= x.most) & (x.n <= y.most)
+    kept = small.select("key", F.filter("r", lambda x: F.exists("r", lambda y: fits(x, y))).alias("r")).where(F.size("r") > 0)
+    kept = kept.groupBy(F.array_sort("r.fp").alias("fps")).agg(F.min("key").alias("key"))
+    kept = kept.select("key", F.explode("fps").alias("fp"), F.size("fps").cast("long").alias("m"), F.col("fps")[0].alias("low"))
+    return kept.unionByName(members.where(F.col("m") > BLOCK).select("key", "fp", "m", "low"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the component of every document.  Links are compared as far as
     components need them, so they are neither counted nor put out."""
@@ -509,7 +548,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, doc_id: st
     sizes = written(sizes.select("key"), "shared-keys")  # a join of two tables, whose hot keys Spark can split
     shared = written(routed.join(sizes, "key").distinct(), "shared-routes")
     lists = written(different_lists(shared), "lists")
-    members = written(shared.join(lists.select("key", "m", "low"), "key"), "members")
+    members = written(shared.join(lists.select("key", "m", "low"), "key"), "list-members")
+    members = written(possible_members(members), "members")
+    lists = members.select("key", "m", "low").distinct()
     nodes = node_sets(docs, members.select("fp"), width, owners, doc_id, text)
     picks = written(nodes.groupBy("fp").agg(F.min(F.struct("part", "n")).alias("p")).select("fp", "p.part", "p.n"), "picks")
     members = members.join(picks.select("fp", "part"), "fp")
