@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqcorpus.constants import EOS, UNK, UNK_ESCAPED, UNK_WORD
-from seqcorpus.functions.text import tokenize
+from seqcorpus.functions.text import arrow_words, tokenize
 from seqcorpus.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast, size_of, stored
 
 
@@ -50,7 +50,11 @@ def _arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse, eos,
         value_set = pa.array(symbols, pa.string())
         id_np = np.asarray(ids, dtype=np.int32)
         for batch in batches:
-            toks, off, flat = _list_parts(batch.column(batch.schema.get_field_index(tokens_col)))
+            toks = batch.column(batch.schema.get_field_index(tokens_col))
+            if pa.types.is_string(toks.type):
+                off, flat = arrow_words(toks)
+            else:
+                toks, off, flat = _list_parts(toks)
             pos = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
             vals = np.where(pos >= 0, id_np[np.maximum(pos, 0)], unk).astype(np.int32)
             n = len(off) - 1
@@ -107,7 +111,10 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
 
 def encode_lines(lines: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
                  tokenizer: Callable = tokenize, **kw) -> DataFrame:
-    """Tokenise (PRJ-01, or the given function of a column to an array of words; a pandas UDF is one) then encode."""
+    """Tokenise (PRJ-01, or the given function of a column to an array of words; a pandas UDF is one) then encode.  PRJ-01 is done
+    inside the Arrow batches that are encoded."""
+    if tokenizer is tokenize and kw.get("how", "auto") != "shuffle" and not kw.get("key_cols"):
+        return encode_tokens(lines, vocab, text_col, out_col, **kw).withColumn("_tokens", tokenize(text_col))
     return encode_tokens(lines.withColumn("_tokens", tokenizer(F.col(text_col))), vocab, "_tokens", out_col, **kw)
 
 

@@ -1,8 +1,8 @@
 """Vocabulary operators: AGG-01..05, FLT-09, WIN-01, SRT-05, SET-03/04, JN-13.
 
 A vocabulary is a DataFrame ``(id INT, symbol STRING, count BIGINT)`` with the four reserved
-entries at ids 0..3.  Counting is one partial+final hash aggregation on the symbol, so a word
-holding a third of all tokens collapses map-side before the shuffle.
+entries at ids 0..3.  Words are counted on Arrow batches and added up in the task, then by one hash aggregation on the
+symbol, so a word holding a third of all tokens collapses map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcorpus.constants import EOS_WORD, MADEUP_PREFIX, NSPECIAL, SPECIAL_SYMBOLS, UNK, UNK_WORD
-from seqcorpus.functions.text import tokenize
-from seqcorpus.plans.broadcast import maybe_broadcast
+from seqcorpus.functions.text import arrow_words, tokenize
+from seqcorpus.plans.broadcast import maybe_broadcast, stored
 from seqcorpus.plans.index import global_index
-from seqcorpus.plans.keys import digit_widths, packed_key, unpack_key
+from seqcorpus.plans.keys import LONG_DIGITS, digit_widths, packed_key, unpack_key
 
 VOCAB_SCHEMA = "id INT, symbol STRING, count BIGINT"
+#: Entries of a vocabulary that the driver ranks; a larger one gets its ids from the distributed index.
+DRIVER_WORDS = 1 << 17
+#: Different words that a task holds before it hands them on.
+TASK_WORDS = 1 << 19
 
 
 def explode_tokens(lines: DataFrame, order_cols: list[str], text_col: str = "text",
@@ -27,14 +31,68 @@ def explode_tokens(lines: DataFrame, order_cols: list[str], text_col: str = "tex
     return lines.select(*cols, F.posexplode(toks).alias("pos", "symbol"))
 
 
+def _counter(scale: int):
+    """Arrow batches of (row key, text or words) -> ``(symbol, count, _k)``: a word's occurrences and the smallest ``row key * scale + pos`` of
+    them, and one end of sentence for each row.  A row without a key counts but has no place."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        none = np.iinfo(np.int64).max
+        schema = pa.schema([("symbol", pa.string()), ("count", pa.int64()), ("_k", pa.int64())])
+
+        def added(held):
+            t = pa.concat_tables(held).group_by("symbol").aggregate([("count", "sum"), ("_k", "min")])
+            return t.select(["symbol", "count_sum", "_k_min"]).rename_columns(schema.names)
+
+        def table(symbols, counts, keys):
+            return pa.Table.from_arrays([symbols, pa.array(counts, pa.int64()), pa.array(keys, pa.int64(), mask=keys == none)], schema=schema)
+
+        held, rows, lines = [], 0, 0
+        for batch in batches:
+            column = batch.column(1)
+            lines += len(column) - column.null_count
+            if pa.types.is_list(column.type):
+                sizes, words = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
+            else:
+                offsets, words = arrow_words(column)
+                sizes = np.diff(offsets)
+            words = words.dictionary_encode(null_encoding="encode")
+            if not len(words):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            keys = batch.column(0).fill_null(none).to_numpy(zero_copy_only=False)[row]
+            pos = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+            keys = np.where(keys == none, none, np.where(keys == none, 0, keys) * scale + pos)
+            codes = words.indices.to_numpy(zero_copy_only=False)
+            counts = np.bincount(codes, minlength=len(words.dictionary))
+            if (keys[1:] < keys[:-1]).any():
+                order = np.argsort(keys, kind="stable")
+                keys, codes = keys[order], codes[order]
+            first = np.full(len(counts), none)
+            first[codes[::-1]] = keys[::-1]  # of several the last written one stays, the smallest
+            held.append(table(words.dictionary, counts, first))
+            rows += len(counts)
+            if rows > 2 * TASK_WORDS:
+                held = [added(held)]
+                rows = held[0].num_rows
+                if rows > TASK_WORDS:
+                    yield from held.pop().to_batches(1 << 16)
+                    rows = 0
+        held.append(table(pa.array([EOS_WORD]), np.array([lines]), np.array([none])))
+        yield from added(held).to_batches(1 << 16)
+    return run
+
+
 def count_words(lines: DataFrame, order_cols: list[str], text_col: str = "text",
                 tokens_col: str | None = None) -> DataFrame:
     """AGG-01: ``(symbol, count, first)``; +1 end-of-sentence per line; the reserved symbols start at 1.
 
     ``first`` = position of the first occurrence (struct of ``order_cols`` + ``pos``), the tie
     breaker that reproduces first-seen order.  Reserved symbols carry a null ``first``.  The
-    first-seen minimum is taken over a packed DECIMAL key when the positions fit 38 digits, so
-    the count stays one partial + final hash aggregation (a hot word is one row per task).
+    first-seen minimum is taken over a packed BIGINT key when the positions fit 18 digits: tasks then count Arrow
+    batches.  Up to 38 digits it is a DECIMAL, and the count is one partial + final hash aggregation of exploded
+    words (a hot word is one row per task).
     """
     spark = lines.sparkSession
     toks_col = F.col(tokens_col) if tokens_col else tokenize(text_col)
@@ -42,22 +100,29 @@ def count_words(lines: DataFrame, order_cols: list[str], text_col: str = "text",
     n_bound = F.size(toks_col) if tokens_col else F.length(text_col)
     widths = digit_widths(lines.select(*order_cols, n_bound.alias("_n")), list(order_cols) + ["_n"])
     names = list(order_cols) + ["pos"]
-    # one pass: every line contributes its tokens and one end-of-sentence; the reserved symbols
-    # enter with their initial count of 1 as four extra rows of the same aggregation
-    toks = lines.select(*order_cols, F.posexplode(F.concat(toks_col, F.array(F.lit(EOS_WORD)))).alias("pos", "symbol"))
-    dtypes = dict(toks.dtypes)
+    dtypes = dict(lines.dtypes) | {"pos": "int"}
     seed = spark.createDataFrame([(s_,) for s_ in SPECIAL_SYMBOLS], "symbol string")
-    seed = seed.select(*[F.lit(None).cast(dtypes[n]).alias(n) for n in names], "symbol")
-    allrows = toks.select(*names, "symbol").unionByName(seed)
     special_set = F.col("symbol").isin(SPECIAL_SYMBOLS)
-    if widths is not None:
-        key = packed_key(names, widths)
-        words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"), F.min(key).alias("_k"))
-        first = F.struct(*[c.cast(dtypes[n]).alias(n) for c, n in zip(unpack_key("_k", widths, names), names)])
+    unpacked = lambda: F.struct(*[c.cast(dtypes[n]).alias(n) for c, n in zip(unpack_key("_k", widths, names), names)])
+    # one pass: every line contributes its tokens and one end-of-sentence; the reserved symbols
+    # enter with their initial count of 1 as four extra rows of the same aggregation
+    if widths is not None and sum(widths) <= LONG_DIGITS:
+        rows = lines.select(packed_key(list(order_cols), widths[:-1]).alias("_row"), F.col(tokens_col or text_col).alias("_words"))
+        part = rows.mapInArrow(_counter(10 ** widths[-1]), "symbol string, count long, _k long")
+        part = part.unionByName(seed.select("symbol", F.lit(1).cast("long").alias("count"), F.lit(None).cast("long").alias("_k")))
+        words = part.groupBy("symbol").agg(F.sum("count").alias("count"), F.min("_k").alias("_k"))
+        first = unpacked()
     else:
-        words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"),
-                                              F.min(F.struct(*[F.col(c) for c in names])).alias("_k"))
-        first = F.col("_k")
+        toks = lines.select(*order_cols, F.posexplode(F.concat(toks_col, F.array(F.lit(EOS_WORD)))).alias("pos", "symbol"))
+        seed = seed.select(*[F.lit(None).cast(dtypes[n]).alias(n) for n in names], "symbol")
+        allrows = toks.select(*names, "symbol").unionByName(seed)
+        if widths is not None:
+            words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"), F.min(packed_key(names, widths)).alias("_k"))
+            first = unpacked()
+        else:
+            words = allrows.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"),
+                                                  F.min(F.struct(*[F.col(c) for c in names])).alias("_k"))
+            first = F.col("_k")
     # reserved symbols: their first position is irrelevant
     return words.select("symbol", F.col("count").cast("long").alias("count"),
                         F.when(~special_set, first).alias("first"))
@@ -69,12 +134,13 @@ def finalize_vocab(counts: DataFrame, threshold: int = -1, nwords: int = -1,
     at most ``nwords`` entries in total, dropping counts below ``threshold``, padded with
     ``madeupwordNNNN`` (count 0) to a multiple of ``padding_factor``.
 
-    With ``nwords`` set the top-n is a TakeOrderedAndProject whose result is bounded by nwords;
-    it is brought back once and becomes a small local table (cheap to broadcast, never
-    recomputed by its consumers).  Without ``nwords`` the rank comes from ``global_index``
-    (range-partitioned and checkpointed, never one task).
+    The counts are made once and written.  With ``nwords`` up to ``DRIVER_WORDS`` the top-n is a TakeOrderedAndProject
+    whose result is bounded by nwords; it is brought back once and becomes a small local table (cheap to broadcast, never
+    recomputed by its consumers).  Without ``nwords``, or above that bound, the rank comes from ``global_index``
+    (range-partitioned and checkpointed, never one task), and the driver holds no words.
     """
     spark = counts.sparkSession
+    counts = stored(counts)
     is_special = F.col("symbol").isin(SPECIAL_SYMBOLS)
     spec_counts = {r[0]: int(r[1]) for r in counts.filter(is_special).select("symbol", "count").collect()}
     specials = [(i, s_, spec_counts.get(s_, 1)) for i, s_ in enumerate(SPECIAL_SYMBOLS)]
@@ -87,13 +153,15 @@ def finalize_vocab(counts: DataFrame, threshold: int = -1, nwords: int = -1,
         k = (-n) % padding_factor
         return [(n + i, f"{MADEUP_PREFIX}{i:04d}", 0) for i in range(k)]
 
-    if nwords > 0:
-        keep = max(nwords - NSPECIAL, 0)
+    keep = max(nwords - NSPECIAL, 0)
+    if 0 < nwords <= DRIVER_WORDS:
         top = words.orderBy(*order).limit(keep).select("symbol", "count").collect()  # <= nwords rows
         rows = specials + [(NSPECIAL + i, r[0], int(r[1])) for i, r in enumerate(top)]
         rows += pads(len(rows))
         return spark.createDataFrame(rows, VOCAB_SCHEMA)
     ranked = global_index(words.select("symbol", "count", "first"), order, name="_r")
+    if nwords > 0:
+        ranked = ranked.where(F.col("_r") < keep)
     ranked = ranked.select((F.col("_r") + NSPECIAL).cast("int").alias("id"), "symbol", F.col("count").cast("long"))
     n = NSPECIAL + ranked.count()
     small = spark.createDataFrame(specials + pads(n), VOCAB_SCHEMA)
