@@ -28,11 +28,18 @@ def _loaded(key: str, load_model: Callable):
     return held[key]
 
 
-def _padded(rows: list, pad: int) -> np.ndarray:
-    out = np.full((len(rows), max(map(len, rows), default=0)), pad, np.int64)
-    for r, ids in enumerate(rows):
-        out[r, :len(ids)] = ids
-    return out
+def _padded(values: np.ndarray, sizes: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``sizes`` values as a padded array, and where its values are."""
+    here = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    out = np.full(here.shape, pad, np.int64)
+    out[here] = values
+    return out, here
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, values) of an Arrow array of lists."""
+    offsets = np.asarray(column.offsets, dtype=np.int64)
+    return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
 def score_reference(rows: DataFrame, key_cols: list[str], load_model: Callable, target: str = "ids", source: str | None = None,
@@ -46,28 +53,30 @@ def score_reference(rows: DataFrame, key_cols: list[str], load_model: Callable,
     def task(batches):
         model = None
         for batch in batches:
-            targets = batch.column(n).to_pylist()
-            sources = batch.column(n + 1).to_pylist() if source else None
-            lps: list = [[] for _ in targets]
+            at, targets = _flat(batch.column(n))
+            of, sources = _flat(batch.column(n + 1)) if source else (None, None)
+            sizes, lps = np.diff(at), np.empty(len(targets))
             lo = 0
-            while lo < len(targets):
-                hi = lo + 1
-                while hi < len(targets) and (hi + 1 - lo) * max(len(targets[lo]), len(targets[hi])) <= max_tokens:
-                    hi += 1
-                part = targets[lo:hi]
-                tgt = _padded(part, pad)
+            while lo < len(sizes):
+                # rows come by rising length within a partition, so the last row of a batch is its longest
+                rows = max_tokens // max(sizes[lo], 1)
+                tops = np.maximum.accumulate(sizes[lo:lo + max(rows, 1)])
+                over = tops * np.arange(1, len(tops) + 1) > max_tokens
+                hi = lo + max(int(over.argmax()) if over.any() else len(tops), 1)
+                tgt, here = _padded(targets[at[lo]:at[hi]], sizes[lo:hi], pad)
                 if tgt.size:
                     model = model or _loaded(key, load_model)
-                    prev = np.concatenate([np.full((len(part), 1), eos), tgt[:, :-1]], axis=1)
-                    asked = {"target": tgt, "prev": prev, "lengths": np.array([len(t) for t in part])}
-                    if sources:
-                        asked["source"] = _padded(sources[lo:hi], pad)
+                    prev = np.concatenate([np.full((hi - lo, 1), eos), tgt[:, :-1]], axis=1)
+                    asked = {"target": tgt, "prev": prev, "lengths": sizes[lo:hi]}
+                    if source:
+                        asked["source"] = _padded(sources[of[lo]:of[hi]], np.diff(of[lo:hi + 1]), pad)[0]
                     got = np.asarray(model(asked), np.float64)
                     if got.ndim == 3:
                         got = np.take_along_axis(got, tgt[:, :, None], axis=2)[:, :, 0]
-                    lps[lo:hi] = [got[r, :len(t)] for r, t in enumerate(part)]
+                    lps[at[lo]:at[hi]] = got[here]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(n + 1)], pa.array(lps, pa.list_(pa.float64()))], names=[*key_cols, "tokens", "lps"])
+            scored = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(lps, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(n + 1)], scored], names=[*key_cols, "tokens", "lps"])
 
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sent.schema.fields[:n])
     return sent.mapInArrow(task, f"{keys}tokens array<int>, lps array<double>")
@@ -75,5 +84,5 @@ def score_reference(rows: DataFrame, key_cols: list[str], load_model: Callable,
 
 def positional(scored: DataFrame, key_cols: list[str]) -> DataFrame:
     """``(keys, pos, token, lp)``, a row a position: the form that AGG-14 to AGG-18 take."""
-    rows = scored.select(*key_cols, F.posexplode(F.arrays_zip("tokens", "lps")).alias("pos", "z"))
-    return rows.select(*key_cols, "pos", F.col("z.tokens").alias("token"), F.col("z.lps").alias("lp"))
+    rows = scored.select(*key_cols, "lps", F.posexplode("tokens").alias("pos", "token"))
+    return rows.select(*key_cols, "pos", "token", F.get("lps", F.col("pos")).alias("lp"))
