@@ -6,7 +6,8 @@ Two physical strategies for the token → id lookup (JN-01):
   is shipped once per executor and every Arrow batch is looked up column-wise with
   ``pyarrow.compute.index_in`` — no shuffle at all, work grows with tokens only.
 * ``shuffle``: tokens are exploded, joined to the vocabulary with a plain equi-join (sort-merge,
-  AQE splits hot words) and regrouped per line in token order.
+  AQE splits hot words) and regrouped per line in token order.  Without columns that name a line, lines are dealt to blocks of
+  bounded text instead; a block asks the vocabulary once for each of its words, and its lines meet the answers.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from seqcorpus.functions.text import arrow_words, tokenize
 from seqcorpus.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast, size_of, stored
 
 
-def _within(vocab: DataFrame, max_rows: int) -> list | None:
-    """The (symbol, id) rows of a vocabulary within both broadcast bounds, else None.  Its plan runs once."""
+#: Bytes of words in a block of lines that is encoded against its own part of a large vocabulary.
+BLOCK_BYTES = 8 << 20
+
+
+def _within(vocab: DataFrame, max_rows: int):
+    """The (symbol, id) columns of a vocabulary within both broadcast bounds as an Arrow table, else None.  Its plan runs once."""
     held = stored(vocab.select("symbol", "id"))
     rows, size = size_of(held)
-    return held.collect() if rows <= max_rows and size <= DEFAULT_MAX_BROADCAST_BYTES else None
+    return held.toArrow().combine_chunks() if rows <= max_rows and size <= DEFAULT_MAX_BROADCAST_BYTES else None
 
 
 def _list_parts(arr):
@@ -47,7 +52,7 @@ def _arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse, eos,
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        value_set = pa.array(symbols, pa.string())
+        value_set = symbols.combine_chunks() if isinstance(symbols, pa.ChunkedArray) else symbols
         id_np = np.asarray(ids, dtype=np.int32)
         for batch in batches:
             toks = batch.column(batch.schema.get_field_index(tokens_col))
@@ -85,16 +90,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """PRJ-02/03/04 + JN-01: ``tokens ARRAY<STRING>`` → ``ids ARRAY<INT>``; unknown → 3;
     optional reversal, then optional end-of-sentence id.  An empty line encodes to ``[2]``."""
+    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     known = None if how == "shuffle" else _within(vocab, max_broadcast_rows)
     if known is None and how == "broadcast":
         raise ValueError("vocabulary too large to broadcast")
     if known is not None:
-        symbols, ids = [r[0] for r in known], [int(r[1]) for r in known]
-        out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+        symbols, ids = known.column("symbol"), known.column("id").to_numpy()
         return df.mapInArrow(_arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse_order, EOS, UNK),
                              out_schema)
     if not key_cols:
-        raise ValueError("the shuffle strategy needs key_cols that identify a row")
+        return _encoded_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse_order, out_schema)
     exploded = df.select(*key_cols, F.posexplode(F.col(tokens_col)).alias("_pos", "symbol"))
     looked = (exploded.join(vocab.select("symbol", "id"), "symbol", "left")
               .select(*key_cols, "_pos", F.coalesce(F.col("id"), F.lit(UNK)).alias("_id")))
@@ -109,11 +114,33 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
     return out.withColumn(out_col, ids).drop("_ids")
 
 
+def _encoded_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse, out_schema) -> DataFrame:
+    """Rows dealt by a hash of all their columns to blocks of about ``BLOCK_BYTES`` of words.  A block's different words meet the
+    vocabulary, and what is found comes back to the block: no token is shuffled, and no task holds more than a block's words."""
+    text = isinstance(df.schema[tokens_col].dataType, T.StringType)
+    words = tokenize(tokens_col) if text else F.col(tokens_col)
+    n_bytes = F.octet_length(tokens_col) if text else F.size(tokens_col) * 8
+    blocks = max(1, -(-(df.agg(F.sum(n_bytes)).first()[0] or 0) // BLOCK_BYTES))  # one scalar
+    hashed = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    placed = df.withColumn("_block", F.pmod(F.xxhash64(*hashed), F.lit(blocks))).repartition(blocks, "_block")
+    asked = placed.select("_block", F.explode(words).alias("symbol")).distinct()
+    found = asked.join(vocab.select("symbol", "id"), "symbol").select(F.col("_block").alias("_of"), "symbol", "id")
+
+    def run(lines, answers):
+        import pyarrow as pa
+
+        encoder = _arrow_encoder(answers.column("symbol"), answers.column("id").to_numpy(), tokens_col, out_col, append_eos, reverse, EOS, UNK)
+        made = [*encoder(lines.drop_columns(["_block"]).to_batches())]
+        return pa.Table.from_batches(made)
+
+    return placed.groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(run, out_schema)
+
+
 def encode_lines(lines: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
                  tokenizer: Callable = tokenize, **kw) -> DataFrame:
     """Tokenise (PRJ-01, or the given function of a column to an array of words; a pandas UDF is one) then encode.  PRJ-01 is done
     inside the Arrow batches that are encoded."""
-    if tokenizer is tokenize and kw.get("how", "auto") != "shuffle" and not kw.get("key_cols"):
+    if tokenizer is tokenize and not kw.get("key_cols"):
         return encode_tokens(lines, vocab, text_col, out_col, **kw).withColumn("_tokens", tokenize(text_col))
     return encode_tokens(lines.withColumn("_tokens", tokenizer(F.col(text_col))), vocab, "_tokens", out_col, **kw)
 
@@ -156,6 +183,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str =
     rows = _within(vocab, max_broadcast_rows)
     if rows is None:
         raise ValueError("vocabulary too large to broadcast for decode")
+    rows = list(zip(rows.column("symbol").to_pylist(), rows.column("id").to_pylist()))
     size = max(r[1] for r in rows) + 1
     table = [UNK_WORD] * size
     for s, i in rows:

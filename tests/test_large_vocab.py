@@ -73,3 +73,17 @@ def test_words_are_counted_once(spark):
         before = runs.value
         assert voc.finalize_vocab(counts, nwords=nwords).count() in (16, 48)
         assert runs.value - before == 40
+
+
+def test_lines_without_keys_meet_a_vocabulary_too_large_to_ship(spark, monkeypatch):
+    rows = [(i % 40, t) for i, t in enumerate(_texts(200))] * 2 + [(0, "w1 nowhere w1"), (None, "a a")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(4)
+    vocab = voc.build_vocab(df, ["k"], nwords=50)
+    monkeypatch.setattr(enc, "BLOCK_BYTES", 200)
+    text = lambda e: sorted(((r.k, r.text, r.ids and list(r.ids)) for r in e.collect()), key=repr)
+    for options in ({}, {"reverse_order": True}, {"append_eos": False}):
+        want = text(enc.encode_lines(df, vocab, **options))
+        assert text(enc.encode_lines(df, vocab, max_broadcast_rows=5, **options)) == want
+        words = df.withColumn("w", voc.tokenize("text"))
+        assert text(enc.encode_tokens(words, vocab, "w", max_broadcast_rows=5, **options)) == want
+    assert [r for r in want if r[1] == "w1 nowhere w1"]
