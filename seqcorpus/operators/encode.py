@@ -46,22 +46,39 @@ def _list_parts(arr):
     return arr, off, arr.flatten()
 
 
+#: Entries of a lookup table from which batches are looked up together, since its hash table is made anew each time; and their bytes.
+LARGE_TABLE, HELD_BYTES = 200_000, 32 << 20
+
+
 def _arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse, eos, unk):
+    def joined(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         value_set = symbols.combine_chunks() if isinstance(symbols, pa.ChunkedArray) else symbols
-        id_np = np.asarray(ids, dtype=np.int32)
-        for batch in batches:
+        id_np = np.asarray(ids)
+        for batch in joined(batches) if len(value_set) > LARGE_TABLE else batches:
             toks = batch.column(batch.schema.get_field_index(tokens_col))
             if pa.types.is_string(toks.type):
                 off, flat = arrow_words(toks)
             else:
                 toks, off, flat = _list_parts(toks)
             pos = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
-            vals = np.where(pos >= 0, id_np[np.maximum(pos, 0)], unk).astype(np.int32)
+            vals = np.where(pos >= 0, id_np[np.maximum(pos, 0)] if len(id_np) else unk, unk).astype(id_np.dtype)
             n = len(off) - 1
             if reverse and len(vals):
                 starts = off[:-1]
@@ -71,13 +88,13 @@ def _arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse, eos,
                 vals = vals[starts[row] + ends[row] - 1 - k]
             if append_eos:
                 new_off = off + np.arange(n + 1)
-                out = np.empty(len(vals) + n, dtype=np.int32)
+                out = np.empty(len(vals) + n, dtype=vals.dtype)
                 mask = np.ones(len(out), dtype=bool)
                 mask[new_off[1:] - 1] = False
                 out[mask] = vals
                 out[~mask] = eos
                 vals, off = out, new_off
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(vals, pa.int32()),
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(vals),
                                              mask=toks.is_null() if toks.null_count else None)
             cols = [batch.column(i) for i in range(batch.num_columns)] + [lists]
             yield pa.RecordBatch.from_arrays(cols, names=list(batch.schema.names) + [out_col])
@@ -99,7 +116,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
         return df.mapInArrow(_arrow_encoder(symbols, ids, tokens_col, out_col, append_eos, reverse_order, EOS, UNK),
                              out_schema)
     if not key_cols:
-        return _encoded_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse_order, out_schema)
+        return _looked_up_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse_order, UNK, out_schema)
     exploded = df.select(*key_cols, F.posexplode(F.col(tokens_col)).alias("_pos", "symbol"))
     looked = (exploded.join(vocab.select("symbol", "id"), "symbol", "left")
               .select(*key_cols, "_pos", F.coalesce(F.col("id"), F.lit(UNK)).alias("_id")))
@@ -114,7 +131,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", o
     return out.withColumn(out_col, ids).drop("_ids")
 
 
-def _encoded_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse, out_schema) -> DataFrame:
+def looked_up(df: DataFrame, table: DataFrame, words_col: str, out_col: str, default, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the array ``out_col`` of the values that the table ``(symbol, id)`` has for the words in ``words_col``, or ``default``."""
+    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(table.schema["id"].dataType))])
+    known = _within(table, max_broadcast_rows)
+    if known is None:
+        return _looked_up_in_blocks(df, table, words_col, out_col, False, False, default, out_schema)
+    return df.mapInArrow(_arrow_encoder(known.column("symbol"), known.column("id").to_numpy(), words_col, out_col, False, False, EOS, default), out_schema)
+
+
+def _looked_up_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse, unk, out_schema) -> DataFrame:
     """Rows dealt by a hash of all their columns to blocks of about ``BLOCK_BYTES`` of words.  A block's different words meet the
     vocabulary, and what is found comes back to the block: no token is shuffled, and no task holds more than a block's words."""
     text = isinstance(df.schema[tokens_col].dataType, T.StringType)
@@ -129,7 +155,7 @@ def _encoded_in_blocks(df, vocab, tokens_col, out_col, append_eos, reverse, out_
     def run(lines, answers):
         import pyarrow as pa
 
-        encoder = _arrow_encoder(answers.column("symbol"), answers.column("id").to_numpy(), tokens_col, out_col, append_eos, reverse, EOS, UNK)
+        encoder = _arrow_encoder(answers.column("symbol"), answers.column("id").to_numpy(), tokens_col, out_col, append_eos, reverse, EOS, unk)
         made = [*encoder(lines.drop_columns(["_block"]).to_batches())]
         return pa.Table.from_batches(made)
 

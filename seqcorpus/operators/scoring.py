@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqcorpus.constants import EOS, PAD
 from seqcorpus.plans.broadcast import maybe_broadcast, stored
@@ -162,12 +163,45 @@ def nbest(hyps: DataFrame, key_cols: list[str], n: int, score_col: str = "score"
     return hyps.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def _merger(n_keys: int, marker: str):
+    """Arrow batches of (keys, pieces, scores) -> (keys, word_no, word, score, n_merged), a row a word."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists, scores = batch.column(n_keys), batch.column(n_keys + 1).flatten().to_numpy(zero_copy_only=False)
+            at, flat = np.asarray(lists.offsets, dtype=np.int64), lists.flatten()
+            at = at - at[0]
+            if not len(flat):
+                continue
+            cont = pc.ends_with(flat, marker).to_numpy(zero_copy_only=False)
+            cont[at[1:][at[1:] > at[:-1]] - 1] = False  # the last piece of a hypothesis
+            bare = pc.if_else(pa.array(cont), pc.utf8_slice_codeunits(flat, 0, -len(marker)), flat)
+            first = np.flatnonzero(np.concatenate([[True], ~cont[:-1]]))
+            row = np.searchsorted(at, first, side="right") - 1
+            word_no = np.arange(len(first)) - np.searchsorted(first, at[row])
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), bare), "")
+            place = pa.array(row)
+            made = [*[batch.column(c).take(place) for c in range(n_keys)], pa.array(word_no), words,
+                    pa.array(np.add.reduceat(scores, first)), pa.array(np.add.reduceat(cont.astype(np.int64), first))]
+            out = pa.Table.from_arrays(made, names=[*batch.schema.names[:n_keys], "word_no", "word", "score", "n_merged"])
+            yield from out.to_batches(1 << 16)
+    return run
+
+
 def merge_bpe_scores(pieces: DataFrame, key_cols: list[str], marker: str = "@@", pos_col: str = "pos",
                      piece_col: str = "piece", score_col: str = "score") -> DataFrame:
     """WIN-10: a piece ending in the marker adds its score to the next piece (the last piece
     is never merged); words are rebuilt from pieces with their summed score.
 
-    Word id = number of word ends strictly before the piece (running count per hypothesis)."""
+    Word id = number of word ends strictly before the piece (running count per hypothesis).  Rows may hold a whole hypothesis
+    each, with arrays of pieces and scores: then the keys must be unique, and nothing is shuffled."""
+    if isinstance(pieces.schema[piece_col].dataType, T.ArrayType):
+        rows = pieces.select(*key_cols, piece_col, score_col)
+        keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:len(key_cols)])
+        return rows.mapInArrow(_merger(len(key_cols), marker), f"{keys}word_no long, word string, score double, n_merged long")
     w = Window.partitionBy(*key_cols).orderBy(pos_col)
     last = F.lead(pos_col).over(w).isNull()
     cont = F.col(piece_col).endswith(marker) & ~last

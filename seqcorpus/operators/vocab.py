@@ -31,9 +31,9 @@ def explode_tokens(lines: DataFrame, order_cols: list[str], text_col: str = "tex
     return lines.select(*cols, F.posexplode(toks).alias("pos", "symbol"))
 
 
-def _counter(scale: int):
+def _counter(scale: int, ends: bool = True):
     """Arrow batches of (row key, text or words) -> ``(symbol, count, _k)``: a word's occurrences and the smallest ``row key * scale + pos`` of
-    them, and one end of sentence for each row.  A row without a key counts but has no place."""
+    them, and with ``ends`` one end of sentence for each row.  A row without a key counts but has no place."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -79,11 +79,20 @@ def _counter(scale: int):
                 if rows > TASK_WORDS:
                     yield from held.pop().to_batches(1 << 16)
                     rows = 0
-        held.append(table(pa.array([EOS_WORD]), np.array([lines]), np.array([none])))
+        if ends:
+            held.append(table(pa.array([EOS_WORD]), np.array([lines]), np.array([none])))
+        elif not held:
+            return
         yield from added(held).to_batches(1 << 16)
     return run
 
 
+def count_pieces(rows: DataFrame, pieces_col: str) -> DataFrame:
+    """``(symbol, count)`` of the strings in an array column."""
+    part = rows.select(F.lit(0).cast("long").alias("_row"), pieces_col).mapInArrow(_counter(1, ends=False), "symbol string, count long, _k long")
+    return part.groupBy("symbol").agg(F.sum("count").alias("count"))
+
+
 def count_words(lines: DataFrame, order_cols: list[str], text_col: str = "text",
                 tokens_col: str | None = None) -> DataFrame:
     """AGG-01: ``(symbol, count, first)``; +1 end-of-sentence per line; the reserved symbols start at 1.

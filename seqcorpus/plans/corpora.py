@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from seqcorpus.functions import arrays as ar
-from seqcorpus.functions.text import PUNCT_REPLACEMENTS, split_lines, tokenize
+from seqcorpus.functions.text import PUNCT_REPLACEMENTS, arrow_words, split_lines, tokenize
 from seqcorpus.operators import align as al
 from seqcorpus.operators import batching as bt
 from seqcorpus.operators import blocks as blk
@@ -14,6 +16,7 @@ from seqcorpus.operators import encode as enc
 from seqcorpus.operators import model_scoring as ms
 from seqcorpus.operators import scoring as sc
 from seqcorpus.operators import vocab as voc
+from seqcorpus.plans.broadcast import maybe_broadcast, stored
 from seqcorpus.plans.catalog import LINE_ORDER, PAIR_KEY, R6, _aligned_pairs, _batches, _cooc, _ids_str, _pair_lengths, doc_vocab, register
 from seqcorpus.plans.index import global_index
 from seqcorpus.plans.oracle import BATCHES, DOC, DOC_LANG, ENC, ORACLE, PAIRS_CTE, PLEN, WS, attention_cte, lines_cte, scored_ctes, tok, vocab_ctes
@@ -288,34 +291,77 @@ SELECT doc_id, round(sum(ln(id + 1.0::DOUBLE)), 4) AS loss, count(*) AS ntokens
 
 
 # --- word scores, attention targets, model scores ------------------------------------------------
-def _pieces(spark, sf_dir):
-    """Words over four letters as two pieces; a piece's score is ln((count - 1) / total), so that of one seen once is infinite."""
+#: Piece counts that are shipped as one Arrow table, within the bytes of a broadcast.
+MAX_PIECES = 8_000_000
+
+
+def _split_words(batches):
+    """Arrow batches whose last column is a text -> with the pieces of its words instead, words over four letters as two."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        at, words = arrow_words(text)
+        long = pc.greater(pc.utf8_length(words), 4)
+        two = long.to_numpy(zero_copy_only=False)
+        heads = pc.if_else(long, pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, 4), "@@", ""), words)
+        # the tails stand behind all heads, and are taken in between
+        tails = pc.utf8_slice_codeunits(words.filter(long), 4)
+        before = np.concatenate([[0], np.cumsum(1 + two)])
+        place = np.empty(before[-1], np.int64)
+        place[before[:-1]] = np.arange(len(words))
+        place[before[:-1][two] + 1] = len(words) + np.arange(len(tails))
+        pieces = pa.concat_arrays([heads, tails]).take(pa.array(place))
+        lists = pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), pieces)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "piece"])
+
+
+def _pieces(lines):
+    """Lines with the arrays ``piece`` and ``score``.  Words over four letters are two pieces; a piece's score is
+    ln((count - 1) / total), so that of one seen once is infinite."""
+    keys = "doc_id long, line_no long, lang string"
+    split = lambda rows: rows.select(F.col("doc_id").cast("long"), "line_no", "lang", "text").mapInArrow(_split_words, f"{keys}, piece array<string>")
+    counts = stored(voc.count_pieces(split(lines), "piece"))
+    total = counts.agg(F.sum("count")).first()[0] or 0  # one scalar
+    table_ = counts.where("count > 1").select("symbol", F.log((F.col("count") - 1) / F.lit(float(total))).alias("id"))
+    return lambda rows: enc.looked_up(split(rows), table_, "piece", "score", float("-inf"), MAX_PIECES)
+
+
+def _words_of_pieces(spark, sf_dir, operator):
+    """An operator on the pieces of every line.  A line is a row of arrays; only lines whose key occurs again are exploded, and their
+    pieces meet by the key."""
     lines = document_lines(spark, sf_dir)
-    word = F.transform(tokenize("text"), lambda w: F.when(F.length(w) > 4, F.array(F.concat(F.substring(w, F.lit(1), F.lit(4)), F.lit("@@")),
-                                                                                  F.substring(w, F.lit(5), F.length(w)))).otherwise(F.array(w)))
-    pieces = cut_lineage(lines.select(*LINE_ORDER, "lang", F.posexplode(F.flatten(word)).alias("pos", "piece")))
-    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
-    total = pieces.count()
-    score = F.when(F.col("c") > 1, F.log((F.col("c") - 1) / F.lit(float(total)))).otherwise(F.lit(float("-inf")))
-    return pieces.join(counts, "piece").withColumn("score", score)
+    scored = _pieces(lines)
+    again = lines.groupBy(*[F.col(c).alias(f"_{c}") for c in LINE_ORDER]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = stored(again)
+    if again.isEmpty():
+        return operator(scored(lines), LINE_ORDER)
+    again = maybe_broadcast(again)
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LINE_ORDER])
+    met = scored(lines.join(again, on, "left_semi"))
+    met = met.select(*LINE_ORDER, F.posexplode(F.arrays_zip("piece", "score")).alias("pos", "_z")).select(*LINE_ORDER, "pos", "_z.piece", "_z.score")
+    return operator(scored(lines.join(again, on, "left_anti")), LINE_ORDER).unionByName(operator(met, LINE_ORDER))
 
 
 @register("win_10_merge_bpe_scores")
 def q_merge_scores(spark, sf_dir):
-    words = sc.merge_bpe_scores(_pieces(spark, sf_dir), LINE_ORDER)
+    words = _words_of_pieces(spark, sf_dir, sc.merge_bpe_scores)
     return words.select(*LINE_ORDER, F.col("word_no").cast("long").alias("word_no"), "word", F.round("score", R6).alias("score"), F.col("n_merged").cast("long").alias("n_merged"))
 
 
 @register("win_11_word_probs")
 def q_word_probs(spark, sf_dir):
-    words = sc.word_probs(_pieces(spark, sf_dir), LINE_ORDER)
+    words = _words_of_pieces(spark, sf_dir, sc.word_probs)
     return words.select(*LINE_ORDER, F.col("word_no").cast("long").alias("word_no"), "word", F.round("score", R6).alias("score"), F.col("n_pieces").cast("long").alias("n_pieces"))
 
 
 @register("flt_07_drop_inf_scores")
 def q_drop_inf(spark, sf_dir):
     """Per language: pieces that keep a finite score, their sum, and those removed."""
-    kept, gone = sc.drop_inf(_pieces(spark, sf_dir), "score")
+    lines = document_lines(spark, sf_dir)
+    rows = _pieces(lines)(lines).select("lang", F.explode(F.arrays_zip("piece", "score")).alias("_z")).select("lang", "_z.piece", "_z.score")
+    kept, gone = sc.drop_inf(rows, "score")
     kept = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("score"), 3).alias("total"))
     gone = gone.groupBy("lang").agg(F.count(F.lit(1)).alias("n_gone"), F.min("piece").alias("first_gone"))
     return kept.join(gone, "lang", "full_outer")
