@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqcorpus.constants import EOS, PAD
+from seqcorpus.operators import bigrams
 from seqcorpus.plans.broadcast import maybe_broadcast, stored
 
 LN2 = math.log(2)
 
 
-def positions(df: DataFrame, key_cols: list[str], ids_col: str = "ids") -> DataFrame:
-    """Gold positions with the previous token as context (decoder input starts with eos)."""
+def positions(df: DataFrame, key_cols: list[str], ids_col: str = "ids", nested: bool = False) -> DataFrame:
+    """Gold positions with the previous token as context (decoder input starts with eos).  ``nested``: ``(keys, tokens)``, all positions
+    of a row in one array."""
+    if nested:
+        return df.select(*key_cols, F.col(ids_col).alias("tokens"))
     prev = F.concat(F.array(F.lit(EOS)), F.slice(ids_col, 1, F.size(ids_col) - 1))
     z = F.arrays_zip(prev.alias("ctx"), F.col(ids_col).alias("token"))
     return df.select(*key_cols, F.posexplode(z).alias("pos", "_z")).select(
@@ -32,8 +36,9 @@ def positions(df: DataFrame, key_cols: list[str], ids_col: str = "ids") -> DataF
 
 def bigram_model(pos: DataFrame, vocab_size: int, k: float = 1.0):
     """Add-k bigram model from positions: ``(ctx, token, lp)`` observed and ``(ctx, lp0, n_seen)``.
-    One aggregation on (ctx, token) (partial aggregation first), written once for all its uses, and one on ctx."""
-    pairs = stored(pos.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")))
+    One aggregation on (ctx, token) (partial aggregation first), written once for all its uses, and one on ctx.  Nested
+    positions are counted on Arrow batches."""
+    pairs = stored(bigrams.pair_counts(pos, "tokens") if "tokens" in pos.columns else pos.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")))
     ctx = pairs.groupBy("ctx").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("n_seen"))
     denom = F.col("t") + F.lit(k * vocab_size)
     model = pairs.join(ctx, "ctx").select("ctx", "token", F.log((F.col("c") + k) / denom).alias("lp"))
@@ -42,7 +47,16 @@ def bigram_model(pos: DataFrame, vocab_size: int, k: float = 1.0):
 
 
 def label_gather(pos: DataFrame, model: DataFrame, unseen: DataFrame) -> DataFrame:
-    """JN-09: the log-probability of the gold token at every position."""
+    """JN-09: the log-probability of the gold token at every position.  Nested positions get an array ``lps``: the packed model goes to
+    the rows, and nothing is shuffled, as long as a worker can hold it."""
+    if "tokens" in pos.columns:
+        parts = bigrams.packed(model, unseen)
+        if parts is not None:
+            return bigrams.gathered(pos, "tokens", parts)
+        held = stored(pos.withColumn("_row", F.monotonically_increasing_id()))
+        flat = label_gather(positions(held.where("size(tokens) > 0"), ["_row"], "tokens"), model, unseen)
+        lps = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("lps"))
+        return held.join(lps, "_row", "left").drop("_row").withColumn("lps", F.coalesce("lps", F.expr("CAST(array() AS ARRAY<DOUBLE>)")))
     j = (pos.join(maybe_broadcast(model), ["ctx", "token"], "left")
          .join(maybe_broadcast(unseen.select("ctx", "lp0")), "ctx", "left"))
     return j.withColumn("lp", F.coalesce("lp", "lp0")).drop("lp0")

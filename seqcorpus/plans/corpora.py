@@ -102,16 +102,29 @@ def q_multi_reference(spark, sf_dir):
 
 
 def _hypotheses(spark, sf_dir, n):
-    """The n best lines of every document as hypotheses, its first line as source and target."""
-    vocab = doc_vocab(spark, sf_dir)
+    """The n best lines of every document as hypotheses, its first line as source and target.  Lines stay rows of arrays; only those of
+    documents whose id occurs again are grouped by their key."""
+    vocab = cut_lineage(doc_vocab(spark, sf_dir))
     size = vocab.count()
-    lines = cut_lineage(enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab).select(*LINE_ORDER, "text", "ids"))
-    pos = sc.positions(lines.select(*LINE_ORDER, "ids"), LINE_ORDER)
-    scored = sc.label_gather(pos, *sc.bigram_model(pos, size, 1.0))
-    per_line = scored.groupBy(*LINE_ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("pos_scores"),
-                                               F.round(F.avg("lp"), 4).alias("score"))
-    h = per_line.join(lines, LINE_ORDER).select(F.col("doc_id").alias("id"), "line_no", "score", F.col("text").alias("hypothesis"), "pos_scores")
-    first = lines.where("line_no = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.concat(F.lit("> "), "text").alias("target"))
+    lines = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab).select(*LINE_ORDER, "text", "ids")
+    model, unseen = sc.bigram_model(sc.positions(lines, [], nested=True), size, 1.0)
+    scored = sc.label_gather(sc.positions(lines.where("doc_id IS NOT NULL"), [*LINE_ORDER, "text"], nested=True), model, unseen)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    score = F.round(add("lps") / F.size("lps"), 4).alias("score")
+    columns = [F.col("doc_id").alias("id"), "line_no", "score", F.col("text").alias("hypothesis"), F.col("lps").alias("pos_scores")]
+    again = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = stored(again.select("doc_id"))
+    if again.isEmpty():
+        h = scored.select("*", score).select(*columns)
+    else:
+        again = maybe_broadcast(again)
+        met = scored.join(again, "doc_id", "left_semi")
+        numbered = F.flatten(F.collect_list(F.transform("lps", lambda x, i: F.struct(i.alias("pos"), x.alias("lp")))))
+        per_line = met.groupBy(*LINE_ORDER).agg(F.transform(F.array_sort(numbered), lambda x: x["lp"]).alias("lps")).withColumn("score", score)
+        h = scored.join(again, "doc_id", "left_anti").select("*", score).select(*columns).unionByName(
+            per_line.join(met.select(*LINE_ORDER, "text"), LINE_ORDER).select(*columns))
+    first = document_lines(spark, sf_dir, cols=()).where("line_no = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("source"),
+                                                                            F.concat(F.lit("> "), "text").alias("target"))
     return sc.nbest(h, ["id"], n, tie_cols=["line_no"]).join(first, "id")
 
 
