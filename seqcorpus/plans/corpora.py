@@ -139,7 +139,7 @@ def q_gen_write(spark, sf_dir):
 def q_gen_read(spark, sf_dir):
     """The printed lines written to files and read back as hypotheses."""
     path = scratch_path(spark, "gen")
-    fs.write_lines(fs.write_generation_output(_hypotheses(spark, sf_dir, 2)), path, text_col="line", order_cols=["id", "o"])
+    fs.write_lines(fs.write_generation_output(_hypotheses(spark, sf_dir, 2)), path, text_col="line", order_cols=["id", "o"], compression="gzip")
     back = fs.read_generation_output(fs.read_lines(spark, path, per_file=False))
     return back.select("id", F.col("rank").cast("int").alias("rank"), "score", *[F.md5(c).alias(f"{c}_md5") for c in ("hypothesis", "source", "target")])
 

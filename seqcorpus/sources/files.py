@@ -1,40 +1,42 @@
 """Text-file sources and sinks: SRC-01, SRC-04..07, SRC-11, SRC-13..18, SRC-21.
 
-Line numbers: ``spark.read.text`` keeps file order inside a split; ordering by
-(file path, split start, position inside the split) and numbering with ``global_index`` gives
-each line its 0-based number in its file without moving a file through one task.
+Line numbers: ``spark.read.text`` keeps file order inside a split; the lines are written once with their place in the
+task that read them, and the sizes of the splits, in the order of (file path, split start), give each line its 0-based
+number in its file without moving a line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqcorpus.constants import NSPECIAL
+from seqcorpus.plans.broadcast import maybe_broadcast, stored
 from seqcorpus.plans.index import global_cumsum, global_index
 
 
 def read_lines(spark: SparkSession, path, per_file: bool = True, **extra) -> DataFrame:
     """SRC-01: ``(file_path, line_no, text)``; line breaks as Python's built-in open.  With ``per_file`` false,
     lines are numbered on through a folder's files in the order of their names: one text in several parts."""
-    df = spark.read.text(path).select(
+    rows = stored(spark.read.text(path).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("_bs"), F.monotonically_increasing_id().alias("_mid"))
-    g = global_index(df, ["file_path", "_bs", "_mid"], name="_g")
-    if per_file:
-        first = g.groupBy("file_path").agg(F.min("_g").alias("_g0"))
-        out = g.join(first, "file_path").select("file_path", (F.col("_g") - F.col("_g0")).alias("line_no"), "text")
-    else:
-        out = g.select("file_path", F.col("_g").alias("line_no"), "text")
+        F.col("_metadata.file_block_start").alias("_bs"), F.monotonically_increasing_id().alias("_mid")))
+    # a split lies in one task, in order: its lines are numbered from its first one, and only the splits' sizes are added up
+    splits = rows.groupBy(F.col("file_path").alias("_f"), F.col("_bs").alias("_b")).agg(F.min("_mid").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_f", "_b")  # one row a split
+    before = F.coalesce(F.sum("_n").over((order if not per_file else Window.partitionBy("_f").orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = maybe_broadcast(splits.select("_f", "_b", (before - F.col("_m")).alias("_to")))
+    out = rows.join(starts, (F.col("file_path") == F.col("_f")) & (F.col("_bs") == F.col("_b"))).select(
+        "file_path", (F.col("_mid") + F.col("_to")).alias("line_no"), "text")
     for k, v in extra.items():
         out = out.withColumn(k, F.lit(v))
     return out
 
 
-def write_lines(df: DataFrame, path: str, text_col: str = "text", order_cols: list[str] | None = None) -> None:
+def write_lines(df: DataFrame, path: str, text_col: str = "text", order_cols: list[str] | None = None, compression: str | None = None) -> None:
     """Text sink in order (one file per range partition, names sort in order)."""
     out = df.orderBy(*order_cols) if order_cols else df
-    out.select(text_col).write.mode("overwrite").text(path)
+    out.select(text_col).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_raw(df: DataFrame, path: str, split_col: str = "split", lang_col: str = "lang", text_col: str = "text",
