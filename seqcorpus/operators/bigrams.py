@@ -1,7 +1,8 @@
 """Bigram tables on whole rows of token ids: counted on Arrow batches, and packed so that a worker holds all of a large one.
 
 A packed part has the contexts ``ctx % parts``: for each its tokens in order (two bytes each where ids allow) and for each token
-two bytes that point to one of the context's different log-probabilities.  Parts are broadcast one by one.
+a byte that points to one of the context's different log-probabilities, the frequent ones first; the few beyond 255 are
+listed apart.  Parts are broadcast one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from seqcorpus.constants import EOS
 from seqcorpus.plans.broadcast import stored
 
 #: Pairs of a part, pairs that a task holds while it counts, and bytes of all parts that a worker may hold.
-PART_PAIRS, TASK_PAIRS, MAX_PACKED = 2_000_000, 1 << 21, 400 << 20
+PART_PAIRS, TASK_PAIRS, MAX_PACKED = 2_000_000, 1 << 18, 300 << 20
+#: The code of a log-probability that is listed apart.
+FAR = 255
 
 
 def _contexts(lists):
@@ -74,14 +77,17 @@ def _packer(wide: bool):
         order = np.lexsort((token, ctx))
         ctx, token, lp, lp0 = ctx[order], token[order], lp[order], lp0[order]
         names, starts = np.unique(ctx, return_index=True)
-        codes, levels, level_at = np.empty(len(ctx), np.uint16), [], [0]
+        codes, levels, level_at = np.empty(len(ctx), np.uint32), [], [0]
         for lo, hi in zip(starts, [*starts[1:], len(ctx)]):
-            values, codes[lo:hi] = np.unique(lp[lo:hi], return_inverse=True)
-            levels.append(values)
+            values, of, times = np.unique(lp[lo:hi], return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            codes[lo:hi] = np.argsort(order)[of]
+            levels.append(values[order])
             level_at.append(level_at[-1] + len(values))
+        far = np.flatnonzero(codes >= FAR)
         out = io.BytesIO()
-        np.savez(out, names=names.astype(np.int32), starts=np.append(starts, len(ctx)), token=token.astype(np.uint32 if wide else np.uint16), codes=codes,
-                 levels=np.concatenate(levels), level_at=np.array(level_at[:-1]), lp0=lp0[starts])
+        np.savez(out, names=names.astype(np.int32), starts=np.append(starts, len(ctx)), token=token.astype(np.uint32 if wide else np.uint16),
+                 codes=np.minimum(codes, FAR).astype(np.uint8), far=far.astype(np.int32), far_code=codes[far], levels=np.concatenate(levels), level_at=np.array(level_at[:-1]), lp0=lp0[starts])
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([out.getvalue()], pa.binary())})
     return run
 
@@ -92,14 +98,13 @@ def packed(model: DataFrame, unseen: DataFrame):
     whole = stored(model.join(unseen.select("ctx", "lp0"), "ctx").select("ctx", "token", "lp", "lp0"))
     pairs, top, low = whole.agg(F.count(F.lit(1)), F.max("token"), F.min("token")).first()
     wide = (top or 0) > 0xFFFF
-    # a context's different values are told apart by two bytes
-    if pairs * (6 if wide else 4) > MAX_PACKED or (low or 0) < 0 or wide and whole.groupBy("ctx").agg(F.count_distinct("lp").alias("n")).where("n > 65536").limit(1).count():
+    if pairs * (5 if wide else 3) > MAX_PACKED or (low or 0) < 0:
         return None
     parts = max(1, -(-pairs // PART_PAIRS))
     made = stored(whole.groupBy(F.pmod("ctx", F.lit(parts)).cast("int").alias("part")).applyInArrow(_packer(wide), "part int, packed binary"))
     out = [None] * parts
     for row in made.toLocalIterator():  # a part at a time
-        out[row.part] = spark.sparkContext.broadcast(bytes(row.packed))
+        out[row.part] = spark.sparkContext.broadcast(dict(np.load(io.BytesIO(row.packed))))
     return out
 
 
@@ -107,9 +112,9 @@ def _looker(parts, column: int):
     def run(batches):
         import pyarrow as pa
 
-        tables = [dict(np.load(io.BytesIO(p.value))) if p is not None else None for p in parts]
+        tables = [p.value if p is not None else None for p in parts]
 
-        def look(t, ctx, token, lps, known):
+        def look(t, ctx, token):
             at = np.minimum(np.searchsorted(t["names"], ctx), len(t["names"]) - 1)
             here = t["names"][at] == ctx
             lo, end = t["starts"][at], t["starts"][at + 1]
@@ -120,7 +125,10 @@ def _looker(parts, column: int):
                 lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.maximum(np.minimum(mid, hi), lo))
             place = np.minimum(lo, len(tokens) - 1)
             seen = (lo < end) & (tokens[place] == token)
-            return np.where(seen, t["levels"][np.minimum(t["level_at"][at] + np.where(seen, t["codes"][place], 0), len(t["levels"]) - 1)], t["lp0"][at]), here
+            code = np.where(seen, t["codes"][place], 0).astype(np.int64)
+            far = np.flatnonzero(code == FAR)
+            code[far] = t["far_code"][np.searchsorted(t["far"], place[far])]
+            return np.where(seen, t["levels"][t["level_at"][at] + code], t["lp0"][at]), here
 
         for batch in batches:
             at, ctx, token = _contexts(batch.column(column))
@@ -128,7 +136,7 @@ def _looker(parts, column: int):
             for k, t in enumerate(tables):
                 mine = np.flatnonzero(ctx % len(tables) == k) if len(tables) > 1 else np.arange(len(token))
                 if t is not None and len(mine):
-                    lps[mine], known[mine] = look(t, ctx[mine], token[mine], lps, known)
+                    lps[mine], known[mine] = look(t, ctx[mine], token[mine])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(lps, pa.float64(), mask=~known))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "lps"])
     return run

@@ -20,7 +20,7 @@ VOCAB_SCHEMA = "id INT, symbol STRING, count BIGINT"
 #: Entries of a vocabulary that the driver ranks; a larger one gets its ids from the distributed index.
 DRIVER_WORDS = 1 << 17
 #: Different words that a task holds before it hands them on.
-TASK_WORDS = 1 << 19
+TASK_WORDS = 1 << 17
 
 
 def explode_tokens(lines: DataFrame, order_cols: list[str], text_col: str = "text",

@@ -17,7 +17,7 @@ def _rows(spark, n=200, top=70):
     return spark.createDataFrame(rows, "k int, ids array<int>").repartition(4)
 
 
-@pytest.mark.parametrize("bound", [{}, {"PART_PAIRS": 50}, {"MAX_PACKED": 0}, {"TASK_PAIRS": 10}, {"top": 90_000}])
+@pytest.mark.parametrize("bound", [{}, {"PART_PAIRS": 50}, {"MAX_PACKED": 0}, {"TASK_PAIRS": 10}, {"FAR": 2}, {"top": 90_000}])
 def test_nested_positions(spark, monkeypatch, bound):
     rows = _rows(spark, top=bound.get("top", 70))
     for name, value in bound.items():
