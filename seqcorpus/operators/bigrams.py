@@ -18,7 +18,7 @@ from seqcorpus.constants import EOS
 from seqcorpus.plans.broadcast import stored
 
 #: Pairs of a part, pairs that a task holds while it counts, and bytes of all parts that a worker may hold.
-PART_PAIRS, TASK_PAIRS, MAX_PACKED = 2_000_000, 1 << 18, 300 << 20
+PART_PAIRS, TASK_PAIRS, MAX_PACKED = 500_000, 1 << 18, 300 << 20
 #: The code of a log-probability that is listed apart.
 FAR = 255
 

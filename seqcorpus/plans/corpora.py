@@ -101,9 +101,14 @@ def q_multi_reference(spark, sf_dir):
     return r.select(*PAIR_KEY, F.size("refs").cast("long").alias("n_refs"), F.md5(F.array_join("refs", "\n")).alias("refs_md5"))
 
 
+#: Lines of an Arrow batch of hypotheses.
+BATCH_LINES = 1000
+
+
 def _hypotheses(spark, sf_dir, n):
     """The n best lines of every document as hypotheses, its first line as source and target.  Lines stay rows of arrays; only those of
-    documents whose id occurs again are grouped by their key."""
+    documents whose id occurs again are grouped by their key.  Arrow batches are small, so that a worker's arrays are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_LINES))
     vocab = cut_lineage(doc_vocab(spark, sf_dir))
     size = vocab.count()
     lines = enc.encode_lines(document_lines(spark, sf_dir, cols=()), vocab).select(*LINE_ORDER, "text", "ids")
